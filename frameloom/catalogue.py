@@ -1,11 +1,768 @@
-"""All registered queries of the image engine and their SQL."""
+"""All registered queries of the image engine, and the same in DuckDB's SQL.
+
+Queries call the operators on the relations of ``views``; the SQL is written independently
+of them.  Operators that loop on data (linear fit, greedy filters, the iterative stretch) or
+leave SQL (colour spaces, files) have no SQL and are tested against brute force.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import views as V
+from .functions.robust import MAD_TO_SIGMA
+from .operators import align, background, color, pixelmath, reference, stack, stars, stats, stencil
+
+SESSION = ("session", "y", "x")
+FRAME = ["frame_id"]
+
+
+def _round(df: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.round(F.col(c).cast("double"), 6))
+    return df
+
+
+def _longs(df: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.col(c).cast("long"))
+    return df
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+PX = """
+WITH px AS (
+  SELECT vec_id AS frame_id, label AS session, 0 AS ch, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x,
+         CAST(embedding[p + 1] AS DOUBLE) AS v
+  FROM embeddings, (SELECT unnest(range(0, 64)) AS p)),
+pm AS (SELECT frame_id, session, ch, y, x, CASE WHEN (frame_id * 31 + y * 8 + x) % 17 = 0 THEN NULL ELSE v END AS v FROM px),
+sp AS (SELECT frame_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1),
+p1 AS (SELECT px.frame_id, session, ch, y, x, CASE WHEN hi - lo >= 1e-8 THEN (v - lo) / (hi - lo) ELSE v END AS v FROM px JOIN sp USING (frame_id)),
+md AS (SELECT frame_id, session, median(v) AS location FROM px GROUP BY 1, 2),
+ls AS (SELECT px.frame_id, px.session, any_value(location) AS location, 1.4826 * median(abs(v - location)) AS scale FROM px JOIN md USING (frame_id) GROUP BY 1, 2),
+md1 AS (SELECT frame_id, median(v) AS location FROM p1 GROUP BY 1),
+ls1 AS (SELECT p1.frame_id, any_value(location) AS location, 1.4826 * median(abs(v - location)) AS scale FROM p1 JOIN md1 USING (frame_id) GROUP BY 1),
+dx AS (SELECT frame_id, session, y, x, CASE WHEN x BETWEEN 1 AND 6 THEN lag(v) OVER w - 2 * v + lead(v) OVER w END AS d FROM px WINDOW w AS (PARTITION BY frame_id, y ORDER BY x)),
+dd AS (SELECT frame_id, y, x, CASE WHEN y BETWEEN 1 AND 6 THEN lag(d) OVER w - 2 * d + lead(d) OVER w END AS l FROM dx WINDOW w AS (PARTITION BY frame_id, x ORDER BY y)),
+ns AS (SELECT frame_id, sum(abs(l)) * sqrt(pi() / 2) / (6.0 * count(l)) AS noise FROM dd GROUP BY 1),
+fm AS (SELECT ls.*, 30.0 + 10 * (frame_id % 4) AS exposure, noise, CAST(frame_id % 13 AS INTEGER) AS n_stars, 1 + (frame_id % 7) / 2.0 AS hfr FROM ls JOIN ns USING (frame_id))
+"""
+
+
+# ---- stacking
+
+
+def _stacked(spark, sf_dir, mode, **kwargs):
+    return _longs(_round(stack.stack(V.px_missing(spark, sf_dir), mode, SESSION, **kwargs), "v"), "n_low", "n_high")
+
+
+@query(PX + "SELECT session, y, x, round(median(v), 6) AS v, CAST(0 AS BIGINT) AS n_low, CAST(0 AS BIGINT) AS n_high FROM pm GROUP BY 1, 2, 3")
+def stack_median(spark, sf_dir):
+    return _stacked(spark, sf_dir, stack.StackMode.MEDIAN)
+
+
+@query(PX + "SELECT session, y, x, round(avg(v), 6) AS v, CAST(0 AS BIGINT) AS n_low, CAST(0 AS BIGINT) AS n_high FROM pm GROUP BY 1, 2, 3")
+def stack_mean(spark, sf_dir):
+    return _stacked(spark, sf_dir, stack.StackMode.MEAN)
+
+
+def _weighted(spark, sf_dir, how, mode=stack.StackMode.MEAN, **kwargs):
+    pixels = V.px_missing(spark, sf_dir)
+    w = stack.weights(V.frame_meta(V.px(spark, sf_dir)), how, ("session",))
+    return _longs(_round(stack.stack(pixels.join(w, "frame_id"), mode, SESSION, weight="weight", **kwargs), "v"), "n_low", "n_high")
+
+
+_WMEAN = "SELECT session, y, x, round(sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END), 6) AS v, CAST(0 AS BIGINT) AS n_low, CAST(0 AS BIGINT) AS n_high FROM pm JOIN wt USING (frame_id) GROUP BY 1, 2, 3"
+_QW = ", qs AS (SELECT session, min({0}) AS lo, max({0}) AS hi FROM fm GROUP BY 1), wt AS (SELECT frame_id, 1 / (1 + 4 * CASE WHEN hi > lo THEN ({0} - lo) / (hi - lo) ELSE 0 END) AS w FROM fm JOIN qs USING (session)) "
+
+
+@query(PX + ", wt AS (SELECT frame_id, exposure AS w FROM fm) " + _WMEAN)
+def stack_wmean_exposure(spark, sf_dir):
+    return _weighted(spark, sf_dir, stack.Weighting.EXPOSURE)
+
+
+@query(PX + _QW.format("noise") + _WMEAN)
+def stack_wmean_noise(spark, sf_dir):
+    return _weighted(spark, sf_dir, stack.Weighting.INVERSE_NOISE)
+
+
+@query(PX + _QW.format("hfr") + _WMEAN)
+def stack_wmean_hfr(spark, sf_dir):
+    return _weighted(spark, sf_dir, stack.Weighting.INVERSE_HFR)
+
+
+_MAD = """, a AS (SELECT session, y, x, median(v) AS m FROM pm GROUP BY 1, 2, 3),
+b AS (SELECT session, y, x, any_value(m) AS m, 1.4826 * median(abs(v - m)) AS s FROM pm JOIN a USING (session, y, x) GROUP BY 1, 2, 3)
+SELECT session, y, x, round(avg(CASE WHEN v >= m - {0} * s AND v <= m + {0} * s THEN v END), 6) AS v,
+       count(CASE WHEN v < m - {0} * s THEN 1 END) AS n_low, count(CASE WHEN v > m + {0} * s THEN 1 END) AS n_high
+FROM pm JOIN b USING (session, y, x) GROUP BY 1, 2, 3"""
+
+
+@query(PX + _MAD.format("2.0"))
+def stack_mad_sigma(spark, sf_dir):
+    return _stacked(spark, sf_dir, stack.StackMode.MAD_SIGMA, sigma_low=2.0, sigma_high=2.0)
+
+
+def _clip_sql(sigma: float, weighted: bool, passes: int = 14) -> str:
+    """Passes spelled out: s<i> is the set before pass i, r<i> its statistics and what the pass drops."""
+    g = "session, y, x"
+    w = ", w" if weighted else ""
+    parts = [f"s0 AS (SELECT {g}, v{w} FROM pm{' JOIN wt USING (frame_id)' if weighted else ''} WHERE v IS NOT NULL)"]
+    for i in range(passes):
+        parts.append(f"b{i} AS (SELECT {g}, median(v) AS m, avg(v) AS a, stddev_pop(v) AS d FROM s{i} GROUP BY {g})")
+        inside = f"v >= m - {sigma} * d AND v <= m + {sigma} * d"
+        value = f"sum(CASE WHEN {inside} THEN v * w END) / sum(CASE WHEN {inside} THEN w END)" if weighted else "any_value(a)"
+        parts.append(f"r{i} AS (SELECT {g}, {value} AS v, count(CASE WHEN v < m - {sigma} * d THEN 1 END) AS lo, count(CASE WHEN v > m + {sigma} * d THEN 1 END) AS hi, count(CASE WHEN {inside} THEN 1 END) AS n FROM s{i} JOIN b{i} USING ({g}) GROUP BY {g})")
+        parts.append(f"s{i + 1} AS (SELECT {g}, s.v{', s.w' if weighted else ''} FROM s{i} s JOIN b{i} USING ({g}) JOIN (SELECT {g} FROM r{i} WHERE lo + hi > 0 AND n > 1) USING ({g}) WHERE s.v >= m - {sigma} * d AND s.v <= m + {sigma} * d)")
+    every = " UNION ALL ".join(f"SELECT {g}, {i} AS i, v, lo, hi FROM r{i}" for i in range(passes))
+    return f", {', '.join(parts)} SELECT {g}, round(arg_max(v, i), 6) AS v, CAST(sum(lo) AS BIGINT) AS n_low, CAST(sum(hi) AS BIGINT) AS n_high FROM ({every}) GROUP BY {g}"
+
+
+@query(PX + _clip_sql(2.75, False))
+def stack_sigma_clip(spark, sf_dir):
+    return _stacked(spark, sf_dir, stack.StackMode.SIGMA)
+
+
+@query(PX + ", wt AS (SELECT frame_id, exposure AS w FROM fm)" + _clip_sql(2.75, True))
+def stack_sigma_clip_weighted(spark, sf_dir):
+    return _weighted(spark, sf_dir, stack.Weighting.EXPOSURE, stack.StackMode.SIGMA)
+
+
+@query()
+def stack_winsor(spark, sf_dir):
+    return _stacked(spark, sf_dir, stack.StackMode.WINSOR_SIGMA)
+
+
+@query()
+def stack_linear_fit(spark, sf_dir):
+    return _stacked(spark, sf_dir, stack.StackMode.LINEAR_FIT)
+
+
+@query(PX + """, b AS (SELECT session, y, x, frame_id % 4 AS batch, avg(v) AS v, count(v) AS n FROM pm GROUP BY 1, 2, 3, 4)
+SELECT session, y, x, round(sum(v * n) / sum(CASE WHEN v IS NOT NULL THEN n END), 6) AS v, CAST(0 AS BIGINT) AS n_low, CAST(0 AS BIGINT) AS n_high FROM b GROUP BY 1, 2, 3""")
+def stack_batches_two_level(spark, sf_dir):
+    out = stack.stack_batches(V.px_missing(spark, sf_dir), 4, SESSION, stack.StackMode.MEAN, batch=F.col("frame_id") % 4)
+    return _longs(_round(out, "v"), "n_low", "n_high")
+
+
+@query()
+def stack_clip_report(spark, sf_dir):
+    done = stack.stack(V.px_missing(spark, sf_dir), stack.StackMode.MAD_SIGMA, SESSION, 2.0, 2.0)
+    return _longs(done.groupBy("session").agg(F.sum("n_low").alias("clipped_low"), F.sum("n_high").alias("clipped_high")), "clipped_low", "clipped_high")
+
+
+SQL["stack_clip_report"] = PX + _MAD.format("2.0").split("SELECT session, y, x, round(avg")[0] + """SELECT session, count(CASE WHEN v < m - 2.0 * s THEN 1 END) AS clipped_low, count(CASE WHEN v > m + 2.0 * s THEN 1 END) AS clipped_high
+FROM pm JOIN b USING (session, y, x) GROUP BY 1"""
+
+
+# ---- statistics
+
+
+@query(PX + "SELECT frame_id, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std_dev FROM pm GROUP BY 1")
+def stats_basic(spark, sf_dir):
+    return _round(stats.basic(V.px_missing(spark, sf_dir), FRAME), "min", "max", "mean", "std_dev")
+
+
+@query(PX + "SELECT frame_id, round(location, 6) AS location, round(scale, 6) AS scale FROM ls")
+def stats_median_mad(spark, sf_dir):
+    return _round(stats.median_mad(V.px(spark, sf_dir), FRAME), "location", "scale")
+
+
+@query(PX + ", r AS (SELECT frame_id, v, row_number() OVER (PARTITION BY frame_id ORDER BY v) AS k FROM pm WHERE v IS NOT NULL) SELECT frame_id, v FROM r WHERE k = 10")
+def stats_kth(spark, sf_dir):
+    return stats.kth_smallest(V.px_missing(spark, sf_dir), FRAME, 10)
+
+
+@query(PX + ", r AS (SELECT frame_id, v, row_number() OVER (PARTITION BY frame_id ORDER BY v) AS k, count(*) OVER (PARTITION BY frame_id) AS n FROM pm WHERE v IS NOT NULL) SELECT frame_id, v FROM r WHERE k = n // 4 + 1")
+def stats_first_quartile(spark, sf_dir):
+    return stats.kth_smallest(V.px_missing(spark, sf_dir), FRAME)
+
+
+_HIST = """, h AS (SELECT session, lo, hi, CAST(CASE WHEN hi > lo THEN floor((v - lo) * 63 / (hi - lo) + 0.5) ELSE 0 END AS INTEGER) AS bin, count(*) AS n
+  FROM px JOIN (SELECT session, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1) USING (session) GROUP BY 1, 2, 3, 4),
+pk AS (SELECT session, bin AS peak FROM (SELECT session, bin, row_number() OVER (PARTITION BY session ORDER BY n DESC, bin) AS r FROM h WHERE bin > 0 AND bin < 63) WHERE r = 1),
+ma AS (SELECT session, lo, hi, peak, abs(bin - peak) AS d, sum(n) AS n FROM h JOIN pk USING (session) GROUP BY 1, 2, 3, 4, 5),
+cu AS (SELECT *, sum(n) OVER (PARTITION BY session ORDER BY d) AS c, sum(n) OVER (PARTITION BY session) AS t FROM ma)
+SELECT session, round(lo + peak * (hi - lo) / 63, 6) AS location, round((min(d) + 0.5) * (hi - lo) / 63, 6) AS scale FROM cu WHERE c >= 0.6827 * t GROUP BY session, lo, hi, peak"""
+
+
+@query(PX + _HIST)
+def stats_hist_locscale(spark, sf_dir):
+    return _round(stats.histogram_location_scale(V.px(spark, sf_dir), ["session"], 64), "location", "scale")
+
+
+@query(PX + "SELECT frame_id, round(noise, 6) AS noise FROM ns")
+def stats_noise(spark, sf_dir):
+    return _round(stats.noise(V.px(spark, sf_dir), FRAME), "noise")
+
+
+@query(PX + """, r AS (SELECT frame_id, v, row_number() OVER (PARTITION BY frame_id ORDER BY v) - 1 AS k FROM pm WHERE v IS NOT NULL),
+g AS (SELECT frame_id, regr_slope(v, k) * count(*) / (count(*) + 1) AS slope, avg(v) AS mv, avg(k) AS mk, count(*) AS n FROM r GROUP BY 1)
+SELECT frame_id, round(slope, 6) AS slope, round(mv - slope * mk, 6) AS intercept, n FROM g""")
+def linreg_rank(spark, sf_dir):
+    return _round(stats.rank_regression(V.px_missing(spark, sf_dir), FRAME), "slope", "intercept")
+
+
+@query()
+def stats_ikss(spark, sf_dir):
+    return _round(stats.location_scale(V.px(spark, sf_dir), FRAME, stats.Estimator.IKSS), "location", "scale")
+
+
+@query()
+def stats_clipped_median_qn(spark, sf_dir):
+    return _round(stats.location_scale(V.px(spark, sf_dir), FRAME, stats.Estimator.CLIPPED_MEDIAN_QN), "location", "scale")
+
+
+@query()
+def stats_half_sample_mode(spark, sf_dir):
+    return _round(stats.half_sample_mode(V.px(spark, sf_dir), FRAME), "mode")
+
+
+# ---- pixel maths
+
+_OUT = "SELECT frame_id, y, x, round({0}, 6) AS v FROM "
+
+
+def _px_out(df: DataFrame) -> DataFrame:
+    return _round(df.select("frame_id", "y", "x", "v"), "v")
+
+
+def _session_frame(spark, sf_dir, rank: int) -> DataFrame:
+    """The rank-th lowest frame of each session."""
+    p = V.px(spark, sf_dir)
+    ids = p.groupBy("session").agg(F.sort_array(F.collect_set("frame_id"))[rank].alias("frame_id"))
+    return p.join(ids, ["session", "frame_id"]).drop("frame_id")
+
+
+@query(PX + """, i AS (SELECT session, list_sort(list(DISTINCT frame_id)) AS ids FROM px GROUP BY 1),
+dk AS (SELECT px.session, y, x, v FROM px JOIN i ON px.session = i.session AND frame_id = ids[1]),
+f0 AS (SELECT px.session, y, x, v FROM px JOIN i ON px.session = i.session AND frame_id = ids[2]),
+fl AS (SELECT session, y, x, v - min(v) OVER (PARTITION BY session) + 1 AS f FROM f0),
+fx AS (SELECT session, max(f) AS m FROM fl GROUP BY 1)
+SELECT px.frame_id, y, x, round(CASE WHEN f > 0 THEN (px.v - coalesce(dk.v, 0)) * m / f ELSE px.v - coalesce(dk.v, 0) END, 6) AS v
+FROM px LEFT JOIN dk USING (session, y, x) LEFT JOIN fl USING (session, y, x) LEFT JOIN fx USING (session)""")
+def calibrate(spark, sf_dir):
+    flat = _session_frame(spark, sf_dir, 1)
+    low = flat.groupBy("session").agg(F.min("v").alias("lo"))
+    flat = flat.join(low, "session").withColumn("v", F.col("v") - F.col("lo") + 1).drop("lo")
+    return _px_out(pixelmath.calibrate(V.px(spark, sf_dir), _session_frame(spark, sf_dir, 0), flat, ("session", "ch", "y", "x")))
+
+
+@query(PX + _OUT.format("v * 1.5 + 0.25") + "pm")
+def scale_offset(spark, sf_dir):
+    return _px_out(pixelmath.scale_offset(V.px_missing(spark, sf_dir), 1.5, 0.25))
+
+
+@query(PX + _OUT.format("v") + "p1")
+def norm_range(spark, sf_dir):
+    return _px_out(V.px01(spark, sf_dir))
+
+
+@query(PX + _OUT.format("CASE WHEN v > 0 THEN v ** (1 / 2.2) ELSE 0 END") + "p1")
+def gamma(spark, sf_dir):
+    return _px_out(pixelmath.gamma(V.px01(spark, sf_dir), 2.2))
+
+
+def _ls1(spark, sf_dir):
+    return stats.median_mad(V.px01(spark, sf_dir), FRAME)
+
+
+@query(PX + ", q AS (SELECT p1.*, location + 1.0 * scale AS s FROM p1 JOIN ls1 USING (frame_id)) " + _OUT.format("CASE WHEN v > s AND v < 1 THEN s + ((v - s) / (1 - s)) ** (1 / 1.8) * (1 - s) ELSE v END") + "q")
+def gamma_pp(spark, sf_dir):
+    return _px_out(pixelmath.gamma_pp(V.px01(spark, sf_dir), 1.8, 1.0, _ls1(spark, sf_dir)))
+
+
+@query(PX + ", q AS (SELECT p1.*, greatest((v - (location - 2 * scale)) / (1 - (location - 2 * scale)), 0) AS u FROM p1 JOIN ls1 USING (frame_id)) " + _OUT.format("CASE WHEN u > 1 THEN 1 WHEN u <= 0 THEN 0 ELSE (0.25 - 1) * u / ((2 * 0.25 - 1) * u - 0.25) END") + "q")
+def midtones(spark, sf_dir):
+    return _px_out(pixelmath.midtones(V.px01(spark, sf_dir), 0.25, 2.0, _ls1(spark, sf_dir)))
+
+
+@query(PX + ", q AS (SELECT p1.*, location AS l, (0.2 - location) / (0.2 - 1) AS b FROM p1 JOIN ls1 USING (frame_id)) " + _OUT.format("CASE WHEN l > 0.2 THEN greatest((v - b) / (1 - b), 0) ELSE v END") + "q")
+def scale_black(spark, sf_dir):
+    return _px_out(pixelmath.scale_black(V.px01(spark, sf_dir), 0.2, _ls1(spark, sf_dir)))
+
+
+@query()
+def stretch(spark, sf_dir):
+    return _px_out(pixelmath.stretch(V.px01(spark, sf_dir), 0.3, 0.2))
+
+
+def _matched(spark, sf_dir, mode):
+    pixels = V.px01(spark, sf_dir)
+    ls = stats.median_mad(pixels, ["frame_id", "session"])
+    ref = reference.by_median_location(ls, ("session",)).select("session", "frame_id").join(ls, ["session", "frame_id"]).select("session", F.col("location").alias("ref_location"), F.col("scale").alias("ref_scale"))
+    return _px_out(pixelmath.match_histogram(pixels, mode, ls, ref, on=["session"]))
+
+
+_REF = """, lz AS (SELECT ls1.*, session FROM ls1 JOIN (SELECT DISTINCT frame_id, session FROM px) USING (frame_id)),
+mi AS (SELECT session, median(location) AS m FROM lz GROUP BY 1),
+rf AS (SELECT session, location AS rl, scale AS rs FROM (SELECT lz.*, row_number() OVER (PARTITION BY session ORDER BY abs(location - m), frame_id) AS r FROM lz JOIN mi USING (session)) WHERE r = 1),
+q AS (SELECT p1.frame_id, y, x, v, location AS l, scale AS s, rl, rs, (rl - location) / (rl - 1) AS b FROM p1 JOIN lz USING (frame_id) JOIN rf ON rf.session = lz.session) """
+
+
+@query(PX + _REF + _OUT.format("CASE WHEN l <> 0 THEN v * rl / l ELSE v END") + "q")
+def match_location(spark, sf_dir):
+    return _matched(spark, sf_dir, 1)
+
+
+@query(PX + _REF + _OUT.format("(v - l) * CASE WHEN s <> 0 THEN rs / s ELSE 1 END + rl") + "q")
+def match_locscale(spark, sf_dir):
+    return _matched(spark, sf_dir, 2)
+
+
+@query(PX + _REF + _OUT.format("greatest((v - b) / (1 - b), 0)") + "q")
+def match_black(spark, sf_dir):
+    return _matched(spark, sf_dir, 3)
+
+
+@query(PX + "SELECT px.frame_id, count(*) AS pixels FROM px JOIN fm USING (frame_id) WHERE n_stars >= 6 GROUP BY 1")
+def filter_min_stars(spark, sf_dir):
+    pixels = V.px(spark, sf_dir)
+    return pixelmath.filter_frames(V.frame_meta(pixels), pixels, 6)[1].groupBy("frame_id").agg(F.count("*").alias("pixels"))
+
+
+@query(PX + "SELECT session, frame_id, round(score, 6) AS score FROM (SELECT session, frame_id, CASE WHEN n_stars > 0 AND hfr > 0 THEN n_stars / hfr ELSE 0 END AS score, row_number() OVER (PARTITION BY session ORDER BY CASE WHEN n_stars > 0 AND hfr > 0 THEN n_stars / hfr ELSE 0 END DESC, frame_id) AS r FROM fm) WHERE r = 1")
+def select_ref_score(spark, sf_dir):
+    return _round(reference.by_stars_hfr(V.frame_meta(V.px(spark, sf_dir)), ("session",)), "score")
+
+
+@query(PX + ", mi AS (SELECT session, median(location) AS m FROM ls GROUP BY 1) SELECT session, frame_id, round(location, 6) AS location FROM (SELECT ls.*, row_number() OVER (PARTITION BY ls.session ORDER BY abs(location - m), frame_id) AS r FROM ls JOIN mi USING (session)) WHERE r = 1")
+def select_ref_median_loc(spark, sf_dir):
+    return _round(reference.by_median_location(V.frame_meta(V.px(spark, sf_dir)), ("session",)), "location")
+
+
+@query(PX + "SELECT fm.frame_id, round(min(v), 6) AS min, round(avg(v), 6) AS mean, round(max(v), 6) AS max, round(any_value(location), 6) AS location, round(any_value(scale), 6) AS scale, any_value(n_stars) AS n_stars, CAST(any_value(hfr) AS DOUBLE) AS hfr FROM fm JOIN px USING (frame_id) GROUP BY 1")
+def export_stats(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    frames = V.frame_meta(p).join(stats.basic(p, FRAME), "frame_id")
+    return _round(reference.export_stats(frames), "min", "mean", "max", "location", "scale", "hfr")
+
+
+# ---- stencils
+
+_NINE = "(VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,0),(0,1),(1,-1),(1,0),(1,1)) o(dy, dx)"
+
+
+@query(PX + f", m AS (SELECT a.frame_id, a.y, a.x, median(b.v) AS m FROM px a, {_NINE}, px b WHERE b.frame_id = a.frame_id AND b.y = a.y + dy AND b.x = a.x + dx AND a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 GROUP BY 1, 2, 3), " + """
+q AS (SELECT px.frame_id, px.y, px.x, v, coalesce(m, v) AS m FROM px LEFT JOIN m USING (frame_id, y, x)),
+s AS (SELECT frame_id, stddev_pop(v - m) AS s FROM q GROUP BY 1)
+SELECT frame_id, y, x, round(CASE WHEN v - m < -3 * s OR v - m > 3 * s THEN m ELSE v END, 6) AS v, (v - m < -3 * s OR v - m > 3 * s) AS bad FROM q JOIN s USING (frame_id)""")
+def badpixel_median3x3(spark, sf_dir):
+    return _round(stencil.bad_pixels(V.px(spark, sf_dir), 3.0, 3.0).select("frame_id", "y", "x", "v", "bad"), "v")
+
+
+def _bayer_sql(on: str, offsets: str) -> str:
+    return PX + f""", m AS (SELECT a.frame_id, a.y, a.x, median(b.v) AS m FROM px a, (VALUES {offsets}) o(dy, dx), px b WHERE b.frame_id = a.frame_id AND b.y = a.y + dy AND b.x = a.x + dx AND {on.format('a')} GROUP BY 1, 2, 3),
+s AS (SELECT frame_id, stddev_pop(v - m) AS s FROM px JOIN m USING (frame_id, y, x) GROUP BY 1)
+SELECT px.frame_id, px.y, px.x, round(CASE WHEN v - m < -2 * s OR v - m > 2 * s THEN m ELSE v END, 6) AS v, coalesce(v - m < -2 * s OR v - m > 2 * s, FALSE) AS bad
+FROM px LEFT JOIN m USING (frame_id, y, x) JOIN s ON s.frame_id = px.frame_id"""
+
+
+@query(_bayer_sql("{0}.y % 2 = 0 AND {0}.x % 2 = 0", "(-2,-2),(-2,0),(-2,2),(0,-2),(0,0),(0,2),(2,-2),(2,0),(2,2)"))
+def badpixel_bayer_r(spark, sf_dir):
+    return _round(stencil.bad_pixels_bayer(V.px(spark, sf_dir), "R", "RGGB", 2.0, 2.0).select("frame_id", "y", "x", "v", "bad"), "v")
+
+
+@query(_bayer_sql("({0}.y + {0}.x) % 2 = 1", "(0,0),(-1,-1),(-1,1),(1,-1),(1,1),(-2,0),(2,0),(0,-2),(0,2)"))
+def badpixel_bayer_g(spark, sf_dir):
+    return _round(stencil.bad_pixels_bayer(V.px(spark, sf_dir), "G", "RGGB", 2.0, 2.0).select("frame_id", "y", "x", "v", "bad"), "v")
+
+
+@query(PX + "SELECT frame_id, CAST(y // 3 AS INTEGER) AS y, CAST(x // 3 AS INTEGER) AS x, round(avg(v), 6) AS v FROM pm WHERE y < 6 AND x < 6 GROUP BY 1, 2, 3")
+def bin3x3(spark, sf_dir):
+    return _px_out(stencil.bin_pixels(V.px_missing(spark, sf_dir), 3))
+
+
+@query(PX + "SELECT frame_id, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, round(avg(v), 6) AS v FROM px GROUP BY 1, 2, 3")
+def bin2x2(spark, sf_dir):
+    return _px_out(stencil.bin_pixels(V.px(spark, sf_dir), 2))
+
+
+def _debayer_sql(own: str, row: str, col: str) -> str:
+    """Mean of the nearest samples of the colour in the frame."""
+    near = "SELECT a.frame_id, a.y, a.x, avg(b.v) AS v FROM px a, (VALUES {0}) o(dy, dx), px b WHERE b.frame_id = a.frame_id AND b.y = a.y + dy AND b.x = a.x + dx AND {1} AND NOT ({2}) GROUP BY 1, 2, 3"
+    b = own.format("b")
+    a = own.format("a")
+    cross = near.format("(0,-1),(0,1),(-1,0),(1,0)", b, a)
+    diagonal = near.format("(-1,-1),(-1,1),(1,-1),(1,1)", b, a)
+    return PX + f", c AS ({cross}), d AS ({diagonal}) SELECT px.frame_id, px.y, px.x, round(CASE WHEN {own.format('px')} THEN px.v ELSE coalesce(c.v, d.v) END, 6) AS v FROM px LEFT JOIN c USING (frame_id, y, x) LEFT JOIN d USING (frame_id, y, x)"
+
+
+@query(_debayer_sql("({0}.y % 2 = 0 AND {0}.x % 2 = 0)", "", ""))
+def debayer_r(spark, sf_dir):
+    return _px_out(stencil.debayer(V.px(spark, sf_dir), "R"))
+
+
+@query(_debayer_sql("(({0}.y + {0}.x) % 2 = 1)", "", ""))
+def debayer_g(spark, sf_dir):
+    return _px_out(stencil.debayer(V.px(spark, sf_dir), "G"))
+
+
+@query(_debayer_sql("({0}.y % 2 = 1 AND {0}.x % 2 = 1)", "", ""))
+def debayer_b(spark, sf_dir):
+    return _px_out(stencil.debayer(V.px(spark, sf_dir), "B"))
+
+
+def _deband_sql(line: str, w: int = 4, percentile: int = 50, sigma: float = 3.0) -> str:
+    h = w // 2
+    return PX + f""", lo AS (SELECT px.frame_id, px.{line} AS i, v, row_number() OVER (PARTITION BY px.frame_id, px.{line} ORDER BY v) AS r, count(*) OVER (PARTITION BY px.frame_id, px.{line}) AS n
+  FROM px JOIN ls USING (frame_id) WHERE v <= location + {sigma} * scale),
+lv AS (SELECT frame_id, i, v AS level FROM lo WHERE r = greatest(CAST(floor(n * {percentile} / 100.0) AS BIGINT), 1)),
+ar AS (SELECT frame_id, list(level ORDER BY i) AS a FROM lv GROUP BY 1),
+wi AS (SELECT lv.frame_id, i, level, a, greatest(0, least(i - {h}, len(a) - {w})) AS s, i - {h} - greatest(0, least(i - {h}, len(a) - {w})) AS g FROM lv JOIN ar USING (frame_id)),
+ha AS (SELECT *, list_slice(a, s + 1, s + {w}) AS part, list_median(list_slice(a, s + 1, s + {h})) AS l, list_median(list_slice(a, s + {h} + 1, s + {w})) AS r FROM wi),
+sm AS (SELECT frame_id, i, level, list_median(list_concat(
+    CASE WHEN g < 0 THEN list_slice(part, 1, {w} - abs(g)) ELSE list_slice(part, abs(g) + 1, {w}) END,
+    list_transform(range(1, CAST(abs(g) AS BIGINT) + 1), lambda j: (l + r) / 2 + sign(g) * (r - l) / {h} * ({h} + j)))) AS m FROM ha)
+SELECT px.frame_id, px.y, px.x, round(v * CASE WHEN level <> 0 THEN m / level ELSE 1 END, 6) AS v FROM px JOIN sm ON sm.frame_id = px.frame_id AND sm.i = px.{line}"""
+
+
+def _deband(spark, sf_dir, vertical):
+    p = V.px(spark, sf_dir)
+    return _px_out(stencil.deband(p, stats.median_mad(p, ["frame_id", "ch"]), 50, 4, 3.0, vertical))
+
+
+@query(_deband_sql("y"))
+def deband_h(spark, sf_dir):
+    return _deband(spark, sf_dir, False)
+
+
+@query(_deband_sql("x"))
+def deband_v(spark, sf_dir):
+    return _deband(spark, sf_dir, True)
+
+
+def _blur_sql(sigma: float, name: str = "bl") -> str:
+    taps = stencil.gaussian_kernel(sigma)
+    r = len(taps) // 2
+    values = ", ".join(f"({i - r}, CAST({t!r} AS DOUBLE))" for i, t in enumerate(taps))
+    mirror = "CASE WHEN {0} < 0 THEN -({0}) - 1 WHEN {0} >= 8 THEN 15 - ({0}) ELSE {0} END"
+    return f""", k(o, t) AS (VALUES {values}),
+b1 AS (SELECT a.frame_id, a.y, a.x, sum(t * b.v) AS v FROM px a, k, px b WHERE b.frame_id = a.frame_id AND b.y = a.y AND b.x = {mirror.format('a.x + o')} GROUP BY 1, 2, 3),
+{name} AS (SELECT a.frame_id, a.y, a.x, sum(t * b.v) AS v FROM b1 a, k, b1 b WHERE b.frame_id = a.frame_id AND b.x = a.x AND b.y = {mirror.format('a.y + o')} GROUP BY 1, 2, 3) """
+
+
+@query(PX + _blur_sql(1.0) + _OUT.format("v") + "bl")
+def gauss_blur(spark, sf_dir):
+    return _px_out(stencil.gaussian_blur(V.px(spark, sf_dir), 1.0))
+
+
+@query(PX + _blur_sql(1.0) + "SELECT px.frame_id, px.y, px.x, round(CASE WHEN px.v < location + 0.5 * scale THEN px.v ELSE least(greatest(px.v + (px.v - bl.v) * 1.5, lo), hi) END, 6) AS v FROM px JOIN bl USING (frame_id, y, x) JOIN ls USING (frame_id) JOIN sp USING (frame_id)")
+def unsharp_mask(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    by = ["frame_id", "ch"]
+    limits = stats.median_mad(p, by).join(stats.basic(p, by), by)
+    return _px_out(stencil.unsharp_mask(p, limits, 1.0, 1.5, 0.5))
+
+
+@query(PX + """, q AS (SELECT frame_id, y, x, 0.98 * x + 0.02 * y + 0.3 AS sx, -0.02 * x + 1.01 * y - 0.2 AS sy FROM px),
+g AS (SELECT *, CAST(floor(sx) AS INTEGER) AS ix, CAST(floor(sy) AS INTEGER) AS iy FROM q),
+s AS (SELECT g.frame_id, g.y, g.x, sum(px.v * CASE WHEN px.x = ix THEN 1 - (sx - ix) ELSE sx - ix END * CASE WHEN px.y = iy THEN 1 - (sy - iy) ELSE sy - iy END) AS v
+  FROM g JOIN px ON px.frame_id = g.frame_id AND px.x BETWEEN ix AND ix + 1 AND px.y BETWEEN iy AND iy + 1 WHERE ix >= 0 AND ix < 7 AND iy >= 0 AND iy < 7 GROUP BY 1, 2, 3)
+SELECT g.frame_id, g.y, g.x, round(s.v, 6) AS v FROM g LEFT JOIN s USING (frame_id, y, x)""")
+def project_bilinear(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    inverse = align.invert((0.98, 0.02, 0.3, -0.02, 1.01, -0.2))
+    t = p.select("frame_id").distinct().select("frame_id", F.lit(8).alias("width"), F.lit(8).alias("height"), *[F.lit(v).alias(k) for k, v in zip("abcdef", inverse)])
+    return _px_out(stencil.project(p, t))
+
+
+# ---- background
+
+_CELLS = """, c AS (SELECT frame_id, CAST(y // 4 AS INTEGER) AS cy, CAST(x // 4 AS INTEGER) AS cx, v FROM px),
+m AS (SELECT frame_id, cy, cx, median(v) AS m FROM c GROUP BY 1, 2, 3),
+d AS (SELECT c.*, m FROM c JOIN m USING (frame_id, cy, cx)),
+s AS (SELECT frame_id, cy, cx, median(abs(v - m)) AS s FROM d GROUP BY 1, 2, 3),
+ce AS (SELECT frame_id, cy, cx, coalesce(median(CASE WHEN v < m + 1.5 * 1.4826 * s THEN v END), any_value(m)) AS v FROM d JOIN s USING (frame_id, cy, cx) GROUP BY 1, 2, 3) """
+
+
+@query(PX + _CELLS + "SELECT frame_id, cy, cx, round(v, 6) AS v FROM ce")
+def background_cells(spark, sf_dir):
+    return _round(background.cells(V.px(spark, sf_dir), 4).select("frame_id", "cy", "cx", "v"), "v")
+
+
+def _background_sql() -> str:
+    a, b = background._cell_weight()
+    return PX + _CELLS + f""", sm AS (SELECT p.frame_id, p.cy, p.cx, sum(q.v * CASE WHEN p.cy = q.cy THEN {a!r} ELSE {b!r} END * CASE WHEN p.cx = q.cx THEN {a!r} ELSE {b!r} END)
+    / sum(CASE WHEN p.cy = q.cy THEN {a!r} ELSE {b!r} END * CASE WHEN p.cx = q.cx THEN {a!r} ELSE {b!r} END) AS v
+  FROM ce p JOIN ce q USING (frame_id) GROUP BY 1, 2, 3),
+w AS (SELECT frame_id, max(CASE WHEN cy = 0 AND cx = 0 THEN v END) AS v00, max(CASE WHEN cy = 0 AND cx = 1 THEN v END) AS v01, max(CASE WHEN cy = 1 AND cx = 0 THEN v END) AS v10, max(CASE WHEN cy = 1 AND cx = 1 THEN v END) AS v11 FROM sm GROUP BY 1),
+f AS (SELECT px.frame_id, y, x, v, (y + 0.5) / 4.0 - 0.5 AS fy, (x + 0.5) / 4.0 - 0.5 AS fx, v00, v01, v10, v11 FROM px JOIN w USING (frame_id))
+SELECT frame_id, y, x, round(v - ((v00 + (v01 - v00) * fx) + ((v10 + (v11 - v10) * fx) - (v00 + (v01 - v00) * fx)) * fy), 6) AS v FROM f"""
+
+
+@query(_background_sql())
+def background_subtract(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    return _px_out(background.subtract(p, background.finished(background.cells(p, 4))))
+
+
+# ---- stars and alignment
+
+
+@query(PX + """, b AS (SELECT px.frame_id, y, x, v FROM px JOIN ls USING (frame_id) WHERE v > location + 0.5 * scale),
+n AS (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY frame_id, y ORDER BY x) <= 1 THEN 0 ELSE 1 END AS n FROM b),
+r AS (SELECT *, sum(n) OVER (PARTITION BY frame_id, y ORDER BY x) AS run FROM n)
+SELECT frame_id, y, x, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, y, run ORDER BY v DESC, x) AS k FROM r) WHERE k = 1""")
+def bright_pixels_runs(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    return _px_out(stars.bright_runs(p, stats.median_mad(p, ["frame_id", "ch"]), 0.5, 1))
+
+
+@query(PX + """, c AS (SELECT frame_id, y AS sy, x AS sx FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, y, x) AS r FROM px) WHERE r = 1),
+q AS (SELECT px.frame_id, greatest(v - location, 0) AS v, sqrt((y - sy) ** 2 + (x - sx) ** 2) AS d FROM px JOIN c USING (frame_id) JOIN ls USING (frame_id) WHERE (y - sy) ** 2 + (x - sx) ** 2 <= 9)
+SELECT frame_id, round(sum(d * v) / nullif(sum(v), 0), 6) AS hfr, round(sum(v), 6) AS mass FROM q GROUP BY 1""")
+def star_hfr(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    top = p.groupBy("frame_id").agg(F.max(F.struct("v", (-F.col("y")).alias("my"), (-F.col("x")).alias("mx"))).alias("b"))
+    centres = top.select("frame_id", F.lit(1).alias("star"), (-F.col("b.my")).alias("y"), (-F.col("b.mx")).alias("x"))
+    return _round(stars.half_flux_radius(p, centres, stats.median_mad(p, FRAME), 3).drop("star"), "hfr", "mass")
+
+
+_TOP = """WITH st AS (SELECT l_suppkey AS frame_id, CAST(l_partkey AS DOUBLE) AS x, CAST(l_orderkey AS DOUBLE) AS y, l_extendedprice AS mass, l_quantity / 10 AS hfr,
+  CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_partkey, l_orderkey, l_quantity, l_linenumber, l_discount, l_tax) AS INTEGER) AS "rank" FROM lineitem),
+tk AS (SELECT * FROM st WHERE "rank" <= {0})
+"""
+
+
+@query(_TOP.format(10) + 'SELECT frame_id, "rank", x, y, mass, round(hfr, 6) AS hfr FROM tk')
+def brightest_topk(spark, sf_dir):
+    return _round(V.bright_stars(spark, sf_dir, 10).select("frame_id", "rank", "x", "y", "mass", "hfr"), "hfr")
+
+
+_TRI = """, pr AS (SELECT p.frame_id, p."rank" AS a, q."rank" AS b, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_, sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS ab FROM tk p JOIN tk q ON p.frame_id = q.frame_id AND p."rank" <> q."rank"),
+tr AS (SELECT * FROM (SELECT pr.frame_id, a, b, r."rank" AS c, ab, sqrt((ax - r.x) ** 2 + (ay - r.y) ** 2) AS ac, sqrt((bx - r.x) ** 2 + (by_ - r.y) ** 2) AS bc FROM pr JOIN tk r ON r.frame_id = pr.frame_id AND r."rank" <> a AND r."rank" <> b) WHERE ab < ac AND ac < bc)
+"""
+
+
+@query(_TOP.format(6) + _TRI + "SELECT frame_id, a, b, c, round(ab, 6) AS ab, round(ac, 6) AS ac, round(bc, 6) AS bc FROM tr")
+def triangles(spark, sf_dir):
+    return _round(align.triangles(V.bright_stars(spark, sf_dir, 6)), "ab", "ac", "bc")
+
+
+@query(_TOP.format(6) + _TRI + """, rf AS (SELECT * FROM tr WHERE frame_id = (SELECT min(frame_id) FROM tr)),
+m AS (SELECT t.frame_id, t.a, t.b, t.c, r.a AS ra, r.b AS rb, r.c AS rc, (t.ab - r.ab) ** 2 + (t.ac - r.ac) ** 2 + (t.bc - r.bc) ** 2 AS d2
+  FROM tr t JOIN rf r ON abs(floor(t.ab / 400) - floor(r.ab / 400)) <= 1 AND abs(floor(t.ac / 400) - floor(r.ac / 400)) <= 1 AND abs(floor(t.bc / 400) - floor(r.bc / 400)) <= 1)
+SELECT frame_id, a, b, c, ra, rb, rc, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, a, b, c ORDER BY d2, ra, rb, rc) AS r FROM m) WHERE r = 1""")
+def nn_triangle_match(spark, sf_dir):
+    t = align.triangles(V.bright_stars(spark, sf_dir, 6))
+    first = t.agg(F.min("frame_id").alias("frame_id"))
+    return _round(align.nearest_triangle(t, t.join(F.broadcast(first), "frame_id", "left_semi"), cell=400.0), "d2")  # first is one row
+
+
+@query(_TOP.format(20) + """, rf AS (SELECT * FROM tk WHERE frame_id = (SELECT min(frame_id) FROM tk)),
+m AS (SELECT t.frame_id, t."rank" AS star, r."rank" AS ref, (t.x - r.x) ** 2 + (t.y - r.y) ** 2 AS d2 FROM tk t JOIN rf r ON (t.x - r.x) ** 2 + (t.y - r.y) ** 2 < 250000)
+SELECT frame_id, star, ref, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, star ORDER BY d2, ref) AS r FROM m) WHERE r = 1""")
+def nn_star_match(spark, sf_dir):
+    s = V.bright_stars(spark, sf_dir, 20)
+    first = s.agg(F.min("frame_id").alias("frame_id"))
+    ref = s.join(F.broadcast(first), "frame_id", "left_semi").select(F.col("rank").alias("ref"), "x", "y")  # first is one row
+    return _round(align.nearest_star(s.select("frame_id", F.col("rank").alias("star"), "x", "y"), ref, 500.0, ("frame_id",)), "d2")
+
+
+@query("""WITH m AS (SELECT l_suppkey AS frame_id, l_quantity AS x, l_tax * 100 AS y, 2 * l_quantity + l_discount * 10 + 3 AS u, l_quantity * 0.5 - l_tax * 70 + l_linenumber AS v FROM lineitem),
+g AS (SELECT frame_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(x, x) AS sxx, covar_pop(y, y) AS syy, covar_pop(x, y) AS sxy, covar_pop(x, u) AS sxu, covar_pop(y, u) AS syu, covar_pop(x, v) AS sxv, covar_pop(y, v) AS syv FROM m GROUP BY 1),
+h AS (SELECT *, sxx * syy - sxy * sxy AS det FROM g),
+a AS (SELECT *, (sxu * syy - syu * sxy) / det AS a, (syu * sxx - sxu * sxy) / det AS b, (sxv * syy - syv * sxy) / det AS d, (syv * sxx - sxv * sxy) / det AS e FROM h)
+SELECT frame_id, round(a, 6) AS a, round(b, 6) AS b, round(mu - a * mx - b * my, 6) AS c, round(d, 6) AS d, round(e, 6) AS e, round(mv - d * mx - e * my, 6) AS f, n FROM a""")
+def affine_ols(spark, sf_dir):
+    m = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("frame_id"), F.col("l_quantity").alias("x"), (F.col("l_tax") * 100).alias("y"), (2 * F.col("l_quantity") + F.col("l_discount") * 10 + 3).alias("u"), (F.col("l_quantity") * 0.5 - F.col("l_tax") * 70 + F.col("l_linenumber")).alias("v"))
+    return _round(align.affine_least_squares(m).drop("rms"), *"abcdef")
+
+
+@query()
+def overlap_filter(spark, sf_dir):
+    return stars.overlap_filter(V.star_cat(spark, sf_dir).select("frame_id", "x", "y", "mass"), 400.0)
+
+
+@query()
+def star_detect(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    found = stars.detect(p, stats.median_mad(p, FRAME), 2, 1.5, 0.0)
+    return _round(found, "value", "x", "y", "mass", "hfr")
+
+
+@query(_TOP.format(50) + """, q AS (SELECT frame_id, "rank", least(greatest(x + hfr * 4 * dx, 0), 8191) AS px, least(greatest(y + hfr * 4 * dy, 0), 65535) AS py FROM tk,
+  (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,0),(0,1),(1,-1),(1,0),(1,1)) o(dy, dx))
+SELECT frame_id, CAST(floor(py / (65536.0 / 64)) AS INTEGER) AS cy, CAST(floor(px / (8192.0 / 8)) AS INTEGER) AS cx, count(DISTINCT "rank") AS n_stars FROM q GROUP BY 1, 2, 3""")
+def star_binning_cells(spark, sf_dir):
+    s = V.bright_stars(spark, sf_dir, 50)
+    sizes = s.select("frame_id").distinct().select("frame_id", F.lit(8192).alias("width"), F.lit(65536).alias("height"))
+    return stars.cell_binning(s, sizes, 1024)
+
+
+# ---- colour
+
+RGB = PX + """, ids AS (SELECT session, list_slice(list_sort(list(DISTINCT frame_id)), 1, 3) AS ids FROM px GROUP BY 1),
+cp AS (SELECT px.session, CAST(list_position(ids, frame_id) - 1 AS INTEGER) AS ch, y, x, v FROM px JOIN ids ON ids.session = px.session WHERE list_contains(ids, frame_id)),
+cs AS (SELECT session, min(v) AS lo, max(v) AS hi FROM cp GROUP BY 1),
+rgb AS (SELECT session, y, x, max(CASE WHEN ch = 0 THEN (v - lo) / (hi - lo) END) AS c0, max(CASE WHEN ch = 1 THEN (v - lo) / (hi - lo) END) AS c1, max(CASE WHEN ch = 2 THEN (v - lo) / (hi - lo) END) AS c2 FROM cp JOIN cs USING (session) GROUP BY 1, 2, 3)
+"""
+_COLOUR = "SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM "
+BY = ("session",)
+
+
+def _rgb(spark, sf_dir):
+    return color.rgb_combine(V.rgb_px(V.px(spark, sf_dir)))
+
+
+def _colour_out(df):
+    return _round(df.select("session", "y", "x", "c0", "c1", "c2"), "c0", "c1", "c2")
+
+
+@query(RGB + _COLOUR + "rgb")
+def rgb_combine(spark, sf_dir):
+    return _colour_out(_rgb(spark, sf_dir))
+
+
+_DARK = """, bm AS (SELECT session, y // 2 AS by_, x // 2 AS bx, avg(c0) AS m0, avg(c1) AS m1, avg(c2) AS m2 FROM rgb WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 GROUP BY 1, 2, 3),
+dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY (m0 + m1 + m2) / 3, by_, bx) AS r FROM bm) WHERE r = 1) """
+
+
+@query(RGB + _DARK + "SELECT session, CAST(by_ AS BIGINT) AS \"by\", CAST(bx AS BIGINT) AS bx, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2 FROM dk")
+def rgb_darkest_block(spark, sf_dir):
+    return _longs(_round(color.darkest_block(_rgb(spark, sf_dir), 2, 0.2, BY), "m0", "m1", "m2"), "by", "bx")
+
+
+@query(RGB + _DARK + """, hi AS (SELECT session, max(c0) AS s0, max(c1) AS s1, max(c2) AS s2 FROM rgb GROUP BY 1),
+j AS (SELECT rgb.session, y, x, c0, c1, c2, m0, m1, m2, s0, s1, s2, (m0 + m1 + m2) / 3 AS lm, (s0 + s1 + s2) / 3 AS hm FROM rgb JOIN dk USING (session) JOIN hi USING (session)),
+o AS (SELECT session, y, x, (hm - lm) / (s0 - m0) * c0 + lm - (hm - lm) / (s0 - m0) * m0 AS c0, (hm - lm) / (s1 - m1) * c1 + lm - (hm - lm) / (s1 - m1) * m1 AS c1, (hm - lm) / (s2 - m2) * c2 + lm - (hm - lm) / (s2 - m2) * m2 AS c2 FROM j)
+SELECT session, y, x, round(least(greatest(c0, 0), 1), 6) AS c0, round(least(greatest(c1, 0), 1), 6) AS c1, round(least(greatest(c2, 0), 1), 6) AS c2 FROM o""")
+def rgb_balance_affine(spark, sf_dir):
+    rgb = _rgb(spark, sf_dir)
+    top = rgb.groupBy("session").agg(*[F.max(c).alias(f"s{i}") for i, c in enumerate(color.CHANNELS)])
+    return _colour_out(color.balance(rgb, color.darkest_block(rgb, 2, 0.2, BY), top, by=BY))
+
+
+def _hsl(spark, sf_dir):
+    """The colour frame read as hue (scaled to degrees), saturation and lightness."""
+    return _rgb(spark, sf_dir).withColumn("c0", F.col("c0") * 360)
+
+
+_HSL = """, hs AS (SELECT session, y, x, c0 * 360 AS c0, c1, c2 FROM rgb),
+hm AS (SELECT session, median(c2) AS m FROM hs GROUP BY 1),
+hl AS (SELECT hs.session, any_value(m) AS m, 1.4826 * median(abs(c2 - m)) AS s FROM hs JOIN hm USING (session) GROUP BY 1),
+hj AS (SELECT hs.*, m, s FROM hs JOIN hl USING (session)) """
+
+
+def _hsl_ls(hsl):
+    return stats.median_mad(hsl.select("session", F.col("c2").alias("v")), ["session"])
+
+
+@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(CASE WHEN c2 < m + 0.25 * s THEN 0 WHEN c2 >= m + 1.0 * s THEN c1 ELSE c1 * (c2 - (m + 0.25 * s)) / ((m + 1.0 * s) - (m + 0.25 * s)) END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
+def hsl_neutralize(spark, sf_dir):
+    h = _hsl(spark, sf_dir)
+    return _colour_out(color.neutralize_background(h, 0.25, 1.0, _hsl_ls(h), BY))
+
+
+@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(CASE WHEN c2 >= m + 0.75 * s THEN CASE WHEN c1 > 0 THEN c1 ** (1 / 1.75) ELSE 0 END ELSE c1 END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
+def hsl_sat_gamma(spark, sf_dir):
+    h = _hsl(spark, sf_dir)
+    return _colour_out(color.saturation_gamma(h, 1.75, 0.75, _hsl_ls(h), BY))
+
+
+@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(CASE WHEN c0 > 295 OR c0 < 40 THEN least(greatest(c1 * 1.4, 0), 1) ELSE c1 END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
+def hsl_selective_sat(spark, sf_dir):
+    return _colour_out(color.selective_saturation(_hsl(spark, sf_dir), 295, 40, 1.4))
+
+
+@query(RGB + _HSL + "SELECT session, y, x, round(CASE WHEN c0 > 100 AND c0 < 190 AND c2 >= m + 0.5 * s THEN c0 - 30 ELSE c0 END, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM hj")
+def hsl_rotate_hue(spark, sf_dir):
+    h = _hsl(spark, sf_dir)
+    return _colour_out(color.rotate_hue(h, 100, 190, -30, 0.5, _hsl_ls(h), BY))
+
+
+@query(RGB + _COLOUR.replace("round(c2, 6)", "round(c2 * 0.9 + 0.05, 6)") + "rgb")
+def hsl_scale_offset_channel(spark, sf_dir):
+    return _colour_out(color.scale_offset_channel(_rgb(spark, sf_dir), 2, 0.9, 0.05))
+
+
+@query(RGB + ", lu AS (SELECT px.session, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS l FROM px JOIN (SELECT session, max(frame_id) AS frame_id FROM px GROUP BY 1) USING (session, frame_id) WINDOW w AS (PARTITION BY px.session)) SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN l > 0.0088564516790356308 THEN 1.16 * cbrt(l) - 0.16 ELSE l * 903.2962962962963 / 100 END, 6) AS c2 FROM rgb JOIN lu USING (session, y, x)")
+def hsl_apply_lum(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    last = p.groupBy("session").agg(F.max("frame_id").alias("frame_id"))
+    lum = p.join(last, ["session", "frame_id"]).select("session", "y", "x", "v")
+    return _colour_out(color.apply_luminance(_rgb(spark, sf_dir), lum, ("session", "y", "x")))
+
+
+@query(RGB + _COLOUR.replace("round(c2, 6)", "round(CASE WHEN c2 > 0 THEN c2 ** (1 / 1.6) ELSE 0 END, 6)") + "rgb")
+def hsl_gamma(spark, sf_dir):
+    return _colour_out(color.on_lightness(_rgb(spark, sf_dir), pixelmath.gamma, 1.6))
+
+
+@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN u > 1 THEN 1 WHEN u <= 0 THEN 0 ELSE (0.3 - 1) * u / ((2 * 0.3 - 1) * u - 0.3) END, 6) AS c2 FROM (SELECT *, greatest((c2 - (m - 2 * s)) / (1 - (m - 2 * s)), 0) AS u FROM hj)")
+def hsl_midtones(spark, sf_dir):
+    h = _hsl(spark, sf_dir)
+    return _colour_out(color.on_lightness(h, pixelmath.midtones, 0.3, 2.0, _hsl_ls(h), ["session"]))
+
+
+@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN c2 > m + s AND c2 < 1 THEN m + s + ((c2 - (m + s)) / (1 - (m + s))) ** (1 / 1.5) * (1 - (m + s)) ELSE c2 END, 6) AS c2 FROM hj")
+def hsl_gamma_pp(spark, sf_dir):
+    h = _hsl(spark, sf_dir)
+    return _colour_out(color.on_lightness(h, pixelmath.gamma_pp, 1.5, 1.0, _hsl_ls(h), ["session"]))
+
+
+_L02 = 1.16 * 0.2 ** (1 / 3) - 0.16
+
+
+@query(RGB + _HSL + f"SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN m > {_L02!r} THEN greatest((c2 - b) / (1 - b), 0) ELSE c2 END, 6) AS c2 FROM (SELECT *, ({_L02!r} - m) / ({_L02!r} - 1) AS b FROM hj)")
+def hsl_scale_black(spark, sf_dir):
+    h = _hsl(spark, sf_dir)
+    return _colour_out(color.hsl_scale_black(h, 0.2, _hsl_ls(h), ["session"]))
+
+
+@query()
+def rgb_to_hsluv(spark, sf_dir):
+    return _colour_out(color.rgb_to_hsluv(_rgb(spark, sf_dir)))
+
+
+@query(RGB + _COLOUR + "rgb")
+def hsluv_round_trip(spark, sf_dir):
+    return _colour_out(color.hsluv_to_rgb(color.rgb_to_hsluv(_rgb(spark, sf_dir))))
+
+
+@query()
+def hsl_scnr(spark, sf_dir):
+    return _colour_out(color.scnr(color.rgb_to_hsluv(_rgb(spark, sf_dir)), 0.5))
+
+
+@query()
+def hsl_stretch(spark, sf_dir):
+    return _colour_out(color.on_lightness(_hsl(spark, sf_dir), pixelmath.stretch, 0.3, 0.2, ["session"]))
+
+
+# ---- event signal
+
+
+@query("""WITH e AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS h, value FROM events),
+k AS (SELECT list_sort(list(DISTINCT event_type)) AS kinds FROM e),
+s AS (SELECT event_type, h - (SELECT min(h) FROM e) AS x, avg(value) AS v FROM e GROUP BY 1, 2),
+r AS (SELECT CAST(list_position((SELECT kinds FROM k), event_type) - 1 AS INTEGER) AS y, x, v FROM s),
+m AS (SELECT y, median(v) AS m FROM r GROUP BY 1)
+SELECT y, round(any_value(m), 6) AS location, round(1.4826 * median(abs(v - m)), 6) AS scale FROM r JOIN m USING (y) GROUP BY 1""")
+def signal_location_scale(spark, sf_dir):
+    return _round(stats.median_mad(V.signal(spark, sf_dir), ["y"]), "location", "scale")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -170,7 +170,7 @@ def align(stars: DataFrame, sizes: DataFrame, ref_stars: DataFrame, ref_width: i
     rows = ref_stars.select("x", "y", "mass").toPandas()  # one frame's catalogue
     ref, ref_mass = rows[["x", "y"]].to_numpy(float), rows["mass"].to_numpy(float)
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         columns = ["frame_id", *"abcdef", "residual"]
         if ref_id is not None and int(key[0]) == ref_id:
             return pd.DataFrame([(key[0], 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], columns=columns)

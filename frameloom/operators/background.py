@@ -73,7 +73,7 @@ def finished(grid_cells: DataFrame, clip: int = 0, by: tuple[str, ...] = ("frame
     schema = ", ".join(f"{c} {grid_cells.schema[c].dataType.simpleString()}" for c in by) + ", ny int, nx int, cy int, cx int, v double"
     side = _cell_weight()
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         ny, nx = int(part["ny"].iloc[0]), int(part["nx"].iloc[0])
         a = np.full((ny, nx), np.nan)
         a[part["cy"].to_numpy(), part["cx"].to_numpy()] = part["v"].to_numpy(float)

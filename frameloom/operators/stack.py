@@ -119,9 +119,12 @@ def stack(pixels: DataFrame, mode: StackMode | int = StackMode.AUTO, by: tuple[s
     return gathered.withColumn("r", clip(vs, ws)).select(*by, "r.*")
 
 
-def stack_batches(pixels: DataFrame, batches: int, by: tuple[str, ...] = ("ch", "y", "x"), mode: StackMode | int = StackMode.MEAN, seed: int = 0, sigma_low: float = 2.75, sigma_high: float = 2.75) -> DataFrame:
-    """Two-level stack: each batch of frames by itself, then the mean of the batches, weighted by their frames."""
-    dealt = pixels.withColumn("batch", F.pmod(F.xxhash64("frame_id", F.lit(seed)), F.lit(batches)))
+def stack_batches(pixels: DataFrame, batches: int, by: tuple[str, ...] = ("ch", "y", "x"), mode: StackMode | int = StackMode.MEAN, seed: int = 0, sigma_low: float = 2.75, sigma_high: float = 2.75, batch: Column | None = None) -> DataFrame:
+    """Two-level stack: each batch of frames by itself, then the mean of the batches, weighted by their frames.
+
+    Frames are dealt into batches by a seeded hash, or by `batch`.
+    """
+    dealt = pixels.withColumn("batch", F.pmod(F.xxhash64("frame_id", F.lit(seed)), F.lit(batches)) if batch is None else batch)
     sizes = dealt.groupBy(*by, "batch").agg(F.count("v").alias("frames"))
     each = stack(dealt, mode, (*by, "batch"), sigma_low, sigma_high).join(sizes, [*by, "batch"])
     return each.groupBy(*by).agg((F.sum(F.col("v") * F.col("frames")) / F.sum(F.when(F.col("v").isNotNull(), F.col("frames")))).alias("v"), F.sum("n_low").cast("int").alias("n_low"), F.sum("n_high").cast("int").alias("n_high"))

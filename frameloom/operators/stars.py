@@ -131,7 +131,7 @@ def detect(pixels: DataFrame, location_scale: DataFrame, radius: int = 16, sigma
     """
     one = pixels.where(F.col("ch") == ch).select(F.col("frame_id").cast("int"), "y", "x", F.col("v").cast("double")).join(location_scale.select(F.col("frame_id").cast("int"), "location", "scale"), "frame_id")
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         image = np.full((int(part["y"].max()) + 1, int(part["x"].max()) + 1), np.nan)
         image[part["y"].to_numpy(), part["x"].to_numpy()] = part["v"].to_numpy(float)
         found = _detect(image, float(part["location"].iloc[0]), float(part["scale"].iloc[0]), radius, sigma, in_out, bad_sigma)

@@ -106,7 +106,7 @@ def sigma_clipped_median_mad(pixels: DataFrame, by: list[str], sigma: float = 2.
 def half_sample_mode(pixels: DataFrame, by: list[str]) -> DataFrame:
     """Mode by repeatedly keeping the half of the sorted values with the least range (Bickel 2002)."""
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         v = np.sort(part["v"].dropna().to_numpy(float))
         while len(v) > 2:
             k = (len(v) + 1) // 2
@@ -127,7 +127,7 @@ def location_scale(pixels: DataFrame, by: list[str], how: Estimator | int = Esti
     if how == Estimator.HISTOGRAM:
         return histogram_location_scale(pixels, by)
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         v = part["v"].to_numpy(float)
         location, scale = robust.ikss(v) if how == Estimator.IKSS else robust.clipped_median_qn(v, seed)
         return pd.DataFrame([(*key, location, scale)], columns=[*by, "location", "scale"])

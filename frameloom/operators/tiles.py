@@ -37,7 +37,7 @@ def tiled(pixels: DataFrame, kernel: Kernel, halo: int, by: tuple[str, ...] = ("
     )
     columns = pixels.columns
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         h, w = int(part["__h"].iloc[0]), int(part["__w"].iloc[0])
         ty, tx = int(key[-2]), int(key[-1])
         y0, x0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
