@@ -11,11 +11,13 @@ Plan, for one row per document:
    8-bit form of the sketch (kept in the shared folder; no text is kept);
 2. equal sets collapse to the smallest doc_id, by aggregation;
 3. round 1 compares each representative with one hub, the least representative of the
-   bucket it shares most bands with; later rounds look only at buckets whose members are
-   still in different components.  Those buckets are compared in blocks, by sketch, inside
-   tasks; only the best pairs of two components leave a task, eight times as many each
-   round, until a round has nothing left to hold back;
-4. every link is confirmed on full shingle sets; components come from the links.
+   bucket it shares most bands with;
+4. buckets whose members are still in different components are compared by sketch, in
+   blocks, inside tasks (a pair that shares several buckets in the first of them only).  Round 2
+   verifies the best two pairs of each component (Boruvka's scheme), which joins most of a
+   group; round 3 verifies every candidate pair that is left, block by block, each block
+   getting a set once and skipping pairs that it has already joined;
+5. every link is confirmed on full shingle sets; components come from the links.
 
 Nothing emits all pairs of a bucket, and no bucket, hub or component is gathered in one
 task: hubs are salted by their number of partners, buckets are dealt in blocks.
@@ -55,9 +57,9 @@ class Similarity:
 
     @property
     def least_agreement(self) -> int:
-        """Sketch coordinates that a pair at the threshold agrees on, less six standard deviations."""
+        """Sketch coordinates that a pair at the threshold agrees on, less five standard deviations."""
         p = self.num / self.den
-        return int(self.size * p - 6 * math.sqrt(self.size * p * (1 - p)))
+        return int(self.size * p - 5 * math.sqrt(self.size * p * (1 - p)))
 
 
 def sketch(elements: np.ndarray, per: np.ndarray, t: int) -> np.ndarray:
@@ -93,7 +95,7 @@ def _digests(elements: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), d1, d2 (set digest), bands (keys), sk (8 bits a coordinate)."""
+    """doc_id, n (set size), d1, d2 (set digest), bands (keys), sk (8 bits a coordinate, then 32 bits a band)."""
     t, rows, bands, k = how.size, how.rows, how.bands, how.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +109,15 @@ def signatures(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_co
                 for r in range(rows):
                     keys = K.mix(keys * _U(0x9E3779B97F4A7C15) + s.reshape(-1, bands, rows)[:, :, r])
                 keys += np.arange(bands, dtype=np.uint64) * _U(0xD1B54A32D192ED03)
-                small = (s & _U(0xFF)).astype(np.uint8)
+                keys = K.mix(keys)
+                small = np.concatenate([(s & _U(0xFF)).astype(np.uint8), (keys & _U(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(hi - lo, -1)], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[lo:hi].cast(pa.int64()),
                         pa.array(per, pa.int64()),
                         pa.array(d1),
                         pa.array(d2),
-                        pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), K.mix(keys).astype(np.int64).reshape(-1)),
+                        pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), keys.astype(np.int64).reshape(-1)),
                         pa.array([x.tobytes() for x in small], pa.binary()),
                     ],
                     names=["doc_id", "n", "d1", "d2", "bands", "sk"],
@@ -171,67 +174,142 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, block: int = 6
     return full.select("a", "salt", "role", "node", "elements").mapInArrow(run, "u long, v long")
 
 
-def _bucket_pairs(rows: DataFrame, how: Similarity, most: int) -> DataFrame:
-    """Candidate pairs across components from bucket blocks.
+def _candidates(group: list[tuple], how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (p, q) of the pairs of a block that may be similar, and their agreement; best first.
 
-    rows: part (block key), side (0, 1; 2 for a block against itself), node, component, n, sk.  Gives
-    a, b and held (pairs of these two components that were held back in this block).
+    Rows are (band, side, node, component, n, sk).  Pairs within a component, of sizes too far apart, of too
+    little agreement, or that share an earlier band (and are looked at there) are left out.
     """
-    least, num, den = how.least_agreement, how.num, how.den
-
-    def emit(group: list[tuple]):
-        side = np.array([g[0] for g in group])
-        node = np.array([g[1] for g in group], np.int64)
-        comp = np.array([g[2] for g in group], np.int64)
-        size = np.array([g[3] for g in group], np.int64)
-        sk = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), -1)
-        left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
-        found = []
-        for i in left:
-            js = right[(comp[right] != comp[i]) & (den * np.minimum(size[right], size[i]) >= num * np.maximum(size[right], size[i]))]
-            js = js[js > i] if side[i] == 2 else js
-            if len(js):
-                same = (sk[js] == sk[i]).sum(axis=1)
-                for j, m in zip(js[same >= least], same[same >= least]):
-                    found.append((min(comp[i], comp[j]), max(comp[i], comp[j]), -int(m), min(node[i], node[j]), max(node[i], node[j])))
-        found.sort()
-        last, taken, out = None, 0, []
-        held = {}
-        for ca, cb, _, a, b in found:
-            taken = taken + 1 if (ca, cb) == last else 1
-            last = (ca, cb)
-            if taken <= most:
-                out.append((a, b, ca, cb))
-            else:
-                held[last] = held.get(last, 0) + 1
-        return [(int(a), int(b), held.get((ca, cb), 0)) for a, b, ca, cb in out]
-
-    def run(batches):
-        key, group = None, []
-        for batch in batches:
-            out = []
-            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if part != key:
-                    out += emit(group) if group else []
-                    key, group = part, []
-                group.append(tuple(row))
-            yield _pairs_batch(out)
-        yield _pairs_batch(emit(group) if group else [])
-
-    return rows.repartition("part").sortWithinPartitions("part").select("part", "side", "node", "component", "n", "sk").mapInArrow(run, "a long, b long, held long")
-
-
-def _pairs_batch(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["a", "b", "held"])
-
+    least, num, den, t = how.least_agreement, how.num, how.den, how.size
+    band, side = group[0][0], np.array([g[1] for g in group])
+    node = np.array([g[2] for g in group], np.int64)
+    comp = np.array([g[3] for g in group], np.int64)
+    size = np.array([g[4] for g in group], np.int64)
+    raw = np.frombuffer(b"".join(g[5] for g in group), np.uint8).reshape(len(group), -1)
+    sk, keys = raw[:, :t], np.ascontiguousarray(raw[:, t:]).view("<u4")
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    firsts, seconds, agrees = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in left:
+        js = right[right > i] if side[i] == 2 else right
+        js = js[(comp[js] != comp[i]) & (den * np.minimum(size[js], size[i]) >= num * np.maximum(size[js], size[i]))]
+        if band and len(js):
+            js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]
+        if len(js):
+            same = (sk[js] == sk[i]).sum(axis=1)
+            js, same = js[same >= least], same[same >= least]
+            firsts.append(np.full(len(js), i))
+            seconds.append(js)
+            agrees.append(same)
+    p, q, agree = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(agrees)
+    order = np.lexsort((node[q], node[p], -agree))
+    return p[order], q[order], agree[order]
+
+
+def _by_part(batches, emit, empty):
+    """Run emit on the rows of each part; rows come sorted by part, their first column."""
+    key, group = None, []
+    for batch in batches:
+        out = []
+        for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if part != key:
+                out += emit(key, group) if group else []
+                key, group = part, []
+            group.append(tuple(row))
+        yield empty(out)
+    yield empty(emit(key, group) if group else [])
+
+
+def _batch(rows: list[tuple], names: str, *types: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names.split())
+
+
+_BLOCK_COLUMNS = ("part", "band", "side", "node", "component", "n", "sk")
+
+
+def _best_pairs(rows: DataFrame, how: Similarity, most: int) -> DataFrame:
+    """(a, b): pairs that are among the `most` best candidates of either component in a block (Boruvka's scheme)."""
+
+    def emit(_, group):
+        p, q, _ = _candidates(group, how)
+        comp = np.unique([g[3] for g in group], return_inverse=True)[1].tolist()
+        taken, out = [0] * (max(comp) + 1), []
+        for i, j in zip(p.tolist(), q.tolist()):
+            a, b = comp[i], comp[j]
+            if taken[a] < most or taken[b] < most:
+                taken[a] += 1
+                taken[b] += 1
+                out.append((min(group[i][2], group[j][2]), max(group[i][2], group[j][2])))
+        return out
+
+    run = lambda batches: _by_part(batches, emit, lambda out: _batch(out, "a b", pa.int64(), pa.int64()))
+    return rows.repartition("part").sortWithinPartitions("part").select(*_BLOCK_COLUMNS).mapInArrow(run, "a long, b long").distinct()
+
+
+def _all_candidates(rows: DataFrame, how: Similarity) -> DataFrame:
+    """(part, node, component, partners): every candidate pair of a block, as a list at one of its nodes; one row a node involved."""
+
+    def emit(part, group):
+        p, q, _ = _candidates(group, how)
+        partners: dict[int, list[int]] = {}
+        component: dict[int, int] = {}
+        for i, j in zip(p.tolist(), q.tolist()):
+            a, b = group[i], group[j]
+            partners.setdefault(a[2], []).append(b[2])
+            component[a[2]], component[b[2]] = a[3], b[3]
+        return [(part, n, c, partners.get(n, [])) for n, c in component.items()]
+
+    run = lambda batches: _by_part(batches, emit, lambda out: _batch(out, "part node component partners", pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))
+    return rows.repartition("part").sortWithinPartitions("part").select(*_BLOCK_COLUMNS).mapInArrow(run, "part string, node long, component long, partners array<long>")
+
+
+def _verified_in_blocks(cand: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
+    """Links (u, v) that join components, from all candidates of each block.
+
+    A block gets each set once, however many pairs it is in.  Pairs whose components the block
+    has already joined need no check.
+    """
+    num, den = how.num, how.den
 
-def _blocks(active: DataFrame, block: int = 2048) -> DataFrame:
-    """Deal each bucket's rows (key, node, component, n, sk, members) into blocks and pairs of blocks."""
+    def emit(_, group):
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        elements = {g[0]: np.frombuffer(g[3], np.uint64) for g in group}
+        component = {g[0]: g[1] for g in group}
+        out = []
+        for node, mine, partners, _ in group:
+            s = elements[node]
+            for other in partners:
+                a, b = find(mine), find(component[other])
+                if a == b:
+                    continue
+                o = elements[other]
+                both = np.concatenate([s, o])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                if den * same >= num * (len(s) + len(o) - same):
+                    root[a] = b
+                    out.append((node, other))
+        return out
+
+    run = lambda batches: _by_part(batches, emit, lambda out: _batch(out, "u v", pa.int64(), pa.int64()))
+    full = cand.join(sets, "node").repartition("part").sortWithinPartitions("part").select("part", "node", "component", "partners", "elements")
+    return full.mapInArrow(run, "u long, v long")
+
+
+def _blocks(active: DataFrame, block: int = 1024) -> DataFrame:
+    """Deal each bucket's rows (key, band, node, component, n, sk, members) into blocks and pairs of blocks."""
     dealt = active.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     return other.select(
         F.concat_ws(":", "key", low, high).alias("part"),
+        "band",
         F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
         "node", "component", "n", "sk",
     )
@@ -252,9 +330,9 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str
     sig = stored(signatures(named, how), "signatures")
     some = sig.where("n > 0 and doc_id is not null")
     reps = stored(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sk").alias("sk")), "representatives")
-    keyed = reps.select("node", "n", F.explode("bands").alias("key"))
+    keyed = reps.select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1")
-    member = stored(keyed.join(buckets, "key").select("key", "node", "n", "hub", "members"), "buckets")
+    member = stored(keyed.join(buckets, "key").select("key", "band", "node", "n", "hub", "members"), "buckets")
 
     cand = named.join(member.select("node").distinct(), F.col("doc_id") == F.col("node")).dropDuplicates(["node"])
     sets = stored(_shingle_sets(cand, how.k), "shingles")
@@ -264,22 +342,23 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str
     links = stored(_verified(best.select((-F.col("best.col2")).alias("a"), F.col("node").alias("b")), sets, how), "verified")
     parts = connected_components(links)
 
-    most = 4
-    while True:
+    def mixed_blocks() -> DataFrame:
+        """Blocks of the buckets whose members are still in different components."""
         now = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        active = now.join(mixed, "key").join(reps.select("node", "sk"), "node")
-        pairs = stored(_bucket_pairs(_blocks(active), how, most).groupBy("a", "b").agg(F.max("held").alias("held")), "pairs")
-        held = pairs.agg(F.count("*"), F.sum("held")).first()
-        if held[0]:
-            more = stored(links.unionByName(_verified(pairs, sets, how)), "verified")
-            dropped(links)
-            links = more
-            parts = connected_components(links)
-        dropped(pairs)
-        if not held[1]:
-            break
-        most *= 8
+        return _blocks(now.join(mixed, "key").join(reps.select("node", "sk"), "node"))
+
+    def joined(more: DataFrame) -> DataFrame:
+        out = stored(links.unionByName(more), "verified")
+        dropped(links)
+        return out
+
+    # what joins most of a group: the best pairs of each component
+    links = joined(_verified(stored(_best_pairs(mixed_blocks(), how, 2), "pairs"), sets, how))
+    parts = connected_components(links)
+    # the rest, in full
+    links = joined(_verified_in_blocks(stored(_all_candidates(mixed_blocks(), how), "candidates"), sets, how))
+    parts = connected_components(links)
     dropped(sets)
     dropped(member)
 
