@@ -135,7 +135,8 @@ def _choose(found: np.ndarray, per: np.ndarray, y: np.ndarray, most: int) -> np.
     expected = have * pos / max(n, 1)
     other = have - expected
     chi = (hit - expected) ** 2 / np.maximum(expected, 1e-9) + (hit - expected) ** 2 / np.maximum(other, 1e-9)
-    chi[(have < 5) | (have > n - 5)] = 0
+    least = 3 if n < 4000 else 5
+    chi[(have < least) | (have > n - least)] = 0
     return np.sort(keys[np.argsort(-chi, kind="stable")[:most]])
 
 
@@ -171,7 +172,21 @@ def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray
                 pool.discard(int(free[i]))
     z = np.stack([log_odds(x[hold], w) for x, w in zip(views, weights)], 1).astype(np.float64).clip(-15, 15)
     blend = fit_logistic(z, y[hold].astype(np.float64), decay=1e-4, steps=600)
+    for v in range(2):  # a view that is no better than chance takes no part
+        if blend[v] < 0:
+            one = fit_logistic(z[:, [1 - v]], y[hold].astype(np.float64), decay=1e-4, steps=600)
+            blend = np.zeros(3)
+            blend[1 - v], blend[2] = one
+            break
     score = 1 / (1 + np.exp(-log_odds(z, blend)))
+    # calibration done, the views learn from the held rows as well
+    chosen = _choose(found[np.repeat(labelled, per)], per[rows], y[rows], most)
+    views = (present(found, per, chosen), page)
+    weights = []
+    for x, k in zip(views, known):
+        k = k | dict(zip(hold.tolist(), y[hold].tolist()))
+        at = np.fromiter(k, np.int64)
+        weights.append(fit_logistic(x[at], np.array([k[i] for i in at.tolist()], np.float32)))
     return {"chosen": chosen, "text": weights[0], "mean": mean, "spread": spread, "page": weights[1], "blend": blend, "held_accuracy": float(((score >= 0.5) == (y[hold] >= 0.5)).mean()), "held_rows": len(hold)}
 
 
