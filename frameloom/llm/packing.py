@@ -110,30 +110,28 @@ def improved(lengths: list[int], bins: list[list[int]], limit: int, tries: int =
     and the search ends; it also ends for a bin after `tries` steps that did not empty it.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    open_ = sorted((b for b in range(len(bins)) if fill[b] < limit), key=lambda b: (fill[b], b))
-    done: set[int] = set()
-    for giver in open_:
-        if giver in done or not bins[giver]:
-            continue
-        others = [b for b in open_ if b != giver and bins[b] and fill[b] < limit and fill[b] >= fill[giver]]
-        for _ in range(tries):
-            if not bins[giver]:
-                break
-            step = _step(lengths, bins, fill, giver, others, limit)
-            if step is None:
-                break
-            taker, out, back = step
-            bins[giver].remove(out)
-            bins[taker].append(out)
-            for x in back:
-                bins[taker].remove(x)
-                bins[giver].append(x)
-            change = lengths[out] - sum(lengths[x] for x in back)
-            fill[giver] -= change
-            fill[taker] += change
-            if fill[taker] == limit:
-                others.remove(taker)
-        done.add(giver)
+    again = True
+    while again:  # a bin that couldn't give may be able to once others have changed
+        again = False
+        open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: (fill[b], b))
+        for giver in open_:
+            others = [b for b in open_ if b != giver and fill[giver] <= fill[b] < limit]
+            for _ in range(tries):
+                step = _step(lengths, bins, fill, giver, others, limit) if bins[giver] else None
+                if step is None:
+                    break
+                again = True
+                taker, out, back = step
+                bins[giver].remove(out)
+                bins[taker].append(out)
+                for x in back:
+                    bins[taker].remove(x)
+                    bins[giver].append(x)
+                change = lengths[out] - sum(lengths[x] for x in back)
+                fill[giver] -= change
+                fill[taker] += change
+                if fill[taker] == limit:
+                    others.remove(taker)
     return [b for b in bins if b]
 
 
