@@ -47,7 +47,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int]:
     for i, c in enumerate(pattern):
         eq[c] = eq.get(c, 0) | (1 << i)
     pv, mv, score = mask, 0, m
-    best, at = most + 1, -1
+    best, at = (m, 0) if m <= most else (most + 1, -1)
     for j, c in enumerate(text):
         x = eq.get(c, 0)
         d0 = ((((x & pv) + pv) ^ pv) | x | mv) & mask
