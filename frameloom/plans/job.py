@@ -29,6 +29,7 @@ from ..operators import stars as S
 from ..operators import stats as X
 from ..operators import stencil as N
 from ..sources import fits, jpeg, tiff
+from ..tables import dropped, stored
 
 log = logging.getLogger("frameloom")
 FRAME = ["frame_id"]
@@ -49,6 +50,18 @@ class PipelineState:
     histogram_reference: DataFrame | None = None  # one row: ref_location, ref_scale
     align_reference: tuple[int, DataFrame, int, int] | None = None  # frame id, its stars, width, height
     luminance: DataFrame | None = None
+    pending: bool = False  # pixels are the plan of a step that isn't a mere projection
+    table: DataFrame | None = None  # the pixels' last table within this sequence
+
+    def settled(self) -> "PipelineState":
+        """Pixels (and frames and stars) as tables, if a step is pending; what comes next may read them many times."""
+        if not self.pending:
+            return self
+        keep = lambda df, name: df if df is None or hasattr(df, "_stored_at") else stored(df, name)
+        new = dataclasses.replace(self, pixels=keep(self.pixels, "pixels"), frames=keep(self.frames, "frames"), stars=keep(self.stars, "stars"), luminance=keep(self.luminance, "luminance"), pending=False)
+        if new.pixels is not self.table:
+            dropped(self.table)  # nothing lazy is left that reads it
+        return dataclasses.replace(new, table=new.pixels)
 
     def plane_stats(self, by: list[str] | None = None, where=None) -> DataFrame:
         """by, location, scale by the job's estimator."""
@@ -88,6 +101,8 @@ def register(kind: str):
 
 class Op:
     kind: ClassVar[str] = ""
+    #: Projections chain freely; other steps read the pixels more than once and get them as a table.
+    projection: ClassVar[bool] = False
 
     def is_noop(self) -> bool:
         return False
@@ -96,7 +111,13 @@ class Op:
         raise NotImplementedError
 
     def run(self, s: PipelineState) -> PipelineState:
-        return s if self.is_noop() else self.apply(s)
+        if self.is_noop():
+            return s
+        if self.projection:
+            return self.apply(s)
+        out = self.apply(s.settled())
+        changed = out.pixels is not s.pixels or out.stars is not s.stars
+        return dataclasses.replace(out, pending=True) if changed and not isinstance(self, (Sequence, StackBatches)) else out
 
     def to_json(self) -> dict[str, Any]:
         out: dict[str, Any] = {"type": self.kind}
@@ -147,12 +168,15 @@ def _added(s: PipelineState, patterns: list[str], first: int) -> PipelineState:
 
 @register("seq")
 class Sequence(Op):
+    projection: ClassVar[bool] = True
     steps: list = field(default_factory=list)
 
     def apply(self, s):
+        outer = s.table
+        s = dataclasses.replace(s, table=None)  # tables of the caller aren't ours to drop
         for step in self.steps:
             s = step.run(s)
-        return s
+        return dataclasses.replace(s, table=s.table if s.table is not None else outer)
 
 
 @register("load")
@@ -282,6 +306,7 @@ class DebandVert(DebandHoriz):
 
 @register("scaleOffset")
 class ScaleOffset(Op):
+    projection: ClassVar[bool] = True
     scale: float = 1.0
     offset: float = 0.0
 
@@ -364,11 +389,11 @@ class SelectRef(Op):
             chosen, at, ref_id = s, F.col("frame_id") == row.frame_id, row.frame_id
         if self.target == 1:
             ls = chosen.plane_stats(FRAME, at).select(F.col("location").alias("ref_location"), F.col("scale").alias("ref_scale"))
-            return dataclasses.replace(s, histogram_reference=ls)
+            return dataclasses.replace(s, histogram_reference=s.spark.createDataFrame(ls.collect(), ls.schema))  # one row
         if chosen.stars is None:
             raise ValueError("selectRef: alignment needs starDetect before it")
         size = chosen.sizes().where(at).first()
-        return dataclasses.replace(s, align_reference=(ref_id, chosen.stars.where(at), size.width, size.height))
+        return dataclasses.replace(s, align_reference=(ref_id, stored(chosen.stars.where(at), "reference_stars"), size.width, size.height))
 
 
 @register("filter")
@@ -462,6 +487,7 @@ class Stack(Op):
 
 @register("stackBatches")
 class StackBatches(Op):
+    projection: ClassVar[bool] = True
     perBatch: Any = None
 
     def apply(self, s):
@@ -501,6 +527,7 @@ class Midtones(Op):
 
 @register("gamma")
 class Gamma(Op):
+    projection: ClassVar[bool] = True
     gamma: float = 1.0
 
     def apply(self, s):
@@ -598,12 +625,14 @@ class RGBBalance(Op):
 
 @register("rgbToHSLuv")
 class RGBToHSLuv(Op):
+    projection: ClassVar[bool] = True
     def apply(self, s):
         return _on_colour(s, C.rgb_to_hsluv)
 
 
 @register("hsluvToRGB")
 class HSLuvToRGB(Op):
+    projection: ClassVar[bool] = True
     def apply(self, s):
         return _on_colour(s, C.hsluv_to_rgb)
 
@@ -616,6 +645,7 @@ class HSLApplyLum(Op):
 
 @register("hslScaleOffsetChannel")
 class HSLScaleOffsetChannel(Op):
+    projection: ClassVar[bool] = True
     channelID: int = 2
     scale: float = 1.0
     offset: float = 0.0
@@ -656,6 +686,7 @@ class HSLSaturationGamma(Op):
 
 @register("hslSelectiveSaturation")
 class HSLSelectiveSaturation(Op):
+    projection: ClassVar[bool] = True
     from_: float = 295.0
     to: float = 40.0
     factor: float = 1.0
@@ -684,6 +715,7 @@ class HSLRotateHue(Op):
 
 @register("hslSCNR")
 class HSLSCNR(Op):
+    projection: ClassVar[bool] = True
     factor: float = 0.0
 
     def is_noop(self):
@@ -714,6 +746,7 @@ class HSLMidtones(Midtones):
 
 @register("hslGamma")
 class HSLGamma(Gamma):
+    projection: ClassVar[bool] = True
     def apply(self, s):
         return _on_lightness(s, P.gamma, self.gamma)
 
