@@ -6,10 +6,11 @@ import math
 import warnings
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tiles import shifted, tiled
+from .tiles import TILE, shifted, tiled
 
 #: Offset (x, y) of the red sample in the four colour filter arrays.
 CFA = {"RGGB": (0, 0), "GRBG": (1, 0), "GBRG": (0, 1), "BGGR": (1, 1)}
@@ -230,38 +231,57 @@ def unsharp_mask(pixels: DataFrame, limits: DataFrame, sigma: float = 1.5, gain:
     return pixels.join(soft, [*by, "y", "x"]).join(limits.select(*by, "location", "scale", "min", "max"), by).withColumn("v", new).select(*pixels.columns)
 
 
-def project(pixels: DataFrame, transforms: DataFrame, fill: Column | None = None, by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
+def project(pixels: DataFrame, transforms: DataFrame, fill: Column | None = None, by: tuple[str, ...] = ("frame_id", "ch"), tile: int = TILE) -> DataFrame:
     """Warp each frame by its affine transform (frame -> reference) with bilinear interpolation.
 
     transforms: frame_id, a..f (x' = a x + b y + c, y' = d x + e y + f), and width, height of the result.
-    Each result pixel takes four source samples; it is filled where one of them is outside.  A singular transform gives no rows.
+    Each sample goes to the result tiles that it can touch (mostly one), so pixels are shuffled once;
+    a tile without samples gets a row of its own and is filled.  A result pixel takes four source samples; it is
+    filled where one of them is outside and NULL where one is missing.  A singular transform gives no rows.
     """
     by = list(by)
-    det = F.col("a") * F.col("e") - F.col("b") * F.col("d")
-    inverse = transforms.where(F.abs(det) >= 1e-8).select(
-        "frame_id", "width", "height",
-        (F.col("e") / det).alias("ia"), (-F.col("b") / det).alias("ib"), ((F.col("b") * F.col("f") - F.col("c") * F.col("e")) / det).alias("ic"),
-        (-F.col("d") / det).alias("id"), (F.col("a") / det).alias("ie"), ((F.col("c") * F.col("d") - F.col("a") * F.col("f")) / det).alias("if"),
-    )
-    channels = pixels.select(*by).distinct()
-    sizes = pixels.groupBy(*by).agg((F.max("x") + 1).alias("sw"), (F.max("y") + 1).alias("sh"))
-    grid = (
-        inverse.join(channels, "frame_id").join(sizes, by)
-        .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-        .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-        .withColumn("__sx", F.col("ia") * F.col("x") + F.col("ib") * F.col("y") + F.col("ic"))
-        .withColumn("__sy", F.col("id") * F.col("x") + F.col("ie") * F.col("y") + F.col("if"))
-        .withColumn("__x", F.floor("__sx").cast("int")).withColumn("__y", F.floor("__sy").cast("int"))
-        .withColumn("__ok", (F.col("__x") >= 0) & (F.col("__x") + 1 < F.col("sw")) & (F.col("__y") >= 0) & (F.col("__y") + 1 < F.col("sh")))
-    )
-    fx, fy = F.col("__sx") - F.col("__x"), F.col("__sy") - F.col("__y")
-    corners = F.array(*[F.struct((F.col("__y") + dy).alias("qy"), (F.col("__x") + dx).alias("qx"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w")) for dy in (0, 1) for dx in (0, 1)])
-    asks = grid.where("__ok").select(*by, "y", "x", F.explode(corners).alias("q")).select(*by, "y", "x", "q.*")
-    # one join for all four corners, then a sum: no four-way join
-    source = pixels.select(*by, F.col("y").alias("qy"), F.col("x").alias("qx"), F.col("v").alias("__v"))
-    found = asks.join(source, [*by, "qy", "qx"]).groupBy(*by, "y", "x").agg(F.sum(F.col("w") * F.col("__v")).alias("v"), F.count("__v").alias("n"))
+    t = transforms.where(F.abs(F.col("a") * F.col("e") - F.col("b") * F.col("d")) >= 1e-8).select("frame_id", "width", "height", *[F.col(k).cast("double").alias(f"__{k}") for k in "abcdef"])
+    sizes = pixels.groupBy(*by).agg((F.max("x") + 1).alias("__sw"), (F.max("y") + 1).alias("__sh")).join(t, "frame_id")
+    last = lambda n: F.floor((F.col(n) - 1) / tile)
+    span = lambda v, r, n: F.sequence(F.greatest(F.floor((v - r) / tile), F.lit(0)), F.least(F.floor((v + r) / tile), last(n)))
+    at_x = F.col("__a") * F.col("x") + F.col("__b") * F.col("y") + F.col("__c")
+    at_y = F.col("__d") * F.col("x") + F.col("__e") * F.col("y") + F.col("__f")
+    reach_x, reach_y = F.abs("__a") + F.abs("__b"), F.abs("__d") + F.abs("__e")
+    touches = (at_x + reach_x >= 0) & (at_y + reach_y >= 0) & (at_x - reach_x < F.col("width")) & (at_y - reach_y < F.col("height"))
+    samples = pixels.select(*by, "y", "x", F.col("v").cast("double").alias("v")).join(sizes, by).where(touches).withColumn("__tx", F.explode(span(at_x, reach_x, "width"))).withColumn("__ty", F.explode(span(at_y, reach_y, "height")))
+    every = sizes.withColumn("__tx", F.explode(F.sequence(F.lit(0).cast("long"), last("width")))).withColumn("__ty", F.explode(F.sequence(F.lit(0).cast("long"), last("height"))))
+    every = every.select(*by, F.lit(None).cast("int").alias("y"), F.lit(None).cast("int").alias("x"), F.lit(None).cast("double").alias("v"), *[c for c in samples.columns if c not in (*by, "y", "x", "v")])
+    schema = ", ".join(f"`{c}` {pixels.schema[c].dataType.simpleString()}" for c in by) + ", y int, x int, v double, inside boolean"
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        one = part.iloc[0]
+        a, b, c, d, e, f = (float(one[f"__{k}"]) for k in "abcdef")
+        tx, ty = int(key[-2]) * tile, int(key[-1]) * tile
+        y, x = (g.ravel() for g in np.mgrid[ty : min(int(one["height"]), ty + tile), tx : min(int(one["width"]), tx + tile)])
+        det = a * e - b * d
+        sx, sy = (e * (x - c) - b * (y - f)) / det, (a * (y - f) - d * (x - c)) / det
+        ix, iy = np.floor(sx + 1e-12).astype(np.int64), np.floor(sy + 1e-12).astype(np.int64)
+        inside = (ix >= 0) & (ix + 1 < int(one["__sw"])) & (iy >= 0) & (iy + 1 < int(one["__sh"]))
+        v = np.full(len(x), np.nan)
+        have = part[part["x"].notna()]
+        if len(have):
+            hy, hx = have["y"].to_numpy(np.int64), have["x"].to_numpy(np.int64)
+            y0, x0 = hy.min(), hx.min()
+            block = np.full((hy.max() - y0 + 2, hx.max() - x0 + 2), np.nan)
+            block[hy - y0, hx - x0] = have["v"].to_numpy(float)
+            py, px = np.clip(iy - y0, 0, block.shape[0] - 2), np.clip(ix - x0, 0, block.shape[1] - 2)
+            fy, fx = sy - iy, sx - ix
+            v = (1 - fy) * ((1 - fx) * block[py, px] + fx * block[py, px + 1]) + fy * ((1 - fx) * block[py + 1, px] + fx * block[py + 1, px + 1])
+        v = np.where(inside, v, np.nan)
+        out = pd.DataFrame({"y": y.astype(np.int32), "x": x.astype(np.int32), "v": pd.array(np.nan_to_num(v), dtype="Float64"), "inside": inside})
+        out.loc[np.isnan(v), "v"] = pd.NA
+        for name, k in zip(by, key):
+            out[name] = k
+        return out[[*by, "y", "x", "v", "inside"]]
+
+    warped = samples.unionByName(every).groupBy(*by, "__tx", "__ty").applyInPandas(run, schema)
     fill = F.lit(None).cast("double") if fill is None else fill
-    return grid.select(*by, "y", "x", "__ok").join(found, [*by, "y", "x"], "left").select(*by, "y", "x", F.when(F.col("__ok"), F.when(F.col("n") == 4, F.col("v"))).otherwise(fill).alias("v"))
+    return warped.select(*by, "y", "x", F.when(F.col("inside"), F.col("v")).otherwise(fill).alias("v"))
 
 
 def star_mask(stars: DataFrame, sizes: DataFrame, factor: float = 1.0) -> DataFrame:

@@ -125,6 +125,22 @@ def test_project_identity_and_shift(spark):
     assert stencil.project(frame(spark, a), t(1, 1, 0, 1, 1, 0)).count() == 0
 
 
+def test_project_tiles_agree_with_brute_force(spark):
+    a = np.random.default_rng(8).random((23, 31))
+    t = (0.97, 0.11, 2.3, -0.1, 1.02, -1.7)
+    row = spark.createDataFrame([(0, *t, 35, 20)], "frame_id int, a double, b double, c double, d double, e double, f double, width int, height int")
+    back = align.invert(t)
+    want = np.full((20, 35), np.nan)
+    for y, x in np.ndindex(want.shape):
+        sx, sy = back[0] * x + back[1] * y + back[2], back[3] * x + back[4] * y + back[5]
+        ix, iy = int(np.floor(sx)), int(np.floor(sy))
+        if 0 <= ix < 30 and 0 <= iy < 22:
+            fx, fy = sx - ix, sy - iy
+            want[y, x] = (1 - fy) * ((1 - fx) * a[iy, ix] + fx * a[iy, ix + 1]) + fy * ((1 - fx) * a[iy + 1, ix] + fx * a[iy + 1, ix + 1])
+    for tile in (256, 7):
+        np.testing.assert_allclose(image(stencil.project(frame(spark, a), row, tile=tile)), want, atol=1e-9)
+
+
 def stacked(spark, mode, frames, **kwargs):
     df = frame(spark, frames[0], 0)
     for i, f in enumerate(frames[1:], 1):
