@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-FIT_ROWS, POOL_ROWS, FEATURES, ROUNDS, EXCHANGED = 12_000, 4_000, 512, 3, 300
+FIT_ROWS, POOL_ROWS, FEATURES, ROUNDS, EXCHANGED = 8_000, 3_000, 512, 3, 300
+#: Bytes of text that features are made of at once; some twenty arrays of that many numbers are alive then.
+PIECE = 1 << 20
 _U = np.uint64
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
@@ -41,13 +43,13 @@ _META_BUCKETS = 64
 def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, distinct word features, how many of each row, metadata matrix) of pieces of a batch."""
     buf, offsets = K.utf8(texts)
-    for lo, hi, b, o in K.chunks(buf, offsets):
+    for lo, hi, b, o in K.chunks(buf, offsets, PIECE):
         n = hi - lo
         words, ws, we, wc = K.word_hashes(b, o, inside=_LETTERS)
         tokens, ts, te, tc = K.word_hashes(b, o, lower=False)
         owner = np.repeat(np.arange(n), tc)
-        upper, digit, mark = (np.concatenate([[0], np.cumsum(t[b])]) for t in (_UPPER, _DIGIT, _MARK))
-        letters = np.concatenate([[0], np.cumsum(_LETTERS[b])])
+        upper, digit, mark = (_running(t[b]) for t in (_UPPER, _DIGIT, _MARK))
+        letters = _running(_LETTERS[b])
         size, marks = te - ts, mark[te] - mark[ts]
         caps = (upper[te] - upper[ts] >= 3) & (upper[te] - upper[ts] == letters[te] - letters[ts])
         marked = (marks >= 2) & (size > marks)
@@ -56,7 +58,6 @@ def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[
         again[1:] = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
         # words, and for tokens how they look: all capitals, said twice, the marks at their end
         shape = K.mix(np.where(caps, _U(11), np.where(again, _U(12), np.where(alone, _U(13) + tokens % _U(1 << 20), np.where(marked, _U(14), _U(15))))))
-        word_owner = np.repeat(np.arange(n), wc)
         all_, per = [], np.zeros(n, np.int64)
         wend, tend = np.cumsum(wc), np.cumsum(tc)
         distinct = np.zeros(n)
@@ -66,7 +67,6 @@ def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[
             s = np.unique(shape[tend[i] - tc[i] : tend[i]])
             all_ += [w, s]
             per[i] = len(w) + len(s)
-        del word_owner
         length = np.maximum(np.diff(o), 1).astype(float)
         lines = np.diff(np.concatenate([[0], np.cumsum(b == 10)])[o]) + 1.0
         t = np.maximum(tc, 1).astype(float)
@@ -82,6 +82,12 @@ def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[
         yield lo, hi, np.concatenate(all_) if all_ else np.zeros(0, np.uint64), per, meta
 
 
+def _running(flags: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, out=out[1:], dtype=np.int32)
+    return out
+
+
 def _bucket(name: str) -> int:
     import zlib
 
@@ -225,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     K.short_batches(spark)
     pool = plain.where(F.pmod(F.xxhash64(F.lit("pool"), "__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool_rows / max(1, n_docs)))).withColumn("wanted", F.lit(False))
     rows = pool if hit is None else plain.join(hit, "__id").withColumn("wanted", F.lit(True)).unionByName(pool)
-    table = rows.select("__id", "__text", "__source", "__lang", "wanted").mapInArrow(run, schema).toPandas()
+    table = rows.select("__id", "__text", "__source", "__lang", "wanted").mapInArrow(run, schema).toPandas()  # at most about fit_rows + pool_rows rows
     table = table.sort_values(["wanted", "id"], ascending=[False, True], kind="stable").drop_duplicates("id")
     if not len(table):
         return {"quality": {}, "toxic": {}}
@@ -250,36 +256,34 @@ def hash_of(i: int) -> int:
     return (int(i) * 0x9E3779B97F4A7C15 + 0x1234567) * 0xBF58476D1CE4E5B9 >> 20 & 0xFFFFFFFF
 
 
-def scored(docs: DataFrame, model: dict, threshold: float = 0.5, toxic_threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", keep_columns: bool = False) -> DataFrame:
-    """doc_id, text_score, page_score, quality_score, toxic_score, kept of every row (with keep_columns also all its columns).
+def _judged(model: dict, texts: pa.Array, sources: list[str], langs: list[str], threshold: float, toxic_threshold: float) -> dict[str, np.ndarray]:
+    parts = []
+    for lo, hi, found, per, meta in features(texts, sources, langs):
+        n = hi - lo
+        text, page, good = view_scores(model["quality"], found, per, meta) if model["quality"] else (np.ones(n),) * 3
+        bad = view_scores(model["toxic"], found, per, meta)[2] if model["toxic"] else np.zeros(n)
+        good = np.where(meta[:, 0] <= 0, 0.0, good)
+        parts.append((text, page, good, bad, (good >= threshold) & (bad < toxic_threshold)))
+    columns = zip(*parts) if parts else [[np.zeros(0)]] * 5
+    return {name: np.concatenate(list(c)) for name, c in zip(("text_score", "page_score", "quality_score", "toxic_score", "kept"), columns)}
+
+
+def scored(docs: DataFrame, model: dict, threshold: float = 0.5, toxic_threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """doc_id, text_score, page_score, quality_score, toxic_score, kept of every row.
 
     A null or empty text has quality_score 0 and is not kept; a target without a model scores 1 (quality) or
     0 (toxic).  A null source or language is a value of its own.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    own = docs.columns if keep_columns else []
-    inner = docs.select(F.col(id_col).cast("long").alias("__id"), *_columns(docs, text_col, source_col, lang_col), *[F.col(c) for c in own])
-    kept_schema = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in own)
-    doubles = "text_score double, page_score double, quality_score double, toxic_score double"
-    prefix = "__" if keep_columns else ""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            for lo, hi, found, per, meta in features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                n = hi - lo
-                empty = meta[:, 0] <= 0
-                text, page, good = view_scores(m["quality"], found, per, meta) if m["quality"] else (np.ones(n),) * 3
-                bad = view_scores(m["toxic"], found, per, meta)[2] if m["toxic"] else np.zeros(n)
-                good = np.where(empty, 0.0, good)
-                keep = (good >= threshold) & (bad < toxic_threshold)
-                new = [pa.array(x) for x in (text, page, good, bad)] + [pa.array(keep)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *[batch.column(4 + i)[lo:hi] for i in range(len(own))], *new], names=[f"{prefix}doc_id", *own, *[f"{prefix}{c}" for c in ("text_score", "page_score", "quality_score", "toxic_score", "kept")]])
+            got = _judged(shared.value, batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold, toxic_threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype(bool) if k == "kept" else c) for k, c in got.items()]], names=["doc_id", *got])
 
-    K.short_batches(spark)
-    named = ", ".join(f"{prefix}{c}" for c in doubles.split(", "))
-    return inner.mapInArrow(run, f"{prefix}doc_id long{kept_schema}, {named}, {prefix}kept boolean")
+    K.short_batches(docs.sparkSession)
+    inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_columns(docs, text_col, source_col, lang_col))
+    return inner.mapInArrow(run, "doc_id long, text_score double, page_score double, quality_score double, toxic_score double, kept boolean")
 
 
 def quality(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
@@ -287,7 +291,14 @@ def quality(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
     return scored(docs, train(docs, labels, **names), **names)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
-    """The rows of docs, all columns, that the classifier keeps."""
-    out = scored(docs, train(docs, labels, **names), keep_columns=True, **names)
-    return out.where("__kept").select(*docs.columns)
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, toxic_threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, that the classifier keeps.  Only the decision comes back from Python."""
+    model = train(docs, labels, id_col=id_col, text_col=text_col, source_col=source_col, lang_col=lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def keep(text: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
+        return pa.array(_judged(shared.value, text, source.to_pylist(), lang.to_pylist(), threshold, toxic_threshold)["kept"].astype(bool))
+
+    K.short_batches(docs.sparkSession)
+    return docs.where(keep(*_columns(docs, text_col, source_col, lang_col))).select(*docs.columns)

@@ -63,11 +63,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) pieces of about CHUNK_BYTES, whole documents each."""
+def chunks(buf: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) pieces of about `size` bytes, whole documents each."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
         hi = min(max(hi, lo + 1), n)
         yield lo, hi, buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
@@ -118,7 +118,6 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
         for j in range(k):
             acc *= a
             acc[: n - j if j < n else 0] += words[j:]
-    full = np.repeat(counts >= k, per)
     at = np.repeat(begins, per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per))
     out = acc[at] if len(at) else np.zeros(0, np.uint64)
     for i in np.flatnonzero((counts > 0) & (counts < k)):
@@ -126,7 +125,6 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nd
         for w in words[begins[i] : ends[i]]:
             h = (h * 0xD6E8FEB86659FD93 + int(w)) & 0xFFFFFFFFFFFFFFFF
         out[int(per[:i].sum())] = h
-    del full
     return mix(out), per
 
 
