@@ -1,7 +1,9 @@
 """Substring deduplication by content-defined chunking.
 
-A gear rolling hash over the last 16 bytes decides where chunks end, so a boundary depends
-only on the text just before it and an insertion disturbs only the chunk it falls in.  Small
+A gear rolling hash over the last 16 bytes decides where chunks end: at its minimum among the
+places up to REACH bytes away.  A boundary depends only on the text around it, so an insertion
+disturbs only the chunk it falls in, and no long stretch of varied text is without one.  Where a
+repetitive stretch has none, its equal minima are boundaries, LEAST_BYTES or more apart.  Small
 chunks keep what a passage loses at its ends small, but a few common words are no evidence:
 so from each boundary on, as many chunks as make LEAST_BYTES are taken as one window, and
 windows are matched by digest.  Overlapping repeated windows form passages.
@@ -24,12 +26,22 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .shared import stored
 
-AVERAGE, LONGEST, LEAST_BYTES, LEAST_RUN = 22, 512, 48, 100
+REACH, LONGEST, LEAST_BYTES, LEAST_RUN = 11, 512, 48, 100
 _U = np.uint64
 _GEAR = np.random.Generator(np.random.PCG64(73)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def boundaries(buf: np.ndarray, offsets: np.ndarray, average: int = AVERAGE, longest: int = LONGEST) -> np.ndarray:
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of h[i], ..., h[i + width - 1], as far as there are so many."""
+    out, have = h.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def boundaries(buf: np.ndarray, offsets: np.ndarray, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES) -> np.ndarray:
     """Ends of all chunks, ascending.  A document's end is one; none falls inside a UTF-8 character."""
     n = len(buf)
     if not n:
@@ -37,26 +49,37 @@ def boundaries(buf: np.ndarray, offsets: np.ndarray, average: int = AVERAGE, lon
     h = _GEAR[buf]
     for width in (1, 2, 4, 8):  # h[i] = sum of gear[b[i - j]] << j over the last 16 bytes
         h[width:] = h[width:] + (h[:-width] << np.uint32(width))
-    # high bits have seen all 16 bytes, so the first 15 bytes of a document are judged with zeros before them
-    cut = (h >> np.uint32(8)) % np.uint32(average) == 0
+    ahead = _least(h, reach)
+    before, after = np.full(n, 0xFFFFFFFF, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
+    before[reach:] = ahead[: n - reach]
+    after[:-1] = ahead[1:]
     starts = np.ones(n + 1, bool)
     starts[:-1] = (buf & 0xC0) != 0x80
-    ends = np.flatnonzero(cut & starts[1:]) + 1
+    equal = (h <= before) & (h <= after) & starts[1:]
+    ends = np.flatnonzero(equal & (h < before)) + 1
     ends = np.unique(np.concatenate([ends, offsets[1:][offsets[1:] > offsets[:-1]]]))
     sizes = np.diff(ends, prepend=0)
-    if (sizes > longest).any():
+    wide = np.flatnonzero(sizes > 2 * least_bytes)
+    if len(wide):
+        minima = np.flatnonzero(equal) + 1
         extra = []
-        for k in np.flatnonzero(sizes > longest):
-            a, b = int(ends[k] - sizes[k]), int(ends[k])
-            for c in range(a + longest, b, longest):
+        for k in wide:
+            at, end = int(ends[k] - sizes[k]), int(ends[k])
+            mine = minima[np.searchsorted(minima, at, "right") : np.searchsorted(minima, end)]
+            while end - at > 2 * least_bytes:
+                i = int(np.searchsorted(mine, at + least_bytes))
+                c = int(mine[i]) if i < len(mine) and mine[i] <= at + longest else at + longest
+                if c >= end:
+                    break
                 while not starts[c]:
                     c -= 1
                 extra.append(c)
+                at = c
         ends = np.unique(np.concatenate([ends, np.array(extra, np.int64)]))
     return ends
 
 
-def window_rows(docs: DataFrame, average: int = AVERAGE, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def window_rows(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """digest, doc_id, start, end (code points, end exclusive) of every window of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,14 +87,14 @@ def window_rows(docs: DataFrame, average: int = AVERAGE, longest: int = LONGEST,
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             buf, offsets = K.utf8(batch.column(1))
             for lo, hi, b, o in K.chunks(buf, offsets):
-                ends = np.union1d(boundaries_by_document(b, o, average, longest), o[1:][o[1:] > o[:-1]])
+                ends = np.union1d(boundaries_by_document(b, o, reach, longest), o[1:][o[1:] > o[:-1]])
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
                 owner = np.searchsorted(o, starts, "right") - 1
                 # each window ends at the first chunk end that gives it least_bytes; the last ones of a document are dropped
-                reach = np.searchsorted(ends, starts + least_bytes)
-                reach = np.minimum(reach, len(ends) - 1)
-                keep = (ends[reach] - starts >= least_bytes) & (ends[reach] <= o[1:][owner]) if len(ends) else np.zeros(0, bool)
-                starts, owner, ends = starts[keep], owner[keep], ends[reach][keep] if len(ends) else ends
+                upto = np.searchsorted(ends, starts + least_bytes)
+                upto = np.minimum(upto, len(ends) - 1)
+                keep = (ends[upto] - starts >= least_bytes) & (ends[upto] <= o[1:][owner]) if len(ends) else np.zeros(0, bool)
+                starts, owner, ends = starts[keep], owner[keep], ends[upto][keep] if len(ends) else ends
                 points = np.zeros(len(b) + 1, np.int64)
                 np.cumsum((b & 0xC0) != 0x80, out=points[1:])
                 total = np.zeros(len(b) + 1, np.uint64)
@@ -88,9 +111,9 @@ def window_rows(docs: DataFrame, average: int = AVERAGE, longest: int = LONGEST,
     return named.mapInArrow(run, "digest long, doc_id long, start int, end int")
 
 
-def boundaries_by_document(buf: np.ndarray, offsets: np.ndarray, average: int, longest: int) -> np.ndarray:
+def boundaries_by_document(buf: np.ndarray, offsets: np.ndarray, reach: int, longest: int) -> np.ndarray:
     """boundaries() with the rolling hash started afresh in each document, so equal documents have equal chunks."""
-    gap = 16
+    gap = 16 + reach
     n = len(offsets) - 1
     if not len(buf):
         return np.zeros(0, np.int64)
@@ -99,13 +122,13 @@ def boundaries_by_document(buf: np.ndarray, offsets: np.ndarray, average: int, l
     at = np.arange(len(buf)) + (owner + 1) * gap
     wide = np.zeros(len(buf) + (n + 1) * gap, np.uint8)
     wide[at] = buf
-    ends = boundaries(wide, np.stack([offsets[:-1] + (np.arange(n) + 1) * gap, offsets[1:] + (np.arange(n) + 1) * gap], 1).reshape(-1), average, longest)
+    ends = boundaries(wide, np.stack([offsets[:-1] + (np.arange(n) + 1) * gap, offsets[1:] + (np.arange(n) + 1) * gap], 1).reshape(-1), reach, longest)
     place = np.zeros(len(wide) + 1, bool)
     place[ends] = True
     return np.flatnonzero(place[at + 1]) + 1
 
 
-def repeated_passages(docs: DataFrame, average: int = AVERAGE, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_windows, first_doc_id): passages that also occur in another document.
 
     A passage is a run of overlapping or adjoining windows whose digests occur in two or more documents,
@@ -115,7 +138,7 @@ def repeated_passages(docs: DataFrame, average: int = AVERAGE, longest: int = LO
     with one doc_id count as one document: what only they share is no repetition.  Other input
     columns are ignored; an empty table gives an empty result.
     """
-    rows = window_rows(docs, average, longest, least_bytes, id_col, text_col)
+    rows = window_rows(docs, reach, longest, least_bytes, id_col, text_col)
     many = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
     marked = stored(rows.join(stored(many, "digests"), "digest").select("doc_id", "start", "end", "first_doc_id"), "marked")
     by = Window.partitionBy("doc_id").orderBy("start", "end")
@@ -129,9 +152,9 @@ def repeated_passages(docs: DataFrame, average: int = AVERAGE, longest: int = LO
     )
 
 
-def without_repeats(docs: DataFrame, average: int = AVERAGE, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every repeated passage cut out of text_col but in the document that holds its first copy."""
-    found = repeated_passages(docs, average, longest, least_bytes, least_run, id_col, text_col).where("doc_id != first_doc_id")
+    found = repeated_passages(docs, reach, longest, least_bytes, least_run, id_col, text_col).where("doc_id != first_doc_id")
     cuts = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__id")
     text = F.col(text_col)
     rest = F.aggregate(

@@ -137,10 +137,10 @@ def test_chunks_resist_insertions():
     r = np.random.default_rng(0)
     a = r.integers(97, 123, 4000).astype(np.uint8)
     b = np.concatenate([a[:1000], np.frombuffer(b"inserted", np.uint8), a[1000:]])
-    one = lambda x: set(np.split(x, k)[i].tobytes() for k in [substring.boundaries_by_document(x, np.array([0, len(x)]), 22, 512)] for i in range(len(k)))
+    one = lambda x: set(np.split(x, k)[i].tobytes() for k in [substring.boundaries_by_document(x, np.array([0, len(x)]), 11, 512)] for i in range(len(k)))
     x, y = one(a), one(b)
     assert len(x & y) >= len(x) - 4
-    ends = substring.boundaries_by_document(np.full(5000, 97, np.uint8), np.array([0, 5000]), 22, 512)
+    ends = substring.boundaries_by_document(np.full(5000, 97, np.uint8), np.array([0, 5000]), 11, 512)
     assert np.diff(np.concatenate([[0], ends])).max() <= 512 and ends[-1] == 5000
 
 
