@@ -354,10 +354,14 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str
         return out
 
     # what joins most of a group: the best pairs of each component
-    links = joined(_verified(stored(_best_pairs(mixed_blocks(), how, 2), "pairs"), sets, how))
+    pairs = stored(_best_pairs(mixed_blocks(), how, 2), "pairs")
+    links = joined(_verified(pairs, sets, how))
+    dropped(pairs)
     parts = connected_components(links)
     # the rest, in full
-    links = joined(_verified_in_blocks(stored(_all_candidates(mixed_blocks(), how), "candidates"), sets, how))
+    left = stored(_all_candidates(mixed_blocks(), how), "candidates")
+    links = joined(_verified_in_blocks(left, sets, how))
+    dropped(left)
     parts = connected_components(links)
     dropped(sets)
     dropped(member)
