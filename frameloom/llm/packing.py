@@ -12,7 +12,7 @@ what a block wastes does not add up.
 from __future__ import annotations
 
 import bisect
-import itertools
+import gc
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -29,34 +29,46 @@ from .shared import dropped, stored
 
 LIMIT = 2048
 BLOCK = 8192
-_MEMO_MOST = 800_000
-_memo: dict[str, dict[str, bytes]] = {}
+_MEMO_MOST, _HOT_MOST = 800_000, 1 << 16
+_memo: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 def encoded(texts: list[str | None], path: str) -> list[bytes]:
     """Little-endian uint32 ids of whole texts as the tokenizers library gives them, without added special tokens.
 
-    Pieces are encoded by the library once and looked up after that (the memo is emptied when it is full).
-    Texts with rare characters or with a special token's string go to the library whole.
+    Pieces are encoded by the library once and looked up after that: the first, and so most frequent,
+    ones in a memo small enough for a processor's cache, others in a large one that is
+    emptied when it is full.  Texts with rare characters or with a special token's string go to the library whole.
     """
     tok = P.tokenizer(path)
-    memo = _memo.setdefault(path, {})
+    hot, cold = _memo.setdefault(path, ({}, {}))
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    split: list[list[str] | None] = [P.byte_pieces(t) if t and not P.uncommon(t) and not any(s in t for s in special) else None for t in texts]
-    new: set[str] = set()
-    for pieces in split:
-        if pieces:
-            new.update(itertools.filterfalse(memo.__contains__, pieces))
-    if len(memo) + len(new) > _MEMO_MOST:
-        memo.clear()
-        new = {p for pieces in split if pieces for p in pieces}
-    order = list(new)
+    rows: list[list[bytes | None] | bytes] = []
+    waiting: dict[str, list[tuple[list, int]]] = {}
+    get, also = hot.get, cold.get
+    for text in texts:
+        if not text:
+            rows.append(b"")
+        elif P.uncommon(text) or any(s in text for s in special):
+            rows.append(array("I", tok.encode(text, add_special_tokens=False).ids).tobytes())
+        else:
+            pieces = P.byte_pieces(text)
+            ids = list(map(get, pieces))
+            if None in ids:
+                for i in [i for i, x in enumerate(ids) if x is None]:
+                    x = ids[i] = also(pieces[i])
+                    if x is None:
+                        waiting.setdefault(pieces[i], []).append((ids, i))
+            rows.append(ids)
+    if len(cold) + len(waiting) > _MEMO_MOST:
+        cold.clear()
+    order = list(waiting)
     for piece, e in zip(order, tok.encode_batch_fast(order, add_special_tokens=False)):
-        memo[piece] = array("I", e.ids).tobytes()
-    return [
-        b"".join(map(memo.__getitem__, pieces)) if pieces is not None else array("I", tok.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
-        for text, pieces in zip(texts, split)
-    ]
+        x = array("I", e.ids).tobytes()
+        (hot if len(hot) < _HOT_MOST else cold)[piece] = x
+        for ids, i in waiting[piece]:
+            ids[i] = x
+    return [r if isinstance(r, bytes) else b"".join(r) for r in rows]
 
 
 def pieces_of(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,6 +76,7 @@ def pieces_of(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 0, i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # lists of pieces hold no cycles, and there are very many
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), path)):
@@ -107,11 +120,13 @@ def improved(lengths: list[int], bins: list[list[int]], limit: int, tries: int =
     The emptiest bin gives: it tries to move a piece into another bin, or to exchange one of
     its pieces for a shorter piece, or for two pieces that are shorter together, of a fuller
     bin.  Each step makes the fuller bin fuller still, so the sum of squared fills rises
-    and the search ends; it also ends for a bin after `tries` steps that did not empty it.
+    and the search ends; it also ends for a bin after `tries` steps that did not empty it, and
+    as a whole once there are as few bins as all lengths need.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
+    least, used = -(-sum(lengths) // limit), sum(1 for b in bins if b)
     again = True
-    while again:  # a bin that couldn't give may be able to once others have changed
+    while again and used > least:  # a bin that couldn't give may be able to once others have changed
         again = False
         open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: (fill[b], b))
         for giver in open_:
@@ -132,6 +147,7 @@ def improved(lengths: list[int], bins: list[list[int]], limit: int, tries: int =
                 fill[taker] += change
                 if fill[taker] == limit:
                     others.remove(taker)
+                used -= not bins[giver]
     return [b for b in bins if b]
 
 
