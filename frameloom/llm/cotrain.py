@@ -27,6 +27,8 @@ from . import textkit as K
 FIT_ROWS, POOL_ROWS, FEATURES, ROUNDS, EXCHANGED = 8_000, 3_000, 512, 3, 300
 #: Bytes of text that features are made of at once; some twenty arrays of that many numbers are alive then.
 PIECE = 1 << 20
+#: Word features are hashed to so many bits: counting them needs no sort.
+FEATURE_BITS = 20
 _U = np.uint64
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
@@ -58,6 +60,7 @@ def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[
         again[1:] = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
         # words, and for tokens how they look: all capitals, said twice, the marks at their end
         shape = K.mix(np.where(caps, _U(11), np.where(again, _U(12), np.where(alone, _U(13) + tokens % _U(1 << 20), np.where(marked, _U(14), _U(15))))))
+        words, shape = _feature(words), _feature(shape)
         all_, per = [], np.zeros(n, np.int64)
         wend, tend = np.cumsum(wc), np.cumsum(tc)
         distinct = np.zeros(n)
@@ -79,7 +82,11 @@ def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[
         for i in range(n):
             meta[i, 2 * len(LAYOUT) + _bucket(sources[lo + i])] = 1
             meta[i, 2 * len(LAYOUT) + _META_BUCKETS + _bucket(langs[lo + i])] = 1
-        yield lo, hi, np.concatenate(all_) if all_ else np.zeros(0, np.uint64), per, meta
+        yield lo, hi, np.concatenate(all_) if all_ else np.zeros(0, np.uint32), per, meta
+
+
+def _feature(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(64 - FEATURE_BITS)).astype(np.uint32)
 
 
 def _running(flags: np.ndarray) -> np.ndarray:
@@ -133,17 +140,16 @@ def log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _choose(found: np.ndarray, per: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """Features that tell the classes apart best, by the chi-square statistic, sorted."""
-    keys, which = np.unique(found, return_inverse=True)
-    owner = np.repeat(np.arange(len(per)), per)
-    n, pos = len(y), float(y.sum())
-    have = np.bincount(which, minlength=len(keys)).astype(float)
-    hit = np.bincount(which, weights=y[owner], minlength=len(keys))
+    n, pos, size = len(y), float(y.sum()), 1 << FEATURE_BITS
+    have = np.bincount(found, minlength=size).astype(float)
+    hit = np.bincount(found[np.repeat(y > 0, per)], minlength=size).astype(float)
     expected = have * pos / max(n, 1)
     other = have - expected
     chi = (hit - expected) ** 2 / np.maximum(expected, 1e-9) + (hit - expected) ** 2 / np.maximum(other, 1e-9)
     least = 3 if n < 4000 else 5
     chi[(have < least) | (have > n - least)] = 0
-    return np.sort(keys[np.argsort(-chi, kind="stable")[:most]])
+    best = np.argsort(-chi, kind="stable")[:most]
+    return np.sort(best[chi[best] > 0]).astype(np.uint32)
 
 
 def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, rounds: int = ROUNDS, exchanged: int = EXCHANGED, most: int = FEATURES) -> dict:
@@ -235,8 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     table = table.sort_values(["wanted", "id"], ascending=[False, True], kind="stable").drop_duplicates("id")
     if not len(table):
         return {"quality": {}, "toxic": {}}
-    per = np.array([len(x) // 8 for x in table["found"]], np.int64)
-    found = np.frombuffer(b"".join(table["found"]), np.uint64)
+    per = np.array([len(x) // 4 for x in table["found"]], np.int64)
+    found = np.frombuffer(b"".join(table["found"]), np.uint32)
     meta = np.stack([np.frombuffer(x, np.float32) for x in table["meta"]])
     by = picked.set_index("__id")
     order = np.argsort([hash_of(i) for i in table["id"]], kind="stable")  # so that the calibration third is a random one
