@@ -10,7 +10,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from frameloom.llm import cotrain, decontaminate, minhash, packing, secretscan
 from frameloom.llm.shared import shared_dir
@@ -23,8 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least doc_id, of each group of near copies (five words, similarity 0.8)."""
-    gone = minhash.near_duplicates(docs, minhash.Similarity(k=5, num=80, den=100)).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.without_near_duplicates(docs, minhash.Similarity(k=5, num=80, den=100))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

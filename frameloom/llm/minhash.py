@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .components import connected_components
-from .shared import dropped, stored
+from .shared import dropped, maybe_among, stored
 
 _U = np.uint64
 
@@ -334,8 +334,11 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str
     buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("hub")).where("members > 1")
     member = stored(keyed.join(buckets, "key").select("key", "band", "node", "n", "hub", "members"), "buckets")
 
-    cand = named.join(member.select("node").distinct(), F.col("doc_id") == F.col("node")).dropDuplicates(["node"])
+    nodes = stored(member.select("node").distinct(), "nodes")
+    near = maybe_among(named, "doc_id", nodes, "node", "maybe").where("maybe").drop("maybe")  # most texts stay where they are
+    cand = near.join(nodes, F.col("doc_id") == F.col("node")).dropDuplicates(["node"])
     sets = stored(_shingle_sets(cand, how.k), "shingles")
+    dropped(nodes)
 
     shared = member.where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("same"))
     best = shared.groupBy("node").agg(F.max(F.struct("same", -F.col("hub"))).alias("best"))
@@ -370,3 +373,15 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str
     return sig.select("doc_id", "n", "d1", "d2").join(of, ["d1", "d2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("least"))).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates keeps; rows with a null id stay.
+
+    Only rows that may have to go meet the list of ids in a shuffle.
+    """
+    gone = stored(near_duplicates(docs, how, id_col, text_col).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    flagged = maybe_among(docs, id_col, gone, "doc_id", "__frameloom_maybe")
+    stay = flagged.where(~F.col("__frameloom_maybe")).select(*docs.columns)
+    check = flagged.where("__frameloom_maybe").join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti").select(*docs.columns)
+    return stay.unionByName(check)

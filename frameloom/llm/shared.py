@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,18 @@ def dropped(df: DataFrame) -> None:
         jvm = spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def maybe_among(df: DataFrame, column: str, ids: DataFrame, id_column: str, flag: str, bits: int = 24) -> DataFrame:
+    """df with a boolean column `flag`: false means that df[column] surely isn't among ids.
+
+    The ids are hashed into a bitmap of 2 ** bits bits (2 MB by default, whatever the number of ids),
+    whose pieces are the only thing broadcast.  So rows that can't match need not be shuffled; when
+    there are far more ids than bits, all rows may match and nothing is lost but the saving.
+    """
+    spread = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    pieces = ids.where(F.col(id_column).isNotNull()).select(spread(id_column).alias("h")).groupBy(F.shiftright("h", 15).alias("__piece")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("__bitmap"))
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, CAST((__h % 32768) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("shiftright(__byte, CAST(__h % 8 AS INT)) & 1") == 1
+    joined = df.withColumn("__h", spread(column)).withColumn("__piece", F.shiftright("__h", 15)).join(F.broadcast(pieces), "__piece", "left")
+    return joined.withColumn("__byte", byte).withColumn(flag, F.coalesce(hit, F.lit(False))).select(*df.columns, flag)

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from frameloom.llm import components, minhash, sharding, substring
+from frameloom.llm import components, minhash, sharding, shared, substring
 from frameloom.llm import textkit as K
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -201,3 +201,22 @@ def test_shards_edge_cases(edge, docs_of):
     got = sharding.shards(edge, 10_000).collect()
     assert len(got) == edge.count() and any(g.oversized for g in got) and {g.n_bytes for g in got if g.doc_id == 1} == {64}
     assert sharding.shards(docs_of([])).count() == 0
+
+
+def test_bitmap_filter_never_loses_an_id(spark):
+    df = spark.range(0, 20_000).withColumnRenamed("id", "doc_id")
+    ids = spark.range(0, 20_000, 37).withColumnRenamed("id", "node")
+    for bits in (24, 16):
+        got = shared.maybe_among(df, "doc_id", ids, "node", "maybe", bits).where("maybe")
+        hits = {r.doc_id for r in got.collect()}
+        assert set(range(0, 20_000, 37)) <= hits and len(hits) < (560 if bits == 24 else 1200)
+    assert shared.maybe_among(df, "doc_id", ids.limit(0), "node", "maybe").where("maybe").count() == 0
+
+
+def test_kept_rows_are_those_of_the_classes(docs_of):
+    rows = list(enumerate(near_group(4, 30, 60, 3) + ["alone in its class here"], 1)) + [(None, "no id"), (None, None)]
+    docs = docs_of(rows)
+    how = minhash.Similarity(5, 80, 100)
+    kept = {r.doc_id for r in minhash.near_duplicates(docs, how).collect() if r.kept}
+    out = minhash.without_near_duplicates(docs, how)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == kept and out.where("doc_id is null").count() == 2
