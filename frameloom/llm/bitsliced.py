@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import stored
 
-ROWS_A_BLOCK, QUERIES_A_BLOCK = 8192, 256
+#: A block of rows holds about so many components, which bounds a task; large bitmaps also make each operation worth its call.
+COMPONENTS_A_BLOCK, QUERIES_A_BLOCK = 1 << 22, 256
 
 
 class BitSlicedIndex:
@@ -113,7 +114,7 @@ def quantised(vector: pd.Series, scale: int) -> np.ndarray:
     return np.floor(scale * np.stack(vector.to_numpy()).astype(np.float64)).astype(np.int64)
 
 
-def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_block: int = ROWS_A_BLOCK, queries_a_block: int = QUERIES_A_BLOCK) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_block: int | None = None, queries_a_block: int = QUERIES_A_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row whose id is divisible by `every`.
 
     Components become floor(scale * x); the score is their integer inner product.  A vector that is null
@@ -126,7 +127,8 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     usable = vectors.where(F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.size(v).alias("dims"))
     is_query = F.col("vec_id") % every == 0
-    n, q = usable.agg(F.count("*"), F.count_if(is_query)).first()
+    n, q, widest = usable.agg(F.count("*"), F.count_if(is_query), F.max("dims")).first()
+    rows_a_block = rows_a_block or max(256, COMPONENTS_A_BLOCK // (widest or 1))
     blocks, qblocks = max(1, -(-n // rows_a_block)), max(1, -(-q // queries_a_block))
     deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     rows = usable.select("dims", deal(blocks).alias("block"), F.lit(0).alias("kind"), "vec_id", "v").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))

@@ -241,7 +241,7 @@ def test_decontamination_edge_cases(spark, edge, docs_of):
 # ---- 8
 
 
-@pytest.mark.parametrize("rows_a_block", [8192, 37])
+@pytest.mark.parametrize("rows_a_block", [None, 37])
 def test_top_k_against_brute_force(spark, rows_a_block):
     r = np.random.default_rng(0)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate((r.normal(size=(150, 7)) / 3).round(2))]
