@@ -131,9 +131,12 @@ def boundaries_by_document(buf: np.ndarray, offsets: np.ndarray, reach: int, lon
 def repeated_passages(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, n_windows, first_doc_id): passages that also occur in another document.
 
-    A passage is a run of overlapping or adjoining windows whose digests occur in two or more documents,
-    of at least least_run code points; start and end are code points, end exclusive.  first_doc_id is
-    the smallest document with any of its windows; where it is doc_id itself, this is the copy to keep.
+    A run of overlapping or adjoining windows whose digests occur in two or more documents counts if it
+    has at least least_run code points.  In it, windows that a smaller document has too and windows that
+    no smaller one has form passages of their own, which may overlap; start and end are code points, end
+    exclusive.  first_doc_id is the smallest document with any of the passage's windows.  Where it is
+    doc_id itself, this is the copy to keep, given from least_run code points on; every other passage
+    can be cut, however short: all of it is in smaller documents.
     Null and empty texts and rows with a null id have no passages, clean documents no rows.  Two rows
     with one doc_id count as one document: what only they share is no repetition.  Other input
     columns are ignored; an empty table gives an empty result.
@@ -141,26 +144,34 @@ def repeated_passages(docs: DataFrame, reach: int = REACH, longest: int = LONGES
     rows = window_rows(docs, reach, longest, least_bytes, id_col, text_col)
     many = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
     marked = stored(rows.join(stored(many, "digests"), "digest").select("doc_id", "start", "end", "first_doc_id"), "marked")
-    by = Window.partitionBy("doc_id").orderBy("start", "end")
-    fresh = marked.distinct().withColumn("fresh", F.coalesce((F.col("start") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
-    runs = fresh.withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    by = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id")
+    before, upto = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("first_doc_id") == F.col("doc_id")
+    past = lambda end: F.coalesce((F.col("start") > F.max(end).over(before)).cast("int"), F.lit(1))
+    alike = F.when(own, past(F.when(own, F.col("end")))).otherwise(past(F.when(~own, F.col("end"))))
+    fresh = marked.distinct().select("*", own.alias("own"), past(F.col("end")).alias("fresh"), alike.alias("part_fresh"))
+    runs = fresh.select("*", F.sum("fresh").over(upto).alias("run"), F.when(F.col("own"), F.sum(F.when(F.col("own"), F.col("part_fresh"))).over(upto)).otherwise(F.sum(F.when(~F.col("own"), F.col("part_fresh"))).over(upto)).alias("part"))
+    parts = runs.groupBy("doc_id", "run", "own", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_windows"), F.min("first_doc_id").alias("first_doc_id"))
+    whole = Window.partitionBy("doc_id", "run")
     return (
-        runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_windows"), F.min("first_doc_id").alias("first_doc_id"))
-        .where(F.col("end") - F.col("start") >= least_run)
+        parts.withColumn("size", F.max("end").over(whole) - F.min("start").over(whole))
+        .where((F.col("size") >= least_run) & (~F.col("own") | (F.col("end") - F.col("start") >= least_run)))
         .select("doc_id", "start", "end", "n_windows", "first_doc_id")
     )
 
 
 def without_repeats(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every repeated passage cut out of text_col but in the document that holds its first copy."""
+    """docs with every repeated passage cut out of text_col but in the document that holds its first copy.
+
+    A character is cut only with a window that a smaller document has too, so each one stays in some document.
+    """
     found = repeated_passages(docs, reach, longest, least_bytes, least_run, id_col, text_col).where("doc_id != first_doc_id")
     cuts = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__id")
     text = F.col(text_col)
     rest = F.aggregate(
         "__cuts",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, c: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, c["start"] - a["at"])).alias("out"), c["end"].alias("at")),
+        lambda a, c: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, c["start"] - a["at"])).alias("out"), F.greatest(a["at"], c["end"]).alias("at")),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
     return docs.join(cuts, docs[id_col] == F.col("__id"), "left").withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(rest)).drop("__id", "__cuts")

@@ -133,6 +133,21 @@ def test_passages_of_fifty_words_are_found_and_clean_text_is_not(spark, docs_of)
     assert all(cut[i] == t for i, t in rows if i % 3)
 
 
+def test_copies_that_share_a_passage_with_an_earlier_document_keep_the_rest_once(spark, docs_of):
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9))) for _ in range(n))
+    x, y, z = text(80), text(60), text(80)
+    copy = f"{x} {y} {z}"
+    docs = docs_of([(1, y), (2, copy), (3, copy), (4, text(100))])
+    got = substring.repeated_passages(docs).collect()
+    assert {(g.doc_id, g.first_doc_id) for g in got} == {(1, 1), (2, 1), (2, 2), (3, 1)}
+    for g in got:
+        if g.doc_id == 2 and g.first_doc_id == 1:
+            assert len(x) <= g.start < g.end <= len(x) + len(y) + 2
+    cut = {c.doc_id: c.text for c in substring.without_repeats(docs).collect()}
+    assert cut[1] == y and x in cut[2] and z in cut[2] and len(cut[2]) < len(copy) - 200 and len(cut[3]) < 100
+
+
 def test_chunks_resist_insertions():
     r = np.random.default_rng(0)
     a = r.integers(97, 123, 4000).astype(np.uint8)
