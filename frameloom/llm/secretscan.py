@@ -33,9 +33,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ANYHEX = re.compile(r"[0-9A-Fa-f]{48,}")
-_BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"))
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.-]|\\+[nr])*?)-----END \1-----")
 _WORDS = ("password", "passwd", "secret", "token", "api")
 
 
@@ -49,6 +50,12 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def base64_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the longest runs over the standard and over the url-safe alphabet; a run over both is given once."""
+    for m in _BASE64.finditer(text):
+        yield from sorted({c.span() for a in _ALPHABETS for c in a.finditer(text, *m.span())})
+
+
 def der_fields(data: bytes, depth: int = 0) -> list[tuple[int, int]] | None:
     """(tag, length) of every field, nested ones included, if lengths fill the data exactly; else None."""
     out, i = [], 0
@@ -119,18 +126,19 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            body = "".join(x for x in m[2].split("\n") if ":" not in x)
+            lines = re.sub(r"\\+[nr]", "\n", m[2]).split("\n")  # line ends may be spelled out, as in JSON
+            body = "".join(x for x in lines if ":" not in x)
             data = unbase64("".join(body.split()))
             if is_der_key(data) or is_ssh_key(data):
                 out.append((m.start(), m.end(), "pem"))
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
-    for m in _BASE64.finditer(text):
-        data = unbase64(m[0])
+    for a, b in base64_runs(text):
+        data = unbase64(text[a:b])
         if is_der_key(data):
-            out.append((m.start(), m.end(), "der"))
+            out.append((a, b, "der"))
         elif is_ssh_key(data):
-            out.append((m.start(), m.end(), "ssh"))
+            out.append((a, b, "ssh"))
     for m in _ANYHEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "der"))
