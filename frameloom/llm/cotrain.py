@@ -8,7 +8,8 @@ combined by a logistic model fitted on the same rows.
 
 Two targets are learned this way, good quality and toxicity; a document is kept if it is likely good and
 not likely toxic.  Models are fitted on the driver on bounded, documented samples
-(FIT_ROWS labelled, POOL_ROWS unlabelled), chosen by hash; all documents are scored, in one
+(FIT_ROWS labelled, POOL_ROWS unlabelled), chosen by hash; of a class with few rows in FIT_ROWS more
+are taken, up to a quarter of FIT_ROWS, and weigh as much less.  All documents are scored, in one
 pass without a shuffle.
 """
 
@@ -152,11 +153,16 @@ def _choose(found: np.ndarray, per: np.ndarray, y: np.ndarray, most: int) -> np.
     return np.sort(best[chi[best] > 0]).astype(np.uint32)
 
 
-def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, rounds: int = ROUNDS, exchanged: int = EXCHANGED, most: int = FEATURES) -> dict:
-    """Fit both views.  y is 0 or 1 where labelled; other rows are the pool.  A third of the labelled rows calibrates."""
+def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, weight: np.ndarray | None = None, rounds: int = ROUNDS, exchanged: int = EXCHANGED, most: int = FEATURES) -> dict:
+    """Fit both views.  y is 0 or 1 where labelled, with a row of each; other rows are the pool.  A third of each class calibrates.
+
+    weight: of each row, 1 by default.  The only row of a class is both fitted and calibrated on.
+    """
+    weight = np.ones(len(y)) if weight is None else weight
     rows = np.flatnonzero(labelled)
-    hold = rows[::3]
-    fit = np.setdiff1d(rows, hold)
+    classes = [rows[y[rows] == c] for c in (0, 1)]
+    hold = np.sort(np.concatenate([c[::3] for c in classes]))
+    fit = np.union1d(np.setdiff1d(rows, hold), [c[0] for c in classes if len(c) == 1]).astype(np.int64)
     chosen = _choose(found[np.repeat(np.isin(np.arange(len(per)), fit), per)], per[fit], y[fit], most)
     text = present(found, per, chosen)
     mean, spread = meta[fit].mean(axis=0), meta[fit].std(axis=0) + 1e-3
@@ -164,12 +170,12 @@ def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray
     views = (text, page)
     known = [dict(zip(fit.tolist(), y[fit].tolist())) for _ in views]
     pool = set(np.flatnonzero(~labelled).tolist())
-    share = float(y[fit].mean())
+    share = float(np.average(y[fit], weights=weight[fit]))
     for r in range(rounds + 1):
         weights = []
         for x, k in zip(views, known):
             at = np.fromiter(k, np.int64)
-            weights.append(fit_logistic(x[at], np.array([k[i] for i in at.tolist()], np.float32)))
+            weights.append(fit_logistic(x[at], np.array([k[i] for i in at.tolist()], np.float32), weight[at]))
         if r == rounds or not pool:
             break
         free = np.array(sorted(pool))
@@ -183,10 +189,10 @@ def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray
                 known[1 - v].setdefault(int(free[i]), label)
                 pool.discard(int(free[i]))
     z = np.stack([log_odds(x[hold], w) for x, w in zip(views, weights)], 1).astype(np.float64).clip(-15, 15)
-    blend = fit_logistic(z, y[hold].astype(np.float64), decay=1e-4, steps=600)
+    blend = fit_logistic(z, y[hold].astype(np.float64), weight[hold], decay=1e-4, steps=600)
     for v in range(2):  # a view that is no better than chance takes no part
         if blend[v] < 0:
-            one = fit_logistic(z[:, [1 - v]], y[hold].astype(np.float64), decay=1e-4, steps=600)
+            one = fit_logistic(z[:, [1 - v]], y[hold].astype(np.float64), weight[hold], decay=1e-4, steps=600)
             blend = np.zeros(3)
             blend[1 - v], blend[2] = one
             break
@@ -198,8 +204,8 @@ def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray
     for x, k in zip(views, known):
         k = k | dict(zip(hold.tolist(), y[hold].tolist()))
         at = np.fromiter(k, np.int64)
-        weights.append(fit_logistic(x[at], np.array([k[i] for i in at.tolist()], np.float32)))
-    return {"chosen": chosen, "text": weights[0], "mean": mean, "spread": spread, "page": weights[1], "blend": blend, "held_accuracy": float(((score >= 0.5) == (y[hold] >= 0.5)).mean()), "held_rows": len(hold)}
+        weights.append(fit_logistic(x[at], np.array([k[i] for i in at.tolist()], np.float32), weight[at]))
+    return {"chosen": chosen, "text": weights[0], "mean": mean, "spread": spread, "page": weights[1], "blend": blend, "held_accuracy": float(np.average((score >= 0.5) == (y[hold] >= 0.5), weights=weight[hold])), "held_rows": len(hold)}
 
 
 def view_scores(model: dict, found: np.ndarray, per: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,14 +221,22 @@ def _columns(docs: DataFrame, text_col: str, source_col: str, lang_col: str) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> dict:
-    """Models for both targets, {} for a target with fewer than 20 labelled rows of either class."""
+    """Models for both targets, {} for a target without labelled rows of both classes.
+
+    A share of the labels is taken by hash, of each class at least a quarter of fit_rows or all its rows;
+    what is taken beyond the share weighs less, so that classes keep their shares.
+    """
     spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    n_labels, n_docs = marks.count(), docs.count()
+    counts = marks.agg(F.count("*"), *[F.count_if(x) for t in ("quality", "toxic") for x in (F.col(t) >= 1, F.col(t) < 1)]).first()
+    n_labels, n_docs = counts[0], docs.count()
+    share = min(1.0, fit_rows / max(1, n_labels))
+    rate = [min(1.0, fit_rows / 4 / max(1, n)) for n in counts[1:]]
+    taken = F.greatest(F.lit(share), *[F.when(F.col(t) >= 1, a).when(F.col(t) < 1, b).otherwise(0.0) for t, a, b in (("quality", *rate[:2]), ("toxic", *rate[2:]))])
     u = F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(1 << 30))
-    picked = marks.where(u < int((1 << 30) * min(1.0, fit_rows / max(1, n_labels)))).toPandas()
+    picked = marks.withColumn("weight", F.lit(share) / taken).where(u < taken * (1 << 30)).toPandas()  # at most about 1.5 x fit_rows rows
     plain = docs.select(F.col(id_col).cast("long").alias("__id"), *_columns(docs, text_col, source_col, lang_col)).where("__id is not null")
-    hit = F.broadcast(spark.createDataFrame(picked[["__id"]].astype("int64"))) if len(picked) else None  # at most about fit_rows ids
+    hit = F.broadcast(spark.createDataFrame(picked[["__id"]].astype("int64"))) if len(picked) else None
     schema = "id long, found binary, meta binary, wanted boolean"
 
     def run(batches):
@@ -237,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     K.short_batches(spark)
     pool = plain.where(F.pmod(F.xxhash64(F.lit("pool"), "__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool_rows / max(1, n_docs)))).withColumn("wanted", F.lit(False))
     rows = pool if hit is None else plain.join(hit, "__id").withColumn("wanted", F.lit(True)).unionByName(pool)
-    table = rows.select("__id", "__text", "__source", "__lang", "wanted").mapInArrow(run, schema).toPandas()  # at most about fit_rows + pool_rows rows
+    table = rows.select("__id", "__text", "__source", "__lang", "wanted").mapInArrow(run, schema).toPandas()  # at most about 1.5 x fit_rows + pool_rows rows
     table = table.sort_values(["wanted", "id"], ascending=[False, True], kind="stable").drop_duplicates("id")
     if not len(table):
         return {"quality": {}, "toxic": {}}
@@ -249,12 +263,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     sizes = np.split(found, np.cumsum(per)[:-1])
     found, per, meta, ids = np.concatenate([sizes[i] for i in order]) if len(order) else found, per[order], meta[order], table["id"].to_numpy()[order]
     out = {}
+    weight = by["weight"].reindex(ids).fillna(1.0).to_numpy(dtype=float)
     for target in ("quality", "toxic"):
         y = by[target].reindex(ids).to_numpy(dtype=float)
         labelled = ~np.isnan(y)
         value = np.where(labelled, y >= 1, False).astype(np.float32)
         least = min(value[labelled].sum(), (1 - value[labelled]).sum()) if labelled.any() else 0
-        out[target] = co_train(found, per, meta, value, labelled) if least >= 20 else {}
+        out[target] = co_train(found, per, meta, value, labelled, weight) if least else {}
     return out
 
 

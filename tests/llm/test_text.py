@@ -298,6 +298,26 @@ def test_quality_on_held_out_labels(spark):
     assert good.kept.mean() > 0.97
 
 
+def test_a_rare_class_is_learned_from_all_its_labels(spark, docs_of):
+    r = random.Random(8)
+    common, bad = [f"{a}{b}" for a in ("stone", "river", "light", "paper") for b in "abcdefghijklmnop"], ["vilea", "vileb", "vilec", "viled"]
+    text = lambda toxic: " ".join(r.choice(common) for _ in range(40)) + " " + " ".join(bad if toxic else r.sample(common, 4))
+    toxic = {i for i in range(3000) if i % 100 == 7} | set(range(3000, 3020))
+    docs = docs_of([(i, text(i in toxic)) for i in range(3200)])
+    labels = spark.createDataFrame([(i, int(i % 2), int(i in toxic)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    model = cotrain.train(docs, labels, 400, 100)
+    got = {x.doc_id: x.toxic_score for x in cotrain.scored(docs, model).where("doc_id >= 3000").collect()}
+    assert model["toxic"] and {i for i, s in got.items() if s >= 0.5} == set(range(3000, 3020))
+
+
+@pytest.mark.parametrize("n_toxic", [1, 2, 11])
+def test_few_labels_of_a_class_make_a_model(spark, docs_of, n_toxic):
+    docs = docs_of([(i, f"plain words of a text number {i} " + ("vilea vileb vilec" if i < n_toxic else "and no more")) for i in range(60)])
+    model = cotrain.train(docs, spark.createDataFrame([(i, i % 2, int(i < n_toxic)) for i in range(60)], "doc_id long, quality int, toxic int"))
+    got = {x.doc_id: x.toxic_score for x in cotrain.scored(docs, model).collect()}
+    assert min(got[i] for i in range(n_toxic)) > max(got[i] for i in range(n_toxic, 60))
+
+
 def test_quality_edge_cases(spark, edge, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = cotrain.quality(edge, none).collect()
