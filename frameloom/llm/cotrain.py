@@ -240,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     schema = "id long, found binary, meta binary, wanted boolean"
 
     def run(batches):
-        for batch in batches:
+        for batch in K.slices(batches):
             for lo, hi, found, per, meta in features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 ends = np.cumsum(per)
                 yield pa.RecordBatch.from_arrays(
@@ -248,7 +248,6 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
                     names=["id", "found", "meta", "wanted"],
                 )
 
-    K.short_batches(spark)
     pool = plain.where(F.pmod(F.xxhash64(F.lit("pool"), "__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool_rows / max(1, n_docs)))).withColumn("wanted", F.lit(False))
     rows = pool if hit is None else plain.join(hit, "__id").withColumn("wanted", F.lit(True)).unionByName(pool)
     table = rows.select("__id", "__text", "__source", "__lang", "wanted").mapInArrow(run, schema).toPandas()  # at most about 1.5 x fit_rows + pool_rows rows
@@ -298,11 +297,10 @@ def scored(docs: DataFrame, model: dict, threshold: float = 0.5, toxic_threshold
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in K.slices(batches):
             got = _judged(shared.value, batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold, toxic_threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c.astype(bool) if k == "kept" else c) for k, c in got.items()]], names=["doc_id", *got])
 
-    K.short_batches(docs.sparkSession)
     inner = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_columns(docs, text_col, source_col, lang_col))
     return inner.mapInArrow(run, "doc_id long, text_score double, page_score double, quality_score double, toxic_score double, kept boolean")
 
@@ -321,5 +319,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, t
     def keep(text: pa.Array, source: pa.Array, lang: pa.Array) -> pa.Array:
         return pa.array(_judged(shared.value, text, source.to_pylist(), lang.to_pylist(), threshold, toxic_threshold)["kept"].astype(bool))
 
-    K.short_batches(docs.sparkSession)
     return docs.where(keep(*_columns(docs, text_col, source_col, lang_col))).select(*docs.columns)

@@ -158,14 +158,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_c
     """
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    K.short_batches(spark)
     out = None
     for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast((items, rate))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared.value)
-            for batch in batches:
+            for batch in K.slices(batches):
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     for n, (d, end) in matcher.matches(normal(text)).items():
@@ -181,7 +180,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id
     """The rows of docs, all columns, in which no benchmark item occurs.  Rows of any null column stay if clean."""
     out = docs
     spark = docs.sparkSession
-    K.short_batches(spark)
     flag = "__frameloom_clean"
     for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast((items, rate))

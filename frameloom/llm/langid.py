@@ -205,7 +205,7 @@ def train(training: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, cal
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in K.slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen.update((lang, w) for w in words_of(text.lower()))
             if len(seen) > 300_000:
@@ -213,7 +213,6 @@ def train(training: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, cal
                 seen = Counter()
         yield _counted(seen)
 
-    K.short_batches(training.sparkSession)
     counted = part.where(F.col("u") < cut).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     fitted = {}
     for x in langs:
@@ -235,7 +234,7 @@ def _calibrated(model: dict, held: DataFrame) -> dict:
 
     def run(batches):
         scorer = _scorer(shared.value)
-        for batch in batches:
+        for batch in K.slices(batches):
             found = [(lang, e) for lang, e in zip(batch.column(0).to_pylist(), scorer.entropies(batch.column(1).to_pylist())) if e]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1][0].tolist() for f in found], pa.list_(pa.float64())), pa.array([f[1][1] for f in found], pa.int64())], names=["lang", "h", "n"])
 
@@ -273,7 +272,7 @@ def identified(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         scorer = _scorer(shared.value) if shared.value["langs"] else None
-        for batch in batches:
+        for batch in K.slices(batches):
             rows = []
             for e in scorer.entropies(batch.column(batch.num_columns - 1).to_pylist()) if scorer else [None] * batch.num_rows:
                 if e is None:
@@ -287,7 +286,6 @@ def identified(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
             new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*cols, *new], names=[*batch.schema.names[:-1], "lang_pred", "score", "cross_entropy", "rejected"])
 
-    K.short_batches(spark)
     return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 

@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_co
     t, rows, bands, k = how.size, how.rows, how.bands, how.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             buf, offsets = K.utf8(batch.column(1))
             for lo, hi, b, o in K.chunks(buf, offsets):
                 elements, per = _sets(b, o, k)
@@ -123,7 +123,6 @@ def signatures(docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_co
                     names=["doc_id", "n", "d1", "d2", "bands", "sk"],
                 )
 
-    K.short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sk binary")
 
 
@@ -131,7 +130,7 @@ def _shingle_sets(cand: DataFrame, k: int) -> DataFrame:
     """(node, text) -> (node, elements): the sorted distinct shingle hashes as little-endian bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in K.slices(batches):
             buf, offsets = K.utf8(batch.column(1))
             for lo, hi, b, o in K.chunks(buf, offsets):
                 elements, per = _sets(b, o, k)
@@ -154,7 +153,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, block: int = 6
 
     def run(batches):
         hub, hub_key = None, None
-        for batch in batches:
+        for batch in K.slices(batches):
             us, vs = [], []
             for a, salt, role, node, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 s = np.frombuffer(raw.as_buffer(), np.uint64)
@@ -208,7 +207,7 @@ def _candidates(group: list[tuple], how: Similarity) -> tuple[np.ndarray, np.nda
 def _by_part(batches, emit, empty):
     """Run emit on the rows of each part; rows come sorted by part, their first column."""
     key, group = None, []
-    for batch in batches:
+    for batch in K.slices(batches):
         out = []
         for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if part != key:

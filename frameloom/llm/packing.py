@@ -77,7 +77,7 @@ def pieces_of(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 0, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # lists of pieces hold no cycles, and there are very many
-        for batch in batches:
+        for batch in K.slices(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), path)):
                 ids += end
@@ -88,7 +88,6 @@ def pieces_of(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 0, i
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    K.short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -203,7 +203,7 @@ def prefix_token_counts(docs: DataFrame, path: str | None = None, limit: int = L
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
+        for batch in K.slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             totals = [v.total(t) for t in texts]
             fits = [len(t) if n <= limit else v.text_table(t).longest_within(limit) for t, n in zip(texts, totals)]
@@ -213,5 +213,4 @@ def prefix_token_counts(docs: DataFrame, path: str | None = None, limit: int = L
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
-    K.short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")

@@ -201,7 +201,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             rows = []
             for doc, text, long_word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _long_words(batch.column(1))):
                 base, found = spans(text, long_word)
@@ -210,7 +210,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_structural"])
 
-    K.short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_structural long")
 
 
@@ -224,7 +223,6 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     def masked(texts):
         return texts.map(lambda t: redacted(t, spans(t)[1]), na_action="ignore")
 
-    K.short_batches(docs.sparkSession)
     out = docs.withColumn(text_col, masked(F.col(text_col).cast("string")))
     if length_col:
         kind = docs.schema[length_col].dataType

@@ -1,45 +1,13 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and a filter of fixed size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import dropped, shared_dir, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (local tests) a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks it was running, and later
-    stages read compressed columns instead of computing them again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/frameloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by stored() that nothing reads any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["dropped", "maybe_among", "shared_dir", "stored"]
 
 
 def maybe_among(df: DataFrame, column: str, ids: DataFrame, id_column: str, flag: str, bits: int = 24) -> DataFrame:
@@ -50,8 +18,8 @@ def maybe_among(df: DataFrame, column: str, ids: DataFrame, id_column: str, flag
     there are far more ids than bits, all rows may match and nothing is lost but the saving.
     """
     spread = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
-    pieces = ids.where(F.col(id_column).isNotNull()).select(spread(id_column).alias("h")).groupBy(F.shiftright("h", 15).alias("__piece")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("__bitmap"))
-    byte = F.conv(F.hex(F.expr("substring(__bitmap, CAST((__h % 32768) DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(__byte, CAST(__h % 8 AS INT)) & 1") == 1
-    joined = df.withColumn("__h", spread(column)).withColumn("__piece", F.shiftright("__h", 15)).join(F.broadcast(pieces), "__piece", "left")
-    return joined.withColumn("__byte", byte).withColumn(flag, F.coalesce(hit, F.lit(False))).select(*df.columns, flag)
+    place, piece, bitmap = (f"__frameloom_{x}" for x in ("place", "piece", "bitmap"))
+    pieces = ids.where(F.col(id_column).isNotNull()).select(spread(id_column).alias(place)).groupBy(F.shiftright(place, 15).alias(piece)).agg(F.bitmap_construct_agg(F.col(place) % 32768).alias(bitmap))
+    hit = F.expr(f"shiftright(CAST(conv(hex(substring({bitmap}, CAST(({place} % 32768) DIV 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST({place} % 8 AS INT)) & 1") == 1
+    joined = df.withColumn(place, spread(column)).withColumn(piece, F.shiftright(place, 15)).join(F.broadcast(pieces), piece, "left")
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(place, piece, bitmap)

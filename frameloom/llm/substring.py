@@ -83,7 +83,7 @@ def window_rows(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, lea
     """digest, doc_id, start, end (code points, end exclusive) of every window of chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in K.slices(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             buf, offsets = K.utf8(batch.column(1))
             for lo, hi, b, o in K.chunks(buf, offsets):
@@ -106,7 +106,6 @@ def window_rows(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, lea
                     names=["digest", "doc_id", "start", "end"],
                 )
 
-    K.short_batches(docs.sparkSession)
     named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return named.mapInArrow(run, "digest long, doc_id long, start int, end int")
 

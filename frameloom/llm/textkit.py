@@ -143,6 +143,12 @@ def sum_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def short_batches(spark, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small; they bound a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows, without a copy.
+
+    Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch) or ends it with one longer
+    text; slices bound what Python makes of it, so no setting of the caller's session is touched.
+    """
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
