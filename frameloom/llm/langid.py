@@ -3,14 +3,16 @@
 Each language has a character model of order 5 over padded, lower-cased words (Kneser and
 Ney, ICASSP 1995; Chen and Goodman 1999): counts at the highest order, continuation counts
 below, one absolute discount an order.  The models are stored together as sorted hash arrays, one
-an order: n-gram hash -> log probability in every language, context hash -> log back-off
-weight in every language.  A document gets the language with the least cross-entropy a character.
+an order: n-gram hash -> log probability in each language that has it, context hash -> log back-off
+weight in each language that has it.  Languages without an n-gram take no room in it, so the arrays grow
+with the sum of the models, not with their number times their union.  A document gets the language with the
+least cross-entropy a character.
 
 Models are fitted on a bounded, documented sample of labelled training rows (FIT_ROWS a
-language, chosen by hash), so what goes to the executors is bounded as well (MOST_GRAMS an
-order).  Cross-entropies of a second such sample calibrate the score (temperature) and the
-rejection threshold of each language.  A word's cross-entropy depends on the word only, so
-workers compute it once a word and look it up after that.
+language, chosen by hash), all words and all n-grams of it, for every language there is; so what goes to the
+executors is bounded by the sample too.  Cross-entropies of a second such sample calibrate the score
+(temperature) and the rejection threshold of each language.  A word's cross-entropy depends on the word only,
+so workers compute it once a word and look it up after that.
 """
 
 from __future__ import annotations
@@ -26,11 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .shared import dropped, stored
 
-ORDER, FIT_ROWS, CALIBRATION_ROWS, MOST_LANGS, MOST_GRAMS, MOST_WORDS = 5, 4000, 1000, 64, 1_500_000, 300_000
+ORDER, FIT_ROWS, CALIBRATION_ROWS = 5, 4000, 1000
 _U = np.uint64
-_MEMO_MOST = 600_000
-words_of = re.compile(r"[^\W\d_]+").findall
+#: Bytes of a worker's memo of words; it is emptied when full.
+_MEMO_BYTES = 96 << 20
+#: Runs of letters; one of more than 256 counts as several words.
+words_of = re.compile(r"[^\W\d_]{1,256}").findall
 _last: list = []
 
 
@@ -51,7 +56,7 @@ def _grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nda
         hashes.append(K.mix(ctx * _U(0xD6E8FEB86659FD93) + mixed + _U(m)))
         contexts.append(K.mix(ctx + _U(m)))
         step = np.zeros(len(codes), np.uint64)
-        step[m + 1 :] = mixed[: len(codes) - m - 1]
+        step[m + 1 :] = mixed[: max(0, len(codes) - m - 1)]
         ctx = ctx + np.where(place > m, step * _U(pow(0x9E3779B97F4A7C15, m + 1, 1 << 64)) + _U(m + 1), _U(0))
     return codes, owner, place, hashes, contexts
 
@@ -88,47 +93,68 @@ def fit_kneser_ney(counts: dict[str, int], order: int) -> list[dict[str, np.ndar
     return out
 
 
+class Sparse:
+    """Sorted hashes, each with values of some languages."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        """parts: (sorted distinct hashes, values) of each language."""
+        every = np.concatenate([h for h, _ in parts])
+        lang = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(h) for h, _ in parts])
+        order = np.lexsort((lang, every))
+        every, self.lang, self.value = every[order], lang[order], np.concatenate([v for _, v in parts]).astype(np.float32)[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        self.hashes, self.first = every[first], np.append(first, len(every))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the keys that are present: which key, language, value; one row a language."""
+        if not len(self.hashes) or not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.float32)
+        i = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[i] == keys)
+        i = i[hit]
+        n = self.first[i + 1] - self.first[i]
+        at = np.repeat(self.first[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(hit, n), self.lang[at], self.value[at]
+
+
 class Scorer:
-    """Joint sorted hash arrays of all languages."""
+    """The models of all languages together."""
 
     def __init__(self, model: dict):
         self.langs, self.order, self.floor = model["langs"], model["order"], model["floor"]
         self.tables = model["tables"]
+        self.size = 0
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)), np.float32)
 
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
-        return i, table[i] == keys if len(table) else np.zeros(len(keys), bool)
-
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """Natural log probability of each word (its end included) in every language."""
         _, owner, place, hashes, contexts = _grams(words, self.order)
-        left = np.flatnonzero(place > 0)
-        out = np.zeros((len(owner), len(self.langs)), np.float32)
-        for m in range(self.order - 1, -1, -1):
-            t = self.tables[m]
-            i, ok = self._find(t["grams"], hashes[m][left])
-            out[left[ok]] += t["logp"][i[ok]]
-            left = left[~ok]
-            j, seen = self._find(t["contexts"], contexts[m][left])
-            out[left[seen]] += t["loggamma"][j[seen]]
-        out[left] += self.floor
+        inner = np.flatnonzero(place > 0)
+        out = np.tile(self.floor, (len(inner), 1))
+        for m, (grams, weights) in enumerate(self.tables):  # from the lowest order up: back off, unless the n-gram is known
+            key, lang, value = weights.find(contexts[m][inner])
+            out[key, lang] += value
+            key, lang, value = grams.find(hashes[m][inner])
+            out[key, lang] = value
         total = np.zeros((len(words), len(self.langs)), np.float32)
-        np.add.at(total, owner, out)
+        np.add.at(total, owner[inner], out)
         return total
 
     def learn(self, words: set[str]) -> None:
-        if len(self.at) + len(words) > _MEMO_MOST:
-            self.at.clear()
+        """Have all these words in the memo, which is emptied first if they don't fit beside what it holds."""
         new = [w for w in words if w not in self.at]
-        if not new:
-            return
+        cost = lambda: sum(map(len, new)) + len(new) * (4 * len(self.langs) + 160)
+        if new and self.size + cost() > _MEMO_BYTES:
+            self.at.clear()
+            self.rows = np.zeros((1024, len(self.langs)), np.float32)
+            self.size, new = 0, list(words)
+        self.size += cost()
         while len(self.at) + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for lo in range(0, len(new), 20000):
-            part = new[lo : lo + 20000]
+        step = max(64, 80_000 // len(self.langs))
+        for lo in range(0, len(new), step):
+            part = new[lo : lo + step]
             k = len(self.at)
             self.rows[k : k + len(part)] = self.log_probabilities(part)
             self.at.update(zip(part, range(k, k + len(part))))
@@ -136,9 +162,7 @@ class Scorer:
     def entropies(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
         """Cross-entropy (nats a character) in each language, and characters scored; None without a letter."""
         found = [words_of(t.lower()) if t else [] for t in texts]
-        self.learn({w for ws in found for w in ws}.difference(self.at))
-        if any(w not in self.at for ws in found for w in ws[:1]):  # the memo was emptied
-            self.learn({w for ws in found for w in ws})
+        self.learn({w for ws in found for w in ws})
         out: list[tuple[np.ndarray, int] | None] = []
         for ws in found:
             if not any(c.isalpha() for w in ws for c in w):
@@ -156,51 +180,28 @@ def _scorer(model: dict) -> Scorer:
     return _last[1]
 
 
-def _joint(langs: list[str], fitted: dict[str, list[dict]], order: int, most: int) -> dict:
+def _joint(langs: list[str], fitted: dict[str, list[dict]], order: int) -> dict:
     floor = np.array([math.log(1.0 / (len(fitted[x][0]["grams"]) + 1)) for x in langs], np.float32)
-    tables: list[dict[str, np.ndarray]] = []
-    for m in range(order):
-        grams = np.unique(np.concatenate([fitted[x][m]["grams"] for x in langs]))
-        if len(grams) > most:  # keep the most frequent
-            total = np.zeros(len(grams))
-            for x in langs:
-                total[np.searchsorted(grams, fitted[x][m]["grams"])] += fitted[x][m]["n"]
-            grams = grams[np.sort(np.argsort(-total, kind="stable")[:most])]
-        contexts = np.unique(np.concatenate([fitted[x][m]["contexts"] for x in langs]))
-        loggamma = np.zeros((len(contexts), len(langs)), np.float32)
-        below, ctx = np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.int64)
-        for x in langs:
-            f = fitted[x][m]
-            loggamma[np.searchsorted(contexts, f["contexts"]), langs.index(x)] = np.log(np.maximum(f["gamma"], 1e-12))
-            i, ok = Scorer._find(grams, f["grams"])
-            ctx[i[ok]] = np.searchsorted(contexts, f["contexts"][f["in"][ok]])
-            if m:
-                below[i[ok]] = f["below"][ok]
-        logp = np.zeros((len(grams), len(langs)), np.float32)
-        if m == 0:
-            logp += loggamma[ctx] + floor
-        else:
-            i, ok = Scorer._find(tables[m - 1]["grams"], below)
-            lower = np.where(ok[:, None], tables[m - 1]["logp"][i], floor)
-            logp += loggamma[ctx] + lower
-        for x in langs:
-            f = fitted[x][m]
-            i, ok = Scorer._find(grams, f["grams"])
-            logp[i[ok], langs.index(x)] = np.log(f["p"][ok])
-        tables.append({"grams": grams, "logp": logp, "contexts": contexts, "loggamma": loggamma})
+    tables = [
+        (Sparse([(fitted[x][m]["grams"], np.log(fitted[x][m]["p"])) for x in langs]), Sparse([(fitted[x][m]["contexts"], np.log(np.maximum(fitted[x][m]["gamma"], 1e-12))) for x in langs]))
+        for m in range(order)
+    ]
     return {"langs": langs, "order": order, "floor": floor, "tables": tables}
 
 
 def train(training: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Fit and calibrate on rows with text and language.  Bounds: fit_rows and calibration_rows a language, about."""
+    """Fit and calibrate on rows with text and language.  Bounds: fit_rows and calibration_rows a language, about.
+
+    All languages are learned.  The driver fits one after another; it holds the n-grams of their samples.
+    """
     rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": []}
     u = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = lambda n: F.element_at(F.create_map(*[x for a in langs for x in (F.lit(a), F.lit(float(n) / sizes[a]))]), F.col("lang"))
-    part = rows.where(F.col("lang").isin(langs)).withColumn("u", u)
+    part = rows.withColumn("u", u)
     cut = F.least(share(fit_rows), F.lit(0.8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +214,13 @@ def train(training: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, cal
                 seen = Counter()
         yield _counted(seen)
 
-    counted = part.where(F.col("u") < cut).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = stored(part.where(F.col("u") < cut).select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     fitted = {}
     for x in langs:
-        table = counted.where(F.col("lang") == x).orderBy(F.desc("n"), "word").limit(MOST_WORDS).select("word", "n").toArrow()
-        fitted[x] = fit_kneser_ney(dict(zip(table["word"].to_pylist(), table["n"].to_pylist())) or {"": 1}, order)
-    model = _joint(langs, fitted, order, MOST_GRAMS)
+        table = counted.where(F.col("lang") == x).select("word", "n").toArrow()
+        fitted[x] = fit_kneser_ney(dict(sorted(zip(table["word"].to_pylist(), table["n"].to_pylist()))) or {"": 1}, order)
+    dropped(counted)
+    model = _joint(langs, fitted, order)
     held = part.where((F.col("u") >= cut) & (F.col("u") < cut + share(calibration_rows)))
     return _calibrated(model, held)
 

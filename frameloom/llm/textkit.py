@@ -143,12 +143,17 @@ def sum_by(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - sizes]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most `rows` rows, without a copy.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about `size` bytes (or of one longer row), without a copy.
 
     Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch) or ends it with one longer
     text; slices bound what Python makes of it, so no setting of the caller's session is touched.
     """
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < max(1, batch.num_rows):
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.nbytes > size:
+                part = batch.slice(at, part.num_rows // 2)
+            yield part
+            at += max(1, part.num_rows)

@@ -414,18 +414,89 @@ def test_languages_on_held_out_documents(spark):
         assert h == (zlib.crc32(str(i).encode()) % 4 == 2)
 
 
-def test_kneser_ney_sums_to_one():
-    counts = {"abc": 5, "abd": 2, "bcd": 1, "cab": 3, "dab": 1, "aab": 1}
-    f = langid.fit_kneser_ney(counts, 3)
-    model = langid._joint(["x"], {"x": f}, 3, 10**6)
-    scorer = langid.Scorer(model)
-    one = lambda w: scorer.log_probabilities([w])[0, 0]
-    # next-character probabilities after a context: p(w + c) / p(w) over known characters and the end, with room for unknown ones
-    for m in range(3):
-        t = f[m]
-        total = np.bincount(t["in"], weights=t["p"])
-        assert (total <= 1 + 1e-9).all() and (total > 0.3).all()
-    assert one("abc") > one("abd") > one("zzz")
+def brute_kneser_ney(counts, order):
+    """log p(character | up to order - 1 characters before it) by dictionaries, as Chen and Goodman define it."""
+    import math
+
+    padded = {f" {w} ": n for w, n in counts.items()}
+    grams = [{} for _ in range(order + 1)]  # (context, character) -> count
+    for w, n in padded.items():
+        for i in range(1, len(w)):
+            for m in range(order):
+                ctx = w[max(0, i - m) : i]
+                grams[m][ctx, w[i]] = grams[m].get((ctx, w[i]), 0) + n
+    top = order - 1
+    # a context cut at the word's start belongs to every order above its length
+    use = [None] * order
+    use[top] = grams[top]
+    for m in range(top):
+        seen = {}
+        for ctx, c in grams[m + 1]:
+            short = ctx if len(ctx) <= m else ctx[-m:] if m else ""
+            seen.setdefault((short, c), set()).add(ctx)
+        use[m] = {k: len(v) for k, v in seen.items()}
+    alphabet = len({c for _, c in grams[0]})
+
+    def discount(table):
+        n1, n2 = sum(n == 1 for n in table.values()), sum(n == 2 for n in table.values())
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    ds = [discount(t) for t in use]
+    totals, spent = [{} for _ in use], [{} for _ in use]
+    for m, t in enumerate(use):
+        for (ctx, c), n in t.items():
+            totals[m][ctx] = totals[m].get(ctx, 0) + n
+            spent[m][ctx] = spent[m].get(ctx, 0) + min(n, ds[m])
+
+    def p(m, before, c):
+        if m < 0:
+            return 1 / (alphabet + 1)
+        ctx = before[len(before) - m :] if m <= len(before) else before
+        lower = p(m - 1, before, c)
+        if ctx not in totals[m]:
+            return lower
+        return max(use[m].get((ctx, c), 0) - ds[m], 0) / totals[m][ctx] + spent[m][ctx] / totals[m][ctx] * lower
+
+    return lambda w: sum(math.log(p(top, f" {w} "[:i], f" {w} "[i])) for i in range(1, len(w) + 2))
+
+
+def test_kneser_ney_against_brute_force():
+    r = random.Random(11)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randrange(1, 8)))
+    languages = {"x": {word("abcd"): r.randrange(1, 6) for _ in range(60)}, "y": {word("cdefé"): r.randrange(1, 6) for _ in range(40)}, "z": {"a": 1}}
+    for order in (1, 2, 3, 5):
+        fitted = {x: langid.fit_kneser_ney(c, order) for x, c in languages.items()}
+        for x in languages:
+            for m, t in enumerate(fitted[x]):
+                total = np.bincount(t["in"], weights=t["p"])
+                assert (total <= 1 + 1e-9).all()
+        scorer = langid.Scorer(langid._joint(list(languages), fitted, order))
+        words = [word("abcdef") for _ in range(100)] + ["zzz", "q", "abcd" * 20]
+        got = scorer.log_probabilities(words)
+        for k, x in enumerate(languages):
+            one = brute_kneser_ney(languages[x], order)
+            np.testing.assert_allclose(got[:, k], [one(w) for w in words], rtol=2e-5)
+
+
+def test_a_full_memo_loses_no_word(monkeypatch):
+    fitted = {x: langid.fit_kneser_ney(c, 3) for x, c in {"x": {"foo": 2, "bar": 1}, "y": {"qux": 3}}.items()}
+    make = lambda: langid.Scorer(langid._joint(["x", "y"], fitted, 3))
+    texts = [["foo bar baz"], ["qux foo"], ["bar qux foo zip", "", "one two three four five"], ["foo"]]
+    want = [[None if e is None else (e[0].tolist(), e[1]) for e in make().entropies(t)] for t in texts]
+    for size in (1, 400, 900):
+        monkeypatch.setattr(langid, "_MEMO_BYTES", size)
+        scorer = make()
+        assert [[None if e is None else (e[0].tolist(), e[1]) for e in scorer.entropies(t)] for t in texts] == want
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(5)
+    letters = [chr(0x4E00 + 40 * i + j) for i in range(90) for j in range(40)]
+    word = lambda i: "".join(r.choice(letters[40 * i : 40 * i + 40]) for _ in range(6))
+    rows = [(100 * i + k, " ".join(word(i) for _ in range(20)), f"l{i}") for i in range(90) for k in range(12)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {d: x for d, _, x in rows}
+    assert len(got) == len(rows) and sum(g.lang_pred == lang[g.doc_id] for g in got) > 0.97 * len(rows) and len({g.lang_pred for g in got}) == 90
 
 
 def test_language_edge_cases(spark, edge, docs_of):
