@@ -8,12 +8,13 @@ so the best rows are selected from the most significant slice downward; rows tha
 boundary are resolved by exact score, then by smaller id.
 
 Rows are dealt into blocks of a bounded size, and so are queries; a task holds one block of
-each.  Every query block meets every row block by an equi-join on the query block's number.
+each, and makes the index of its rows once for all its queries.  Query blocks are as large as leaves enough
+tasks for the cluster, up to QUERIES_A_BLOCK: a row is moved once a query block, so few of them keep the shuffle small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 #: A block of rows holds about so many components, which bounds a task; large bitmaps also make each operation worth its call.
-COMPONENTS_A_BLOCK, QUERIES_A_BLOCK = 1 << 22, 256
+COMPONENTS_A_BLOCK, QUERIES_A_BLOCK, LEAST_QUERIES = 1 << 22, 16_384, 128
 
 
 class BitSlicedIndex:
@@ -47,7 +48,8 @@ class BitSlicedIndex:
 
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Bit slices of the scores less a constant, least significant first, and the constant."""
-        at: list[list[np.ndarray]] = [[] for _ in range(80)]
+        bits = int(np.abs(query).max()).bit_length() if len(query) else 0
+        at: list[list[np.ndarray]] = [[] for _ in range(int(self.width.max(initial=0)) + bits + self.dims.bit_length() + 2)]
         base = 0
         for d in range(self.dims):
             q = int(query[d])
@@ -114,10 +116,12 @@ def quantised(vector: pd.Series, scale: int) -> np.ndarray:
     return np.floor(scale * np.stack(vector.to_numpy()).astype(np.float64)).astype(np.int64)
 
 
-def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_block: int | None = None, queries_a_block: int = QUERIES_A_BLOCK) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", rows_a_block: int | None = None, queries_a_block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row whose id is divisible by `every`.
 
-    Components become floor(scale * x); the score is their integer inner product.  A vector that is null
+    Components become floor(scale * x); the score is their integer inner product.  Scores are longs: if a
+    component is so large that the inner product of vectors like it need not fit one (over 3.0e9 / sqrt(dimensions)
+    once scaled), a ValueError names the row; no score is ever wrong or cut.  A vector that is null
     or empty, or holds a null or a non-finite component, takes no part, nor does a row with a null id;
     vectors are compared with those of the same length.  Candidates are all rows but those with the
     query's own id; ties go to the smaller id.  Repeated rows are candidates of their own, and a
@@ -127,9 +131,15 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 25
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     usable = vectors.where(F.coalesce(fine, F.lit(False)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"), F.size(v).alias("dims"))
     is_query = F.col("vec_id") % every == 0
-    n, q, widest = usable.agg(F.count("*"), F.count_if(is_query), F.max("dims")).first()
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x))) * abs(scale)
+    n, q, widest, worst = usable.agg(F.count("*"), F.count_if(is_query), F.max("dims"), F.max(F.struct((largest * F.sqrt("dims")).alias("size"), "vec_id"))).first()
+    if worst and worst["size"] + math.sqrt(widest) >= 2**31.5:
+        raise ValueError(f"a component of vector {worst['vec_id']} is too large: scores need not fit a long")
     rows_a_block = rows_a_block or max(256, COMPONENTS_A_BLOCK // (widest or 1))
-    blocks, qblocks = max(1, -(-n // rows_a_block)), max(1, -(-q // queries_a_block))
+    blocks = max(1, -(-n // rows_a_block))
+    wanted = -(-4 * vectors.sparkSession.sparkContext.defaultParallelism // blocks)
+    queries_a_block = queries_a_block or min(QUERIES_A_BLOCK, max(LEAST_QUERIES, -(-q // wanted)))
+    qblocks = max(1, -(-q // queries_a_block))
     deal = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     rows = usable.select("dims", deal(blocks).alias("block"), F.lit(0).alias("kind"), "vec_id", "v").withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))))
     asks = usable.where(is_query).dropDuplicates(["vec_id", "v"]).select("dims", deal(qblocks).alias("qblock"), F.lit(1).alias("kind"), "vec_id", "v").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

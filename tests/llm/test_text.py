@@ -361,6 +361,16 @@ def test_top_k_against_brute_force(spark, rows_a_block):
     assert bitsliced.exact_top_k(df.limit(0)).count() == 0
 
 
+def test_large_components_are_exact_or_refused(spark):
+    make = lambda big, n=3: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in [(0, [1.0, -2.5, 0.25]), (1, [0.0, big, -1.0]), (50, [2.0, big / 2, 1.0])]], "vec_id long, embedding array<double>")
+    big = 6.0e6  # 256 * 6e6 = 1.5e9: squares sum to less than 2 ** 63
+    got = {(x.query_id, x.vec_id): x.score for x in bitsliced.exact_top_k(make(big)).collect()}
+    assert got[50, 1] == int(256 * big) * int(128 * big) - 256 * 256 and got[0, 1] == -640 * int(256 * big) + 64 * -256
+    for large in (3.0e7, 1e300, -1e300):
+        with pytest.raises(ValueError, match="vector 1 "):
+            bitsliced.exact_top_k(make(large))
+
+
 # ---- 9 and 10
 
 
