@@ -205,6 +205,34 @@ def test_local_search_empties_bins_that_best_fit_leaves():
     assert len(packing.improved(lengths, [[0, 3], [1, 2], [4]], 10)) == 2
 
 
+def test_exchanges_of_two_for_one_in_bins_of_many_pieces():
+    # 30 pieces of 60 and 62: only two of them together make room for the piece of 121
+    bins = [[0], [1 + i for i in range(30)], [31]]
+    lengths = [121, *[60 if i % 2 else 62 for i in range(30)], 1]
+    limit = sum(lengths[1:31]) + 1
+    state = packing._Bins(lengths, bins, limit)
+    assert state.step(0) == (1, 121, 120, 2)
+    after = packing.improved(lengths, [list(b) for b in bins], limit)
+    assert sorted(i for b in after for i in b) == list(range(32)) and all(sum(lengths[i] for i in b) <= limit for b in after)
+
+
+def test_the_search_raises_the_squared_fill_to_a_local_optimum():
+    r = random.Random(9)
+    for _ in range(20):
+        lengths = [r.randrange(1, 60) for _ in range(14)]
+        before = packing.best_fit(lengths, 100)
+        after = packing.improved(lengths, [list(b) for b in before], 100)
+        square = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
+        assert square(after) >= square(before)
+        if len(after) > -(-sum(lengths) // 100):  # brute force: no step is left
+            for g in after:
+                for t in after:
+                    if t is not g and sum(lengths[i] for i in t) >= sum(lengths[i] for i in g):
+                        gap = 100 - sum(lengths[i] for i in t)
+                        backs = [(), *[(x,) for x in t], *[(x, y) for k, x in enumerate(t) for y in t[k + 1 :]]]
+                        assert not any(0 < lengths[i] - sum(lengths[x] for x in back) <= gap for i in g for back in backs)
+
+
 def check_packing(rows, docs, limit, path):
     tok = P.tokenizer(path)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -246,6 +274,17 @@ def test_packing_edge_cases(docs_of):
     assert packing.best_fit_packing(docs_of([])).count() == 0
 
 
+def test_packing_of_equal_rows_is_dealt_into_many_blocks(docs_of):
+    path = P.vocabulary("byte_bpe_50k.json")
+    rows = packing.best_fit_packing(docs_of([(7, "the same text in every row")] * 900), path, limit=64, block=50).collect()
+    assert len(rows) == 900 and len({r.sequence_id >> 26 for r in rows}) > 8
+    size, (n_in_full) = rows[0].length, 64 // rows[0].length
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append(r.offset)
+    assert all(sorted(o) == list(range(0, size * len(o), size)) for o in bins.values()) and len(bins) <= 900 // n_in_full + 20
+
+
 # ---- 6
 
 
