@@ -212,6 +212,25 @@ def test_shards_of_one_hot_key(docs_of):
     assert len(got) == 400 and max(total.values()) <= 3000 and not any(g.oversized for g in got)
 
 
+def test_a_hot_key_beside_others_deepens_its_own_bucket_only(spark, monkeypatch):
+    directories = []
+    keep = sharding.stored
+    monkeypatch.setattr(sharding, "stored", lambda df, name: directories.append((name, keep(df, name))) or directories[-1][1])
+    docs = spark.range(60_000).selectExpr("if(id % 3 = 0, 7, id) doc_id", "'a text of one line' text")
+    limit = 200_000
+    rows = [(r.doc_id, len("a text of one line") + 64) for r in docs.collect()]
+    got = sharding.shards(docs, limit).collect()
+    total = defaultdict(int)
+    for g in got:
+        total[g.shard] += g.n_bytes
+    assert len(got) == 60_000 and max(total.values()) <= limit and all(g.shard_bytes == total[g.shard] for g in got)
+    want = brute_shards(rows, limit)
+    assert all(g.shard == want[g.doc_id] for g in got if g.doc_id != 7)
+    hot = {g.shard for g in got if g.doc_id == 7}
+    assert len(hot) > 8 and all(s.startswith(want[7]) for s in hot) and not hot & {g.shard for g in got if g.doc_id != 7}
+    assert sum(t.count() for n, t in directories if n == "directory") < 2000
+
+
 def test_shards_edge_cases(edge, docs_of):
     got = sharding.shards(edge, 10_000).collect()
     assert len(got) == edge.count() and any(g.oversized for g in got) and {g.n_bytes for g in got if g.doc_id == 1} == {64}
