@@ -12,8 +12,8 @@ Plan, for one row per document:
 2. equal sets collapse to the smallest doc_id, by aggregation;
 3. round 1 compares each representative with one hub, the least representative of the
    bucket it shares most bands with;
-4. buckets whose members are still in different components are compared by sketch, in
-   blocks, inside tasks (a pair that shares several buckets in the first of them only).  Round 2
+4. in buckets whose members are still in different components, those outside the largest one are compared with
+   all by sketch, in blocks, inside tasks (a pair that shares several buckets in the first of them only).  Round 2
    verifies the best two pairs of each component (Boruvka's scheme), which joins most of a
    group; round 3 verifies every candidate pair that is left, block by block, each block
    getting a set once and skipping pairs that it has already joined;
@@ -176,7 +176,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, block: int = 6
 def _candidates(group: list[tuple], how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions (p, q) of the pairs of a block that may be similar, and their agreement; best first.
 
-    Rows are (band, side, node, component, n, sk).  Pairs within a component, of sizes too far apart, of too
+    Rows are (band, side, node, component, n, sk); side is 0 for an outsider of the bucket, 1 for any other member
+    and 2 for a member that is an outsider too (so that a pair of outsiders is seen once).  Pairs within a component, of sizes too far apart, of too
     little agreement, or that share an earlier band (and are looked at there) are left out.
     """
     least, num, den, t = how.least_agreement, how.num, how.den, how.size
@@ -186,10 +187,10 @@ def _candidates(group: list[tuple], how: Similarity) -> tuple[np.ndarray, np.nda
     size = np.array([g[4] for g in group], np.int64)
     raw = np.frombuffer(b"".join(g[5] for g in group), np.uint8).reshape(len(group), -1)
     sk, keys = raw[:, :t], np.ascontiguousarray(raw[:, t:]).view("<u4")
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
     firsts, seconds, agrees = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in left:
-        js = right[right > i] if side[i] == 2 else right
+        js = right[(side[right] == 1) | (node[right] > node[i])]
         js = js[(comp[js] != comp[i]) & (den * np.minimum(size[js], size[i]) >= num * np.maximum(size[js], size[i]))]
         if band and len(js):
             js = js[~(keys[js, :band] == keys[i, :band]).any(axis=1)]
@@ -301,17 +302,24 @@ def _verified_in_blocks(cand: DataFrame, sets: DataFrame, how: Similarity) -> Da
     return full.mapInArrow(run, "u long, v long")
 
 
-def _blocks(active: DataFrame, block: int = 1024) -> DataFrame:
-    """Deal each bucket's rows (key, band, node, component, n, sk, members) into blocks and pairs of blocks."""
-    dealt = active.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    return other.select(
-        F.concat_ws(":", "key", low, high).alias("part"),
-        "band",
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node", "component", "n", "sk",
-    )
+def _blocks(now: DataFrame, block: int = 512) -> DataFrame:
+    """Deal the rows (key, band, node, component, n, sk) of buckets that hold several components into blocks.
+
+    Every bucket has a main component, the one with most of its members; other members are its outsiders.  A pair of
+    different components has an outsider in it, so blocks of outsiders meet blocks of all members: where one
+    component holds nearly all of a bucket, rows grow with the bucket, not with its square.
+    """
+    sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("members"), F.count("*").alias("components")).where("components > 1")
+    rows = now.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main.component"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    rows = rows.withColumn("blocks", parts(F.col("members"))).withColumn("outer", parts(F.col("members") - F.col("main.size")))
+    mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = ("band", "side", "node", "component", "n", "sk")
+    left = rows.where("outside").withColumn("other", each("blocks")).withColumn("side", F.lit(0)).select(F.concat_ws(":", "key", mine(F.col("outer")), "other").alias("part"), *out)
+    right = rows.withColumn("other", each("outer")).withColumn("side", F.when(F.col("outside"), 2).otherwise(1)).select(F.concat_ws(":", "key", "other", mine(F.col("blocks"))).alias("part"), *out)
+    return left.unionByName(right)
 
 
 def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,7 +329,7 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str
     one of white space) has no shingles and is linked with nothing; with fewer than k words the
     whole sequence is the only shingle.  Repeated rows with one doc_id are each returned, with
     the same component.  doc_id identifies a document; rows with a null doc_id are returned with
-    their own null component and kept true.  Other input columns are ignored.  An empty table
+    their own null component and kept true.  Texts are taken whole, however long.  Other input columns are ignored.  An empty table
     gives an empty result.
     """
     how = how or Similarity()
@@ -348,7 +356,7 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str
         """Blocks of the buckets whose members are still in different components."""
         now = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        return _blocks(now.join(mixed, "key").join(reps.select("node", "sk"), "node"))
+        return _blocks(now.join(mixed, "key").join(reps.select("node", "sk"), "node").select("key", "band", "node", "component", "n", "sk"))
 
     def joined(more: DataFrame) -> DataFrame:
         out = stored(links.unionByName(more), "verified")

@@ -89,10 +89,33 @@ def test_candidates_are_those_of_brute_force_by_sketch():
     for i in range(40):
         sk = base.copy()
         sk[: 2 * i] = r.integers(0, 256, 2 * i)
-        group.append((0, 2, i, i % 20, 100 + i, sk.tobytes() + bytes(4 * how.bands)))
-    p, q, same = minhash._candidates(group, how)
-    want = {(i, j) for i, j in itertools.combinations(range(40), 2) if i % 20 != j % 20 and 100 * (100 + i) >= 85 * (100 + j) and sum(a == b for a, b in zip(group[i][5][: how.size], group[j][5])) >= how.least_agreement}
-    assert {tuple(sorted(x)) for x in zip(p.tolist(), q.tolist())} == want and (np.diff(same) <= 0).all()
+        group.append((0, i, i % 20, 100 + i, sk.tobytes() + bytes(4 * how.bands)))
+    main = 3  # the component that is not outside
+    rows = [(g[0], 0, *g[1:]) for g in group if g[2] != main] + [(g[0], 1 if g[2] == main else 2, *g[1:]) for g in group]
+    p, q, same = minhash._candidates(rows, how)
+    want = {(i, j) for i, j in itertools.combinations(range(40), 2) if i % 20 != j % 20 and 100 * (100 + i) >= 85 * (100 + j) and sum(a == b for a, b in zip(group[i][4][: how.size], group[j][4])) >= how.least_agreement}
+    got = [tuple(sorted((rows[a][2], rows[b][2]))) for a, b in zip(p.tolist(), q.tolist())]
+    assert set(got) == want and len(got) == len(want) and (np.diff(same) <= 0).all()
+
+
+def test_blocks_hold_every_pair_of_different_components_once(spark):
+    r = random.Random(2)
+    now = [(k, 0, 1000 * k + i, 1000 * k if r.random() < share else 1000 * k + i, 5, b"") for k, n, share in ((1, 90, 0.9), (2, 40, 0.0), (3, 30, 1.0), (4, 25, 0.5)) for i in range(n)]
+    dealt = minhash._blocks(spark.createDataFrame(now, "key long, band int, node long, component long, n long, sk binary"), 16).collect()
+    parts = defaultdict(list)
+    for x in dealt:
+        parts[x.part].append(x)
+    got = [tuple(sorted((a.node, b.node))) for rows in parts.values() for a in rows if a.side == 0 for b in rows if a.component != b.component and (b.side == 1 or b.side == 2 and b.node > a.node)]
+    want = {tuple(sorted((a[2], b[2]))) for a, b in itertools.combinations(now, 2) if a[0] == b[0] and a[3] != b[3]}
+    assert set(got) == want and len(got) == len(want) and max(map(len, parts.values())) < 100
+    assert sum(x.part.startswith("1:") for x in dealt) < 2 * 90  # one component holds nearly all
+
+
+def test_every_link_of_a_whole_table_is_found(spark):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    how = minhash.Similarity(3, 85, 100)
+    got = minhash.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), how).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute_components(rows, 3, 85, 100)
 
 
 def test_components_of_paths_stars_and_loops(spark):
