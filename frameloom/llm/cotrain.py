@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
-Blum and Mitchell (COLT 1998): one classifier sees a document's words, the other its page
-metadata (source, language, length, layout).  In each round each of them labels the rows of
+Blum and Mitchell (COLT 1998): one classifier sees a document's text (its words and layout), the other its page
+metadata (source, language, length in characters) and nothing else.  In each round each of them labels the rows of
 an unlabelled pool that it is surest of, and the other learns from those labels.  After the last
 round both are calibrated on labelled rows held out from training, and their log odds are
 combined by a logistic model fitted on the same rows.
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 
-FIT_ROWS, POOL_ROWS, FEATURES, ROUNDS, EXCHANGED = 8_000, 3_000, 512, 3, 300
+FIT_ROWS, POOL_ROWS, FEATURES, ROUNDS, EXCHANGED = 12_000, 4_000, 512, 3, 300
+#: A word feature is used if so many fitted rows have it and so many don't.
+LEAST_ROWS = 3
 #: Bytes of text that features are made of at once; some twenty arrays of that many numbers are alive then.
 PIECE = 1 << 20
 #: Word features are hashed to so many bits: counting them needs no sort.
@@ -39,12 +41,12 @@ _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _MARK = ~(_LETTERS | _DIGIT | K._SPACE)
-LAYOUT = ("log_length", "log_words", "words_a_line", "upper", "digits", "marks", "repeats", "caps_words", "marked_words", "distinct", "lines")
+LAYOUT = ("log_words", "words_a_line", "upper", "digits", "marks", "repeats", "caps_words", "marked_words", "distinct", "lines")
 _META_BUCKETS = 64
 
 
-def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, distinct word features, how many of each row, metadata matrix) of pieces of a batch."""
+def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, distinct word features, how many of each row, layout matrix, metadata matrix) of pieces of a batch."""
     buf, offsets = K.utf8(texts)
     for lo, hi, b, o in K.chunks(buf, offsets, PIECE):
         n = hi - lo
@@ -76,14 +78,16 @@ def features(texts: pa.Array, sources: list[str], langs: list[str]) -> Iterator[
         t = np.maximum(tc, 1).astype(float)
         by = lambda x: K.sum_by(x.astype(np.int64), tc) / t
         part = lambda c: (c[o[1:]] - c[o[:-1]]) / length
-        layout = np.stack([np.log(length), np.log(t), np.log(t / lines), part(upper), part(digit), part(mark), by(again), by(caps), by(marked), distinct, np.log(lines)], 1)
-        meta = np.zeros((n, len(LAYOUT) * 2 + 2 * _META_BUCKETS), np.float32)
-        meta[:, : len(LAYOUT)] = layout
-        meta[:, len(LAYOUT) : 2 * len(LAYOUT)] = layout**2
+        measured = np.stack([np.log(t), np.log(t / lines), part(upper), part(digit), part(mark), by(again), by(caps), by(marked), distinct, np.log(lines)], 1)
+        layout = np.concatenate([measured, measured**2], 1).astype(np.float32)
+        chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+        size = np.log1p(chars[o[1:]] - chars[o[:-1]])
+        meta = np.zeros((n, 2 + 2 * _META_BUCKETS), np.float32)
+        meta[:, 0], meta[:, 1] = size, size**2
         for i in range(n):
-            meta[i, 2 * len(LAYOUT) + _bucket(sources[lo + i])] = 1
-            meta[i, 2 * len(LAYOUT) + _META_BUCKETS + _bucket(langs[lo + i])] = 1
-        yield lo, hi, np.concatenate(all_) if all_ else np.zeros(0, np.uint32), per, meta
+            meta[i, 2 + _bucket(sources[lo + i])] = 1
+            meta[i, 2 + _META_BUCKETS + _bucket(langs[lo + i])] = 1
+        yield lo, hi, np.concatenate(all_) if all_ else np.zeros(0, np.uint32), per, layout, meta
 
 
 def _feature(hashes: np.ndarray) -> np.ndarray:
@@ -147,13 +151,20 @@ def _choose(found: np.ndarray, per: np.ndarray, y: np.ndarray, most: int) -> np.
     expected = have * pos / max(n, 1)
     other = have - expected
     chi = (hit - expected) ** 2 / np.maximum(expected, 1e-9) + (hit - expected) ** 2 / np.maximum(other, 1e-9)
-    least = 3 if n < 4000 else 5
-    chi[(have < least) | (have > n - least)] = 0
+    chi[(have < LEAST_ROWS) | (have > n - LEAST_ROWS)] = 0
     best = np.argsort(-chi, kind="stable")[:most]
     return np.sort(best[chi[best] > 0]).astype(np.uint32)
 
 
-def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, weight: np.ndarray | None = None, rounds: int = ROUNDS, exchanged: int = EXCHANGED, most: int = FEATURES) -> dict:
+def _text_view(found: np.ndarray, per: np.ndarray, layout: np.ndarray, model: dict) -> np.ndarray:
+    return np.concatenate([present(found, per, model["chosen"]), ((layout - model["layout_mean"]) / model["layout_spread"]).clip(-8, 8)], 1).astype(np.float32)
+
+
+def _page_view(meta: np.ndarray, model: dict) -> np.ndarray:
+    return ((meta - model["mean"]) / model["spread"]).clip(-8, 8).astype(np.float32)
+
+
+def co_train(found: np.ndarray, per: np.ndarray, layout: np.ndarray, meta: np.ndarray, y: np.ndarray, labelled: np.ndarray, weight: np.ndarray | None = None, rounds: int = ROUNDS, exchanged: int = EXCHANGED, most: int = FEATURES) -> dict:
     """Fit both views.  y is 0 or 1 where labelled, with a row of each; other rows are the pool.  A third of each class calibrates.
 
     weight: of each row, 1 by default.  The only row of a class is both fitted and calibrated on.
@@ -163,11 +174,9 @@ def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray
     classes = [rows[y[rows] == c] for c in (0, 1)]
     hold = np.sort(np.concatenate([c[::3] for c in classes]))
     fit = np.union1d(np.setdiff1d(rows, hold), [c[0] for c in classes if len(c) == 1]).astype(np.int64)
-    chosen = _choose(found[np.repeat(np.isin(np.arange(len(per)), fit), per)], per[fit], y[fit], most)
-    text = present(found, per, chosen)
-    mean, spread = meta[fit].mean(axis=0), meta[fit].std(axis=0) + 1e-3
-    page = ((meta - mean) / spread).clip(-8, 8).astype(np.float32)
-    views = (text, page)
+    model = {"chosen": _choose(found[np.repeat(np.isin(np.arange(len(per)), fit), per)], per[fit], y[fit], most)}
+    model |= {"mean": meta[fit].mean(axis=0), "spread": meta[fit].std(axis=0) + 1e-3, "layout_mean": layout[fit].mean(axis=0), "layout_spread": layout[fit].std(axis=0) + 1e-3}
+    views = (_text_view(found, per, layout, model), _page_view(meta, model))
     known = [dict(zip(fit.tolist(), y[fit].tolist())) for _ in views]
     pool = set(np.flatnonzero(~labelled).tolist())
     share = float(np.average(y[fit], weights=weight[fit]))
@@ -198,20 +207,20 @@ def co_train(found: np.ndarray, per: np.ndarray, meta: np.ndarray, y: np.ndarray
             break
     score = 1 / (1 + np.exp(-log_odds(z, blend)))
     # calibration done, the views learn from the held rows as well
-    chosen = _choose(found[np.repeat(labelled, per)], per[rows], y[rows], most)
-    views = (present(found, per, chosen), page)
+    model["chosen"] = _choose(found[np.repeat(labelled, per)], per[rows], y[rows], most)
+    views = (_text_view(found, per, layout, model), views[1])
     weights = []
     for x, k in zip(views, known):
         k = k | dict(zip(hold.tolist(), y[hold].tolist()))
         at = np.fromiter(k, np.int64)
         weights.append(fit_logistic(x[at], np.array([k[i] for i in at.tolist()], np.float32), weight[at]))
-    return {"chosen": chosen, "text": weights[0], "mean": mean, "spread": spread, "page": weights[1], "blend": blend, "held_accuracy": float(np.average((score >= 0.5) == (y[hold] >= 0.5), weights=weight[hold])), "held_rows": len(hold)}
+    return model | {"text": weights[0], "page": weights[1], "blend": blend, "held_accuracy": float(np.average((score >= 0.5) == (y[hold] >= 0.5), weights=weight[hold])), "held_rows": len(hold)}
 
 
-def view_scores(model: dict, found: np.ndarray, per: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def view_scores(model: dict, found: np.ndarray, per: np.ndarray, layout: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Probabilities of the text view, of the metadata view, and of both combined."""
-    t = log_odds(present(found, per, model["chosen"]), model["text"]).astype(np.float64)
-    p = log_odds(((meta - model["mean"]) / model["spread"]).clip(-8, 8), model["page"]).astype(np.float64)
+    t = log_odds(_text_view(found, per, layout, model), model["text"]).astype(np.float64)
+    p = log_odds(_page_view(meta, model), model["page"]).astype(np.float64)
     both = log_odds(np.stack([t, p], 1).clip(-15, 15), model["blend"])
     return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (t, p, both))
 
@@ -236,31 +245,34 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     u = F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(1 << 30))
     picked = marks.withColumn("weight", F.lit(share) / taken).where(u < taken * (1 << 30)).toPandas()  # at most about 1.5 x fit_rows rows
     plain = docs.select(F.col(id_col).cast("long").alias("__id"), *_columns(docs, text_col, source_col, lang_col)).where("__id is not null")
-    hit = F.broadcast(spark.createDataFrame(picked[["__id"]].astype("int64"))) if len(picked) else None
-    schema = "id long, found binary, meta binary, wanted boolean"
+    hit = F.broadcast(spark.createDataFrame(picked[["__id"]].astype("int64"), "__id long").withColumn("__wanted", F.lit(True)))  # ids alone
+    schema = "id long, found binary, layout binary, meta binary"
 
     def run(batches):
         for batch in K.slices(batches):
-            for lo, hi, found, per, meta in features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for lo, hi, found, per, layout, meta in features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 ends = np.cumsum(per)
+                raw = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array([found[e - c : e].tobytes() for e, c in zip(ends, per)], pa.binary()), pa.array([m.tobytes() for m in meta], pa.binary()), batch.column(4)[lo:hi]],
-                    names=["id", "found", "meta", "wanted"],
+                    [batch.column(0)[lo:hi], pa.array([found[e - c : e].tobytes() for e, c in zip(ends, per)], pa.binary()), raw(layout), raw(meta)],
+                    names=["id", "found", "layout", "meta"],
                 )
 
-    pool = plain.where(F.pmod(F.xxhash64(F.lit("pool"), "__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool_rows / max(1, n_docs)))).withColumn("wanted", F.lit(False))
-    rows = pool if hit is None else plain.join(hit, "__id").withColumn("wanted", F.lit(True)).unionByName(pool)
-    table = rows.select("__id", "__text", "__source", "__lang", "wanted").mapInArrow(run, schema).toPandas()  # at most about 1.5 x fit_rows + pool_rows rows
-    table = table.sort_values(["wanted", "id"], ascending=[False, True], kind="stable").drop_duplicates("id")
-    if not len(table):
+    in_pool = F.pmod(F.xxhash64(F.lit("pool"), "__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool_rows / max(1, n_docs)))
+    rows = plain.join(hit, "__id", "left").where(F.coalesce("__wanted", in_pool))  # one pass over the documents
+    made = rows.select("__id", "__text", "__source", "__lang").mapInArrow(run, schema)
+    # one row an id, the one with most features, before anything comes to the driver: at most about 1.5 x fit_rows + pool_rows rows
+    table = made.groupBy("id").agg(F.max(F.struct(F.length("found").alias("size"), "found", "layout", "meta")).alias("r")).select("id", "r.*").toArrow()
+    ids, sizes = table["id"].to_numpy(), table["size"].to_numpy() // 4
+    order = np.argsort([hash_of(i) for i in ids], kind="stable") if len(ids) else np.zeros(0, np.int64)  # so that the calibration third is a random one
+    if not len(order):
         return {"quality": {}, "toxic": {}}
-    per = np.array([len(x) // 4 for x in table["found"]], np.int64)
-    found = np.frombuffer(b"".join(table["found"]), np.uint32)
-    meta = np.stack([np.frombuffer(x, np.float32) for x in table["meta"]])
+    flat = lambda name, kind, at=order: np.frombuffer(b"".join(x for x in table[name].take(at).to_pylist()), kind)
+    found, per = flat("found", np.uint32), sizes[order].astype(np.int64)
+    layout, meta = (flat(name, np.float32).reshape(len(order), -1) for name in ("layout", "meta"))
+    ids = ids[order]
+    del table
     by = picked.set_index("__id")
-    order = np.argsort([hash_of(i) for i in table["id"]], kind="stable")  # so that the calibration third is a random one
-    sizes = np.split(found, np.cumsum(per)[:-1])
-    found, per, meta, ids = np.concatenate([sizes[i] for i in order]) if len(order) else found, per[order], meta[order], table["id"].to_numpy()[order]
     out = {}
     weight = by["weight"].reindex(ids).fillna(1.0).to_numpy(dtype=float)
     for target in ("quality", "toxic"):
@@ -268,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
         labelled = ~np.isnan(y)
         value = np.where(labelled, y >= 1, False).astype(np.float32)
         least = min(value[labelled].sum(), (1 - value[labelled]).sum()) if labelled.any() else 0
-        out[target] = co_train(found, per, meta, value, labelled, weight) if least else {}
+        out[target] = co_train(found, per, layout, meta, value, labelled, weight) if least else {}
     return out
 
 
@@ -278,10 +290,10 @@ def hash_of(i: int) -> int:
 
 def _judged(model: dict, texts: pa.Array, sources: list[str], langs: list[str], threshold: float, toxic_threshold: float) -> dict[str, np.ndarray]:
     parts = []
-    for lo, hi, found, per, meta in features(texts, sources, langs):
+    for lo, hi, found, per, layout, meta in features(texts, sources, langs):
         n = hi - lo
-        text, page, good = view_scores(model["quality"], found, per, meta) if model["quality"] else (np.ones(n),) * 3
-        bad = view_scores(model["toxic"], found, per, meta)[2] if model["toxic"] else np.zeros(n)
+        text, page, good = view_scores(model["quality"], found, per, layout, meta) if model["quality"] else (np.ones(n),) * 3
+        bad = view_scores(model["toxic"], found, per, layout, meta)[2] if model["toxic"] else np.zeros(n)
         good = np.where(meta[:, 0] <= 0, 0.0, good)
         parts.append((text, page, good, bad, (good >= threshold) & (bad < toxic_threshold)))
     columns = zip(*parts) if parts else [[np.zeros(0)]] * 5
@@ -292,7 +304,8 @@ def scored(docs: DataFrame, model: dict, threshold: float = 0.5, toxic_threshold
     """doc_id, text_score, page_score, quality_score, toxic_score, kept of every row.
 
     A null or empty text has quality_score 0 and is not kept; a target without a model scores 1 (quality) or
-    0 (toxic).  A null source or language is a value of its own.
+    0 (toxic).  A null source or language is a value of its own.  Repeated rows are scored as rows, texts as a whole,
+    however long; an empty table gives an empty result.  Other input columns are ignored, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -306,12 +319,18 @@ def scored(docs: DataFrame, model: dict, threshold: float = 0.5, toxic_threshold
 
 
 def quality(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
-    """Fit on labels (doc_id, quality, toxic; repeated ids count at their worst) and score every row of docs."""
+    """Fit on labels (doc_id, quality, toxic; repeated ids count at their worst) and score every row of docs.
+
+    Null and empty texts, repeated rows and empty tables are as in scored().
+    """
     return scored(docs, train(docs, labels, **names), **names)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, toxic_threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, that the classifier keeps.  Only the decision comes back from Python."""
+    """The rows of docs, all columns, that the classifier keeps.  Only the decision comes back from Python.
+
+    Null and empty texts go; repeated rows go or stay together; an empty table stays empty.
+    """
     model = train(docs, labels, id_col=id_col, text_col=text_col, source_col=source_col, lang_col=lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -424,6 +424,42 @@ def test_quality_on_held_out_labels(spark):
     assert good.kept.mean() > 0.97
 
 
+def test_logistic_fit_against_newton_s_method():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(400, 5))
+    y = (r.random(400) < 1 / (1 + np.exp(-(x @ [1.0, -2.0, 0.5, 0.0, 0.0] + 0.3)))).astype(float)
+    weight = r.random(400) + 0.1
+    a, w = np.concatenate([x, np.ones((400, 1))], 1), np.zeros(6)
+    ridge = np.array([1e-3] * 5 + [0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-a @ w))
+        gradient = a.T @ (weight / weight.sum() * (p - y)) + ridge * w
+        w = w - np.linalg.solve((a.T * (weight / weight.sum() * p * (1 - p))) @ a + np.diag(ridge), gradient)
+    np.testing.assert_allclose(cotrain.fit_logistic(x, y, weight, 1e-3, 2000), w, atol=1e-3)
+
+
+def test_views_are_apart_and_scores_are_their_blend():
+    import pyarrow as pa
+
+    texts = ["Good TEXT, of words!", "Other text 123", ""]
+    rows = lambda t, s, g: next(iter(cotrain.features(pa.array(t), s, g)))
+    a, b = rows(texts, ["s1", "s2", "s3"], ["en"] * 3), rows(texts, ["x", "y", "z"], ["fr"] * 3)
+    assert (a[2] == b[2]).all() and (a[4] == b[4]).all() and not (a[5] == b[5]).all()  # source and language are metadata alone
+    c = rows(["zzzz,WORDS!! zz. abcd", "0ther text abc", ""], ["s1", "s2", "s3"], ["en"] * 3)
+    assert [len(t) for t in texts[1:]] == [14, 0] and (a[5][1:] == c[5][1:]).all() and not (a[4] == c[4]).all()  # of a text, metadata know its length alone
+    n = len(cotrain.LAYOUT) * 2
+    r = np.random.default_rng(0)
+    chosen = np.unique(a[2])[:4]
+    model = {"chosen": chosen, "layout_mean": r.normal(size=n), "layout_spread": np.ones(n), "text": r.normal(size=4 + n + 1), "mean": r.normal(size=a[5].shape[1]), "spread": np.full(a[5].shape[1], 2.0), "page": r.normal(size=a[5].shape[1] + 1), "blend": np.array([0.7, 0.2, -0.1])}
+    text, page, both = cotrain.view_scores(model, *a[2:])
+    sets = np.split(a[2], np.cumsum(a[3])[:-1])
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for i in range(3):
+        t = sum(w for f, w in zip(chosen, model["text"]) if f in sets[i]) + np.clip(a[4][i] - model["layout_mean"], -8, 8) @ model["text"][4:-1] + model["text"][-1]
+        p = np.clip((a[5][i] - model["mean"]) / 2, -8, 8) @ model["page"][:-1] + model["page"][-1]
+        np.testing.assert_allclose([text[i], page[i], both[i]], [sigmoid(t), sigmoid(p), sigmoid(0.7 * np.clip(t, -15, 15) + 0.2 * np.clip(p, -15, 15) - 0.1)], atol=1e-4)
+
+
 def test_a_rare_class_is_learned_from_all_its_labels(spark, docs_of):
     r = random.Random(8)
     common, bad = [f"{a}{b}" for a in ("stone", "river", "light", "paper") for b in "abcdefghijklmnop"], ["vilea", "vileb", "vilec", "viled"]
