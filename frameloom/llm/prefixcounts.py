@@ -21,7 +21,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, filterfalse
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +31,9 @@ from . import pretokens as P
 from . import textkit as K
 
 LIMIT = 2048
-_MEMO_MOST = 800_000
+#: The memos of pieces and of token pairs are emptied at so many entries; longer pieces are not kept, so their bytes are bounded too.
+_MEMO_MOST, _MEMO_LONGEST = 500_000, 64
+_WORD = re.compile(r"[^ \t\n\r]+")
 
 
 class Vocabulary:
@@ -106,9 +108,11 @@ class Vocabulary:
         """Tokens of one piece."""
         have = self.counts.get(piece)
         if have is None:
-            if len(self.counts) > _MEMO_MOST:
-                self.counts.clear()
-            have = self.counts[piece] = self.table(P.as_bytes_shown(piece), False)[-1]
+            have = self.table(P.as_bytes_shown(piece), False)[-1]
+            if len(piece) <= _MEMO_LONGEST:
+                if len(self.counts) > _MEMO_MOST:
+                    self.counts.clear()
+                self.counts[piece] = have
         return have
 
     def pieces(self, segment: str) -> list[str]:
@@ -132,8 +136,6 @@ class Vocabulary:
                 try:
                     out += sum(map(get, pieces))
                 except TypeError:
-                    for p in set(filterfalse(self.counts.__contains__, pieces)):
-                        count(p)
                     out += sum(map(count, pieces))
         return out
 
@@ -144,48 +146,64 @@ class Vocabulary:
 class PrefixCounts:
     """Counts at every code-point prefix of one text, and the answers that follow from them.
 
-    Prefixes are of the text as it is given.  Where normalisation changes lengths (rare
-    characters, special strings), a prefix is answered from its last safe piece on.
+    Prefixes are of the text as it is given.  The text is a sequence of units, each counted once; a prefix is the
+    running sum of the whole units before it and a part of one unit.  Units are the tokenizer's pieces, but for a word that holds
+    a special string or whose normal form is not made character by character (composed or context-dependent
+    characters): such a word is one unit, and only its own part is looked at again when a prefix cuts it.
     """
 
     def __init__(self, vocabulary: Vocabulary, text: str | None):
         self.v, self.text = vocabulary, text or ""
-        self.plain = not (P.uncommon(self.text) or any(s in self.text for s in vocabulary.special)) and len(self.text.lower()) == len(self.text)
-        if self.plain:
-            self.spans = [m.span() for m in P.word_pieces(self.text.lower())]
-            self.starts = [a for a, _ in self.spans]
-            low = self.text.lower()
-            self.before = [0, *accumulate(vocabulary.count(low[a:b]) for a, b in self.spans)]
+        low = self.text.lower()
+        if not (P.uncommon(self.text) or any(s in self.text for s in vocabulary.special)) and len(low) == len(self.text):
+            self.spans = [m.span() for m in P.word_pieces(low)]
+            counts = (vocabulary.count(low[a:b]) for a, b in self.spans)
+            self.odd: set[int] = set()
+        else:
+            self.spans, counts, self.odd = [], [], set()
+            for m in _WORD.finditer(self.text):
+                pieces = self._pieces(m[0])
+                if pieces is None:
+                    self.odd.add(len(self.spans))
+                    pieces = [(0, len(m[0]), vocabulary.total(m[0]))]
+                self.spans += [(m.start() + a, m.start() + b) for a, b, _ in pieces]
+                counts += [n for *_, n in pieces]
+        self.starts = [a for a, _ in self.spans]
+        self.before = [0, *accumulate(counts)]
+
+    def _pieces(self, word: str) -> list[tuple[int, int, int]] | None:
+        """(start, end, tokens) of the pieces of a word without white space, if it is normalised character by character."""
+        if any(s in word for s in self.v.special):
+            return None
+        if not P.uncommon(word):
+            low = word.lower()
+            return [(*m.span(), self.v.count(m[0])) for m in P.word_pieces(low)] if len(low) == len(word) else None
+        normal = self.v.library.normalizer.normalize_str
+        shown = normal(word)
+        if len(shown) != len(word) or any(normal(a) != b for a, b in zip(word, shown)):
+            return None
+        return [(a, b, self.v.count(shown[a:b])) for _, (a, b) in self.v.library.pre_tokenizer.pre_tokenize_str(shown)]
 
     def at(self, prefix: int) -> int:
         """Tokens of text[:prefix]."""
         prefix = max(0, min(prefix, len(self.text)))
-        if not self.plain:
-            return self.v.total(self.text[:prefix])
         k = bisect_right(self.starts, prefix - 1)
         if not k:
             return 0
         a, b = self.spans[k - 1]
         if prefix >= b:
             return self.before[k]
-        part = self.text[a:prefix].lower()
-        # an apostrophe piece that is cut short splits as ordinary text
-        return self.before[k - 1] + sum(map(self.v.count, P.word_pieces_list(part)))
+        # a piece cut short splits as ordinary text: an apostrophe's letters, for one
+        return self.before[k - 1] + self.v.total(self.text[a:prefix])
 
     @property
     def total(self) -> int:
-        return self.before[-1] if self.plain else self.v.total(self.text)
+        return self.before[-1]
 
     def longest_within(self, budget: int) -> int:
-        """Length of the longest prefix that ends with a whole piece and has at most `budget` tokens."""
-        if self.plain:
-            k = bisect_right(self.before, budget) - 1
-            return len(self.text) if k == len(self.spans) else (self.spans[k - 1][1] if k else 0)
-        lo, hi = 0, len(self.text)
-        while lo < hi:  # counts of non-plain prefixes rise but for normalisation of a last character
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if self.at(mid) <= budget else (lo, mid - 1)
-        return lo
+        """Length of the longest prefix that ends with a whole unit and has at most `budget` tokens; all of the text if it fits."""
+        k = bisect_right(self.before, budget) - 1
+        return len(self.text) if k == len(self.spans) else (self.spans[k - 1][1] if k else 0)
 
 
 @lru_cache(maxsize=2)
@@ -196,8 +214,8 @@ def vocabulary(path: str) -> Vocabulary:
 def prefix_token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, fit_chars (longest whole-piece prefix within the limit).
 
-    A null text counts as empty: 0 bytes, 0 tokens, fit_chars 0.  Repeated rows are counted as rows;
-    other input columns are ignored; an empty table gives an empty result.
+    A null text counts as empty: 0 bytes, 0 tokens, fit_chars 0.  Texts are counted whole, however long.  Repeated
+    rows are counted as rows; other input columns are ignored; an empty table gives an empty result.
     """
     path = path or P.vocabulary("word_bpe_49k.json")
 
