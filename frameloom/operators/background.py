@@ -1,8 +1,8 @@
 """Background model: a coarse grid of trimmed medians, smoothed and subtracted.
 
-Cell statistics are aggregations over all pixels; from there on a frame has only a few hundred
-cells, which one task a frame fills and smooths.  The subtraction joins each pixel with the four
-cells around it (a small table) and is a projection.
+One aggregation gathers the pixels of each cell, and a kernel takes its medians; from there on a frame has only a
+few hundred cells.  The model is one row a frame, with its finished cells as an array; the subtraction joins
+pixels with it on the frame and is a projection.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ def cell_of(c: str, n: str, grid: int):
     return F.least(F.greatest(cell, F.lit(0)), count - 1).cast("int"), count.cast("int"), spacing
 
 
-def without_stars(pixels: DataFrame, stars: DataFrame, hfr_factor: float, by: list[str]) -> DataFrame:
-    """Pixels outside all discs of radius hfr * hfr_factor.
+def without_stars(pixels: DataFrame, stars: DataFrame, hfr_factor: float) -> DataFrame:
+    """Pixels, v NULL inside the discs of radius hfr * hfr_factor.
 
-    Discs are spelled out as pixels, so the exclusion is an equi anti-join.
+    Discs are spelled out as pixels, so the exclusion is an equi-join.
     """
     r = F.col("hfr") * hfr_factor
     span = lambda c: F.sequence(F.ceil(F.col(c) - r).cast("int"), F.floor(F.col(c) + r).cast("int"))
@@ -40,13 +40,14 @@ def without_stars(pixels: DataFrame, stars: DataFrame, hfr_factor: float, by: li
         .select("frame_id", F.col("x").alias("sx"), F.col("y").alias("sy"), r.alias("r"), F.explode(span("y")).alias("y"), span("x").alias("xs"))
         .select("frame_id", "sx", "sy", "r", "y", F.explode("xs").alias("x"))
         .where(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2) <= F.col("r") * F.col("r"))
-        .select("frame_id", "y", "x")
+        .select("frame_id", "y", "x", F.lit(True).alias("__covered"))
+        .distinct()
     )
-    return pixels.join(covered, ["frame_id", "y", "x"], "left_anti")
+    return pixels.join(covered, ["frame_id", "y", "x"], "left").withColumn("v", F.when(F.col("__covered").isNull(), F.col("v"))).drop("__covered")
 
 
 def cells(pixels: DataFrame, grid: int, sigma: float = 1.5, stars: DataFrame | None = None, hfr_factor: float = 4.0, by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
-    """by, cy, cx, ny, nx, v: the trimmed median of each cell; NULL for a cell without a free pixel.
+    """by, cy, cx, ny, nx, h, w, v: the trimmed median of each cell; NULL for a cell without a free pixel.
 
     Values up to median + sigma * 1.4826 * MAD (strict) are kept, and their median is taken.
     """
@@ -55,38 +56,48 @@ def cells(pixels: DataFrame, grid: int, sigma: float = 1.5, stars: DataFrame | N
     placed = pixels.join(sizes, by)
     (cy, ny, _), (cx, nx, _) = cell_of("y", "h", grid), cell_of("x", "w", grid)
     placed = placed.withColumn("cy", cy).withColumn("cx", cx).withColumn("ny", ny).withColumn("nx", nx)
-    key = [*by, "ny", "nx", "cy", "cx"]
-    free = placed.where("v IS NOT NULL")
+    key = [*by, "h", "w", "ny", "nx", "cy", "cx"]
     if stars is not None:
-        free = without_stars(free, stars, hfr_factor, by)
-    med = free.groupBy(*key).agg(F.median("v").alias("__m"))
-    dev = free.join(med, key)
-    mad = dev.groupBy(*key).agg(F.median(F.abs(F.col("v") - F.col("__m"))).alias("__d"))
-    trimmed = dev.join(mad, key).where(F.col("v") < F.col("__m") + sigma * MAD_TO_SIGMA * F.col("__d"))
-    value = trimmed.groupBy(*key).agg(F.median("v").alias("v"))
-    return placed.select(*key).distinct().join(value, key, "left").join(med, key, "left").select(*key, F.coalesce("v", "__m").alias("v"))
+        placed = without_stars(placed, stars, hfr_factor)
+
+    @F.pandas_udf("double")
+    def trimmed(values: pd.Series) -> pd.Series:
+        return pd.Series([trimmed_median(np.asarray(v, float), sigma) for v in values])
+
+    held = placed.groupBy(*key).agg(F.collect_list(F.col("v").cast("double")).alias("__v"))  # pixels of one cell, missing ones left out
+    return held.select(*key, F.when(F.size("__v") > 0, trimmed("__v")).alias("v"))
+
+
+def trimmed_median(v: np.ndarray, sigma: float) -> float:
+    if not len(v):
+        return np.nan
+    m = np.median(v)
+    low = v[v < m + sigma * MAD_TO_SIGMA * np.median(np.abs(v - m))]
+    return float(np.median(low)) if len(low) else float(m)
 
 
 def finished(grid_cells: DataFrame, clip: int = 0, by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
-    """Clip the `clip` brightest cells, fill missing cells from neighbours, smooth with a 3x3 Gaussian (sigma 0.5)."""
+    """by, h, w, ny, nx, model: cells of a frame as one array, row by row.
+
+    The `clip` brightest cells go, missing cells are filled from neighbours, and a 3x3 Gaussian (sigma 0.5) smooths them.
+    """
     by = list(by)
-    schema = ", ".join(f"{c} {grid_cells.schema[c].dataType.simpleString()}" for c in by) + ", ny int, nx int, cy int, cx int, v double"
     side = _cell_weight()
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        ny, nx = int(part["ny"].iloc[0]), int(part["nx"].iloc[0])
-        a = np.full((ny, nx), np.nan)
-        a[part["cy"].to_numpy(), part["cx"].to_numpy()] = part["v"].to_numpy(float)
-        known = np.sort(a[~np.isnan(a)])[::-1]
-        if 0 < clip < len(known):
-            a[a >= known[clip - 1]] = np.nan
-        a = filled(a)
-        smooth = weighted(a, side)
-        y, x = np.indices(a.shape)
-        out = pd.DataFrame({c: k for c, k in zip(by, key)} | {"ny": ny, "nx": nx, "cy": y.ravel(), "cx": x.ravel(), "v": smooth.ravel()}, index=range(a.size))
-        return out[[*by, "ny", "nx", "cy", "cx", "v"]]
+    @F.pandas_udf("array<double>")
+    def model(ny: pd.Series, nx: pd.Series, cells: pd.DataFrame) -> pd.Series:
+        out = []
+        for rows, columns, cy, cx, v in zip(ny, nx, cells["cy"], cells["cx"], cells["v"]):
+            a = np.full((rows, columns), np.nan)
+            a[np.asarray(cy, int), np.asarray(cx, int)] = np.asarray(v, float)
+            known = np.sort(a[~np.isnan(a)])[::-1]
+            if 0 < clip < len(known):
+                a[a >= known[clip - 1]] = np.nan
+            out.append(weighted(filled(a), side).ravel())
+        return pd.Series(out)
 
-    return grid_cells.groupBy(*by).applyInPandas(run, schema)
+    frames = grid_cells.groupBy(*by, "h", "w", "ny", "nx").agg(F.collect_list(F.struct("cy", "cx", F.coalesce("v", F.lit(float("nan"))).alias("v"))).alias("c"))
+    return frames.select(*by, "h", "w", "ny", "nx", model("ny", "nx", F.struct(F.col("c.cy").alias("cy"), F.col("c.cx").alias("cx"), F.col("c.v").alias("v"))).alias("model"))
 
 
 def filled(a: np.ndarray) -> np.ndarray:
@@ -128,23 +139,18 @@ def subtract(pixels: DataFrame, model: DataFrame, by: tuple[str, ...] = ("frame_
 
     An axis with one cell is constant along it.
     """
-    by = list(by)
-    sizes = pixels.groupBy(*by).agg((F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
-    counts = model.select(*by, "ny", "nx").distinct()
-    placed = pixels.join(sizes.join(counts, by), by)
-    for c, n, size in (("y", "ny", "__h"), ("x", "nx", "__w")):
+    renamed = model.select(*by, *[F.col(c).alias(f"__{c}") for c in ("h", "w", "ny", "nx", "model")])
+    placed = pixels.join(renamed, list(by))
+    for c, n, size in (("y", "__ny", "__h"), ("x", "__nx", "__w")):
         at = (F.col(c) + 0.5) / (F.col(size) / F.col(n)) - 0.5
         low = F.greatest(F.least(F.floor(at), F.col(n) - 2), F.lit(0)).cast("int")
         placed = placed.withColumn(f"__{c}0", low).withColumn(f"__{c}f", F.when(F.col(n) > 1, at - low).otherwise(0.0))
-    corner = lambda dy, dx: model.select(*by, (F.col("cy") - dy).alias("__y0"), (F.col("cx") - dx).alias("__x0"), F.col("v").alias(f"__m{dy}{dx}"))
-    # the four cells of each place side by side: one small table, one join with the pixels
-    quads = corner(0, 0)
-    for dy, dx in ((0, 1), (1, 0), (1, 1)):
-        quads = quads.join(corner(dy, dx), [*by, "__y0", "__x0"], "left")
-    joined = placed.join(quads, [*by, "__y0", "__x0"], "left")
-    m = {k: F.coalesce(f"__m{k}", "__m00") for k in ("00", "01", "10", "11")}
-    top = m["00"] + (m["01"] - m["00"]) * F.col("__xf")
-    bottom = m["10"] + (m["11"] - m["10"]) * F.col("__xf")
-    background = top + (bottom - top) * F.col("__yf")
-    out = joined.withColumn("background", background).withColumn("v", F.col("v") - F.col("background"))
-    return out.select(*pixels.columns, *(["background"] if keep_background else []))
+    corner = lambda dy, dx: F.get("__model", F.least(F.col("__y0") + dy, F.col("__ny") - 1) * F.col("__nx") + F.least(F.col("__x0") + dx, F.col("__nx") - 1))
+    for dy, dx in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        placed = placed.withColumn(f"__m{dy}{dx}", corner(dy, dx))
+    top = F.col("__m00") + (F.col("__m01") - F.col("__m00")) * F.col("__xf")
+    bottom = F.col("__m10") + (F.col("__m11") - F.col("__m10")) * F.col("__xf")
+    out = placed.withColumn("background", top + (bottom - top) * F.col("__yf"))
+    if not keep_background:
+        return out.withColumn("v", F.col("v") - F.col("background")).select(*pixels.columns)
+    return out.withColumn("v", F.col("v") - F.col("background")).select(*pixels.columns, "background")

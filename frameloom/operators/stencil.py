@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 import pandas as pd
@@ -20,46 +19,52 @@ GREEN_NINE = [(0, 0), (-1, -1), (-1, 1), (1, -1), (1, 1), (-2, 0), (2, 0), (0, -
 
 
 def _nanmedian(stack: list[np.ndarray]) -> np.ndarray:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", RuntimeWarning)
-        return np.nanmedian(np.stack(stack), axis=0)
+    """Median over a short list of arrays, NaN left out."""
+    a = np.sort(np.stack(stack), axis=0)  # NaN sort last
+    n = (~np.isnan(a)).sum(axis=0)[None]
+    at = lambda k: np.take_along_axis(a, np.maximum(k, 0), axis=0)[0]
+    return (at((n - 1) // 2) + at(n // 2).copy()) / 2 if len(stack) > 1 else a[0]
 
 
-def median3x3(pixels: DataFrame, by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
-    """3x3 median; border pixels keep their value."""
+def _nanmean(stack: list[np.ndarray]) -> np.ndarray:
+    a = np.stack(stack)
+    n = (~np.isnan(a)).sum(axis=0)
+    return np.where(n > 0, np.nansum(a, axis=0) / np.maximum(n, 1), np.nan)
+
+
+def _median3x3(a, y0, x0, h, w):
+    return np.where(_inner(a, y0, x0, h, w, 1), _nanmedian([shifted(a, dy, dx) for dy, dx in NINE]), a)
 
-    def kernel(a, y0, x0, h, w):
-        out = _nanmedian([shifted(a, dy, dx) for dy, dx in NINE])
-        return np.where(_inner(a, y0, x0, h, w, 1), out, a)
 
-    return tiled(pixels, kernel, 1, by)
+def median3x3(pixels: DataFrame, by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
+    """3x3 median; border pixels keep their value."""
+    return tiled(pixels, _median3x3, 1, by)
 
 
 def _inner(a: np.ndarray, y0: int, x0: int, h: int, w: int, margin: int) -> np.ndarray:
-    y, x = np.arange(a.shape[0])[:, None] + y0, np.arange(a.shape[1])[None, :] + x0
+    y, x = np.arange(a.shape[-2])[:, None] + y0, np.arange(a.shape[-1])[None, :] + x0
     return (y >= margin) & (y < h - margin) & (x >= margin) & (x < w - margin)
 
 
-def _replace_outliers(pixels: DataFrame, medians: DataFrame, by: tuple[str, ...], low: float, high: float, on_lattice: Column | None = None) -> DataFrame:
-    """Replace samples whose difference to the median is beyond -low / +high population standard deviations, all at once.
+def _replace_outliers(pixels: DataFrame, kernel, halo: int, by: tuple[str, ...], low: float, high: float, on_lattice: Column | None = None) -> DataFrame:
+    """Replace samples whose difference to the kernel's median is beyond -low / +high population standard deviations, all at once.
 
-    Returns the pixel columns and `bad`.
+    Returns the pixel columns and `bad`.  One pass over the tiles gives samples and medians side by side.
     """
-    by = list(by)
-    both = pixels.join(medians.select(*by, "y", "x", F.col("v").alias("__m")), [*by, "y", "x"])
+    both = tiled(pixels, lambda a, *at: (a, kernel(a, *at)), halo, by, names=("v", "__m"))
     d = F.col("v") - F.col("__m")
     counted = both if on_lattice is None else both.where(on_lattice)
     sigma = counted.groupBy(*by).agg(F.stddev_pop(d).alias("__s"))
     bad = (d < -low * F.col("__s")) | (d > high * F.col("__s"))
     bad = F.coalesce(bad if on_lattice is None else bad & on_lattice, F.lit(False))
-    return both.join(sigma, by).withColumn("bad", bad).withColumn("v", F.when(F.col("bad"), F.col("__m")).otherwise(F.col("v"))).select(*pixels.columns, "bad")
+    return both.join(sigma, list(by)).withColumn("bad", bad).withColumn("v", F.when(F.col("bad"), F.col("__m")).otherwise(F.col("v"))).select(*pixels.columns, "bad")
 
 
 def bad_pixels(pixels: DataFrame, low: float = 3.0, high: float = 5.0, by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
     """Cosmetic correction of mono frames against the 3x3 median; border samples are never bad."""
     if low == 0 or high == 0:
         return pixels.withColumn("bad", F.lit(False))
-    return _replace_outliers(pixels, median3x3(pixels, by), by, low, high)
+    return _replace_outliers(pixels, _median3x3, 1, by, low, high)
 
 
 def lattice(channel: str, cfa: str) -> Column:
@@ -82,7 +87,7 @@ def bad_pixels_bayer(pixels: DataFrame, channel: str, cfa: str = "RGGB", low: fl
     def kernel(a, y0, x0, h, w):
         return _nanmedian([shifted(a, dy, dx) for dy, dx in offsets])
 
-    return _replace_outliers(pixels, tiled(pixels, kernel, 2, by), by, low, high, lattice(channel, cfa))
+    return _replace_outliers(pixels, kernel, 2, by, low, high, lattice(channel, cfa))
 
 
 def debayer(pixels: DataFrame, channel: str, cfa: str = "RGGB", by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
@@ -99,16 +104,14 @@ def debayer(pixels: DataFrame, channel: str, cfa: str = "RGGB", by: tuple[str, .
 
     def kernel(a, y0, x0, h, w):
         h, w = h & ~1, w & ~1
-        y, x = np.arange(a.shape[0])[:, None] + y0, np.arange(a.shape[1])[None, :] + x0
+        y, x = np.arange(a.shape[-2])[:, None] + y0, np.arange(a.shape[-1])[None, :] + x0
         a = np.where((y < h) & (x < w), a, np.nan)
         px, py = (x - xo) & 1, (y - yo) & 1
         own = {"R": (px == 0) & (py == 0), "B": (px == 1) & (py == 1), "G": px != py}[c]
         s = np.where(own, a, np.nan)
 
         def mean(*offsets):
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore", RuntimeWarning)
-                return np.nanmean(np.stack([shifted(s, dy, dx) for dy, dx in offsets]), axis=0)
+            return _nanmean([shifted(s, dy, dx) for dy, dx in offsets])
 
         cross, row, col, diagonal = mean((0, -1), (0, 1), (-1, 0), (1, 0)), mean((0, -1), (0, 1)), mean((-1, 0), (1, 0)), mean((-1, -1), (-1, 1), (1, -1), (1, 1))
         if c == "G":
@@ -134,12 +137,6 @@ def bin_pixels(pixels: DataFrame, n: int = 1, by: tuple[str, ...] = ("frame_id",
     return inside.groupBy(*by, F.floor(F.col("y") / n).cast("int").alias("y"), F.floor(F.col("x") / n).cast("int").alias("x")).agg(F.avg("v").alias("v"))
 
 
-def _median_of(a: Column) -> Column:
-    n = F.size(a)
-    at = lambda i: F.element_at(a, i.cast("int"))
-    return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
-
-
 def deband(pixels: DataFrame, location_scale: DataFrame, percentile: float = 50.0, window: int = 128, sigma: float = 3.0, vertical: bool = False, by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
     """Multiply each row (column if vertical) by the windowed median of row levels over its own.
 
@@ -153,29 +150,40 @@ def deband(pixels: DataFrame, location_scale: DataFrame, percentile: float = 50.
     by = list(by)
     line = "x" if vertical else "y"
     low = pixels.join(location_scale.select(*by, "location", "scale"), by).where(F.col("v") <= F.col("location") + sigma * F.col("scale"))
-    order = Window.partitionBy(*by, line).orderBy("v")
-    ranked = low.withColumn("__r", F.row_number().over(order)).withColumn("__n", F.count("v").over(Window.partitionBy(*by, line)))
-    k = F.greatest(F.floor(F.col("__n") * percentile / 100), F.lit(1))
-    levels = ranked.where(F.col("__r") == k).select(*by, line, F.col("v").alias("level"))
-    # a frame's levels are as many as it has rows; windows over them are slices of one sorted array
-    arrays = levels.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(line, "level"))).alias("a"))
-    a = F.col("a.level")
-    n = F.size(a)
-    w = F.least(F.lit(window), n)
-    half = F.floor(w / 2).cast("int")
-    start = (F.col("i") - half).cast("int")
-    lo = F.greatest(F.lit(0), F.least(start, n - w)).cast("int")
-    missing = (start - lo).cast("int")  # < 0 at the low edge, > 0 at the high edge
-    part = F.slice(a, lo + 1, w)
-    left, right = F.slice(part, F.lit(1), F.greatest(half, F.lit(1))), F.slice(part, half + 1, F.greatest(w - half, F.lit(1)))
-    l, r = _median_of(F.array_sort(left)), _median_of(F.array_sort(right))
-    centre, slope = (l + r) / 2, (r - l) / F.greatest(half, F.lit(1))
-    m = F.abs(missing)
-    outside = F.when(m > 0, F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda j: centre + F.signum(missing) * slope * (half + j))).otherwise(F.array().cast("array<double>"))
-    rest = F.when(missing < 0, F.slice(part, F.lit(1), F.greatest(w - m, F.lit(0)))).otherwise(F.slice(part, m + 1, F.greatest(w - m, F.lit(0))))
-    smooth = _median_of(F.array_sort(F.concat(rest, outside)))
-    lines = arrays.select("*", F.posexplode("a").alias("i", "own")).select(*by, F.col(f"own.{line}").alias(line), F.when(F.col("own.level") != 0, smooth / F.col("own.level")).otherwise(1.0).alias("factor"))
-    return pixels.join(lines, [*by, line], "left").withColumn("v", F.col("v") * F.coalesce("factor", F.lit(1.0))).select(*pixels.columns)
+    ordered = low.groupBy(*by, line).agg(F.sort_array(F.collect_list("v")).alias("a"))  # values of one line of a frame
+    k = F.greatest(F.floor(F.size("a") * percentile / 100), F.lit(1)).cast("int")
+    levels = ordered.select(*by, F.struct(line, F.element_at("a", k).alias("level")).alias("l"))
+
+    @F.pandas_udf("array<double>")
+    def factors(lines: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([_line_factors(np.asarray(i), np.asarray(a, float), window) for i, a in zip(lines, values)])
+
+    # one row a frame: its levels, as many as it has lines
+    frames = levels.groupBy(*by).agg(F.sort_array(F.collect_list("l")).alias("l")).select(*by, factors(F.col(f"l.{line}"), F.col("l.level")).alias("__factors"))
+    factor = F.get("__factors", F.col(line))
+    return pixels.join(frames, by, "left").withColumn("v", F.col("v") * F.coalesce(factor, F.lit(1.0))).select(*pixels.columns)
+
+
+def _line_factors(lines: np.ndarray, a: np.ndarray, window: int) -> np.ndarray:
+    """Factor of every line up to the last one that has a level; 1 for the others."""
+    n = len(a)
+    w = min(window, n)
+    half = w // 2
+    start = np.arange(n) - half
+    lo = np.clip(start, 0, n - w)
+    missing = start - lo  # < 0 at the low edge, > 0 at the high edge
+    part = a[lo[:, None] + np.arange(w)]
+    left = np.median(part[:, : max(half, 1)], axis=1)
+    right = np.median(part[:, half:], axis=1)
+    centre, slope = (left + right) / 2, (right - left) / max(half, 1)
+    smooth = np.median(part, axis=1)
+    for i in np.flatnonzero(missing):
+        m = abs(missing[i])
+        rest = part[i, : w - m] if missing[i] < 0 else part[i, m:]
+        smooth[i] = np.median(np.concatenate([rest, centre[i] + np.sign(missing[i]) * slope[i] * (half + np.arange(1, m + 1))]))
+    out = np.ones(int(lines.max()) + 1)
+    out[lines] = np.where(a != 0, smooth / np.where(a != 0, a, 1), 1.0)
+    return out
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -199,6 +207,7 @@ def reflected(i: np.ndarray, n: int) -> np.ndarray:
 def blurred(a: np.ndarray, y0: int, x0: int, h: int, w: int, taps: list[float]) -> np.ndarray:
     r = len(taps) // 2
     for axis, (start, n) in ((1, (x0, w)), (0, (y0, h))):
+        axis -= 2
         size = a.shape[axis]
         total = np.zeros(a.shape)
         for k, t in enumerate(taps):
