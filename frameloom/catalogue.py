@@ -1,8 +1,8 @@
 """All registered queries of the image engine, and the same in DuckDB's SQL.
 
 Queries call the operators on the relations of ``views``; the SQL is written independently
-of them.  Operators that loop on data (linear fit, greedy filters, the iterative stretch) or
-leave SQL (colour spaces, files) have no SQL and are tested against brute force.
+of them; operators that loop on data are recursive there.  What leaves SQL (star detection, files) has none and is
+tested against brute force.
 """
 
 from __future__ import annotations
@@ -144,12 +144,54 @@ def stack_sigma_clip_weighted(spark, sf_dir):
     return _weighted(spark, sf_dir, stack.Weighting.EXPOSURE, stack.StackMode.SIGMA)
 
 
-@query()
+_LISTS = PX.replace("WITH ", "WITH RECURSIVE ", 1) + ", ls0 AS (SELECT session, y, x, list(v ORDER BY v) AS a FROM pm WHERE v IS NOT NULL GROUP BY 1, 2, 3)"
+_SD, _MEAN = "list_aggregate({0}, 'stddev_pop')", "list_aggregate({0}, 'avg')"
+
+
+def _winsor_sql(low: float, high: float, weighted: bool = False) -> str:
+    """One row a step: the set a, its winsorised form b and sigma; phase 0 pulls b in, 1 clips a, 2 is done.
+
+    With weights the lists hold values, and w the weights beside them; the result is the weighted mean of what is left.
+    """
+    clip = "list_transform(b, lambda v: least(greatest(v, m - 1.5 * s), m + 1.5 * s))"
+    inside = f"v >= m - {low} * s AND v <= m + {high} * s"
+    kept = f"list_filter(a, lambda v: {inside})"
+    kept_w = f"list_filter(w, lambda v, i: a[i] >= m - {low} * s AND a[i] <= m + {high} * s)"
+    value = "list_sum(list_transform(na, lambda v, i: v * nw[i])) / list_sum(nw)" if weighted else _MEAN.format("a")
+    w = "list(w ORDER BY v, w)" if weighted else "list(1 ORDER BY v)"
+    source = f"(SELECT session, y, x, list(v ORDER BY v{', w' if weighted else ''}) AS a, {w} AS w FROM pm {'JOIN wt USING (frame_id) ' if weighted else ''}WHERE v IS NOT NULL GROUP BY 1, 2, 3)"
+    return f""", it AS (SELECT session, y, x, 0 AS i, a, w, a AS b, list_median(a) AS m, {_SD.format('a')} AS s, 0 AS phase, CAST(NULL AS DOUBLE) AS r, CAST(0 AS BIGINT) AS lo, CAST(0 AS BIGINT) AS hi FROM {source}
+UNION ALL SELECT session, y, x, i + 1, CASE WHEN phase = 1 THEN na ELSE a END, CASE WHEN phase = 1 THEN nw ELSE w END, CASE WHEN phase = 1 THEN na ELSE nb END, CASE WHEN phase = 1 THEN list_median(na) ELSE m END, CASE WHEN phase = 1 THEN {_SD.format('na')} ELSE ns END,
+  CASE WHEN phase = 0 THEN CASE WHEN nb <> b AND abs(ns - s) > 5e-4 * s THEN 0 ELSE 1 END ELSE CASE WHEN len(na) < len(a) AND len(na) > 1 THEN 0 ELSE 2 END END,
+  CASE WHEN phase = 1 THEN {value} ELSE r END, CASE WHEN phase = 1 THEN lo + len(list_filter(a, lambda v: v < m - {low} * s)) ELSE lo END, CASE WHEN phase = 1 THEN hi + len(list_filter(a, lambda v: v > m + {high} * s)) ELSE hi END
+FROM (SELECT *, 1.134 * {_SD.format('nb')} AS ns FROM (SELECT *, {clip} AS nb, {kept} AS na, {kept_w} AS nw FROM it WHERE phase < 2)))
+SELECT session, y, x, round(r, 6) AS v, lo AS n_low, hi AS n_high FROM it WHERE phase = 2"""
+
+
+@query(PX.replace("WITH ", "WITH RECURSIVE ", 1) + _winsor_sql(2.75, 2.75))
 def stack_winsor(spark, sf_dir):
     return _stacked(spark, sf_dir, stack.StackMode.WINSOR_SIGMA)
 
 
-@query()
+@query(PX.replace("WITH ", "WITH RECURSIVE ", 1) + ", wt AS (SELECT frame_id, exposure AS w FROM fm)" + _winsor_sql(2.75, 2.75, True))
+def stack_winsor_weighted(spark, sf_dir):
+    return _weighted(spark, sf_dir, stack.Weighting.EXPOSURE, stack.StackMode.WINSOR_SIGMA)
+
+
+def _line_sql(low: float, high: float) -> str:
+    """One row a pass: the sorted set, its line against ranks from 0, the mean absolute residual, and what the pass drops."""
+    n = "len(a)"
+    slope = f"list_sum(list_transform(a, lambda v, i: (i - 1 - mx) * (v - my))) / ({n} + 1) / nullif(list_sum(list_transform(a, lambda v, i: (i - 1 - mx) ** 2)) / {n}, 0)"
+    return f""", it AS (SELECT session, y, x, 0 AS i, a, CAST(NULL AS DOUBLE) AS r, CAST(0 AS BIGINT) AS lo, CAST(0 AS BIGINT) AS hi, FALSE AS done FROM ls0
+UNION ALL SELECT session, y, x, i + 1, na, my, lo + nlo, hi + nhi, nlo + nhi = 0 OR len(na) < 3 FROM (
+  SELECT *, list_filter(a, lambda v, i: f[i] - v <= {low} * s AND v - f[i] <= {high} * s) AS na, len(list_filter(a, lambda v, i: f[i] - v > {low} * s)) AS nlo, len(list_filter(a, lambda v, i: v - f[i] > {high} * s)) AS nhi FROM (
+    SELECT *, list_sum(list_transform(a, lambda v, i: abs(v - f[i]))) / {n} AS s FROM (
+      SELECT *, list_transform(a, lambda v, i: my + sl * (i - 1 - mx)) AS f FROM (
+        SELECT *, coalesce({slope}, 0) AS sl FROM (SELECT *, ({n} - 1) / 2.0 AS mx, {_MEAN.format('a')} AS my FROM it WHERE NOT done))))))
+SELECT session, y, x, round(r, 6) AS v, lo AS n_low, hi AS n_high FROM it WHERE done"""
+
+
+@query(_LISTS + _line_sql(2.75, 2.75))
 def stack_linear_fit(spark, sf_dir):
     return _stacked(spark, sf_dir, stack.StackMode.LINEAR_FIT)
 
@@ -219,17 +261,43 @@ def linreg_rank(spark, sf_dir):
     return _round(stats.rank_regression(V.px_missing(spark, sf_dir), FRAME), "slope", "intercept")
 
 
-@query()
+_VALUES = PX.replace("WITH ", "WITH RECURSIVE ", 1) + ", va AS (SELECT frame_id, list(v ORDER BY v) AS a FROM px GROUP BY 1)"
+
+
+_IKSS_SQL = """, it AS (SELECT frame_id, a, 0 AS i, CAST(1 AS DOUBLE) AS last, CAST(NULL AS DOUBLE) AS l, CAST(NULL AS DOUBLE) AS s, FALSE AS done FROM va
+UNION ALL SELECT frame_id, CASE WHEN m IS NULL THEN a ELSE list_filter(a, lambda v: v >= m - 4 * bw AND v <= m + 4 * bw) END, i + 1, bw, m, CASE WHEN d = 0 OR bw = 0 THEN 0 ELSE 0.991 * bw END, d = 0 OR bw = 0 OR last - bw < bw * 1e-3 FROM (
+  SELECT *, CASE WHEN d = 0 THEN 0 ELSE sqrt(len(a) * list_sum(list_transform(k, lambda e: e.d2 * (1 - e.u2) ** 4))) / abs(list_sum(list_transform(k, lambda e: (1 - e.u2) * (1 - 5 * e.u2)))) END AS bw FROM (
+    SELECT *, list_filter(list_transform(a, lambda v: {'d2': (v - m) ** 2, 'u2': ((v - m) / (9 * nullif(d, 0))) ** 2}), lambda e: e.u2 < 1) AS k FROM (
+      SELECT *, list_median(list_transform(a, lambda v: abs(v - m))) AS d FROM (SELECT *, list_median(a) AS m FROM it WHERE NOT done)))))
+SELECT frame_id, round(l, 6) AS location, round(s, 6) AS scale FROM it WHERE done"""
+
+
+@query(_VALUES + _IKSS_SQL)
 def stats_ikss(spark, sf_dir):
     return _round(stats.location_scale(V.px(spark, sf_dir), FRAME, stats.Estimator.IKSS), "location", "scale")
 
 
-@query()
+def _qn_sql(a: str) -> str:
+    """2.21914 times the (floor(pairs / 4) + 1)-th smallest distance of two values."""
+    pairs = f"list_sort(flatten(list_transform({a}, lambda p, j: list_transform({a}[j + 1 :], lambda q: abs(q - p)))))"
+    return f"CASE WHEN len({a}) < 2 THEN 0 ELSE 2.21914 * {pairs}[(len({a}) * (len({a}) - 1) // 2) // 4 + 1] END"
+
+
+_CLIPPED_SQL = f""", it AS (SELECT frame_id, a, 0 AS i, list_median(a) AS l, {_qn_sql('a')} AS s, {_qn_sql('a')} AS whole, (list_max(a) - list_min(a)) / 65535 AS eps, FALSE AS done FROM va
+UNION ALL SELECT frame_id, a, i + 1, CASE WHEN stop THEN l ELSE nl END, CASE WHEN stop THEN s ELSE ns END, whole, eps, stop OR i >= 9 FROM (
+  SELECT *, len(ins) = 0 OR abs(nl - l) + abs(ns - s) <= eps AS stop FROM (
+    SELECT *, list_median(ins) AS nl, 1.134 * ({_qn_sql('ins')}) AS ns FROM (SELECT *, list_filter(a, lambda v: abs(v - l) <= 2 * s) AS ins FROM it WHERE NOT done))))
+SELECT frame_id, round(l, 6) AS location, round(whole, 6) AS scale FROM it WHERE done"""
+
+
+@query(_VALUES + _CLIPPED_SQL)
 def stats_clipped_median_qn(spark, sf_dir):
     return _round(stats.location_scale(V.px(spark, sf_dir), FRAME, stats.Estimator.CLIPPED_MEDIAN_QN), "location", "scale")
 
 
-@query()
+@query(_VALUES + """, it AS (SELECT frame_id, a FROM va
+UNION ALL SELECT frame_id, a[i : i + k - 1] FROM (SELECT *, list_position(r, list_min(r)) AS i FROM (SELECT *, list_transform(a[k :], lambda v, j: v - a[j]) AS r FROM (SELECT *, (len(a) + 1) // 2 AS k FROM it WHERE len(a) > 2))))
+SELECT frame_id, round(list_aggregate(a, 'avg'), 6) AS mode FROM it WHERE len(a) <= 2""")
 def stats_half_sample_mode(spark, sf_dir):
     return _round(stats.half_sample_mode(V.px(spark, sf_dir), FRAME), "mode")
 
@@ -298,7 +366,21 @@ def scale_black(spark, sf_dir):
     return _px_out(pixelmath.scale_black(V.px01(spark, sf_dir), 0.2, _ls1(spark, sf_dir)))
 
 
-@query()
+def _stretch_sql(source: str, key: str, location: float, scale: float) -> str:
+    """st: key, a (all values of a frame).  One row a round: values, their median and scaled MAD, the next step."""
+    black = f"CASE WHEN {{0}} > {location} THEN ({location} - ({{0}})) / ({location} - 1) ELSE 0 END"
+    after = f"abs(s * (1 / (1 + i / 100.0)) * m ** (1 / (1 + i / 100.0) - 1) / (1 - ({black.format('m ** (1 / (1 + i / 100.0))')})) - {scale})"
+    low, high = f"m <= 1.01 * {location} AND s < {scale}", f"m > 0.99 * {location} AND s < {scale} AND abs(m - {location}) > 0.001 * {location}"
+    measured = "SELECT {0}, a, i, m, 1.4826 * list_median(list_transform(a, lambda v: abs(v - m))) AS s FROM (SELECT {0}, a, i, list_median(a) AS m FROM {1})"
+    chosen = f"SELECT *, CASE WHEN i >= 50 OR m <= 0 OR m >= 1 THEN 0 WHEN {low} THEN 1 + (list_position(gs, list_min(gs)) - 1) / 100.0 WHEN {high} THEN 1 ELSE 0 END AS g0, m <= 1.01 * {location} AS faint FROM (SELECT *, list_transform(range(0, 401), lambda i: {after}) AS gs FROM ({{0}}))"
+    step = f"SELECT *, CASE WHEN faint AND g0 <= 1.01 THEN 0 ELSE g0 END AS g FROM ({chosen})"
+    stepped = f"SELECT *, {black.format('m ** (1 / g)')} AS b FROM ({step}) WHERE g > 0"
+    moved = f"SELECT {key}, list_transform(a, lambda v: CASE WHEN v > 0 THEN greatest((v ** (1 / g) - b) / (1 - b), 0) ELSE greatest(-b / (1 - b), 0) END) AS a, i + 1 AS i FROM ({stepped})"
+    return f""", rs AS (SELECT {key}, a, 0 AS i FROM {source} UNION ALL ({moved.format(measured.format(key, 'rs'))})),
+st AS (SELECT {key}, arg_max(a, i) AS a FROM rs GROUP BY 1) """
+
+
+@query(PX.replace("WITH ", "WITH RECURSIVE ", 1) + _stretch_sql("(SELECT frame_id, list(v ORDER BY y, x) AS a FROM p1 GROUP BY 1)", "frame_id", 0.3, 0.2) + _OUT.format("a[y * 8 + x + 1]") + "p1 JOIN st USING (frame_id)")
 def stretch(spark, sf_dir):
     return _px_out(pixelmath.stretch(V.px01(spark, sf_dir), 0.3, 0.2))
 
@@ -384,6 +466,16 @@ def badpixel_bayer_g(spark, sf_dir):
     return _round(stencil.bad_pixels_bayer(V.px(spark, sf_dir), "G", "RGGB", 2.0, 2.0).select("frame_id", "y", "x", "v", "bad"), "v")
 
 
+@query(_bayer_sql("{0}.y % 2 = 0 AND {0}.x % 2 = 0", "(-2,-2),(-2,0),(-2,2),(0,-2),(0,0),(0,2),(2,-2),(2,0),(2,2)"))
+def badpixel_bayer_b_bggr(spark, sf_dir):
+    return _round(stencil.bad_pixels_bayer(V.px(spark, sf_dir), "B", "BGGR", 2.0, 2.0).select("frame_id", "y", "x", "v", "bad"), "v")
+
+
+@query(_bayer_sql("{0}.y % 2 = 0 AND {0}.x % 2 = 1", "(-2,-2),(-2,0),(-2,2),(0,-2),(0,0),(0,2),(2,-2),(2,0),(2,2)"))
+def badpixel_bayer_r_grbg(spark, sf_dir):
+    return _round(stencil.bad_pixels_bayer(V.px(spark, sf_dir), "R", "GRBG", 2.0, 2.0).select("frame_id", "y", "x", "v", "bad"), "v")
+
+
 @query(PX + "SELECT frame_id, CAST(y // 3 AS INTEGER) AS y, CAST(x // 3 AS INTEGER) AS x, round(avg(v), 6) AS v FROM pm WHERE y < 6 AND x < 6 GROUP BY 1, 2, 3")
 def bin3x3(spark, sf_dir):
     return _px_out(stencil.bin_pixels(V.px_missing(spark, sf_dir), 3))
@@ -394,29 +486,28 @@ def bin2x2(spark, sf_dir):
     return _px_out(stencil.bin_pixels(V.px(spark, sf_dir), 2))
 
 
-def _debayer_sql(own: str, row: str, col: str) -> str:
-    """Mean of the nearest samples of the colour in the frame."""
-    near = "SELECT a.frame_id, a.y, a.x, avg(b.v) AS v FROM px a, (VALUES {0}) o(dy, dx), px b WHERE b.frame_id = a.frame_id AND b.y = a.y + dy AND b.x = a.x + dx AND {1} AND NOT ({2}) GROUP BY 1, 2, 3"
-    b = own.format("b")
-    a = own.format("a")
-    cross = near.format("(0,-1),(0,1),(-1,0),(1,0)", b, a)
-    diagonal = near.format("(-1,-1),(-1,1),(1,-1),(1,1)", b, a)
-    return PX + f", c AS ({cross}), d AS ({diagonal}) SELECT px.frame_id, px.y, px.x, round(CASE WHEN {own.format('px')} THEN px.v ELSE coalesce(c.v, d.v) END, 6) AS v FROM px LEFT JOIN c USING (frame_id, y, x) LEFT JOIN d USING (frame_id, y, x)"
-
+def _debayer_sql(channel: str, xo: int = 0, yo: int = 0) -> str:
+    """The four formulas of a 2 x 2 cell, its neighbours by lag and lead along rows and columns; e: this sample or, outside the frame, the cell's."""
+    near, far = "2 / (2 + sqrt(2))", "sqrt(2) / (2 + sqrt(2))"
+    cell = {
+        "R": ("v", "(l + coalesce(r, l)) / 2", "(u + coalesce(d, u)) / 2", "(ul + coalesce(ur, ul) + coalesce(dl, ul) + coalesce(dr, ul)) / 4"),
+        "G": (f"(r + d + coalesce(l, {near} * r + {far} * d) + coalesce(u, {far} * r + {near} * d)) / 4", "v", "v", f"(u + l + coalesce(r, {near} * u + {far} * l) + coalesce(d, {far} * u + {near} * l)) / 4"),
+        "B": ("(dr + coalesce(dl, dr) + coalesce(ur, dr) + coalesce(ul, dr)) / 4", "(d + coalesce(u, d)) / 2", "(r + coalesce(l, r)) / 2", "v"),
+    }[channel]
+    h, w = (8 - yo) // 2 * 2, (8 - xo) // 2 * 2
+    return PX + f""", ro AS (SELECT frame_id, y, x, v, lag(v) OVER o AS l, lead(v) OVER o AS r FROM px WINDOW o AS (PARTITION BY frame_id, y ORDER BY x)),
+al AS (SELECT *, lag(v) OVER o AS u, lead(v) OVER o AS d, lag(l) OVER o AS ul, lag(r) OVER o AS ur, lead(l) OVER o AS dl, lead(r) OVER o AS dr FROM ro WINDOW o AS (PARTITION BY frame_id, x ORDER BY y)),
+cu AS (SELECT * REPLACE (y - {yo} AS y, x - {xo} AS x) FROM al WHERE y >= {yo} AND x >= {xo} AND y < {yo + h} AND x < {xo + w})
+SELECT frame_id, y, x, round(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN {cell[0]} WHEN y % 2 = 0 THEN {cell[1]} WHEN x % 2 = 0 THEN {cell[2]} ELSE {cell[3]} END, 6) AS v FROM cu"""
 
-@query(_debayer_sql("({0}.y % 2 = 0 AND {0}.x % 2 = 0)", "", ""))
-def debayer_r(spark, sf_dir):
-    return _px_out(stencil.debayer(V.px(spark, sf_dir), "R"))
 
+def _debayered(channel: str, cfa: str):
+    return lambda spark, sf_dir: _px_out(stencil.debayer(V.px(spark, sf_dir), channel, cfa))
 
-@query(_debayer_sql("(({0}.y + {0}.x) % 2 = 1)", "", ""))
-def debayer_g(spark, sf_dir):
-    return _px_out(stencil.debayer(V.px(spark, sf_dir), "G"))
 
-
-@query(_debayer_sql("({0}.y % 2 = 1 AND {0}.x % 2 = 1)", "", ""))
-def debayer_b(spark, sf_dir):
-    return _px_out(stencil.debayer(V.px(spark, sf_dir), "B"))
+for _cfa, (_xo, _yo) in stencil.CFA.items():
+    for _c in "RGB":
+        query(_debayer_sql(_c, _xo, _yo), f"debayer_{_c.lower()}" if _cfa == "RGGB" else f"debayer_{_c.lower()}_{_cfa.lower()}")(_debayered(_c, _cfa))
 
 
 def _deband_sql(line: str, w: int = 4, percentile: int = 50, sigma: float = 3.0) -> str:
@@ -472,10 +563,10 @@ def unsharp_mask(spark, sf_dir):
 
 
 @query(PX + """, q AS (SELECT frame_id, y, x, 0.98 * x + 0.02 * y + 0.3 AS sx, -0.02 * x + 1.01 * y - 0.2 AS sy FROM px),
-g AS (SELECT *, CAST(floor(sx) AS INTEGER) AS ix, CAST(floor(sy) AS INTEGER) AS iy FROM q),
-s AS (SELECT g.frame_id, g.y, g.x, sum(px.v * CASE WHEN px.x = ix THEN 1 - (sx - ix) ELSE sx - ix END * CASE WHEN px.y = iy THEN 1 - (sy - iy) ELSE sy - iy END) AS v
-  FROM g JOIN px ON px.frame_id = g.frame_id AND px.x BETWEEN ix AND ix + 1 AND px.y BETWEEN iy AND iy + 1 WHERE ix >= 0 AND ix < 7 AND iy >= 0 AND iy < 7 GROUP BY 1, 2, 3)
-SELECT g.frame_id, g.y, g.x, round(s.v, 6) AS v FROM g LEFT JOIN s USING (frame_id, y, x)""")
+g AS (SELECT *, CAST(floor(sx) AS INTEGER) AS ix, CAST(floor(sy) AS INTEGER) AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM q),
+n AS (SELECT frame_id, y, x, v, lead(v) OVER (PARTITION BY frame_id, y ORDER BY x) AS r FROM px),
+s AS (SELECT frame_id, y, x, v, r, lead(v) OVER o AS d, lead(r) OVER o AS dr FROM n WINDOW o AS (PARTITION BY frame_id, x ORDER BY y))
+SELECT g.frame_id, g.y, g.x, round((1 - fy) * ((1 - fx) * s.v + fx * r) + fy * ((1 - fx) * d + fx * dr), 6) AS v FROM g LEFT JOIN s ON s.frame_id = g.frame_id AND s.y = g.iy AND s.x = g.ix""")
 def project_bilinear(spark, sf_dir):
     p = V.px(spark, sf_dir)
     inverse = align.invert((0.98, 0.02, 0.3, -0.02, 1.01, -0.2))
@@ -557,21 +648,23 @@ def triangles(spark, sf_dir):
 
 
 @query(_TOP.format(6) + _TRI + """, rf AS (SELECT * FROM tr WHERE frame_id = (SELECT min(frame_id) FROM tr)),
-m AS (SELECT t.frame_id, t.a, t.b, t.c, r.a AS ra, r.b AS rb, r.c AS rc, (t.ab - r.ab) ** 2 + (t.ac - r.ac) ** 2 + (t.bc - r.bc) ** 2 AS d2
-  FROM tr t JOIN rf r ON abs(floor(t.ab / 400) - floor(r.ab / 400)) <= 1 AND abs(floor(t.ac / 400) - floor(r.ac / 400)) <= 1 AND abs(floor(t.bc / 400) - floor(r.bc / 400)) <= 1)
+m AS (SELECT t.frame_id, t.a, t.b, t.c, r.a AS ra, r.b AS rb, r.c AS rc, (t.ab - r.ab) ** 2 + (t.ac - r.ac) ** 2 + (t.bc - r.bc) ** 2 AS d2 FROM tr t, rf r)
 SELECT frame_id, a, b, c, ra, rb, rc, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, a, b, c ORDER BY d2, ra, rb, rc) AS r FROM m) WHERE r = 1""")
 def nn_triangle_match(spark, sf_dir):
     t = align.triangles(V.bright_stars(spark, sf_dir, 6))
     first = t.agg(F.min("frame_id").alias("frame_id"))
-    return _round(align.nearest_triangle(t, t.join(F.broadcast(first), "frame_id", "left_semi"), cell=400.0), "d2")  # first is one row
+    return _round(align.nearest_triangle(t, t.join(F.broadcast(first), "frame_id", "left_semi")), "d2")  # first is one row
+
+
+_STARS = _TOP.split(",\ntk AS")[0]
 
 
-@query(_TOP.format(20) + """, rf AS (SELECT * FROM tk WHERE frame_id = (SELECT min(frame_id) FROM tk)),
-m AS (SELECT t.frame_id, t."rank" AS star, r."rank" AS ref, (t.x - r.x) ** 2 + (t.y - r.y) ** 2 AS d2 FROM tk t JOIN rf r ON (t.x - r.x) ** 2 + (t.y - r.y) ** 2 < 250000)
+@query(_STARS + """, rf AS (SELECT * FROM st WHERE frame_id = (SELECT min(frame_id) FROM st)),
+m AS (SELECT t.frame_id, t."rank" AS star, r."rank" AS ref, (t.x - r.x) ** 2 + (t.y - r.y) ** 2 AS d2 FROM st t JOIN rf r ON (t.x - r.x) ** 2 + (t.y - r.y) ** 2 < 250000)
 SELECT frame_id, star, ref, round(d2, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, star ORDER BY d2, ref) AS r FROM m) WHERE r = 1""")
 def nn_star_match(spark, sf_dir):
-    s = V.bright_stars(spark, sf_dir, 20)
-    first = s.agg(F.min("frame_id").alias("frame_id"))
+    s = V.bright_stars(spark, sf_dir)
+    first = V.star_cat(spark, sf_dir).agg(F.min("frame_id").alias("frame_id"))
     ref = s.join(F.broadcast(first), "frame_id", "left_semi").select(F.col("rank").alias("ref"), "x", "y")  # first is one row
     return _round(align.nearest_star(s.select("frame_id", F.col("rank").alias("star"), "x", "y"), ref, 500.0, ("frame_id",)), "d2")
 
@@ -586,7 +679,12 @@ def affine_ols(spark, sf_dir):
     return _round(align.affine_least_squares(m).drop("rms"), *"abcdef")
 
 
-@query()
+@query("""WITH RECURSIVE st AS (SELECT l_suppkey AS frame_id, CAST(l_partkey AS DOUBLE) AS x, CAST(l_orderkey AS DOUBLE) AS y, l_extendedprice AS mass,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_partkey) AS r FROM lineitem),
+it AS (SELECT frame_id, x, y, mass, r, [{'x': x, 'y': y}] AS near, TRUE AS kept FROM st WHERE r = 1
+UNION ALL SELECT frame_id, x, y, mass, r, CASE WHEN free THEN list_append(near, {'x': x, 'y': y}) ELSE near END, free FROM (
+  SELECT st.*, near, len(list_filter(near, lambda k: floor((st.x - k.x) ** 2 + (st.y - k.y) ** 2 + 0.5) <= 160000)) = 0 AS free FROM it JOIN st ON st.frame_id = it.frame_id AND st.r = it.r + 1))
+SELECT frame_id, x, y, mass FROM it WHERE kept""")
 def overlap_filter(spark, sf_dir):
     return stars.overlap_filter(V.star_cat(spark, sf_dir).select("frame_id", "x", "y", "mass"), 400.0)
 
@@ -598,32 +696,32 @@ def star_detect(spark, sf_dir):
     return _round(found, "value", "x", "y", "mass", "hfr")
 
 
-@query(_TOP.format(50) + """, q AS (SELECT frame_id, "rank", least(greatest(x + hfr * 4 * dx, 0), 8191) AS px, least(greatest(y + hfr * 4 * dy, 0), 65535) AS py FROM tk,
+@query(_STARS + """, q AS (SELECT frame_id, "rank", least(greatest(x + hfr * 4 * dx, 0), 8191) AS px, least(greatest(y + hfr * 4 * dy, 0), 65535) AS py FROM st,
   (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,0),(0,1),(1,-1),(1,0),(1,1)) o(dy, dx))
 SELECT frame_id, CAST(floor(py / (65536.0 / 64)) AS INTEGER) AS cy, CAST(floor(px / (8192.0 / 8)) AS INTEGER) AS cx, count(DISTINCT "rank") AS n_stars FROM q GROUP BY 1, 2, 3""")
 def star_binning_cells(spark, sf_dir):
-    s = V.bright_stars(spark, sf_dir, 50)
+    s = V.star_cat(spark, sf_dir)
     sizes = s.select("frame_id").distinct().select("frame_id", F.lit(8192).alias("width"), F.lit(65536).alias("height"))
     return stars.cell_binning(s, sizes, 1024)
 
 
 # ---- colour
 
-RGB = PX + """, ids AS (SELECT session, list_slice(list_sort(list(DISTINCT frame_id)), 1, 3) AS ids FROM px GROUP BY 1),
-cp AS (SELECT px.session, CAST(list_position(ids, frame_id) - 1 AS INTEGER) AS ch, y, x, v FROM px JOIN ids ON ids.session = px.session WHERE list_contains(ids, frame_id)),
-cs AS (SELECT session, min(v) AS lo, max(v) AS hi FROM cp GROUP BY 1),
-rgb AS (SELECT session, y, x, max(CASE WHEN ch = 0 THEN (v - lo) / (hi - lo) END) AS c0, max(CASE WHEN ch = 1 THEN (v - lo) / (hi - lo) END) AS c1, max(CASE WHEN ch = 2 THEN (v - lo) / (hi - lo) END) AS c2 FROM cp JOIN cs USING (session) GROUP BY 1, 2, 3)
+RGB = PX + """, dealt AS (SELECT session, frame_id, row_number() OVER (PARTITION BY session ORDER BY frame_id) - 1 AS r, count(*) OVER (PARTITION BY session) AS n FROM (SELECT DISTINCT session, frame_id FROM px)),
+cp AS (SELECT CAST(px.session AS BIGINT) * 1000000 + r // 3 AS image, CAST(r % 3 AS INTEGER) AS ch, y, x, v FROM px JOIN dealt USING (session, frame_id) WHERE r < n - n % 3),
+cs AS (SELECT image, min(v) AS lo, max(v) AS hi FROM cp GROUP BY 1),
+rgb AS (SELECT image, y, x, max(CASE WHEN ch = 0 THEN (v - lo) / (hi - lo) END) AS c0, max(CASE WHEN ch = 1 THEN (v - lo) / (hi - lo) END) AS c1, max(CASE WHEN ch = 2 THEN (v - lo) / (hi - lo) END) AS c2 FROM cp JOIN cs USING (image) GROUP BY 1, 2, 3)
 """
-_COLOUR = "SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM "
-BY = ("session",)
+_COLOUR = "SELECT image, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM "
+BY = ("image",)
 
 
 def _rgb(spark, sf_dir):
-    return color.rgb_combine(V.rgb_px(V.px(spark, sf_dir)))
+    return color.rgb_combine(V.rgb_px(V.px(spark, sf_dir)), BY)
 
 
 def _colour_out(df):
-    return _round(df.select("session", "y", "x", "c0", "c1", "c2"), "c0", "c1", "c2")
+    return _round(df.select("image", "y", "x", "c0", "c1", "c2"), "c0", "c1", "c2")
 
 
 @query(RGB + _COLOUR + "rgb")
@@ -631,22 +729,22 @@ def rgb_combine(spark, sf_dir):
     return _colour_out(_rgb(spark, sf_dir))
 
 
-_DARK = """, bm AS (SELECT session, y // 2 AS by_, x // 2 AS bx, avg(c0) AS m0, avg(c1) AS m1, avg(c2) AS m2 FROM rgb WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 GROUP BY 1, 2, 3),
-dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY (m0 + m1 + m2) / 3, by_, bx) AS r FROM bm) WHERE r = 1) """
+_DARK = """, bm AS (SELECT image, y // 2 AS by_, x // 2 AS bx, avg(c0) AS m0, avg(c1) AS m1, avg(c2) AS m2 FROM rgb WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 GROUP BY 1, 2, 3),
+dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY (m0 + m1 + m2) / 3, by_, bx) AS r FROM bm) WHERE r = 1) """
 
 
-@query(RGB + _DARK + "SELECT session, CAST(by_ AS BIGINT) AS \"by\", CAST(bx AS BIGINT) AS bx, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2 FROM dk")
+@query(RGB + _DARK + "SELECT image, CAST(by_ AS BIGINT) AS \"by\", CAST(bx AS BIGINT) AS bx, round(m0, 6) AS m0, round(m1, 6) AS m1, round(m2, 6) AS m2 FROM dk")
 def rgb_darkest_block(spark, sf_dir):
     return _longs(_round(color.darkest_block(_rgb(spark, sf_dir), 2, 0.2, BY), "m0", "m1", "m2"), "by", "bx")
 
 
-@query(RGB + _DARK + """, hi AS (SELECT session, max(c0) AS s0, max(c1) AS s1, max(c2) AS s2 FROM rgb GROUP BY 1),
-j AS (SELECT rgb.session, y, x, c0, c1, c2, m0, m1, m2, s0, s1, s2, (m0 + m1 + m2) / 3 AS lm, (s0 + s1 + s2) / 3 AS hm FROM rgb JOIN dk USING (session) JOIN hi USING (session)),
-o AS (SELECT session, y, x, (hm - lm) / (s0 - m0) * c0 + lm - (hm - lm) / (s0 - m0) * m0 AS c0, (hm - lm) / (s1 - m1) * c1 + lm - (hm - lm) / (s1 - m1) * m1 AS c1, (hm - lm) / (s2 - m2) * c2 + lm - (hm - lm) / (s2 - m2) * m2 AS c2 FROM j)
-SELECT session, y, x, round(least(greatest(c0, 0), 1), 6) AS c0, round(least(greatest(c1, 0), 1), 6) AS c1, round(least(greatest(c2, 0), 1), 6) AS c2 FROM o""")
+@query(RGB + _DARK + """, hi AS (SELECT image, max(c0) AS s0, max(c1) AS s1, max(c2) AS s2 FROM rgb GROUP BY 1),
+j AS (SELECT rgb.image, y, x, c0, c1, c2, m0, m1, m2, s0, s1, s2, (m0 + m1 + m2) / 3 AS lm, (s0 + s1 + s2) / 3 AS hm FROM rgb JOIN dk USING (image) JOIN hi USING (image)),
+o AS (SELECT image, y, x, (hm - lm) / (s0 - m0) * c0 + lm - (hm - lm) / (s0 - m0) * m0 AS c0, (hm - lm) / (s1 - m1) * c1 + lm - (hm - lm) / (s1 - m1) * m1 AS c1, (hm - lm) / (s2 - m2) * c2 + lm - (hm - lm) / (s2 - m2) * m2 AS c2 FROM j)
+SELECT image, y, x, round(least(greatest(c0, 0), 1), 6) AS c0, round(least(greatest(c1, 0), 1), 6) AS c1, round(least(greatest(c2, 0), 1), 6) AS c2 FROM o""")
 def rgb_balance_affine(spark, sf_dir):
     rgb = _rgb(spark, sf_dir)
-    top = rgb.groupBy("session").agg(*[F.max(c).alias(f"s{i}") for i, c in enumerate(color.CHANNELS)])
+    top = rgb.groupBy("image").agg(*[F.max(c).alias(f"s{i}") for i, c in enumerate(color.CHANNELS)])
     return _colour_out(color.balance(rgb, color.darkest_block(rgb, 2, 0.2, BY), top, by=BY))
 
 
@@ -655,34 +753,34 @@ def _hsl(spark, sf_dir):
     return _rgb(spark, sf_dir).withColumn("c0", F.col("c0") * 360)
 
 
-_HSL = """, hs AS (SELECT session, y, x, c0 * 360 AS c0, c1, c2 FROM rgb),
-hm AS (SELECT session, median(c2) AS m FROM hs GROUP BY 1),
-hl AS (SELECT hs.session, any_value(m) AS m, 1.4826 * median(abs(c2 - m)) AS s FROM hs JOIN hm USING (session) GROUP BY 1),
-hj AS (SELECT hs.*, m, s FROM hs JOIN hl USING (session)) """
+_HSL = """, hs AS (SELECT image, y, x, c0 * 360 AS c0, c1, c2 FROM rgb),
+hm AS (SELECT image, median(c2) AS m FROM hs GROUP BY 1),
+hl AS (SELECT hs.image, any_value(m) AS m, 1.4826 * median(abs(c2 - m)) AS s FROM hs JOIN hm USING (image) GROUP BY 1),
+hj AS (SELECT hs.*, m, s FROM hs JOIN hl USING (image)) """
 
 
 def _hsl_ls(hsl):
-    return stats.median_mad(hsl.select("session", F.col("c2").alias("v")), ["session"])
+    return stats.median_mad(hsl.select("image", F.col("c2").alias("v")), ["image"])
 
 
-@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(CASE WHEN c2 < m + 0.25 * s THEN 0 WHEN c2 >= m + 1.0 * s THEN c1 ELSE c1 * (c2 - (m + 0.25 * s)) / ((m + 1.0 * s) - (m + 0.25 * s)) END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
+@query(RGB + _HSL + "SELECT image, y, x, round(c0, 6) AS c0, round(CASE WHEN c2 < m + 0.25 * s THEN 0 WHEN c2 >= m + 1.0 * s THEN c1 ELSE c1 * (c2 - (m + 0.25 * s)) / ((m + 1.0 * s) - (m + 0.25 * s)) END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
 def hsl_neutralize(spark, sf_dir):
     h = _hsl(spark, sf_dir)
     return _colour_out(color.neutralize_background(h, 0.25, 1.0, _hsl_ls(h), BY))
 
 
-@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(CASE WHEN c2 >= m + 0.75 * s THEN CASE WHEN c1 > 0 THEN c1 ** (1 / 1.75) ELSE 0 END ELSE c1 END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
+@query(RGB + _HSL + "SELECT image, y, x, round(c0, 6) AS c0, round(CASE WHEN c2 >= m + 0.75 * s THEN CASE WHEN c1 > 0 THEN c1 ** (1 / 1.75) ELSE 0 END ELSE c1 END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
 def hsl_sat_gamma(spark, sf_dir):
     h = _hsl(spark, sf_dir)
     return _colour_out(color.saturation_gamma(h, 1.75, 0.75, _hsl_ls(h), BY))
 
 
-@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(CASE WHEN c0 > 295 OR c0 < 40 THEN least(greatest(c1 * 1.4, 0), 1) ELSE c1 END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
+@query(RGB + _HSL + "SELECT image, y, x, round(c0, 6) AS c0, round(CASE WHEN c0 > 295 OR c0 < 40 THEN least(greatest(c1 * 1.4, 0), 1) ELSE c1 END, 6) AS c1, round(c2, 6) AS c2 FROM hj")
 def hsl_selective_sat(spark, sf_dir):
     return _colour_out(color.selective_saturation(_hsl(spark, sf_dir), 295, 40, 1.4))
 
 
-@query(RGB + _HSL + "SELECT session, y, x, round(CASE WHEN c0 > 100 AND c0 < 190 AND c2 >= m + 0.5 * s THEN c0 - 30 ELSE c0 END, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM hj")
+@query(RGB + _HSL + "SELECT image, y, x, round(CASE WHEN c0 > 100 AND c0 < 190 AND c2 >= m + 0.5 * s THEN c0 - 30 ELSE c0 END, 6) AS c0, round(c1, 6) AS c1, round(c2, 6) AS c2 FROM hj")
 def hsl_rotate_hue(spark, sf_dir):
     h = _hsl(spark, sf_dir)
     return _colour_out(color.rotate_hue(h, 100, 190, -30, 0.5, _hsl_ls(h), BY))
@@ -693,12 +791,10 @@ def hsl_scale_offset_channel(spark, sf_dir):
     return _colour_out(color.scale_offset_channel(_rgb(spark, sf_dir), 2, 0.9, 0.05))
 
 
-@query(RGB + ", lu AS (SELECT px.session, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS l FROM px JOIN (SELECT session, max(frame_id) AS frame_id FROM px GROUP BY 1) USING (session, frame_id) WINDOW w AS (PARTITION BY px.session)) SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN l > 0.0088564516790356308 THEN 1.16 * cbrt(l) - 0.16 ELSE l * 903.2962962962963 / 100 END, 6) AS c2 FROM rgb JOIN lu USING (session, y, x)")
+@query(RGB + ", lu AS (SELECT image, y, x, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS l FROM cp WHERE ch = 1 WINDOW w AS (PARTITION BY image)) SELECT image, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN l > 0.0088564516790356308 THEN 1.16 * cbrt(l) - 0.16 ELSE l * 9.032962962962963 END, 6) AS c2 FROM rgb JOIN lu USING (image, y, x)")
 def hsl_apply_lum(spark, sf_dir):
-    p = V.px(spark, sf_dir)
-    last = p.groupBy("session").agg(F.max("frame_id").alias("frame_id"))
-    lum = p.join(last, ["session", "frame_id"]).select("session", "y", "x", "v")
-    return _colour_out(color.apply_luminance(_rgb(spark, sf_dir), lum, ("session", "y", "x")))
+    luminance = V.rgb_px(V.px(spark, sf_dir)).where("ch = 1").drop("ch")
+    return _colour_out(color.apply_luminance(_rgb(spark, sf_dir), luminance, ("image", "y", "x")))
 
 
 @query(RGB + _COLOUR.replace("round(c2, 6)", "round(CASE WHEN c2 > 0 THEN c2 ** (1 / 1.6) ELSE 0 END, 6)") + "rgb")
@@ -706,28 +802,42 @@ def hsl_gamma(spark, sf_dir):
     return _colour_out(color.on_lightness(_rgb(spark, sf_dir), pixelmath.gamma, 1.6))
 
 
-@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN u > 1 THEN 1 WHEN u <= 0 THEN 0 ELSE (0.3 - 1) * u / ((2 * 0.3 - 1) * u - 0.3) END, 6) AS c2 FROM (SELECT *, greatest((c2 - (m - 2 * s)) / (1 - (m - 2 * s)), 0) AS u FROM hj)")
+@query(RGB + _HSL + "SELECT image, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN u > 1 THEN 1 WHEN u <= 0 THEN 0 ELSE (0.3 - 1) * u / ((2 * 0.3 - 1) * u - 0.3) END, 6) AS c2 FROM (SELECT *, greatest((c2 - (m - 2 * s)) / (1 - (m - 2 * s)), 0) AS u FROM hj)")
 def hsl_midtones(spark, sf_dir):
     h = _hsl(spark, sf_dir)
-    return _colour_out(color.on_lightness(h, pixelmath.midtones, 0.3, 2.0, _hsl_ls(h), ["session"]))
+    return _colour_out(color.on_lightness(h, pixelmath.midtones, 0.3, 2.0, _hsl_ls(h), ["image"]))
 
 
-@query(RGB + _HSL + "SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN c2 > m + s AND c2 < 1 THEN m + s + ((c2 - (m + s)) / (1 - (m + s))) ** (1 / 1.5) * (1 - (m + s)) ELSE c2 END, 6) AS c2 FROM hj")
+@query(RGB + _HSL + "SELECT image, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN c2 > m + s AND c2 < 1 THEN m + s + ((c2 - (m + s)) / (1 - (m + s))) ** (1 / 1.5) * (1 - (m + s)) ELSE c2 END, 6) AS c2 FROM hj")
 def hsl_gamma_pp(spark, sf_dir):
     h = _hsl(spark, sf_dir)
-    return _colour_out(color.on_lightness(h, pixelmath.gamma_pp, 1.5, 1.0, _hsl_ls(h), ["session"]))
+    return _colour_out(color.on_lightness(h, pixelmath.gamma_pp, 1.5, 1.0, _hsl_ls(h), ["image"]))
 
 
 _L02 = 1.16 * 0.2 ** (1 / 3) - 0.16
 
 
-@query(RGB + _HSL + f"SELECT session, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN m > {_L02!r} THEN greatest((c2 - b) / (1 - b), 0) ELSE c2 END, 6) AS c2 FROM (SELECT *, ({_L02!r} - m) / ({_L02!r} - 1) AS b FROM hj)")
+@query(RGB + _HSL + f"SELECT image, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN m > {_L02!r} THEN greatest((c2 - b) / (1 - b), 0) ELSE c2 END, 6) AS c2 FROM (SELECT *, ({_L02!r} - m) / ({_L02!r} - 1) AS b FROM hj)")
 def hsl_scale_black(spark, sf_dir):
     h = _hsl(spark, sf_dir)
-    return _colour_out(color.hsl_scale_black(h, 0.2, _hsl_ls(h), ["session"]))
+    return _colour_out(color.hsl_scale_black(h, 0.2, _hsl_ls(h), ["image"]))
 
 
-@query()
+def _hsluv_sql(name: str, source: str) -> str:
+    """CTEs that take linear RGB (image, y, x, c0, c1, c2) of `source` to HSLuv, by the published definition."""
+    return f""", {name}1 AS (SELECT image, y, x, 0.41239079926595948 * c0 + 0.35758433938387796 * c1 + 0.18048078840183429 * c2 AS gx,
+  0.21263900587151036 * c0 + 0.71516867876775593 * c1 + 0.072192315360733715 * c2 AS gy, 0.019330818715591851 * c0 + 0.11919477979462599 * c1 + 0.95053215224966058 * c2 AS gz FROM {source}),
+{name}2 AS (SELECT *, CASE WHEN gy > 0.0088564516790356308 THEN 1.16 * cbrt(gy) - 0.16 ELSE gy * 9.032962962962963 END AS l, gx + 15 * gy + 3 * gz AS d FROM {name}1),
+{name}3 AS (SELECT *, CASE WHEN d > 0 THEN 13 * l * (4 * gx / d - 0.19783000664283681) ELSE 0 END AS u, CASE WHEN d > 0 THEN 13 * l * (9 * gy / d - 0.46831999493879100) ELSE 0 END AS w FROM {name}2),
+{name}4 AS (SELECT image, y, x, l, sqrt(u * u + w * w) AS c, CASE WHEN atan2(w, u) < 0 THEN degrees(atan2(w, u)) + 360 ELSE degrees(atan2(w, u)) END AS h,
+  CASE WHEN (100 * l + 16) ** 3 / 1560896 > 0.0088564516790356308 THEN (100 * l + 16) ** 3 / 1560896 ELSE 100 * l / 903.2962962962963 END AS q FROM {name}3),
+{name}5 AS (SELECT {name}4.*, (284517 * m1 - 94839 * m3) * q AS t1, (838422 * m3 + 769860 * m2 + 731718 * m1) * 100 * l * q - 769860 * e * 100 * l AS t2, (632260 * m3 - 126452 * m2) * q + 126452 * e AS bt
+  FROM {name}4, (VALUES (3.240969941904521e0, -1.537383177570093e0, -0.498610760293e0), (-0.96924363628087e0, 1.87596750150772e0, 0.041555057407175e0), (0.055630079696993e0, -0.20397695888897e0, 1.056971514242878e0)) b(m1, m2, m3), (VALUES (0), (1)) o(e)),
+{name}6 AS (SELECT image, y, x, l, c, h, (t2 / nullif(bt, 0)) / nullif(sin(radians(h)) - (t1 / nullif(bt, 0)) * cos(radians(h)), 0) AS r FROM {name}5),
+{name} AS (SELECT image, y, x, any_value(h) AS c0, CASE WHEN any_value(l) > 0.9999999 OR any_value(l) < 1e-8 THEN 0 ELSE any_value(c) / (min(CASE WHEN r >= 0 THEN r END) / 100) END AS c1, any_value(l) AS c2 FROM {name}6 GROUP BY 1, 2, 3) """
+
+
+@query(RGB + _hsluv_sql("uv", "rgb") + _COLOUR + "uv")
 def rgb_to_hsluv(spark, sf_dir):
     return _colour_out(color.rgb_to_hsluv(_rgb(spark, sf_dir)))
 
@@ -737,14 +847,14 @@ def hsluv_round_trip(spark, sf_dir):
     return _colour_out(color.hsluv_to_rgb(color.rgb_to_hsluv(_rgb(spark, sf_dir))))
 
 
-@query()
+@query(RGB + ", sc AS (SELECT image, y, x, c0, 0.5 * least(c1, (c0 + c2) / 2) + 0.5 * c1 AS c1, c2 FROM rgb) " + _hsluv_sql("uv", "rgb") + _hsluv_sql("sv", "sc") + "SELECT image, y, x, round(sv.c0, 6) AS c0, round(sv.c1, 6) AS c1, round(uv.c2, 6) AS c2 FROM sv JOIN uv USING (image, y, x)")
 def hsl_scnr(spark, sf_dir):
     return _colour_out(color.scnr(color.rgb_to_hsluv(_rgb(spark, sf_dir)), 0.5))
 
 
-@query()
+@query(RGB.replace("WITH ", "WITH RECURSIVE ", 1) + _HSL + _stretch_sql("(SELECT image, list(c2 ORDER BY y, x) AS a FROM hs GROUP BY 1)", "image", 0.3, 0.2) + "SELECT image, y, x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(a[y * 8 + x + 1], 6) AS c2 FROM hs JOIN st USING (image)")
 def hsl_stretch(spark, sf_dir):
-    return _colour_out(color.on_lightness(_hsl(spark, sf_dir), pixelmath.stretch, 0.3, 0.2, ["session"]))
+    return _colour_out(color.on_lightness(_hsl(spark, sf_dir), pixelmath.stretch, 0.3, 0.2, ["image"]))
 
 
 # ---- event signal

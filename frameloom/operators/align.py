@@ -1,8 +1,8 @@
 """Alignment: triangles of bright stars, nearest neighbours, an affine fit.
 
-Catalogues are small beside pixels: at most K stars a frame make triangles.  The nearest
-neighbour joins are equi-joins on grid cells (a star can only match within `radius`), never
-a product of two catalogues.
+Catalogues are small beside pixels: at most K stars a frame make triangles.  The nearest star is an
+equi-join on grid cells (a star can only match within `radius`), the nearest triangle a search among those of
+one reference frame; neither is a product of two catalogues.
 """
 
 from __future__ import annotations
@@ -33,21 +33,54 @@ def triangles(stars: DataFrame, by: tuple[str, ...] = ("frame_id",), star: str =
     return triples.where("ab < ac AND ac < bc").select(*by, "a", "b", "c", "ab", "ac", "bc")
 
 
-def nearest_triangle(mine: DataFrame, reference: DataFrame, by: tuple[str, ...] = ("frame_id",), cell: float = 4.0, reach: int = 1) -> DataFrame:
-    """For each triangle the nearest reference triangle within `cell` in each side length: by, a, b, c, ra, rb, rc, d2.
+def nearest_triangle(mine: DataFrame, reference: DataFrame, by: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """For each triangle the nearest reference triangle by side lengths, however far: by, a, b, c, ra, rb, rc, d2.
 
-    Side lengths are dealt into cells; a triangle looks into its own and the neighbouring cells.
+    Ties go to the least (ra, rb, rc).  The reference is one frame's triangles, at most those of K chosen stars, so every
+    task gets them all; mine is read once, without a shuffle.
     """
     by = list(by)
-    keys = ["k1", "k2", "k3"]
-    cells = lambda c: F.floor(F.col(c) / cell)
-    ref = reference.select(F.col("a").alias("ra"), F.col("b").alias("rb"), F.col("c").alias("rc"), *[F.col(s).alias(f"r{s}") for s in ("ab", "ac", "bc")], *[cells(s).alias(k) for s, k in zip(("ab", "ac", "bc"), keys)])
-    asks = mine
-    for s, k in zip(("ab", "ac", "bc"), keys):
-        asks = asks.withColumn(k, F.explode(F.sequence(cells(s) - reach, cells(s) + reach)))
-    d2 = F.pow(F.col("ab") - F.col("rab"), 2) + F.pow(F.col("ac") - F.col("rac"), 2) + F.pow(F.col("bc") - F.col("rbc"), 2)
-    best = asks.join(ref, keys).withColumn("d2", d2).groupBy(*by, "a", "b", "c").agg(F.min(F.struct("d2", "ra", "rb", "rc")).alias("m"))
-    return best.select(*by, "a", "b", "c", "m.ra", "m.rb", "m.rc", "m.d2")
+    ref = reference.select("a", "b", "c", "ab", "ac", "bc").toPandas().sort_values(["ab", "a", "b", "c"], kind="stable")  # of K stars of one frame
+    numbers, sides = ref[["a", "b", "c"]].to_numpy(np.int64), ref[["ab", "ac", "bc"]].to_numpy(float)
+    schema = ", ".join(f"`{c}` {mine.schema[c].dataType.simpleString()}" for c in by) + ", a int, b int, c int, ra int, rb int, rc int, d2 double"
+
+    def run(parts):
+        for part in parts:
+            if not len(part) or not len(sides):
+                continue
+            j, d2 = nearest_rows(part[["ab", "ac", "bc"]].to_numpy(float), sides, numbers)
+            yield part[[*by, "a", "b", "c"]].assign(ra=numbers[j, 0], rb=numbers[j, 1], rc=numbers[j, 2], d2=d2)
+
+    return mine.mapInPandas(run, schema)
+
+
+def nearest_rows(points: np.ndarray, among: np.ndarray, ties: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the nearest row of `among` (sorted by its first column) and its squared distance; ties by the rows of `ties`.
+
+    Points are taken in order of their first coordinate; a few rows beside a point bound its distance, and only
+    rows whose first coordinate is within that bound are compared.
+    """
+    order = np.argsort(points[:, 0], kind="stable")
+    best, far = np.zeros(len(points), np.int64), np.zeros(len(points))
+    rank = np.empty(len(ties), np.int64)
+    rank[np.lexsort(ties.T[::-1])] = np.arange(len(ties))
+    first = among[:, 0]
+    for lo in range(0, len(order), step):
+        at = order[lo : lo + step]
+        p = points[at]
+        beside = np.clip(np.searchsorted(first, p[:, 0])[:, None] + np.arange(-4, 4), 0, len(first) - 1)
+        bound = np.sqrt(((among[beside] - p[:, None]) ** 2).sum(axis=2).min(axis=1)) * (1 + 1e-12) + 1e-300
+        a, b = np.searchsorted(first, (p[:, 0] - bound).min()), np.searchsorted(first, (p[:, 0] + bound).max(), "right")
+        for c in range(a, max(b, a + 1), 8192):
+            d2 = ((among[None, c : min(b, c + 8192)] - p[:, None]) ** 2).sum(axis=2)
+            least = d2.min(axis=1)
+            j = c + np.where(d2 == least[:, None], rank[c : min(b, c + 8192)], len(rank)).argmin(axis=1)
+            if c == a:
+                best[at], far[at] = j, least
+            else:
+                closer = (least < far[at]) | ((least == far[at]) & (rank[j] < rank[best[at]]))
+                best[at[closer]], far[at[closer]] = j[closer], least[closer]
+    return best, far
 
 
 def nearest_star(points: DataFrame, reference: DataFrame, radius: float = 8.0, by: tuple[str, ...] = (), on: tuple[str, ...] = ()) -> DataFrame:
@@ -117,6 +150,36 @@ def _triples(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(idx, int).reshape(-1, 3), np.array(sides, float).reshape(-1, 3)
 
 
+class _Grid:
+    """Points dealt into cells as wide as a radius, for nearest neighbours within it."""
+
+    def __init__(self, points: np.ndarray, radius: float):
+        self.radius = radius
+        cell = np.floor(points / radius).astype(np.int64)
+        self.order = np.lexsort((np.arange(len(points)), cell[:, 0], cell[:, 1]))
+        self.points, self.keys = points[self.order], self._key(cell[self.order, 0], cell[self.order, 1])
+
+    @staticmethod
+    def _key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return y * (1 << 31) + x
+
+    def nearest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the places with a point nearer than the radius: place, point, squared distance; ties to the lower point."""
+        cell = np.floor(at / self.radius).astype(np.int64)
+        best, far = np.full(len(at), -1), np.full(len(at), self.radius**2)
+        for dy in (-1, 0, 1):  # three cells of a row are neighbours in the order
+            lo = np.searchsorted(self.keys, self._key(cell[:, 0] - 1, cell[:, 1] + dy))
+            hi = np.searchsorted(self.keys, self._key(cell[:, 0] + 1, cell[:, 1] + dy), "right")
+            for k in range(int((hi - lo).max(initial=0))):
+                who = np.flatnonzero(lo + k < hi)
+                j = lo[who] + k
+                d2 = ((at[who] - self.points[j]) ** 2).sum(axis=1)
+                closer = (d2 < far[who]) | ((d2 == far[who]) & (best[who] >= 0) & (self.order[j] < best[who]))
+                best[who[closer]], far[who[closer]] = self.order[j[closer]], d2[closer]
+        found = np.flatnonzero(best >= 0)
+        return found, best[found], far[found]
+
+
 def fit_to_reference(mine: np.ndarray, mine_mass: np.ndarray, ref: np.ndarray, ref_mass: np.ndarray, k: int, width: float, ref_width: float, ref_height: float, radius: float = 8.0) -> tuple[np.ndarray | None, float]:
     """Best affine (2 x 3, frame -> reference) and its residual sqrt(sum d2) / n; (None, inf) if nothing fits.
 
@@ -129,19 +192,13 @@ def fit_to_reference(mine: np.ndarray, mine_mass: np.ndarray, ref: np.ndarray, r
     (ti, ts), (ri, rs) = _triples(p * (ref_width / width)), _triples(q)
     if not len(ti) or not len(ri):
         return None, math.inf
-    best: list[tuple[float, int, int]] = []
-    for lo in range(0, len(ti), 512):
-        d2 = ((ts[lo : lo + 512, None, :] - rs[None, :, :]) ** 2).sum(axis=2)
-        j = d2.argmin(axis=1)
-        best += [(float(d2[i, j[i]]), lo + i, int(j[i])) for i in range(len(j))]
-    best.sort()
+    by_side = np.argsort(rs[:, 0], kind="stable")
+    j, d2 = nearest_rows(ts, rs[by_side], ri[by_side])
+    best = sorted(zip(d2.tolist(), range(len(ti)), by_side[j].tolist()))
+    near_ref = _Grid(ref, radius)
 
     def matched(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = mine @ t[:, :2].T + t[:, 2]
-        d2 = ((at[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2)
-        j = d2.argmin(axis=1)
-        near = d2[np.arange(len(at)), j] < radius * radius
-        return np.flatnonzero(near), j[near], d2[np.arange(len(at)), j][near]
+        return near_ref.nearest(mine @ t[:, :2].T + t[:, 2])
 
     answer, residual = None, math.inf
     for _, i, j in best[:k]:

@@ -157,10 +157,11 @@ def half_flux_radius(pixels: DataFrame, centres: DataFrame, location: DataFrame,
     return found.groupBy(*by, "star").agg((F.sum(F.col("d") * v) / F.nullif(F.sum(v), F.lit(0.0))).alias("hfr"), F.sum(v).alias("mass"))
 
 
-def brightest(stars: DataFrame, k: int, by: tuple[str, ...] = ("frame_id",), order: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """The k stars of most mass in each frame, rank from 1; ties go by the `order` columns."""
+def brightest(stars: DataFrame, k: int | None, by: tuple[str, ...] = ("frame_id",), order: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """The k stars of most mass in each frame (all for None), rank from 1; ties go by the `order` columns."""
     w = Window.partitionBy(*by).orderBy(F.col("mass").desc(), *order)
-    return stars.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = stars.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def brightest_distant(stars: DataFrame, k: int, least_distance: float, schema: str | None = None) -> DataFrame:

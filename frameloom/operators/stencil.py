@@ -26,12 +26,6 @@ def _nanmedian(stack: list[np.ndarray]) -> np.ndarray:
     return (at((n - 1) // 2) + at(n // 2).copy()) / 2 if len(stack) > 1 else a[0]
 
 
-def _nanmean(stack: list[np.ndarray]) -> np.ndarray:
-    a = np.stack(stack)
-    n = (~np.isnan(a)).sum(axis=0)
-    return np.where(n > 0, np.nansum(a, axis=0) / np.maximum(n, 1), np.nan)
-
-
 def _median3x3(a, y0, x0, h, w):
     return np.where(_inner(a, y0, x0, h, w, 1), _nanmedian([shifted(a, dy, dx) for dy, dx in NINE]), a)
 
@@ -91,40 +85,42 @@ def bad_pixels_bayer(pixels: DataFrame, channel: str, cfa: str = "RGGB", low: fl
 
 
 def debayer(pixels: DataFrame, channel: str, cfa: str = "RGGB", by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:
-    """Bilinear interpolation of one colour of a mosaic; sizes are cut to even numbers.
+    """Bilinear interpolation of one colour of a mosaic.
 
-    Native samples are copied.  Others are the mean of the nearest samples of the colour that lie
-    inside the frame: two on the same row or column, else four on the diagonals (for green the four
-    direct neighbours).
+    The result begins at the colour filter array's offset, as (0, 0), and is cut to even sizes; samples outside the cut
+    still count as neighbours.  Native samples are copied, others are the mean of two (on their row or
+    column) or four neighbours.  A red or blue neighbour outside the frame is replaced by the sample of the pixel's
+    own 2 x 2 cell, a green one by a mean of the cell's two greens that weighs the nearer by 2 and the other by sqrt 2.
     """
     if not channel or not cfa:
         return pixels
     xo, yo = CFA[cfa]
     c = channel.upper()
+    near, far = 2 / (2 + math.sqrt(2)), math.sqrt(2) / (2 + math.sqrt(2))
 
     def kernel(a, y0, x0, h, w):
-        h, w = h & ~1, w & ~1
         y, x = np.arange(a.shape[-2])[:, None] + y0, np.arange(a.shape[-1])[None, :] + x0
-        a = np.where((y < h) & (x < w), a, np.nan)
         px, py = (x - xo) & 1, (y - yo) & 1
         own = {"R": (px == 0) & (py == 0), "B": (px == 1) & (py == 1), "G": px != py}[c]
         s = np.where(own, a, np.nan)
-
-        def mean(*offsets):
-            return _nanmean([shifted(s, dy, dx) for dy, dx in offsets])
-
-        cross, row, col, diagonal = mean((0, -1), (0, 1), (-1, 0), (1, 0)), mean((0, -1), (0, 1)), mean((-1, 0), (1, 0)), mean((-1, -1), (-1, 1), (1, -1), (1, 1))
+        at = lambda dy, dx: shifted(s, dy, dx)
+        other = lambda v, instead: np.where(np.isnan(v), instead, v)
         if c == "G":
-            return np.where(own, s, cross)
-        same_row = (py == 0) if c == "R" else (py == 1)
-        same_col = (px == 0) if c == "R" else (px == 1)
-        # at an edge without a neighbour that way, the nearest sample is on the diagonal or along the edge
-        for part in (row, col, diagonal):
-            np.copyto(part, mean((0, -1), (0, 1), (-1, 0), (1, 0), (-1, -1), (-1, 1), (1, -1), (1, 1)), where=np.isnan(part))
-        return np.where(own, s, np.where(same_row, row, np.where(same_col, col, diagonal)))
-
-    sizes = pixels.groupBy(*by).agg((F.floor((F.max("y") + 1) / 2) * 2).alias("__h"), (F.floor((F.max("x") + 1) / 2) * 2).alias("__w"))
-    return tiled(pixels, kernel, 2, by).join(sizes, list(by)).where("y < __h AND x < __w").select(*pixels.columns)
+            left, right, up, down = at(0, -1), at(0, 1), at(-1, 0), at(1, 0)
+            red = right + down + other(left, near * right + far * down) + other(up, far * right + near * down)
+            blue = up + left + other(right, near * up + far * left) + other(down, far * up + near * left)
+            return np.where(own, s, np.where(py == 0, red, blue) / 4)
+        one = 1 if c == "B" else -1  # where the cell's own sample lies
+        along = lambda dy, dx: (at(one * dy, one * dx) + other(at(-one * dy, -one * dx), at(one * dy, one * dx))) / 2
+        cell = at(one, one)
+        corners = (cell + sum(other(at(one * dy, one * dx), cell) for dy, dx in ((-1, 1), (1, -1), (-1, -1)))) / 4
+        same_row, same_col = py == (c == "B"), px == (c == "B")
+        return np.where(own, s, np.where(same_row, along(0, 1), np.where(same_col, along(1, 0), corners)))
+
+    even = lambda n, o: F.col(n) - o - F.pmod(F.col(n) - o, F.lit(2))
+    sizes = pixels.groupBy(*by).agg((F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
+    moved = tiled(pixels, kernel, 2, by).join(sizes, list(by)).withColumn("y", (F.col("y") - yo).cast("int")).withColumn("x", (F.col("x") - xo).cast("int"))
+    return moved.where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < even("__h", yo)) & (F.col("x") < even("__w", xo))).select(*pixels.columns)
 
 
 def bin_pixels(pixels: DataFrame, n: int = 1, by: tuple[str, ...] = ("frame_id", "ch")) -> DataFrame:

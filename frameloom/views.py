@@ -46,7 +46,8 @@ def star_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def bright_stars(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def bright_stars(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
+    """Stars with their rank in the frame by mass; the k brightest of a frame, or all."""
     from .operators import stars
 
     return stars.brightest(star_cat(spark, sf_dir), k, order=("x", "y", "hfr", "l_linenumber", "l_discount", "l_tax"))
@@ -61,8 +62,20 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours.crossJoin(F.broadcast(kinds)).select(F.lit(0).cast("long").alias("frame_id"), F.lit(0).alias("ch"), (F.array_position("kinds", F.col("event_type")) - 1).cast("int").alias("y"), "x", "v")
 
 
+#: Images of one session have numbers session * IMAGES, session * IMAGES + 1, ...
+IMAGES = 1_000_000
+
+
 def rgb_px(pixels: DataFrame) -> DataFrame:
-    """The three lowest frames of each session as channels 0, 1, 2: session, ch, y, x, v."""
-    ids = pixels.groupBy("session").agg(F.slice(F.sort_array(F.collect_set("frame_id")), 1, 3).alias("ids"))  # frames of a session, not pixels
-    chosen = ids.select("session", F.posexplode("ids").alias("ch", "frame_id"))
-    return pixels.drop("ch").join(chosen, ["session", "frame_id"]).select("session", "ch", "y", "x", "v")
+    """All frames of a session, in order, as channels 0, 1, 2 of one colour image after another: image, ch, y, x, v.
+
+    A colour image has three channels, so one or two frames left over at a session's end make none.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("session").orderBy("frame_id")  # frames, not pixels
+    rank = F.row_number().over(order) - 1
+    n = F.count("*").over(Window.partitionBy("session"))
+    dealt = pixels.select("session", "frame_id").distinct().withColumn("rank", rank).withColumn("n", n).where("rank < n - n % 3")
+    chosen = dealt.select("session", "frame_id", (F.col("session").cast("long") * IMAGES + F.floor(F.col("rank") / 3)).alias("image"), (F.col("rank") % 3).cast("int").alias("ch"))
+    return pixels.drop("ch").join(chosen, ["session", "frame_id"]).select("image", "ch", "y", "x", "v")
