@@ -302,8 +302,8 @@ def _verified_in_blocks(cand: DataFrame, sets: DataFrame, how: Similarity) -> Da
     return full.mapInArrow(run, "u long, v long")
 
 
-def _blocks(now: DataFrame, block: int = 512) -> DataFrame:
-    """Deal the rows (key, band, node, component, n, sk) of buckets that hold several components into blocks.
+def _blocks(now: DataFrame, sketches: DataFrame, block: int = 256) -> DataFrame:
+    """Deal the rows (key, band, node, component, n) of buckets that hold several components, with their sketches, into blocks.
 
     Every bucket has a main component, the one with most of its members; other members are its outsiders.  A pair of
     different components has an outsider in it, so blocks of outsiders meet blocks of all members: where one
@@ -311,15 +311,15 @@ def _blocks(now: DataFrame, block: int = 512) -> DataFrame:
     """
     sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.sum("size").alias("members"), F.count("*").alias("components")).where("components > 1")
-    rows = now.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main.component"))
+    rows = now.join(mixed, "key").withColumn("outside", F.col("component") != F.col("main.component")).join(sketches, "node")
     parts = lambda n: F.ceil(n / block).cast("int")
     rows = rows.withColumn("blocks", parts(F.col("members"))).withColumn("outer", parts(F.col("members") - F.col("main.size")))
-    mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    out = ("band", "side", "node", "component", "n", "sk")
-    left = rows.where("outside").withColumn("other", each("blocks")).withColumn("side", F.lit(0)).select(F.concat_ws(":", "key", mine(F.col("outer")), "other").alias("part"), *out)
-    right = rows.withColumn("other", each("outer")).withColumn("side", F.when(F.col("outside"), 2).otherwise(1)).select(F.concat_ws(":", "key", "other", mine(F.col("blocks"))).alias("part"), *out)
-    return left.unionByName(right)
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("string")
+    each = lambda n, part, side: F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.struct(part(i.cast("string")).alias("part"), side.alias("side")))
+    left = each("blocks", lambda i: F.concat_ws(":", "key", mine("outer"), i), F.lit(0))
+    right = each("outer", lambda i: F.concat_ws(":", "key", i, mine("blocks")), F.when(F.col("outside"), 2).otherwise(1))
+    placed = rows.withColumn("place", F.explode(F.when(F.col("outside"), F.concat(left, right)).otherwise(right)))
+    return placed.select("place.part", "band", "place.side", "node", "component", "n", "sk")
 
 
 def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,9 +354,8 @@ def near_duplicates(docs: DataFrame, how: Similarity | None = None, id_col: str
 
     def mixed_blocks() -> DataFrame:
         """Blocks of the buckets whose members are still in different components."""
-        now = member.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        return _blocks(now.join(mixed, "key").join(reps.select("node", "sk"), "node").select("key", "band", "node", "component", "n", "sk"))
+        now = member.drop("hub", "members").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return _blocks(now, reps.select("node", "sk"))
 
     def joined(more: DataFrame) -> DataFrame:
         out = stored(links.unionByName(more), "verified")

@@ -101,7 +101,8 @@ def test_candidates_are_those_of_brute_force_by_sketch():
 def test_blocks_hold_every_pair_of_different_components_once(spark):
     r = random.Random(2)
     now = [(k, 0, 1000 * k + i, 1000 * k if r.random() < share else 1000 * k + i, 5, b"") for k, n, share in ((1, 90, 0.9), (2, 40, 0.0), (3, 30, 1.0), (4, 25, 0.5)) for i in range(n)]
-    dealt = minhash._blocks(spark.createDataFrame(now, "key long, band int, node long, component long, n long, sk binary"), 16).collect()
+    table = spark.createDataFrame(now, "key long, band int, node long, component long, n long, sk binary")
+    dealt = minhash._blocks(table.drop("sk"), table.select("node", "sk"), 16).collect()
     parts = defaultdict(list)
     for x in dealt:
         parts[x.part].append(x)
