@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import views as V
 from .functions.robust import MAD_TO_SIGMA
 from .operators import align, background, color, pixelmath, reference, stack, stars, stats, stencil
+from .sources import fits, tiff
 
 SESSION = ("session", "y", "x")
 FRAME = ["frame_id"]
@@ -539,22 +540,22 @@ def deband_v(spark, sf_dir):
     return _deband(spark, sf_dir, True)
 
 
-def _blur_sql(sigma: float, name: str = "bl") -> str:
-    taps = stencil.gaussian_kernel(sigma)
-    r = len(taps) // 2
-    values = ", ".join(f"({i - r}, CAST({t!r} AS DOUBLE))" for i, t in enumerate(taps))
+def _blur_sql(name: str = "bl") -> str:
+    """Three taps: a normal curve of sigma 1 over [-0.5, 0.5] and [0.5, 1.5] (0.0668 beyond 1.5 is over 1 percent, 0.0062 beyond 2.5 isn't), normalised."""
+    side, centre = 0.24173033745712885, 0.38292492254802624
+    values = ", ".join(f"({o}, {t / (centre + 2 * side)!r}e0)" for o, t in ((-1, side), (0, centre), (1, side)))
     mirror = "CASE WHEN {0} < 0 THEN -({0}) - 1 WHEN {0} >= 8 THEN 15 - ({0}) ELSE {0} END"
     return f""", k(o, t) AS (VALUES {values}),
 b1 AS (SELECT a.frame_id, a.y, a.x, sum(t * b.v) AS v FROM px a, k, px b WHERE b.frame_id = a.frame_id AND b.y = a.y AND b.x = {mirror.format('a.x + o')} GROUP BY 1, 2, 3),
 {name} AS (SELECT a.frame_id, a.y, a.x, sum(t * b.v) AS v FROM b1 a, k, b1 b WHERE b.frame_id = a.frame_id AND b.x = a.x AND b.y = {mirror.format('a.y + o')} GROUP BY 1, 2, 3) """
 
 
-@query(PX + _blur_sql(1.0) + _OUT.format("v") + "bl")
+@query(PX + _blur_sql() + _OUT.format("v") + "bl")
 def gauss_blur(spark, sf_dir):
     return _px_out(stencil.gaussian_blur(V.px(spark, sf_dir), 1.0))
 
 
-@query(PX + _blur_sql(1.0) + "SELECT px.frame_id, px.y, px.x, round(CASE WHEN px.v < location + 0.5 * scale THEN px.v ELSE least(greatest(px.v + (px.v - bl.v) * 1.5, lo), hi) END, 6) AS v FROM px JOIN bl USING (frame_id, y, x) JOIN ls USING (frame_id) JOIN sp USING (frame_id)")
+@query(PX + _blur_sql() + "SELECT px.frame_id, px.y, px.x, round(CASE WHEN px.v < location + 0.5 * scale THEN px.v ELSE least(greatest(px.v + (px.v - bl.v) * 1.5, lo), hi) END, 6) AS v FROM px JOIN bl USING (frame_id, y, x) JOIN ls USING (frame_id) JOIN sp USING (frame_id)")
 def unsharp_mask(spark, sf_dir):
     p = V.px(spark, sf_dir)
     by = ["frame_id", "ch"]
@@ -589,7 +590,7 @@ def background_cells(spark, sf_dir):
 
 
 def _background_sql() -> str:
-    a, b = background._cell_weight()
+    a, b = 0.6826894921370859, 0.15730535589982697  # weights of a normal curve of sigma 0.5 over [-0.5, 0.5] and [0.5, 1.5]
     return PX + _CELLS + f""", sm AS (SELECT p.frame_id, p.cy, p.cx, sum(q.v * CASE WHEN p.cy = q.cy THEN {a!r} ELSE {b!r} END * CASE WHEN p.cx = q.cx THEN {a!r} ELSE {b!r} END)
     / sum(CASE WHEN p.cy = q.cy THEN {a!r} ELSE {b!r} END * CASE WHEN p.cx = q.cx THEN {a!r} ELSE {b!r} END) AS v
   FROM ce p JOIN ce q USING (frame_id) GROUP BY 1, 2, 3),
@@ -857,6 +858,189 @@ def hsl_stretch(spark, sf_dir):
     return _colour_out(color.on_lightness(_hsl(spark, sf_dir), pixelmath.stretch, 0.3, 0.2, ["image"]))
 
 
+# ---- operators as wholes, and files
+
+
+@query(PX + """, h AS (SELECT p1.frame_id, lo, hi, CAST(floor((v - lo) * 255 / (hi - lo)) AS INTEGER) AS bin, count(*) AS n FROM p1 JOIN (SELECT frame_id, min(v) AS lo, max(v) AS hi FROM p1 GROUP BY 1) USING (frame_id) GROUP BY 1, 2, 3, 4),
+c AS (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY bin) AS up, sum(n) OVER (PARTITION BY frame_id ORDER BY bin DESC) AS down FROM h),
+b AS (SELECT frame_id, lo + (min(CASE WHEN up > 6 THEN bin END) + 0.5) * (hi - lo) / 255 AS b, lo + (max(CASE WHEN down > 3 THEN bin END) + 0.5) * (hi - lo) / 255 AS w FROM c GROUP BY frame_id, lo, hi)
+SELECT frame_id, y, x, round(least(greatest((v - b) / (w - b), 0), 1), 6) AS v FROM p1 JOIN b USING (frame_id)""")
+def black_white(spark, sf_dir):
+    return _px_out(pixelmath.black_white(V.px01(spark, sf_dir), 10.0, 5.0, bins=256))
+
+
+@query(PX + ", q AS (SELECT p1.*, (CASE WHEN v < location - 2 * scale THEN 0 ELSE v END - (location - 2 * scale)) / (1 - (location - 2 * scale)) AS u FROM p1 JOIN ls1 USING (frame_id)) " + _OUT.format("(0.25 - 1) * u / ((2 * 0.25 - 1) * u - 0.25)") + "q")
+def midtones_strict(spark, sf_dir):
+    return _px_out(pixelmath.midtones(V.px01(spark, sf_dir), 0.25, 2.0, _ls1(spark, sf_dir), strict_compat=True))
+
+
+@query(PX + "SELECT session, CAST(CASE WHEN hi > lo THEN floor((v - lo) * 63 / (hi - lo) + 0.5) ELSE 0 END AS INTEGER) AS bin, count(*) AS n FROM pm JOIN (SELECT session, min(v) AS lo, max(v) AS hi FROM pm GROUP BY 1) USING (session) WHERE v IS NOT NULL GROUP BY 1, 2")
+def stats_histogram(spark, sf_dir):
+    return stats.histogram(V.px_missing(spark, sf_dir), ["session"], 64).select("session", "bin", "n")
+
+
+_PERCEPTUAL = """, s AS (SELECT session, min(v) AS lo, max(v) AS hi FROM px GROUP BY 1),
+h AS (SELECT session, lo, hi, CAST(floor(((v - lo) / (hi - lo)) ** (1 / 2.4) * 63) AS INTEGER) AS bin, count(*) AS n FROM px JOIN s USING (session) GROUP BY 1, 2, 3, 4),
+p AS (SELECT session, lo, hi, bin, n FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY n DESC, bin) AS r FROM h) WHERE r = 1) """
+
+
+@query(PX + _PERCEPTUAL + "SELECT p.session, round(p.lo + ((p.bin + 0.5) / 63) ** 2.4 * (p.hi - p.lo), 6) AS x, round((p.n + coalesce(h.n, 0)) / 2, 6) AS y FROM p LEFT JOIN h ON h.session = p.session AND h.bin = p.bin + 1")
+def stats_perceptual_peak(spark, sf_dir):
+    counts = stats.perceptual_histogram(V.px(spark, sf_dir), ["session"], 64)
+    return _round(stats.histogram_peak(counts, ["session"], 64, True), "x", "y")
+
+
+@query()
+def stats_gaussian_mode(spark, sf_dir):
+    return _round(stats.gaussian_mode(stats.histogram(V.px(spark, sf_dir), ["session"], 64, 0.0), ["session"], 64), "mode", "std_dev")
+
+
+@query(PX + "SELECT px.frame_id, round(sqrt(avg((v - location) ** 2)), 6) AS std_dev, round(1.4826 * median(abs(v - location)), 6) AS mad FROM px JOIN ls USING (frame_id) WHERE v BETWEEN -0.1 AND 0.15 GROUP BY 1")
+def stats_bounded(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    return _round(stats.bounded(p, FRAME, stats.median_mad(p, FRAME), -0.1, 0.15), "std_dev", "mad")
+
+
+@query(PX + """, i AS (SELECT px.frame_id, v FROM px JOIN ls USING (frame_id) WHERE abs(v - location) <= 1.5 * scale), im AS (SELECT frame_id, median(v) AS m FROM i GROUP BY 1)
+SELECT frame_id, round(any_value(m), 6) AS location, round(1.4826 * median(abs(v - m)), 6) AS scale FROM i JOIN im USING (frame_id) GROUP BY 1""")
+def stats_clipped_median_mad(spark, sf_dir):
+    return _round(stats.sigma_clipped_median_mad(V.px(spark, sf_dir), FRAME, 1.5), "location", "scale")
+
+
+#: Two stars a frame of px, of sizes and masses that follow from the frame's number.
+_SKY = ", sky AS (SELECT frame_id, (frame_id * 7 + k * 5) % 8 AS x, (frame_id * 3 + k * 4) % 8 AS y, 0.6 + (frame_id + k) % 3 * 0.4 AS hfr, 1.0 + (frame_id + k) % 5 AS mass FROM (SELECT DISTINCT frame_id FROM px), (VALUES (0), (1)) t(k)) "
+
+
+def _sky(pixels: DataFrame, key: str = "frame_id") -> DataFrame:
+    f, k = F.col(key), F.col("k")
+    two = pixels.select(key).distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    return two.select(key, ((f * 7 + k * 5) % 8).cast("double").alias("x"), ((f * 3 + k * 4) % 8).cast("double").alias("y"), (0.6 + (f + k) % 3 * 0.4).alias("hfr"), (1.0 + (f + k) % 5).cast("double").alias("mass"))
+
+
+@query(PX + _SKY + "SELECT px.frame_id, px.y, px.x, round(sum(mass / (pi() * (hfr * 2) ** 2)), 6) AS v FROM px JOIN sky s ON s.frame_id = px.frame_id AND (px.x - s.x) ** 2 + (px.y - s.y) ** 2 <= (hfr * 2) ** 2 GROUP BY 1, 2, 3")
+def star_mask(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    sizes = p.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return _px_out(stencil.star_mask(_sky(p), sizes, 2.0))
+
+
+def _starry_background_sql() -> str:
+    """Cells without stars' discs, the brightest one cleared, missing ones filled by the median of the others that are known (a 2 x 2 grid's cells are all neighbours)."""
+    near, far = 0.6826894921370859, 0.15730535589982697  # weights of a normal curve of sigma 0.5 over [-0.5, 0.5] and [0.5, 1.5]
+    return PX + _SKY + f""", fr AS (SELECT px.frame_id, px.y, px.x, px.v FROM px WHERE NOT EXISTS (SELECT 1 FROM sky s WHERE s.frame_id = px.frame_id AND (px.x - s.x) ** 2 + (px.y - s.y) ** 2 <= (s.hfr * 2) ** 2)),
+c AS (SELECT frame_id, y // 4 AS cy, x // 4 AS cx, v FROM fr),
+m AS (SELECT frame_id, cy, cx, median(v) AS m FROM c GROUP BY 1, 2, 3),
+d AS (SELECT c.*, m FROM c JOIN m USING (frame_id, cy, cx)),
+s AS (SELECT frame_id, cy, cx, median(abs(v - m)) AS s FROM d GROUP BY 1, 2, 3),
+ce AS (SELECT frame_id, cy, cx, coalesce(median(CASE WHEN v < m + 1.5 * 1.4826 * s THEN v END), any_value(m)) AS v FROM d JOIN s USING (frame_id, cy, cx) GROUP BY 1, 2, 3),
+kn AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY frame_id) > 1 AND v >= max(v) OVER (PARTITION BY frame_id) THEN NULL ELSE v END AS k FROM ce),
+al AS (SELECT f.frame_id, g.cy, g.cx, k FROM (SELECT DISTINCT frame_id FROM px) f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) g(cy, cx) LEFT JOIN kn ON kn.frame_id = f.frame_id AND kn.cy = g.cy AND kn.cx = g.cx),
+fi AS (SELECT frame_id, cy, cx, coalesce(k, median(k) OVER (PARTITION BY frame_id), 0) AS v FROM al),
+sm AS (SELECT p.frame_id, p.cy, p.cx, sum(q.v * CASE WHEN p.cy = q.cy THEN {near} ELSE {far} END * CASE WHEN p.cx = q.cx THEN {near} ELSE {far} END) / (({near} + {far}) ** 2) AS v FROM fi p JOIN fi q USING (frame_id) GROUP BY 1, 2, 3),
+w AS (SELECT frame_id, max(CASE WHEN cy = 0 AND cx = 0 THEN v END) AS v00, max(CASE WHEN cy = 0 AND cx = 1 THEN v END) AS v01, max(CASE WHEN cy = 1 AND cx = 0 THEN v END) AS v10, max(CASE WHEN cy = 1 AND cx = 1 THEN v END) AS v11 FROM sm GROUP BY 1),
+f AS (SELECT px.frame_id, y, x, v, (y + 0.5) / 4.0 - 0.5 AS fy, (x + 0.5) / 4.0 - 0.5 AS fx, v00, v01, v10, v11 FROM px JOIN w USING (frame_id))
+SELECT frame_id, y, x, round(v - ((v00 + (v01 - v00) * fx) + ((v10 + (v11 - v10) * fx) - (v00 + (v01 - v00) * fx)) * fy), 6) AS v FROM f"""
+
+
+@query(_starry_background_sql())
+def background_without_stars(spark, sf_dir):
+    p = V.px(spark, sf_dir)
+    return _px_out(background.subtract(p, background.finished(background.cells(p, 4, 1.5, _sky(p), 2.0), 1)))
+
+
+@query(PX + ", n AS (SELECT session, count(DISTINCT frame_id) AS n FROM px GROUP BY 1) SELECT session, CASE WHEN n >= 25 THEN 5 WHEN n >= 15 THEN 3 WHEN n >= 6 THEN 2 ELSE 1 END AS mode FROM n")
+def stack_auto_mode(spark, sf_dir):
+    n = V.px(spark, sf_dir).groupBy("session").agg(F.countDistinct("frame_id").alias("n"))
+    return n.select("session", F.udf(lambda k: int(stack.auto_mode(k)), "int")("n").alias("mode"))  # one row a session
+
+
+@query("""WITH RECURSIVE st AS (SELECT l_suppkey AS frame_id, CAST(l_partkey AS DOUBLE) AS x, CAST(l_orderkey AS DOUBLE) AS y, l_extendedprice AS mass,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_partkey) AS r FROM lineitem),
+it AS (SELECT frame_id, x, y, mass, r, [{'x': x, 'y': y}] AS near, TRUE AS kept FROM st WHERE r = 1
+UNION ALL SELECT frame_id, x, y, mass, r, CASE WHEN free THEN list_append(near, {'x': x, 'y': y}) ELSE near END, free FROM (
+  SELECT st.*, near, len(list_filter(near, lambda k: floor((st.x - k.x) ** 2 + (st.y - k.y) ** 2 + 0.5) <= 4000000)) = 0 AS free FROM it JOIN st ON st.frame_id = it.frame_id AND st.r = it.r + 1 WHERE len(near) < 8))
+SELECT frame_id, x, y, mass FROM it WHERE kept""")
+def brightest_distant(spark, sf_dir):
+    return stars.brightest_distant(V.star_cat(spark, sf_dir).select("frame_id", "x", "y", "mass"), 8, 2000.0)
+
+
+#: The transform of a frame onto the reference: a small turn, a small stretch and a shift, by its number.
+_TURN = {"a": "1.0 + (frame_id % 5) * 0.01", "b": "(frame_id % 7) * 0.02", "c": "(frame_id % 11) * 30.0", "d": "-(frame_id % 7) * 0.02", "e": "1.0 - (frame_id % 3) * 0.01", "f": "(frame_id % 13) * -20.0"}
+
+
+@query("WITH fr AS (SELECT DISTINCT l_suppkey AS frame_id FROM lineitem) SELECT frame_id, " + ", ".join(f"round({v}, 4) AS {k}" for k, v in _TURN.items()) + " FROM fr")
+def align_frames(spark, sf_dir):
+    """Every frame holds the 60 brightest stars of the first one, moved; aligning finds the moves."""
+    cat = V.bright_stars(spark, sf_dir, 60)
+    first = cat.agg(F.min("frame_id").alias("frame_id"))
+    ref = cat.join(F.broadcast(first), "frame_id", "left_semi").select("x", "y", "mass")  # first is one row
+    t = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("int").alias("frame_id")).distinct().select("frame_id", *[F.expr(v).cast("double").alias(k) for k, v in _TURN.items()])
+    u, w, det = F.col("x") - F.col("c"), F.col("y") - F.col("f"), F.col("a") * F.col("e") - F.col("b") * F.col("d")
+    moved = t.crossJoin(F.broadcast(ref)).select("frame_id", ((F.col("e") * u - F.col("b") * w) / det).alias("x"), ((F.col("a") * w - F.col("d") * u) / det).alias("y"), "mass")  # 60 rows
+    sizes = t.select("frame_id", F.lit(20000).alias("width"))
+    found = align.align(moved, sizes, ref, 20000, 20000)
+    return found.select("frame_id", *[F.round(k, 4).alias(k) for k in "abcdef"])
+
+
+@query(PX + "SELECT frame_id, y, x, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS v FROM px")
+def fits_round_trip(spark, sf_dir):
+    files = fits.images(V.px(spark, sf_dir)).select("frame_id", F.lit("frame.fits").alias("path"), "content")
+    return _px_out(fits.samples(files))
+
+
+@query(PX + "SELECT frame_id, y, x, round_even(least(greatest((CAST(CAST(v AS FLOAT) AS DOUBLE) + 0.5) / 1.5, 0), 1) * 65535, 0) AS v FROM px")
+def tiff_round_trip(spark, sf_dir):
+    files = fits.images(V.px(spark, sf_dir), None, lambda data, exposure: tiff.encode(data, -0.5, 1.0)).select("frame_id", F.lit("frame.tif").alias("path"), "content")
+    return fits.samples(files).select("frame_id", "y", "x", F.col("v").cast("double").alias("v"))
+
+
+@query(PX + _SKY + """, b AS (SELECT sky.*, row_number() OVER (PARTITION BY frame_id ORDER BY mass DESC, x, y) AS r FROM sky)
+SELECT frame_id, 0 AS line_no, 'Index,Value,X,Y,Mass,HFR' AS line FROM b WHERE r = 1
+UNION ALL SELECT frame_id, r, concat_ws(',', CAST(CAST(y * 8 + x AS INTEGER) AS VARCHAR), CAST(mass AS DECIMAL(9, 1)), CAST(x AS DECIMAL(9, 1)), CAST(y AS DECIMAL(9, 1)), CAST(mass AS DECIMAL(9, 1)), CAST(hfr AS DECIMAL(9, 1))) FROM b""")
+def star_csv(spark, sf_dir):
+    found = stars.brightest(_sky(V.px(spark, sf_dir)), None)
+    cells = found.select("frame_id", "rank", (F.col("y") * 8 + F.col("x")).cast("int").alias("idx"), F.col("mass").alias("value"), "x", "y", "mass", F.round("hfr", 1).alias("hfr"))
+    return _longs(stars.csv_lines(cells), "line_no")
+
+
+@query(RGB + _COLOUR.replace("round(c0, 6)", "round(c0 + 0.1, 6)").replace("round(c2, 6)", "round(c2 - 0.2, 6)") + "rgb")
+def rgb_offset(spark, sf_dir):
+    return _colour_out(color.offset_rgb(_rgb(spark, sf_dir), 0.1, 0.0, -0.2))
+
+
+@query(RGB + _COLOUR.replace("round(c0, 6)", "round(least(c0 * 1.3, 1), 6)").replace("round(c1, 6)", "round(least(c1 * 0.8, 1), 6)").replace("round(c2, 6)", "round(least(c2 * 2, 1), 6)") + "rgb")
+def rgb_scale(spark, sf_dir):
+    return _colour_out(color.scale_rgb(_rgb(spark, sf_dir), 1.3, 0.8, 2.0))
+
+
+@query(RGB + ", lm AS (SELECT image, median(c2) AS m, min(c2) AS lo, max(c2) AS hi FROM rgb GROUP BY 1), lq AS (SELECT image, any_value(m) AS m, any_value(lo) AS lo, any_value(hi) AS hi, 1.4826 * median(abs(c2 - m)) AS s FROM rgb JOIN lm USING (image) GROUP BY 1)"
+       + _blur_sql().replace("px a, k, px b", "rgb a, k, rgb b").replace("frame_id", "image").replace("t * b.v) AS v FROM rgb", "t * b.c2) AS v FROM rgb")
+       + "SELECT rgb.image, rgb.y, rgb.x, round(c0, 6) AS c0, round(c1, 6) AS c1, round(CASE WHEN c2 < m + 0.5 * s THEN c2 ELSE least(greatest(c2 + (c2 - bl.v) * 1.5, lo), hi) END, 6) AS c2 FROM rgb JOIN bl USING (image, y, x) JOIN lq USING (image)")
+def hsl_unsharp_mask(spark, sf_dir):
+    h = _rgb(spark, sf_dir)
+    light = h.select("image", F.col("c2").alias("v"))
+    limits = stats.median_mad(light, ["image"]).join(stats.basic(light, ["image"]), "image")
+    return _colour_out(color.on_lightness(h, stencil.unsharp_mask, limits, 1.0, 1.5, 0.5, BY))
+
+
+def _balance_sql(source: str, low: str, high: str, name: str) -> str:
+    """Channels of `source` so that the m0..m2 of `low` and the s0..s2 of `high` become their means, clamped to [0, 1]."""
+    one = lambda i: f"least(greatest((hm - lm) / (s{i} - m{i}) * c{i} + lm - (hm - lm) / (s{i} - m{i}) * m{i}, 0), 1) AS c{i}"
+    return f", {name} AS (SELECT image, y, x, {one(0)}, {one(1)}, {one(2)} FROM (SELECT q.*, m0, m1, m2, s0, s1, s2, (m0 + m1 + m2) / 3 AS lm, (s0 + s1 + s2) / 3 AS hm FROM {source} q JOIN {low} USING (image) JOIN {high} USING (image)))"
+
+
+@query(RGB + ", cm AS (SELECT image, median(c0) AS m0, median(c1) AS m1, median(c2) AS m2 FROM rgb GROUP BY 1), ch AS (SELECT image, any_value(m0) + 3 * 1.4826 * median(abs(c0 - m0)) AS s0, any_value(m1) + 3 * 1.4826 * median(abs(c1 - m1)) AS s1, any_value(m2) + 3 * 1.4826 * median(abs(c2 - m2)) AS s2 FROM rgb JOIN cm USING (image) GROUP BY 1)"
+       + _balance_sql("rgb", "cm", "ch", "b1") + _DARK.replace("FROM rgb", "FROM b1")
+       + """, sky AS (SELECT image, (image * 7 + k * 5) % 8 AS sx, (image * 3 + k * 4) % 8 AS sy, 0.75 * (0.6 + (image + k) % 3 * 0.4) AS r FROM (SELECT DISTINCT image FROM rgb), (VALUES (0), (1)) t(k)),
+tp AS (SELECT image, max(c0) AS t0, max(c1) AS t1, max(c2) AS t2 FROM b1 GROUP BY 1),
+sc AS (SELECT image, avg(c0) AS s0, avg(c1) AS s1, avg(c2) AS s2 FROM b1 JOIN tp USING (image) JOIN sky USING (image) WHERE (x - sx) ** 2 + (y - sy) ** 2 <= r * r AND c0 < 0.9 * t0 AND c1 < 0.9 * t1 AND c2 < 0.9 * t2 GROUP BY 1) """
+       + _balance_sql("b1", "dk", "sc", "b2") + " " + _COLOUR + "b2")
+def rgb_balance_stars(spark, sf_dir):
+    rgb = _rgb(spark, sf_dir)
+    ls = stats.median_mad(color.planar(rgb), ["image", "ch"])
+    return _colour_out(color.rgb_balance(rgb, ls, _sky(rgb, "image"), 2, 0.2, 0.0, 0.0, by=BY))
+
+
 # ---- event signal
 
 

@@ -7,10 +7,13 @@ Also run -job file, serve -port n, legal, version and help.  The plan is logged
 from __future__ import annotations
 
 import argparse
+import contextlib
+import cProfile
 import json
 import logging
 import os
 import sys
+import tracemalloc
 
 from pyspark.sql import SparkSession
 
@@ -38,9 +41,40 @@ def execute(spark: SparkSession, plan: job.Op, base: str, out: str, estimator: i
     return plan.run(job.PipelineState(spark, base, out, estimator))
 
 
+@contextlib.contextmanager
+def profiled(cpu: str, memory: str):
+    """Write a profile of the driver's Python and of its memory to the files named."""
+    profile = cProfile.Profile() if cpu else None
+    if profile:
+        profile.enable()
+    if memory:
+        tracemalloc.start()
+    try:
+        yield
+    finally:
+        if profile:
+            profile.disable()
+            profile.dump_stats(cpu)
+        if memory:
+            tracemalloc.take_snapshot().dump(memory)
+            tracemalloc.stop()
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_intermixed_args(argv)
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+    refused = [k for k in presets.REFUSED if getattr(args, k) != presets.FLAGS[k]]
+    if refused:
+        raise SystemExit(f"not supported here: {', '.join('-' + k for k in refused)}")
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    log = presets.auto_name(args.log, args.out, ".log")
+    if log and args.command in ("stats", "stack", "stretch", "rgb", "run"):
+        handlers.append(logging.FileHandler(log, encoding="utf-8"))
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s", handlers=handlers, force=True)
+    with profiled(args.cpuprofile, args.memprofile):
+        return run(args)
+
+
+def run(args: argparse.Namespace) -> int:
     if args.command == "version":
         print(VERSION)
     elif args.command == "legal":

@@ -82,7 +82,7 @@ def _winsorised(a: np.ndarray, median: np.ndarray) -> np.ndarray:
     a = a.copy()
     sigma = np.nanstd(a, axis=1, keepdims=True)
     live = np.arange(len(a))
-    for _ in range(200):
+    while len(live):  # each pass that goes on has pulled a value in, and sigma shrinks or settles
         lo, hi = median[live] - 1.5 * sigma[live], median[live] + 1.5 * sigma[live]
         b = np.clip(a[live], lo, hi)
         changed = ((b != a[live]) & ~np.isnan(b)).any(axis=1)
@@ -91,8 +91,6 @@ def _winsorised(a: np.ndarray, median: np.ndarray) -> np.ndarray:
         settled = (np.abs(new - sigma[live]) <= 5e-4 * sigma[live])[:, 0]
         sigma[live] = new
         live = live[changed & ~settled]
-        if not len(live):
-            break
     return sigma
 
 
@@ -159,6 +157,35 @@ def ikss(v: np.ndarray, epsilon: float = 1e-3) -> tuple[float, float]:
     return float("nan"), float("nan")
 
 
+def fitted_normal(x: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, float]:
+    """Mean and standard deviation of the normal curve nearest to counts at x, by damped Gauss-Newton steps from the moments about the peak."""
+    if not counts.sum():
+        return float("nan"), float("nan")
+    mu = float(x[counts.argmax()])
+    sigma = float(np.sqrt((counts * (x - mu) ** 2).sum() / counts.sum())) or float(np.diff(x).mean() if len(x) > 1 else 1.0)
+    p, damp = np.array([counts.max(), mu, sigma]), 1e-3
+    curve = lambda q: q[0] * np.exp(-0.5 * ((x - q[1]) / q[2]) ** 2)
+    error = float(((counts - curve(p)) ** 2).sum())
+    for _ in range(rounds):
+        u = (x - p[1]) / p[2]
+        e = np.exp(-0.5 * u * u)
+        j = np.stack([e, p[0] * e * u / p[2], p[0] * e * u * u / p[2]], 1)
+        a = j.T @ j
+        step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-300), j.T @ (counts - p[0] * e), rcond=None)[0]
+        q = p + step
+        new = float(((counts - curve(q)) ** 2).sum()) if q[2] > 0 else np.inf
+        if new <= error:
+            done = error - new <= 1e-14 * error
+            p, error, damp = q, new, damp / 5
+            if done:
+                break
+        else:
+            damp *= 5
+            if damp > 1e12:
+                break
+    return float(p[1]), float(p[2])
+
+
 def qn(v: np.ndarray, seed: int = 1, pairs: int = 131_072) -> float:
     """Rousseeuw and Croux's Qn; all pairs for small groups, a seeded sample of pairs for others."""
     n = len(v)

@@ -138,6 +138,15 @@ def scale_offset_channel(hsl: DataFrame, ch: int = 2, scale: float = 1.0, offset
     return hsl.withColumn(CHANNELS[ch], F.col(CHANNELS[ch]) * scale + offset)
 
 
+def offset_rgb(colour: DataFrame, r: float = 0.0, g: float = 0.0, b: float = 0.0) -> DataFrame:
+    return colour.withColumns({c: F.col(c) + o for c, o in zip(CHANNELS, (r, g, b))})
+
+
+def scale_rgb(colour: DataFrame, r: float = 1.0, g: float = 1.0, b: float = 1.0) -> DataFrame:
+    """Channels times factors, at most 1."""
+    return colour.withColumns({c: F.least(F.col(c) * k, F.lit(1.0)) for c, k in zip(CHANNELS, (r, g, b))})
+
+
 def _threshold(hsl: DataFrame, location_scale: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return hsl.join(location_scale.select(*by, F.col("location").alias("__loc"), F.col("scale").alias("__sc")), list(by))
 

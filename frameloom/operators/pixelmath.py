@@ -7,7 +7,7 @@ hinted, Spark broadcasts it if its size allows.  Neutral parameters return the i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import stats as S
@@ -74,18 +74,24 @@ def gamma_pp(pixels: DataFrame, g: float, sigma: float, location_scale: DataFram
     return _with(pixels, location_scale.select(*by, "location", "scale"), by).withColumn(V, new if where is None else F.when(where, new).otherwise(v)).select(*pixels.columns)
 
 
-def midtones_curve(v: Column, mid: float, black: Column) -> Column:
-    """Midtones transfer function after the black point: 0 below it, 1 above 1."""
+def midtones_curve(v: Column, mid: float, black: Column, strict_compat: bool = False) -> Column:
+    """Midtones transfer function after the black point: 0 below it, 1 above 1.
+
+    strict_compat: a value under the black point is set to 0 before the black point is taken off, so that it may end below 0.
+    """
+    if strict_compat:
+        u = (F.when(v < black, 0.0).when(v.isNotNull(), v) - black) / (1 - black)
+        return (mid - 1) * u / ((2 * mid - 1) * u - mid)
     u = F.greatest((v - black) / (1 - black), F.lit(0.0))
     return F.when(u > 1, 1.0).when(u <= 0, 0.0).when(v.isNotNull(), (mid - 1) * u / ((2 * mid - 1) * u - mid))
 
 
-def midtones(pixels: DataFrame, mid: float, black_sigma: float, location_scale: DataFrame, by: list[str] | None = None, where: Column | None = None) -> DataFrame:
+def midtones(pixels: DataFrame, mid: float, black_sigma: float, location_scale: DataFrame, by: list[str] | None = None, where: Column | None = None, strict_compat: bool = False) -> DataFrame:
     """Midtones stretch with the black point at location - black_sigma * scale."""
     if mid == 0:
         return pixels
     by = by or ["frame_id"]
-    new = midtones_curve(F.col(V), mid, F.col("location") - black_sigma * F.col("scale"))
+    new = midtones_curve(F.col(V), mid, F.col("location") - black_sigma * F.col("scale"), strict_compat)
     return _with(pixels, location_scale.select(*by, "location", "scale"), by).withColumn(V, new if where is None else F.when(where, new).otherwise(F.col(V))).select(*pixels.columns)
 
 
@@ -100,6 +106,23 @@ def scale_black(pixels: DataFrame, target: float, location_scale: DataFrame, by:
     return _with(pixels, location_scale.select(*by, "location"), by).withColumn(V, new if where is None else F.when(where, new).otherwise(F.col(V))).select(*pixels.columns)
 
 
+def black_white(pixels: DataFrame, black: float, white: float, by: list[str] | None = None, bins: int = 65536) -> DataFrame:
+    """Linear stretch to [0, 1] that clips at most `black` percent of a frame's values at 0 and `white` percent at 1.
+
+    The two points are centres of histogram bins: the first one, from below and from above, with more values up to it.
+    """
+    by = by or ["frame_id"]
+    h = S.histogram(pixels, by, bins, 0.0)
+    width = (F.col("hi") - F.col("lo")) / (bins - 1)
+    total = F.sum("n").over(Window.partitionBy(*by))  # bins of a frame, not pixels
+    upto, down = (F.sum("n").over(Window.partitionBy(*by).orderBy(o)) for o in (F.col("bin"), F.col("bin").desc()))
+    run = h.withColumn("low", upto > F.floor(black * 0.01 * total)).withColumn("high", down > F.floor(white * 0.01 * total))
+    points = run.groupBy(*by, "lo", "hi").agg(F.min(F.when(F.col("low"), F.col("bin"))).alias("b"), F.max(F.when(F.col("high"), F.col("bin"))).alias("w"))
+    at = lambda c: F.col("lo") + (F.col(c) + 0.5) * width
+    scaled = F.when(F.col("__w") != F.col("__b"), F.least(F.greatest((F.col(V) - F.col("__b")) / (F.col("__w") - F.col("__b")), F.lit(0.0)), F.lit(1.0))).otherwise((F.col(V) > F.col("__b")).cast("double"))
+    return _with(pixels, points.select(*by, at("b").alias("__b"), at("w").alias("__w")), by).withColumn(V, F.when(F.col(V).isNotNull(), scaled)).select(*pixels.columns)
+
+
 def stretch(pixels: DataFrame, location: float = 0.1, scale: float = 0.004, by: list[str] | None = None, estimator: int = S.Estimator.MEDIAN_MAD, most_rounds: int = 50, where: Column | None = None) -> DataFrame:
     """Iterative stretch of every frame until location and scale reach the targets.
 

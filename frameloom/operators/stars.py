@@ -174,6 +174,13 @@ def brightest_distant(stars: DataFrame, k: int, least_distance: float, schema: s
     return stars.groupBy("frame_id").applyInPandas(run, schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stars.schema))
 
 
+def csv_lines(found: DataFrame) -> DataFrame:
+    """frame_id, line_no, line: each frame's stars as CSV, a header line (number 0) first."""
+    head = found.select("frame_id").distinct().select("frame_id", F.lit(0).alias("line_no"), F.lit("Index,Value,X,Y,Mass,HFR").alias("line"))
+    rows = found.select("frame_id", F.col("rank").cast("int").alias("line_no"), F.concat_ws(",", *[F.col(c).cast("string") for c in ("idx", "value", "x", "y", "mass", "hfr")]).alias("line"))
+    return head.unionByName(rows)
+
+
 def cell_binning(stars: DataFrame, sizes: DataFrame, grid: int, hfr_factor: float = 4.0) -> DataFrame:
     """frame_id, cy, cx, n_stars: stars whose 3x3 footprint at hfr * hfr_factor touches a cell."""
     r = F.col("hfr") * hfr_factor

@@ -45,10 +45,10 @@ def kth_smallest(pixels: DataFrame, by: list[str], k: int | None = None) -> Data
     return ranked.where(F.col("r") == at).select(*by, "v")
 
 
-def histogram(pixels: DataFrame, by: list[str], bins: int = 4096) -> DataFrame:
-    """by, bin, n: counts of floor((v - min) * (bins - 1) / (max - min) + 0.5)."""
+def histogram(pixels: DataFrame, by: list[str], bins: int = 4096, shift: float = 0.5) -> DataFrame:
+    """by, lo, hi, bin, n: counts of floor((v - min) * (bins - 1) / (max - min) + shift); with shift 0 a bin begins at its value."""
     span = pixels.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bin_ = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) * (bins - 1) / (F.col("hi") - F.col("lo")) + 0.5)).otherwise(0).cast("int")
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) * (bins - 1) / (F.col("hi") - F.col("lo")) + shift)).otherwise(0).cast("int")
     return pixels.where("v IS NOT NULL").join(span, by).groupBy(*by, "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -70,6 +70,45 @@ def histogram_location_scale(pixels: DataFrame, by: list[str], bins: int = 4096)
     )
 
 
+def perceptual_histogram(pixels: DataFrame, by: list[str], bins: int = 4096) -> DataFrame:
+    """by, lo, hi, bin, n: counts of floor(((v - min) / (max - min)) ** (1 / 2.4) * (bins - 1))."""
+    span = pixels.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    u = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.floor(F.pow(u, 1 / 2.4) * (bins - 1))).otherwise(0).cast("int")
+    return pixels.where("v IS NOT NULL").join(span, by).groupBy(*by, "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _bin_centre(lo, hi, bin_, bins: int, perceptual: bool):
+    share = (bin_ + 0.5) / (bins - 1)
+    return lo + (share**2.4 if perceptual else share) * (hi - lo)
+
+
+def histogram_peak(counts: DataFrame, by: list[str], bins: int = 4096, perceptual: bool = False) -> DataFrame:
+    """by, x, y: centre of the fullest bin (the first of equal ones), and the mean of its count and the next bin's."""
+    best = counts.groupBy(*by, "lo", "hi").agg(F.max(F.struct("n", (-F.col("bin")).alias("m"))).alias("p")).select(*by, "lo", "hi", F.col("p.n").alias("n"), (-F.col("p.m")).alias("bin"))
+    after = counts.select(*by, (F.col("bin") - 1).alias("bin"), F.col("n").alias("next"))
+    return best.join(after, [*by, "bin"], "left").select(*by, _bin_centre(F.col("lo"), F.col("hi"), F.col("bin"), bins, perceptual).alias("x"), ((F.col("n") + F.coalesce("next", F.lit(0))) / 2).alias("y"))
+
+
+def gaussian_mode(counts: DataFrame, by: list[str], bins: int = 4096, perceptual: bool = False) -> DataFrame:
+    """by, mode, std_dev of the normal curve that fits a histogram's counts best (least squares, all bins)."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = float(part["lo"].iloc[0]), float(part["hi"].iloc[0])
+        n = np.zeros(bins)
+        n[part["bin"].to_numpy()] = part["n"].to_numpy()
+        return pd.DataFrame([(*key, *robust.fitted_normal(_bin_centre(lo, hi, np.arange(bins), bins, perceptual), n))], columns=[*by, "mode", "std_dev"])
+
+    return counts.groupBy(*by).applyInPandas(run, _schema(counts, by) + ", mode double, std_dev double")  # bins of a frame, not pixels
+
+
+def bounded(pixels: DataFrame, by: list[str], location: DataFrame, low: float, high: float) -> DataFrame:
+    """by, std_dev, mad about a given location (by..., location), of the values in [low, high]; all of them, not a sample."""
+    d = F.col("v") - F.col("location")
+    inside = pixels.where(F.col("v").between(low, high)).join(location.select(*by, "location"), by)
+    return inside.groupBy(*by).agg(F.sqrt(F.avg(d * d)).alias("std_dev"), (robust.MAD_TO_SIGMA * F.median(F.abs(d))).alias("mad"))
+
+
 def noise(pixels: DataFrame, by: list[str]) -> DataFrame:
     """Immerkaer's estimate (CVIU 1996) over complete 3x3 neighbourhoods; NULL where there is none.
 

@@ -30,6 +30,10 @@ FLAGS: dict[str, Any] = {
 }
 
 
+#: Flags that have no meaning on Spark: a process's root and user, and a memory budget, which executors have instead.
+REFUSED = ("chroot", "setuid", "stMemory")
+
+
 def auto_name(value: str, out: str, suffix: str) -> str:
     """%auto: the output's name with another suffix."""
     if value != "%auto":

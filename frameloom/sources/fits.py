@@ -220,7 +220,12 @@ def frames(spark: SparkSession, patterns: list[str], base: str, first_id: int =
 
 
 def pixels(spark: SparkSession, patterns: list[str], base: str, first_id: int = 0, rows_a_block: int = 1 << 18) -> DataFrame:
-    """PIXELS rows; NaN becomes NULL."""
+    """PIXELS rows of files; NaN becomes NULL."""
+    return samples(_decoded(spark, patterns, base, first_id), rows_a_block)
+
+
+def samples(files: DataFrame, rows_a_block: int = 1 << 18) -> DataFrame:
+    """PIXELS rows of (frame_id, path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -234,7 +239,7 @@ def pixels(spark: SparkSession, patterns: list[str], base: str, first_id: int =
                     out = pd.DataFrame({"frame_id": np.int32(i), "ch": (at // (h * w)).astype(np.int32), "y": (at // w % h).astype(np.int32), "x": (at % w).astype(np.int32), "v": v}, index=range(len(at)))
                     yield out.assign(v=pd.array(np.where(np.isnan(v), 0, v), dtype="Float32")).mask(np.isnan(v)[:, None] & (np.array(out.columns) == "v")[None, :])
 
-    return _decoded(spark, patterns, base, first_id).mapInPandas(run, PIXELS)
+    return files.mapInPandas(run, PIXELS)
 
 
 def images(pixels: DataFrame, frames: DataFrame | None = None, encode_one=None) -> DataFrame:

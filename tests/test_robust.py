@@ -67,3 +67,20 @@ def test_estimators_of_a_normal_sample():
     for location, scale in (robust.ikss(v), robust.clipped_median_qn(v)):
         assert location == pytest.approx(5, abs=0.1) and scale == pytest.approx(2, abs=0.1)
     assert robust.ikss(np.array([3.0, 3.0, 3.0])) == (3.0, 0.0)
+
+
+def test_fitted_normal_finds_the_curve_and_no_nearer_one_is_close():
+    x = np.linspace(-3, 5, 200)
+    mean, spread = robust.fitted_normal(x, 40 * np.exp(-0.5 * ((x - 0.7) / 0.9) ** 2))
+    assert mean == pytest.approx(0.7, abs=1e-6) and spread == pytest.approx(0.9, abs=1e-6)
+    r = np.random.default_rng(0)
+    counts = np.histogram(r.normal(1, 0.5, 3000), bins=np.append(x, 5.04))[0].astype(float)
+    mean, spread = robust.fitted_normal(x, counts)
+
+    def error(m, s):
+        e = np.exp(-0.5 * ((x - m) / s) ** 2)
+        a = (e * counts).sum() / (e * e).sum()  # the best height
+        return ((counts - a * e) ** 2).sum()
+
+    assert all(error(mean, spread) <= error(mean + a, spread + b) for a in np.linspace(-0.2, 0.2, 41) for b in np.linspace(-0.2, 0.2, 41))
+    assert np.isnan(robust.fitted_normal(x, np.zeros(200))).all()
