@@ -12,10 +12,17 @@ Texts are chunked twice (it is cheap and vectorised) instead of storing one row
 first to find digests in two or more documents, by aggregation with map-side combining,
 then to mark the windows that have one.  The join's aggregated side has one row a digest, so
 a passage in a third of all documents only skews the streamed side.
+
+What windows find falls short of a passage at both ends, so that a run of them alone can't tell fifty repeated words
+from forty.  A run of LEAST_WORDS words or more stands.  For a shorter one, all stretches of LEAST_WORDS words
+that overlap it are hashed and must occur in another document's passages; only hashes that a bitmap of fixed size
+can't exclude are shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +31,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .shared import stored
+from .shared import dropped, maybe_among, stored
 
-REACH, LONGEST, LEAST_BYTES, LEAST_RUN = 11, 512, 48, 100
+REACH, LONGEST, LEAST_BYTES, LEAST_WORDS = 11, 512, 48, 50
+#: In a run that smaller documents have parts of, what only larger ones share is given from so many code points on.
+LEAST_OWN = 100
 _U = np.uint64
 _GEAR = np.random.Generator(np.random.PCG64(73)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -79,13 +88,22 @@ def boundaries(buf: np.ndarray, offsets: np.ndarray, reach: int = REACH, longest
     return ends
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, version, text of the rows with an id and a text."""
+    text = F.col(text_col).cast("string")
+    return docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+
 def window_rows(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """digest, doc_id, start, end (code points, end exclusive) of every window of chunks."""
+    """digest, doc_id, version (a hash of the text), span of every window of chunks; span is start << 32 | end, in code points, end exclusive.
+
+    Rows that share a doc_id but not the text are told apart by version.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            buf, offsets = K.utf8(batch.column(1))
+            ids, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            buf, offsets = K.utf8(batch.column(2))
             for lo, hi, b, o in K.chunks(buf, offsets):
                 ends = np.union1d(boundaries_by_document(b, o, reach, longest), o[1:][o[1:] > o[:-1]])
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
@@ -102,12 +120,11 @@ def window_rows(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, lea
                 digest = K.mix((total[ends] - total[starts]) * K._pow("q", K._PINV, len(b))[starts] + (ends - starts).astype(np.uint64)) if len(ends) else np.zeros(0, np.uint64)
                 first = points[o[:-1]][owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest.astype(np.int64)), pa.array(ids[lo:hi][owner].astype(np.int64)), pa.array((points[starts] - first).astype(np.int32)), pa.array((points[ends] - first).astype(np.int32))],
-                    names=["digest", "doc_id", "start", "end"],
+                    [pa.array(digest.astype(np.int64)), pa.array(ids[lo:hi][owner].astype(np.int64)), pa.array(versions[lo:hi][owner].astype(np.int64)), pa.array((points[starts] - first) << 32 | points[ends] - first)],
+                    names=["digest", "doc_id", "version", "span"],
                 )
 
-    named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return named.mapInArrow(run, "digest long, doc_id long, start int, end int")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "digest long, doc_id long, version long, span long")
 
 
 def boundaries_by_document(buf: np.ndarray, offsets: np.ndarray, reach: int, longest: int) -> np.ndarray:
@@ -127,50 +144,109 @@ def boundaries_by_document(buf: np.ndarray, offsets: np.ndarray, reach: int, lon
     return np.flatnonzero(place[at + 1]) + 1
 
 
-def repeated_passages(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, n_windows, first_doc_id): passages that also occur in another document.
+def _regions(spans: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, version, run, sure, region: whether the run itself has least_words words, and its text with least_words - 1 words on either side.
+
+    spans: doc_id, version, run, start, end.
+    """
+    key = ["doc_id", "version"]
+    by_doc = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "run"))).alias("spans"))  # runs of one text
+    near = maybe_among(texts, "doc_id", by_doc, "doc_id", "maybe").where("maybe").join(by_doc, key).dropDuplicates(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(r"[^\x20\x09-\x0D]+")
+        for batch in K.slices(batches):
+            rows = []
+            for doc, version, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
+                words = [m.span() for m in word.finditer(text)]
+                begins, ends = [a for a, _ in words], [b for _, b in words]
+                for s in spans:
+                    lo, hi = bisect_right(ends, s["start"]), bisect_left(begins, s["end"])  # words that overlap the run
+                    whole = bisect_right(ends, s["end"]) - bisect_left(begins, s["start"])
+                    a, b = max(0, lo - least_words + 1), min(len(words), hi + least_words - 1)
+                    if b - a >= least_words:
+                        rows.append((doc, version, s["run"], whole >= least_words, text[begins[a] : ends[b - 1]]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "version", "run", "sure", "region"])
+
+    return near.select("doc_id", "version", "text", "spans").mapInArrow(run, "doc_id long, version long, run long, sure boolean, region string")
+
+
+def _stretches(regions: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, version, run, stretch: the hash of every least_words consecutive words of the regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in K.slices(batches):
+            buf, offsets = K.utf8(batch.column(3))
+            for lo, hi, b, o in K.chunks(buf, offsets):
+                words, _, _, counts = K.word_hashes(b, o, lower=False)
+                hashes, per = K.shingle_hashes(words, counts, least_words)
+                at = pa.array(np.repeat(np.arange(lo, hi), per))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(hashes.astype(np.int64))], names=["doc_id", "version", "run", "stretch"])
+
+    return regions.select("doc_id", "version", "run", "region").mapInArrow(run, "doc_id long, version long, run long, stretch long")
+
+
+def _confirmed(spans: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, version, run of the runs that are, or lie in, least_words words that another document has too."""
+    regions = stored(_regions(spans, texts, least_words), "regions")
+    sure, open_ = regions.where("sure"), stored(_stretches(regions.where("NOT sure"), least_words), "stretches")
+    others = maybe_among(_stretches(sure, least_words), "stretch", open_, "stretch", "maybe").where("maybe").drop("maybe")
+    common = open_.unionByName(others).groupBy("stretch").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    shared = stored(open_.join(common.select("stretch"), "stretch").select("doc_id", "version", "run").distinct(), "confirmed")
+    dropped(open_)
+    return sure.select("doc_id", "version", "run").distinct().unionByName(shared)
+
+
+def repeated_passages(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end, n_windows, first_doc_id, version): passages that also occur in another document.
 
     A run of overlapping or adjoining windows whose digests occur in two or more documents counts if it
-    has at least least_run code points.  In it, windows that a smaller document has too and windows that
-    no smaller one has form passages of their own, which may overlap; start and end are code points, end
-    exclusive.  first_doc_id is the smallest document with any of the passage's windows.  Where it is
-    doc_id itself, this is the copy to keep, given from least_run code points on; every other passage
-    can be cut, however short: all of it is in smaller documents.
+    has least_words words, or lies in a stretch of that many that another document's runs have too.  In it, windows that a
+    smaller document has and windows that no smaller one has form passages of their own, which may overlap; start and
+    end are code points, end exclusive.  first_doc_id is the smallest document with any of the passage's windows.  Where
+    it is doc_id itself, this is the copy to keep (beside other passages of a run, from LEAST_OWN code points on); every other passage can be cut, however short: all of it is in smaller
+    documents.
     Null and empty texts and rows with a null id have no passages, clean documents no rows.  Two rows
-    with one doc_id count as one document: what only they share is no repetition.  Other input
-    columns are ignored; an empty table gives an empty result.
+    with one doc_id count as one document: what only they share is no repetition; version, a hash of the text, tells
+    which text a passage is of.  Texts are taken whole, however long.  Other input columns are ignored; an empty table
+    gives an empty result.
     """
     rows = window_rows(docs, reach, longest, least_bytes, id_col, text_col)
-    many = rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
-    marked = stored(rows.join(stored(many, "digests"), "digest").select("doc_id", "start", "end", "first_doc_id"), "marked")
-    by = Window.partitionBy("doc_id").orderBy("start", "end", "first_doc_id")
+    many = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last"), "digests")
+    marked = stored(rows.join(many, "digest").select("doc_id", "version", F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("end"), "first_doc_id"), "marked")
+    dropped(many)
+    key = ["doc_id", "version"]
+    by = Window.partitionBy(*key).orderBy("start", "end", "first_doc_id")  # windows of one text
     before, upto = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0)
     own = F.col("first_doc_id") == F.col("doc_id")
     past = lambda end: F.coalesce((F.col("start") > F.max(end).over(before)).cast("int"), F.lit(1))
     alike = F.when(own, past(F.when(own, F.col("end")))).otherwise(past(F.when(~own, F.col("end"))))
     fresh = marked.distinct().select("*", own.alias("own"), past(F.col("end")).alias("fresh"), alike.alias("part_fresh"))
     runs = fresh.select("*", F.sum("fresh").over(upto).alias("run"), F.when(F.col("own"), F.sum(F.when(F.col("own"), F.col("part_fresh"))).over(upto)).otherwise(F.sum(F.when(~F.col("own"), F.col("part_fresh"))).over(upto)).alias("part"))
-    parts = runs.groupBy("doc_id", "run", "own", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_windows"), F.min("first_doc_id").alias("first_doc_id"))
-    whole = Window.partitionBy("doc_id", "run")
-    return (
-        parts.withColumn("size", F.max("end").over(whole) - F.min("start").over(whole))
-        .where((F.col("size") >= least_run) & (~F.col("own") | (F.col("end") - F.col("start") >= least_run)))
-        .select("doc_id", "start", "end", "n_windows", "first_doc_id")
-    )
+    parts = stored(runs.groupBy(*key, "run", "own", "part").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"), F.count("*").alias("n_windows"), F.min("first_doc_id").alias("first_doc_id")), "passages")
+    dropped(marked)
+    spans = parts.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    good = _confirmed(spans, _texts(docs, id_col, text_col), least_words)
+    alone = ~F.max(~F.col("own")).over(Window.partitionBy(*key, "run"))
+    return parts.withColumn("alone", alone).where(~F.col("own") | F.col("alone") | (F.col("end") - F.col("start") >= LEAST_OWN)).join(good, [*key, "run"]).select("doc_id", "start", "end", "n_windows", "first_doc_id", "version")
 
 
-def without_repeats(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_run: int = LEAST_RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, least_bytes: int = LEAST_BYTES, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every repeated passage cut out of text_col but in the document that holds its first copy.
 
-    A character is cut only with a window that a smaller document has too, so each one stays in some document.
+    A character is cut only with a window that a smaller document has too, so each one stays in some document.  All rows
+    and columns stay; null and empty texts stay as they are, and so does an empty table.
     """
-    found = repeated_passages(docs, reach, longest, least_bytes, least_run, id_col, text_col).where("doc_id != first_doc_id")
-    cuts = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__id")
+    found = repeated_passages(docs, reach, longest, least_bytes, least_words, id_col, text_col).where("doc_id != first_doc_id")
+    id_, version, cut = "__frameloom_id", "__frameloom_version", "__frameloom_cuts"
+    cuts = found.groupBy(F.col("doc_id").alias(id_), F.col("version").alias(version)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
     text = F.col(text_col)
     rest = F.aggregate(
-        "__cuts",
+        cut,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda a, c: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, c["start"] - a["at"])).alias("out"), F.greatest(a["at"], c["end"]).alias("at")),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return docs.join(cuts, docs[id_col] == F.col("__id"), "left").withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(rest)).drop("__id", "__cuts")
+    joined = docs.join(cuts, (docs[id_col] == F.col(id_)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(version)), "left")
+    return joined.withColumn(text_col, F.when(F.col(cut).isNull(), text).otherwise(rest)).drop(id_, version, cut)
