@@ -129,16 +129,19 @@ def detect(pixels: DataFrame, location_scale: DataFrame, radius: int = 16, sigma
 
     location_scale: frame_id, location, scale.
     """
-    one = pixels.where(F.col("ch") == ch).select(F.col("frame_id").cast("int"), "y", "x", F.col("v").cast("double")).join(location_scale.select(F.col("frame_id").cast("int"), "location", "scale"), "frame_id")
+    one = pixels.where(F.col("ch") == ch).select(F.col("frame_id").cast("int"), "y", "x", F.coalesce(F.col("v").cast("double"), F.lit(float("nan"))).alias("v"))
+    lines = one.groupBy("frame_id", "y").agg(F.collect_list("x").alias("xs"), F.collect_list("v").alias("vs"))  # a row a line: a task holds little more than the image
+    known = lines.join(location_scale.select(F.col("frame_id").cast("int"), "location", "scale"), "frame_id")
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        image = np.full((int(part["y"].max()) + 1, int(part["x"].max()) + 1), np.nan)
-        image[part["y"].to_numpy(), part["x"].to_numpy()] = part["v"].to_numpy(float)
+        image = np.full((int(part["y"].max()) + 1, max(int(np.max(x)) for x in part["xs"]) + 1), np.nan)
+        for y, xs, vs in zip(part["y"], part["xs"], part["vs"]):
+            image[y, xs] = vs
         found = _detect(image, float(part["location"].iloc[0]), float(part["scale"].iloc[0]), radius, sigma, in_out, bad_sigma)
         found.sort(key=lambda s: (-s[4], s[0]))
         return pd.DataFrame([(key[0], i + 1, *s) for i, s in enumerate(found)], columns=[c.split()[0] for c in STAR_COLUMNS.split(", ")])
 
-    return one.groupBy("frame_id").applyInPandas(run, STAR_COLUMNS)
+    return known.groupBy("frame_id").applyInPandas(run, STAR_COLUMNS)
 
 
 def summary(stars: DataFrame) -> DataFrame:

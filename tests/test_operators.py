@@ -228,6 +228,86 @@ def star_field(seed=0, n=6, size=80):
     return a, places
 
 
+def brute_stars(a, location, scale, radius, sigma, in_out, bad_sigma):
+    """Detection by plain loops: bright runs, bad pixels out, overlaps out, centres of mass, overlaps out, half-flux radii."""
+    import math
+
+    h, w = a.shape
+    clean = [[location if math.isnan(v) else float(v) for v in row] for row in a]
+    spots = []
+    for y in range(h):
+        run = []
+        for x in [x for x in range(w) if clean[y][x] > location + sigma * scale] + [None]:
+            best = max(run, key=lambda i: (clean[y][i], -i)) if run else None
+            # a run goes on from its brightest pixel so far
+            if run and (x is None or x - best > radius):
+                spots.append((clean[y][best], y, best))
+                run = []
+            if x is not None:
+                run.append(x)
+    if bad_sigma > 0:
+        diff = {}
+        for y in range(h):
+            for x in range(w):
+                if not math.isnan(a[y, x]):
+                    near = [a[j, i] for j in range(max(0, y - 1), min(h, y + 2)) for i in range(max(0, x - 1), min(w, x + 2)) if not math.isnan(a[j, i])]
+                    diff[y, x] = a[y, x] - np.median(near)
+        limit = bad_sigma * np.std(list(diff.values()))
+        spots = [s for s in spots if abs(diff[s[1], s[2]]) < limit]
+
+    def apart(points):
+        kept = []
+        for p in sorted(points, key=lambda p: (-p[0], p[1], p[2])):
+            if all(math.floor((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 + 0.5) > radius * radius for q in kept):
+                kept.append(p)
+        return kept
+
+    centred = []
+    for _, y, x in apart(spots):
+        cy, cx = float(y), float(x)
+        for _ in range(10):
+            iy, ix = math.floor(cy + 0.5), math.floor(cx + 0.5)
+            box = [(j, i, max(clean[j][i] - location - scale * sigma / 2, 0)) for j in range(max(0, iy - radius), min(h, iy + radius + 1)) for i in range(max(0, ix - radius), min(w, ix + radius + 1))]
+            mass = math.fsum(m for *_, m in box)
+            if mass <= 0:
+                break
+            ny, nx = math.fsum(j * m for j, _, m in box) / mass, math.fsum(i * m for _, i, m in box) / mass
+            far, cy, cx = (ny - cy) ** 2 + (nx - cx) ** 2, ny, nx
+            if far <= 1e-4:
+                break
+        if mass > 0:
+            centred.append((mass, cy, cx))
+    out = []
+    for _, cy, cx in apart(centred):
+        iy, ix = min(h - 1, math.floor(cy + 0.5)), min(w - 1, math.floor(cx + 0.5))
+        disc = [(math.hypot(j - iy, i - ix), max(clean[j][i] - location, 0)) for j in range(h) for i in range(w) if (j - iy) ** 2 + (i - ix) ** 2 <= radius * radius]
+        mass = math.fsum(v for _, v in disc)
+        if mass <= 0:
+            continue
+        hfr = math.fsum(d * v for d, v in disc) / mass
+        inner, outer = [v for d, v in disc if d <= hfr], [v for d, v in disc if d > hfr]
+        if hfr <= radius and sum(inner) * len(outer) > in_out * sum(outer) * len(inner):
+            out.append((iy * w + ix, clean[iy][ix], cx, cy, mass, hfr))
+    return sorted(out, key=lambda s: (-s[4], s[0]))
+
+
+@pytest.mark.parametrize("seed,radius,bad", [(0, 4, 0.0), (1, 6, 0.0), (2, 4, 6.0), (3, 5, 3.0)])
+def test_star_detection_against_brute_force(spark, seed, radius, bad):
+    r = np.random.default_rng(seed)
+    a = r.normal(10, 1, (50, 60))
+    y, x = np.indices(a.shape)
+    for _ in range(14):
+        cy, cx = r.uniform(0, 50), r.uniform(0, 60)
+        a += r.uniform(30, 200) * np.exp(-((y - cy) ** 2 + (x - cx) ** 2) / (2 * r.uniform(0.7, 1.6) ** 2))
+    a[tuple(r.integers(0, 50, (2, 5)))] = 400  # hot pixels
+    a[r.random(a.shape) < 0.01] = np.nan
+    ls = spark.createDataFrame([(0, 10.0, 1.0)], "frame_id int, location double, scale double")
+    got = stars.detect(frame(spark, a), ls, radius, 8.0, 1.4, bad).orderBy("rank").collect()
+    want = brute_stars(a, 10.0, 1.0, radius, 8.0, 1.4, bad)
+    assert [g.idx for g in got] == [s[0] for s in want] and len(want) > 3 and [g["rank"] for g in got] == list(range(1, len(want) + 1))
+    np.testing.assert_allclose([[g.value, g.x, g.y, g.mass, g.hfr] for g in got], [s[1:] for s in want], rtol=1e-9)
+
+
 def test_star_detection_finds_planted_stars(spark):
     a, places = star_field()
     df = frame(spark, a)
