@@ -29,7 +29,7 @@ FIT_ROWS, POOL_ROWS, FEATURES, ROUNDS, EXCHANGED = 12_000, 4_000, 512, 3, 300
 #: A word feature is used if so many fitted rows have it and so many don't.
 LEAST_ROWS = 3
 #: Bytes of text that features are made of at once; some twenty arrays of that many numbers are alive then.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Word features are hashed to so many bits: counting them needs no sort.
 FEATURE_BITS = 20
 _U = np.uint64
