@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
+from .shared import free_name
 
 RATE = 1 / 12
 BLOCK_CHARS = 2_000_000
@@ -195,7 +196,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id
     """
     out = docs
     spark = docs.sparkSession
-    flag = "__frameloom_clean"
+    flag = free_name(docs, "clean")
     for items in item_blocks(benchmark, item_col, item_text_col, block_chars):
         shared = spark.sparkContext.broadcast((items, rate))
 

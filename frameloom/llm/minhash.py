@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .components import connected_components
-from .shared import dropped, maybe_among, stored
+from .shared import dropped, free_name, maybe_among, stored
 
 _U = np.uint64
 
@@ -387,7 +387,8 @@ def without_near_duplicates(docs: DataFrame, how: Similarity | None = None, id_c
     Only rows that may have to go meet the list of ids in a shuffle.
     """
     gone = stored(near_duplicates(docs, how, id_col, text_col).where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    flagged = maybe_among(docs, id_col, gone, "doc_id", "__frameloom_maybe")
-    stay = flagged.where(~F.col("__frameloom_maybe")).select(*docs.columns)
-    check = flagged.where("__frameloom_maybe").join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti").select(*docs.columns)
+    maybe, out = free_name(docs, "maybe"), free_name(docs, "gone")
+    flagged = maybe_among(docs, id_col, gone, "doc_id", maybe)
+    stay = flagged.where(~F.col(maybe)).drop(maybe)
+    check = flagged.where(F.col(maybe)).join(gone.withColumnRenamed("doc_id", out), F.col(id_col) == F.col(out), "left_anti").drop(maybe)
     return stay.unionByName(check)

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from ..tables import dropped, shared_dir, stored
 
-__all__ = ["dropped", "maybe_among", "shared_dir", "stored"]
+__all__ = ["dropped", "free_name", "maybe_among", "shared_dir", "stored"]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name of ours that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"__frameloom_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def maybe_among(df: DataFrame, column: str, ids: DataFrame, id_column: str, flag: str, bits: int = 24) -> DataFrame:
@@ -18,7 +26,7 @@ def maybe_among(df: DataFrame, column: str, ids: DataFrame, id_column: str, flag
     there are far more ids than bits, all rows may match and nothing is lost but the saving.
     """
     spread = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
-    place, piece, bitmap = (f"__frameloom_{x}" for x in ("place", "piece", "bitmap"))
+    place, piece, bitmap = (free_name(df, x) for x in ("place", "piece", "bitmap"))
     pieces = ids.where(F.col(id_column).isNotNull()).select(spread(id_column).alias(place)).groupBy(F.shiftright(place, 15).alias(piece)).agg(F.bitmap_construct_agg(F.col(place) % 32768).alias(bitmap))
     hit = F.expr(f"shiftright(CAST(conv(hex(substring({bitmap}, CAST(({place} % 32768) DIV 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST({place} % 8 AS INT)) & 1") == 1
     joined = df.withColumn(place, spread(column)).withColumn(piece, F.shiftright(place, 15)).join(F.broadcast(pieces), piece, "left")

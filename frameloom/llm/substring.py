@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .shared import dropped, maybe_among, stored
+from .shared import dropped, free_name, maybe_among, stored
 
 REACH, LONGEST, LEAST_BYTES, LEAST_WORDS = 11, 512, 48, 50
 #: In a run that smaller documents have parts of, what only larger ones share is given from so many code points on.
@@ -239,7 +239,7 @@ def without_repeats(docs: DataFrame, reach: int = REACH, longest: int = LONGEST,
     and columns stay; null and empty texts stay as they are, and so does an empty table.
     """
     found = repeated_passages(docs, reach, longest, least_bytes, least_words, id_col, text_col).where("doc_id != first_doc_id")
-    id_, version, cut = "__frameloom_id", "__frameloom_version", "__frameloom_cuts"
+    id_, version, cut = (free_name(docs, x) for x in ("id", "version", "cuts"))
     cuts = found.groupBy(F.col("doc_id").alias(id_), F.col("version").alias(version)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
     text = F.col(text_col)
     rest = F.aggregate(
