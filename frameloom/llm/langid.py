@@ -2,11 +2,10 @@
 
 Each language has a character model of order 5 over padded, lower-cased words (Kneser and
 Ney, ICASSP 1995; Chen and Goodman 1999): counts at the highest order, continuation counts
-below, one absolute discount an order.  The models are stored together as sorted hash arrays, one
-an order: n-gram hash -> log probability in each language that has it, context hash -> log back-off
-weight in each language that has it.  Languages without an n-gram take no room in it, so the arrays grow
-with the sum of the models, not with their number times their union.  A document gets the language with the
-least cross-entropy a character.
+below, one absolute discount an order.  The models are stored as sorted hash arrays, one an order for every
+BLOCK languages: n-gram hash -> log probability in each of them, context hash -> log back-off weight in each of
+them; so the arrays grow with the sum of the models, not with their number times their union.  A document gets the
+language with the least cross-entropy a character.
 
 Models are fitted on a bounded, documented sample of labelled training rows (FIT_ROWS a
 language, chosen by hash), all words and all n-grams of it, for every language there is; so what goes to the
@@ -31,6 +30,8 @@ from . import textkit as K
 from .shared import dropped, stored
 
 ORDER, FIT_ROWS, CALIBRATION_ROWS = 5, 4000, 1000
+#: So many languages share an array.
+BLOCK = 8
 _U = np.uint64
 #: Bytes of a worker's memo of words; it is emptied when full.
 _MEMO_BYTES = 96 << 20
@@ -93,53 +94,39 @@ def fit_kneser_ney(counts: dict[str, int], order: int) -> list[dict[str, np.ndar
     return out
 
 
-class Sparse:
-    """Sorted hashes, each with values of some languages."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
-        """parts: (sorted distinct hashes, values) of each language."""
-        every = np.concatenate([h for h, _ in parts])
-        lang = np.repeat(np.arange(len(parts), dtype=np.uint16), [len(h) for h, _ in parts])
-        order = np.lexsort((lang, every))
-        every, self.lang, self.value = every[order], lang[order], np.concatenate([v for _, v in parts]).astype(np.float32)[order]
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-        self.hashes, self.first = every[first], np.append(first, len(every))
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the keys that are present: which key, language, value; one row a language."""
-        if not len(self.hashes) or not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.float32)
-        i = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        hit = np.flatnonzero(self.hashes[i] == keys)
-        i = i[hit]
-        n = self.first[i + 1] - self.first[i]
-        at = np.repeat(self.first[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.repeat(hit, n), self.lang[at], self.value[at]
-
-
 class Scorer:
-    """The models of all languages together."""
+    """The models of all languages together, in blocks of a few languages."""
 
     def __init__(self, model: dict):
-        self.langs, self.order, self.floor = model["langs"], model["order"], model["floor"]
-        self.tables = model["tables"]
+        self.langs, self.order, self.blocks = model["langs"], model["order"], model["blocks"]
         self.size = 0
         self.at: dict[str, int] = {}
         self.rows = np.zeros((1024, len(self.langs)), np.float32)
 
+    @staticmethod
+    def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+        return i, table[i] == keys if len(table) else np.zeros(len(keys), bool)
+
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """Natural log probability of each word (its end included) in every language."""
         _, owner, place, hashes, contexts = _grams(words, self.order)
         inner = np.flatnonzero(place > 0)
-        out = np.tile(self.floor, (len(inner), 1))
-        for m, (grams, weights) in enumerate(self.tables):  # from the lowest order up: back off, unless the n-gram is known
-            key, lang, value = weights.find(contexts[m][inner])
-            out[key, lang] += value
-            key, lang, value = grams.find(hashes[m][inner])
-            out[key, lang] = value
-        total = np.zeros((len(words), len(self.langs)), np.float32)
-        np.add.at(total, owner[inner], out)
-        return total
+        parts = []
+        for block in self.blocks:
+            left, out = inner, np.zeros((len(owner), len(block["floor"])), np.float32)
+            for m in range(self.order - 1, -1, -1):  # from the highest order down: the n-gram if a language has it, else back off
+                t = block["tables"][m]
+                i, ok = self._find(t["grams"], hashes[m][left])
+                out[left[ok]] += t["logp"][i[ok]]
+                left = left[~ok]
+                j, seen = self._find(t["contexts"], contexts[m][left])
+                out[left[seen]] += t["loggamma"][j[seen]]
+            out[left] += block["floor"]
+            total = np.zeros((len(words), len(block["floor"])), np.float32)
+            np.add.at(total, owner, out)
+            parts.append(total)
+        return np.concatenate(parts, axis=1)
 
     def learn(self, words: set[str]) -> None:
         """Have all these words in the memo, which is emptied first if they don't fit beside what it holds."""
@@ -181,12 +168,32 @@ def _scorer(model: dict) -> Scorer:
 
 
 def _joint(langs: list[str], fitted: dict[str, list[dict]], order: int) -> dict:
-    floor = np.array([math.log(1.0 / (len(fitted[x][0]["grams"]) + 1)) for x in langs], np.float32)
-    tables = [
-        (Sparse([(fitted[x][m]["grams"], np.log(fitted[x][m]["p"])) for x in langs]), Sparse([(fitted[x][m]["contexts"], np.log(np.maximum(fitted[x][m]["gamma"], 1e-12))) for x in langs]))
-        for m in range(order)
-    ]
-    return {"langs": langs, "order": order, "floor": floor, "tables": tables}
+    blocks = [_block([fitted[x] for x in langs[i : i + BLOCK]], order) for i in range(0, len(langs), BLOCK)]
+    return {"langs": langs, "order": order, "blocks": blocks}
+
+
+def _block(fitted: list[list[dict]], order: int) -> dict:
+    """Sorted hash arrays of the n-grams that any of a few languages has, with a value for each of them: where a language lacks one, that of backing off."""
+    floor = np.array([math.log(1.0 / (len(f[0]["grams"]) + 1)) for f in fitted], np.float32)
+    tables: list[dict[str, np.ndarray]] = []
+    for m in range(order):
+        grams = np.unique(np.concatenate([f[m]["grams"] for f in fitted]))
+        contexts = np.unique(np.concatenate([f[m]["contexts"] for f in fitted]))
+        loggamma = np.zeros((len(contexts), len(fitted)), np.float32)
+        below, ctx = np.zeros(len(grams), np.uint64), np.zeros(len(grams), np.int64)
+        for k, one in enumerate(fitted):
+            f = one[m]
+            loggamma[np.searchsorted(contexts, f["contexts"]), k] = np.log(np.maximum(f["gamma"], 1e-12))
+            i = np.searchsorted(grams, f["grams"])
+            ctx[i] = np.searchsorted(contexts, f["contexts"][f["in"]])
+            if m:
+                below[i] = f["below"]
+        lower = tables[m - 1]["logp"][np.searchsorted(tables[m - 1]["grams"], below)] if m else floor
+        logp = (loggamma[ctx] + lower).astype(np.float32)
+        for k, one in enumerate(fitted):
+            logp[np.searchsorted(grams, one[m]["grams"]), k] = np.log(one[m]["p"])
+        tables.append({"grams": grams, "logp": logp, "contexts": contexts, "loggamma": loggamma})
+    return {"floor": floor, "tables": tables}
 
 
 def train(training: DataFrame, order: int = ORDER, fit_rows: int = FIT_ROWS, calibration_rows: int = CALIBRATION_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
