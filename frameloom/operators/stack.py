@@ -60,19 +60,18 @@ def weights(frames: DataFrame, how: Weighting, by: tuple[str, ...] = ()) -> Data
 
 def mad_sigma(pixels: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
     """Mode 4 in built-in aggregates: position, v, n_low, n_high."""
-    centre = pixels.groupBy(*by).agg(F.collect_list("v").alias("vs")).withColumn("med", _median_of("vs"))
-    dev = centre.withColumn("mad", robust.MAD_TO_SIGMA * _median_of(F.transform("vs", lambda v: F.abs(v - F.col("med")))))
+    centre = pixels.groupBy(*by).agg(F.sort_array(F.collect_list("v")).alias("vs")).withColumn("med", _middle("vs"))
+    dev = centre.withColumn("ds", F.sort_array(F.transform("vs", lambda v: F.abs(v - F.col("med"))))).withColumn("mad", robust.MAD_TO_SIGMA * _middle("ds"))
     lo, hi = F.col("med") - low * F.col("mad"), F.col("med") + high * F.col("mad")
     inside = F.filter("vs", lambda v: (v >= lo) & (v <= hi))
     mean = F.when(F.size("inside") > 0, F.aggregate("inside", F.lit(0.0), lambda a, v: a + v) / F.size("inside"))
     return dev.withColumn("inside", inside).select(*by, mean.alias("v"), F.size(F.filter("vs", lambda v: v < lo)).alias("n_low"), F.size(F.filter("vs", lambda v: v > hi)).alias("n_high"))
 
 
-def _median_of(values: str | Column) -> Column:
-    """Exact median of an array column without NULLs, in place of a second shuffle."""
-    a = F.array_sort(values)
-    n = F.size(a)
-    at = lambda i: F.element_at(a, i.cast("int"))
+def _middle(values: str) -> Column:
+    """Median of a sorted array column without NULLs, in place of a second shuffle."""
+    n = F.size(values)
+    at = lambda i: F.element_at(values, i.cast("int"))
     return F.when(n > 0, (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2)
 
 

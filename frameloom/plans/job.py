@@ -404,7 +404,8 @@ class Filter(Op):
         return self.minStars <= 0
 
     def apply(self, s):
-        kept = s.frame_table().where(F.col("n_stars") >= self.minStars).select("frame_id")
+        found = s.frames.select("frame_id").limit(0) if s.stars is None else S.summary(s.stars).where(F.col("n_stars") >= self.minStars)
+        kept = found.select("frame_id")  # frames without stars have no row
         only = lambda df: None if df is None else df.join(kept, "frame_id", "left_semi")
         return dataclasses.replace(s, pixels=only(s.pixels), frames=only(s.frames), stars=only(s.stars))
 
