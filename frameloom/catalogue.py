@@ -16,6 +16,7 @@ from . import views as V
 from .functions.robust import MAD_TO_SIGMA
 from .operators import align, background, color, pixelmath, reference, stack, stars, stats, stencil
 from .sources import fits, tiff
+from .streaming import incremental
 
 SESSION = ("session", "y", "x")
 FRAME = ["frame_id"]
@@ -1041,6 +1042,21 @@ def rgb_balance_stars(spark, sf_dir):
     return _colour_out(color.rgb_balance(rgb, ls, _sky(rgb, "image"), 2, 0.2, 0.0, 0.0, by=BY))
 
 
+# ---- what streams run, over whole tables
+
+
+@query(PX + "SELECT session, y, x, round(sum(v * exposure) / sum(CASE WHEN v IS NOT NULL THEN exposure END), 6) AS v, count(v) AS frames FROM pm JOIN (SELECT frame_id, exposure FROM fm) USING (frame_id) GROUP BY 1, 2, 3")
+def stack_incremental(spark, sf_dir):
+    exposed = V.px_missing(spark, sf_dir).withColumn("exposure", 30.0 + 10 * (F.col("frame_id") % 4))
+    return _round(incremental.incremental_stack(exposed, SESSION, "exposure"), "v")
+
+
+@query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, round(avg(value), 6) AS v, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_levels(spark, sf_dir):
+    out = incremental.windowed_levels(V.table(spark, sf_dir, "events"))
+    return _round(out.withColumn("start", F.unix_timestamp("start")), "v")
+
+
 # ---- event signal
 
 

@@ -217,7 +217,7 @@ class Save(Op):
         return s
 
     def write(self, s: PipelineState, pixels: DataFrame, frames: DataFrame | None = None) -> None:
-        """Encode in tasks, one a frame; the driver passes one file at a time to the file system."""
+        """Encode and write in tasks, one a frame; previews are encoded by the driver's JVM, one at a time."""
         name = fits.safe_path(self.filePattern).lower()
         low, high = {0: (None, None), 1: (0.0, 1.0), 2: (0.0, 255.0), 3: (0.0, 65535.0)}[self.saveMode]
         gamma, zipped = self.gamma, name.endswith((".gz", ".gzip"))
@@ -234,12 +234,13 @@ class Save(Op):
             one = lambda data, e: fits.encode(fits.Image(data))
         else:
             raise ValueError(f"save: unknown suffix of {self.filePattern}")
-        for row in fits.images(pixels, frames, one).toLocalIterator():
-            content = bytes(row.content)
-            if bare.endswith((".jpg", ".jpeg")):
-                data = fits.parse(content).data
-                content = jpeg.encode(s.spark, data, *span(data), gamma)
-            fits.write_bytes(s.spark, f"{s.out.rstrip('/')}/{file_name(self.filePattern, row.frame_id)}", content)
+        encoded, pattern = fits.images(pixels, frames, one), self.filePattern
+        if not bare.endswith((".jpg", ".jpeg")):
+            fits.written(encoded, s.out, lambda i: file_name(pattern, int(i)))
+            return
+        for row in encoded.toLocalIterator():
+            data = fits.parse(bytes(row.content)).data
+            fits.write_bytes(s.spark, f"{s.out.rstrip('/')}/{file_name(pattern, row.frame_id)}", jpeg.encode(s.spark, data, *span(data), gamma))
 
 
 @register("calibrate")

@@ -1,14 +1,16 @@
 """FITS files: parsing and writing by the public standard, and their relations.
 
 Files are read by Spark's ``binaryFile`` source, so any file system that Spark knows will do, and
-decoded in Arrow batches.  ``frames()`` decodes headers only; ``pixels()`` gives one row a
-sample, a block of rows at a time.
+decoded in Arrow batches.  ``frames()`` reads no more than headers, and ``written()`` writes in tasks, where pyarrow
+knows the file system too; ``pixels()`` gives one row a sample, a block of rows at a time.
 """
 
 from __future__ import annotations
 
 import gzip
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -203,20 +205,50 @@ def _decoded(spark: SparkSession, patterns: list[str], base: str, first_id: int)
     return raw.dropDuplicates(["path"]).join(ids, "path").select("frame_id", "path", "content") if len(patterns) > 1 else raw.join(ids, "path").select("frame_id", "path", "content")
 
 
+def file_system(uri: str):
+    """(pyarrow's file system, path) of a URI that tasks can open by themselves; None if only Hadoop knows it."""
+    from pyarrow import fs
+
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    except (ValueError, OSError, ImportError):
+        return None
+
+
+def head(path: str) -> bytes:
+    """The header blocks of a FITS file, plain or gzip; all of any other file."""
+    system, name = file_system(path)
+    with system.open_input_stream(name, compression=None) as f:
+        if path.lower().endswith((".tif", ".tiff")):
+            return f.read()
+        first = f.read(2)
+        unpack = zlib.decompressobj(31) if first == b"\x1f\x8b" else None
+        out, more = b"", first
+        while more:
+            out += unpack.decompress(more) if unpack else more
+            whole = len(out) // BLOCK * BLOCK
+            if any(out[i : i + 8] == b"END     " for i in range(0, whole, CARD)):
+                return out[:whole]
+            more = f.read(BLOCK)
+        return out
+
+
 def frames(spark: SparkSession, patterns: list[str], base: str, first_id: int = 0) -> DataFrame:
     """FRAMES rows from headers."""
+    by_tasks = file_system(base) is not None
+    found = files(spark, patterns, base, first_id).withColumn("content", F.lit(None).cast("binary")) if by_tasks else _decoded(spark, patterns, base, first_id)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, path, raw in zip(b["frame_id"], b["path"], b["content"]):
-                m = decode_any(path, raw, False)
+                m = decode_any(path, head(path) if by_tasks else raw, False)
                 n = list(m.naxisn) + [1] * (3 - len(m.naxisn))
                 header = {k: dict(getattr(m.header, k)) for k in ("bools", "ints", "floats", "strings", "dates")} | {"comments": m.header.comments, "history": m.header.history}
                 rows.append((i, path, list(m.naxisn), n[0], n[1], n[2], m.bitpix, 0.0, 1.0, m.exposure, header))
             yield pd.DataFrame(rows, columns=FRAMES.names)
 
-    return _decoded(spark, patterns, base, first_id).mapInPandas(run, FRAMES)
+    return found.mapInPandas(run, FRAMES)
 
 
 def pixels(spark: SparkSession, patterns: list[str], base: str, first_id: int = 0, rows_a_block: int = 1 << 18) -> DataFrame:
@@ -258,6 +290,32 @@ def images(pixels: DataFrame, frames: DataFrame | None = None, encode_one=None)
     return full.groupBy("frame_id").applyInPandas(run, "frame_id int, content binary")
 
 
+def written(contents: DataFrame, folder: str, name_of) -> None:
+    """Write each row of (frame_id, content) to folder/name_of(frame_id), replaced if it exists.
+
+    Tasks write, each file under another name first, so that one that is run again does no harm.  Where only Hadoop knows
+    the file system, the driver passes one file at a time.
+    """
+    folder = folder.rstrip("/")
+    if file_system(folder) is None:
+        for row in contents.toLocalIterator():
+            write_bytes(contents.sparkSession, f"{folder}/{name_of(row.frame_id)}", bytes(row.content))
+        return
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, content in zip(b["frame_id"], b["content"]):
+                system, path = file_system(f"{folder}/{name_of(i)}")
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part, compression=None) as f:
+                    f.write(content)
+                system.move(part, path)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    contents.mapInPandas(run, "n long").agg(F.sum("n")).collect()  # one number
+
+
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """One file through Hadoop's file systems, replaced if it exists."""
     jvm = spark._jvm
