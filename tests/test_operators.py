@@ -401,3 +401,46 @@ def test_empty_tables(spark):
     by = ["frame_id"]
     for out in (stack.stack(e, 0), stack.stack(e, 2), stats.basic(e, by), stats.median_mad(e, by), stats.noise(e, by), stencil.gaussian_blur(e, 1), pixelmath.norm_range(e), background.cells(e, 4)):
         assert out.count() == 0
+
+
+def test_windowed_levels_of_a_stream_drop_what_is_too_late(spark, tmp_path):
+    def put(name, rows):
+        spark.createDataFrame(rows, "ts string, event_type string, value double").coalesce(1).write.json(f"file://{tmp_path}/{name}", mode="append")
+
+    put("in", [("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 3.0), ("2024-01-01 01:10:00", "b", 5.0)])
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").json(f"file://{tmp_path}/in")
+    q = incremental.windowed_levels(stream).writeStream.outputMode("update").format("memory").queryName("levels").option("checkpointLocation", f"file://{tmp_path}/state").start()
+    q.processAllAvailable()
+    put("in", [("2024-01-01 09:00:00", "a", 7.0)])
+    q.processAllAvailable()
+    put("in", [("2024-01-01 00:20:00", "a", 100.0), ("2024-01-01 08:59:00", "a", 9.0)])  # the first one is past the watermark
+    q.processAllAvailable()
+    q.stop()
+    got = {(str(r.start), r.event_type, r.v, r.n) for r in spark.table("levels").collect()}
+    assert got == {("2024-01-01 00:00:00", "a", 2.0, 2), ("2024-01-01 01:00:00", "b", 5.0, 1), ("2024-01-01 09:00:00", "a", 7.0, 1), ("2024-01-01 08:00:00", "a", 9.0, 1)}
+
+
+def test_black_and_white_points_clip_the_asked_shares(spark):
+    a = np.random.default_rng(3).permutation(10_000).reshape(100, 100) / 10_000.0
+    got = image(pixelmath.black_white(frame(spark, a), 10.0, 5.0))
+    assert (got == 0).mean() == pytest.approx(0.1, abs=0.002) and (got == 1).mean() == pytest.approx(0.05, abs=0.002)
+    flat = image(pixelmath.black_white(frame(spark, np.full((3, 3), 2.0)), 10.0, 5.0))
+    assert set(flat.ravel()) == {0.0}
+
+
+def test_nearest_rows_and_grid_against_brute_force():
+    r = np.random.default_rng(7)
+    among = r.integers(0, 12, (400, 3)).astype(float)  # many ties
+    ties = r.permutation(400).reshape(-1, 1)
+    order = np.argsort(among[:, 0], kind="stable")
+    among, ties = among[order], ties[order]
+    points = r.uniform(-3, 15, (700, 3)).round(1)
+    j, d2 = align.nearest_rows(points, among, ties)
+    want = ((points[:, None] - among[None]) ** 2).sum(axis=2)
+    assert [int(x) for x in j] == [min(range(400), key=lambda k: (row[k], ties[k, 0])) for row in want]
+    np.testing.assert_allclose(d2, want.min(axis=1))
+    ref, at = r.uniform(-50, 50, (300, 2)).round(1), r.uniform(-60, 60, (500, 2)).round(1)
+    who, near, far = align._Grid(ref, 4.0).nearest(at)
+    want = ((at[:, None] - ref[None]) ** 2).sum(axis=2)
+    assert who.tolist() == np.flatnonzero(want.min(axis=1) < 16).tolist() and near.tolist() == want[who].argmin(axis=1).tolist()
+    np.testing.assert_allclose(far, want[who].min(axis=1))

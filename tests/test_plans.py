@@ -137,3 +137,32 @@ def test_http_front_end(spark, folder):
             urllib.request.urlopen(f"{at}/api/v1/files/../../etc/passwd")
     finally:
         server.shutdown()
+
+
+def test_headers_are_read_alone_and_files_written_by_tasks(spark, tmp_path):
+    data = np.random.default_rng(4).random((1, 300, 400)).astype(np.float32)
+    raw = fits.encode(fits.Image(data, fits.Header(strings={"NOTE": "y" * 3000}), exposure=7.0))
+    (tmp_path / "a.fits").write_bytes(raw)
+    (tmp_path / "b.fits.gz").write_bytes(gzip.compress(raw))
+    for name in ("a.fits", "b.fits.gz"):
+        got = fits.head(f"file:{tmp_path}/{name}")
+        assert raw.startswith(got) and len(got) < 10_000 and fits.parse(got, False).exposure == 7.0
+    rows = fits.frames(spark, ["*.fits*"], f"file://{tmp_path}").collect()
+    assert [(r.width, r.height, r.exposure) for r in rows] == [(400, 300, 7.0)] * 2
+    content = spark.createDataFrame([(i, bytes([i]) * 10) for i in range(5)], "frame_id int, content binary")
+    for _ in range(2):
+        fits.written(content, f"file://{tmp_path}/deep/out", lambda i: f"f{i}.bin")
+    assert sorted(p.name for p in (tmp_path / "deep/out").iterdir()) == [f"f{i}.bin" for i in range(5)]
+    assert (tmp_path / "deep/out/f3.bin").read_bytes() == b"\3" * 10
+    assert fits.file_system("nosuch://x/y") is None
+
+
+@pytest.mark.parametrize("flag", ["-chroot=/x", "-setuid=5", "-stMemory=100"])
+def test_flags_without_a_meaning_are_refused(flag):
+    with pytest.raises(SystemExit, match="not supported"):
+        cli.main(["version", *flag.split("=")])
+
+
+def test_profiles_are_written(tmp_path, capsys):
+    assert cli.main(["version", "-cpuprofile", str(tmp_path / "cpu"), "-memprofile", str(tmp_path / "mem")]) == 0
+    assert (tmp_path / "cpu").stat().st_size and (tmp_path / "mem").stat().st_size
