@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import views as V
 from .functions.robust import MAD_TO_SIGMA
-from .operators import align, background, color, pixelmath, reference, stack, stars, stats, stencil
+from .operators import align, background, color, pixelmath, planes, reference, stack, stars, stats, stencil
 from .sources import fits, tiff
 from .streaming import incremental
 
@@ -1042,6 +1042,42 @@ def rgb_balance_stars(spark, sf_dir):
     return _colour_out(color.rgb_balance(rgb, ls, _sky(rgb, "image"), 2, 0.2, 0.0, 0.0, by=BY))
 
 
+# ---- frames as tiles of arrays (3 x 3 samples here, so that 8 x 8 frames have nine tiles)
+
+
+def _tiles(spark, sf_dir):
+    return planes.from_pixels(V.px_missing(spark, sf_dir), 3)
+
+
+@query(PX + _OUT.format("v") + "pm")
+def tiles_round_trip(spark, sf_dir):
+    return _px_out(planes.to_pixels(_tiles(spark, sf_dir), 3))
+
+
+@query(PX + _OUT.format("CAST(CAST(v * 1.5 + 0.25 AS FLOAT) AS DOUBLE)") + "pm")
+def tiles_scale_offset(spark, sf_dir):
+    return _px_out(planes.to_pixels(planes.mapped(_tiles(spark, sf_dir), lambda v: v.astype(float) * 1.5 + 0.25), 3))
+
+
+@query(PX + _blur_sql() + _OUT.format("CAST(CAST(v AS FLOAT) AS DOUBLE)") + "bl")
+def tiles_gauss_blur(spark, sf_dir):
+    taps = stencil.gaussian_kernel(1.0)
+    t = planes.from_pixels(V.px(spark, sf_dir), 3)
+    return _px_out(planes.to_pixels(planes.stencil(t, lambda a, y0, x0, h, w: stencil.blurred(a, y0, x0, h, w, taps), 1, 3), 3))
+
+
+@query(PX + "SELECT frame_id, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std_dev FROM pm GROUP BY 1")
+def tiles_statistics(spark, sf_dir):
+    return _round(planes.statistics(_tiles(spark, sf_dir)).drop("n"), "min", "max", "mean", "std_dev")
+
+
+@query(PX + ", g AS (SELECT y, x, v FROM pm), a AS (SELECT y, x, median(v) AS m FROM g GROUP BY 1, 2), b AS (SELECT y, x, any_value(m) AS m, 1.4826 * median(abs(v - m)) AS s FROM g JOIN a USING (y, x) GROUP BY 1, 2) SELECT y, x, round(CAST(CAST(avg(CASE WHEN v >= m - 2 * s AND v <= m + 2 * s THEN v END) AS FLOAT) AS DOUBLE), 6) AS v FROM g JOIN b USING (y, x) GROUP BY 1, 2")
+def tiles_stack_mad_sigma(spark, sf_dir):
+    t = _tiles(spark, sf_dir)
+    done = planes.stacked(t, stack.StackMode.MAD_SIGMA, t.select("frame_id").distinct().count(), 2.0, 2.0, 3)
+    return _round(planes.to_pixels(done.withColumn("frame_id", F.lit(0)), 3).select("y", "x", "v"), "v")
+
+
 # ---- what streams run, over whole tables
 
 

@@ -35,6 +35,15 @@ def _quiet(f):
     return inner
 
 
+@_quiet
+def median_of_rows(m: np.ndarray) -> np.ndarray:
+    """Median of each row, NaN left out; NaN for a row of nothing else."""
+    a = np.sort(m, axis=1)  # NaN sort last
+    n = (~np.isnan(a)).sum(axis=1)
+    at = lambda k: np.take_along_axis(a, np.maximum(k, 0)[:, None], axis=1)[:, 0]
+    return (at((n - 1) // 2) + at(n // 2)) / 2 if m.shape[1] else np.full(len(m), np.nan)
+
+
 @_quiet
 def mad_sigma(m: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean of the values within median -low/+high scaled MADs, and how many fell below and above."""

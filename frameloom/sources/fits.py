@@ -256,6 +256,25 @@ def pixels(spark: SparkSession, patterns: list[str], base: str, first_id: int =
     return samples(_decoded(spark, patterns, base, first_id), rows_a_block)
 
 
+def tiles(spark: SparkSession, patterns: list[str], base: str, first_id: int = 0) -> DataFrame:
+    """The tiles of files (see operators.planes), without a row a pixel anywhere."""
+    from ..operators import planes
+
+    def run(batches):
+        for b in batches:
+            for i, path, raw in zip(*(c.to_pylist() for c in b.columns)):
+                rows = []
+                for row in planes.cut(decode_any(path, raw).data, i):
+                    rows.append(row)
+                    if len(rows) == 16:
+                        yield planes.batch_of(rows)
+                        rows = []
+                if rows:
+                    yield planes.batch_of(rows)
+
+    return _decoded(spark, patterns, base, first_id).mapInArrow(run, planes.SCHEMA)
+
+
 def samples(files: DataFrame, rows_a_block: int = 1 << 18) -> DataFrame:
     """PIXELS rows of (frame_id, path, content)."""
 
