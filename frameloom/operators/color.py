@@ -8,7 +8,6 @@ by a pivot; all colour operators are then projections without a shuffle.  ``wide
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,26 +93,83 @@ def rgb_balance(colour: DataFrame, location_scale: DataFrame, stars: DataFrame,
     return balance(first, darkest_block(first, block, border, by), star_colour(first, stars, skip_bright, skip_dim, by), shadows, highlights, by)
 
 
-def _by_function(colour: DataFrame, f, *extra: float) -> DataFrame:
-    @F.pandas_udf("a double, b double, c double")
-    def apply(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
-        found = f(a.to_numpy(float), b.to_numpy(float), c.to_numpy(float), *extra)
-        return pd.DataFrame({k: pd.Series(np.asarray(x, float)).astype("Float64").mask(np.isnan(x)) for k, x in zip("abc", found)})
+def _dot(m: np.ndarray, *columns: Column) -> list[Column]:
+    return [sum((float(k) * c for k, c in zip(row[1:], columns[1:])), float(row[0]) * columns[0]) for row in m]
 
-    rest = [c for c in colour.columns if c not in CHANNELS]
-    return colour.select(*rest, apply(*[F.col(c).cast("double") for c in CHANNELS]).alias("__t")).select(*rest, F.col("__t.a").alias("c0"), F.col("__t.b").alias("c1"), F.col("__t.c").alias("c2"))
+
+def _staged(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
+    """One projection after another, so that each expression is evaluated once."""
+    for stage in stages:
+        df = df.withColumns(stage)
+    return df
+
+
+def _most_chroma(l: Column, h: Column, sub: Column) -> Column:
+    """Largest chroma inside the sRGB gamut, the nearest of six straight bounds; NULL if there is none."""
+    t, bounds = F.radians(h), []
+    for m1, m2, m3 in C.XYZ_TO_RGB.tolist():
+        for edge in (0, 1):
+            top1 = (284517 * m1 - 94839 * m3) * sub
+            top2 = (838422 * m3 + 769860 * m2 + 731718 * m1) * 100 * l * sub - 769860.0 * edge * 100 * l
+            bottom = (632260 * m3 - 126452 * m2) * sub + 126452.0 * edge
+            length = F.try_divide(F.try_divide(top2, bottom), F.sin(t) - F.try_divide(top1, bottom) * F.cos(t))
+            bounds.append(F.when(length >= 0, length))
+    return F.least(*bounds) / 100
+
+
+def _sub(l: Column) -> Column:
+    cube = F.pow(100 * l + 16, F.lit(3.0)) / 1560896
+    return F.when(cube > C.EPSILON, cube).otherwise(100 * l / C.KAPPA)
+
+
+def _extreme(l: Column) -> Column:
+    return (l > 0.9999999) | (l < 1e-8)
 
 
 def rgb_to_hsluv(colour: DataFrame) -> DataFrame:
-    return _by_function(colour, C.rgb_to_hsluv)
+    """Hue in degrees, saturation and lightness in [0, 1], by closed formulas."""
+    g = lambda k: F.col(f"__hsl_{k}")
+    x, y, z = _dot(C.RGB_TO_XYZ, *[F.col(c).cast("double") for c in CHANNELS])
+    out = _staged(
+        colour,
+        {"__hsl_x": x, "__hsl_y": y, "__hsl_z": z},
+        {"__hsl_l": lightness(g("y")), "__hsl_d": g("x") + 15 * g("y") + 3 * g("z")},
+        {"__hsl_u": F.when(g("d") > 0, 13 * g("l") * (4 * g("x") / g("d") - float(C._UN))).otherwise(0.0), "__hsl_v": F.when(g("d") > 0, 13 * g("l") * (9 * g("y") / g("d") - float(C._VN))).otherwise(0.0)},
+        {"__hsl_c": F.hypot(g("u"), g("v")), "__hsl_h": F.pmod(F.degrees(F.atan2(g("v"), g("u"))), F.lit(360.0)), "__hsl_s": _sub(g("l"))},
+        {"__hsl_m": _most_chroma(g("l"), g("h"), g("s"))},
+    )
+    rest = [c for c in colour.columns if c not in CHANNELS]
+    known = g("l").isNotNull()
+    saturation = F.when(_extreme(g("l")), 0.0).otherwise(F.coalesce(F.try_divide(g("c"), g("m")), F.lit(0.0)))
+    return out.select(*rest, F.when(known, g("h")).alias("c0"), F.when(known, saturation).alias("c1"), g("l").alias("c2"))
 
 
 def hsluv_to_rgb(colour: DataFrame) -> DataFrame:
-    return _by_function(colour, C.hsluv_to_rgb)
+    """Inverse; a colour with a component over 1 is divided by it, which keeps its hue."""
+    g = lambda k: F.col(f"__hsl_{k}")
+    h, s, l = (F.col(c).cast("double") for c in CHANNELS)
+    red, green, blue = _dot(C.XYZ_TO_RGB, g("x"), g("y"), g("z"))
+    ratio = lambda v, white: F.when(l > 0, v / F.when(l > 0, 13 * l)).otherwise(0.0) + float(white)
+    out = _staged(
+        colour,
+        {"__hsl_s": _sub(l)},
+        {"__hsl_c": F.when(_extreme(l), 0.0).otherwise(_most_chroma(l, h, g("s")) * s), "__hsl_y": F.when(l > 0.08, F.pow((l + 0.16) / 1.16, F.lit(3.0))).otherwise(l * 100 / C.KAPPA)},
+        {"__hsl_p": ratio(g("c") * F.cos(F.radians(h)), C._UN), "__hsl_q": ratio(g("c") * F.sin(F.radians(h)), C._VN)},
+        {"__hsl_x": F.try_divide(g("y") * 9 * g("p"), 4 * g("q")), "__hsl_z": F.try_divide(g("y") * (12 - 3 * g("p") - 20 * g("q")), 4 * g("q"))},
+        {f"__hsl_r{i}": F.when(l <= 0, 0.0).otherwise(c) for i, c in enumerate((red, green, blue))},
+        {"__hsl_t": F.greatest(g("r0"), g("r1"), g("r2"), F.lit(1.0))},
+    )
+    rest = [c for c in colour.columns if c not in CHANNELS]
+    return out.select(*rest, *[(g(f"r{i}") / g("t")).alias(c) for i, c in enumerate(CHANNELS)])
 
 
 def scnr(hsl: DataFrame, factor: float = 0.0) -> DataFrame:
-    return hsl if factor == 0 else _by_function(hsl, C.scnr, factor)
+    """Green reduction in RGB: factor * min(g, (r + b) / 2) + (1 - factor) * g; lightness is kept."""
+    if factor == 0:
+        return hsl
+    rgb = hsluv_to_rgb(hsl.withColumn("__scnr_l", F.col("c2")))
+    less = factor * F.least(F.col("c1"), (F.col("c0") + F.col("c2")) / 2) + (1 - factor) * F.col("c1")
+    return rgb_to_hsluv(rgb.withColumn("c1", less)).withColumn("c2", F.col("__scnr_l")).select(*hsl.columns)
 
 
 def apply_luminance(hsl: DataFrame, luminance: DataFrame | None, on: tuple[str, ...] = ("y", "x")) -> DataFrame:

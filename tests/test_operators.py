@@ -359,6 +359,24 @@ def test_hsluv_round_trip_and_known_values():
     assert red[0][0] == 1 and red[2][0] < 0.6 and blue[2][0] == 1
 
 
+def test_colour_columns_agree_with_the_kernels(spark):
+    r = np.random.default_rng(5)
+    rgb = np.concatenate([r.random((300, 3)), [[0, 0, 0], [1, 1, 1], [1, 0, 0], [0, 1, 0], [0, 0, 1], [0.5, 0.5, 0.5], [1e-9, 0, 0]]])
+    df = spark.createDataFrame([(i, 0, 0, *map(float, c)) for i, c in enumerate(rgb)] + [(900, 0, 0, None, 0.5, 0.5)], "frame_id int, y int, x int, c0 double, c1 double, c2 double")
+    rows = lambda out: np.array([[q.c0, q.c1, q.c2] for q in out.where("frame_id < 900").orderBy("frame_id").collect()], float)
+    hsl = color.rgb_to_hsluv(df)
+    want = np.stack(colors.rgb_to_hsluv(*rgb.T), 1)
+    grey = want[:, 1] < 1e-6  # the hue of a grey is arbitrary
+    np.testing.assert_allclose(rows(hsl)[~grey], want[~grey], atol=1e-6)
+    np.testing.assert_allclose(rows(hsl)[grey][:, 1:], want[grey][:, 1:], atol=1e-6)
+    np.testing.assert_allclose(rows(color.hsluv_to_rgb(hsl)), np.stack(colors.hsluv_to_rgb(*want.T), 1), atol=1e-6)
+    greener = color.scnr(hsl, 0.5)
+    assert greener.columns == hsl.columns
+    np.testing.assert_allclose(rows(greener)[~grey], np.stack(colors.scnr(*want.T, 0.5), 1)[~grey], atol=1e-5)
+    last = hsl.where("frame_id = 900").first()
+    assert last.c0 is None and last.c1 is None and last.c2 is None
+
+
 def test_scnr_never_raises_green():
     r = np.random.default_rng(1)
     rgb = tuple(r.random((3, 200)))
