@@ -13,10 +13,10 @@ first to find digests in two or more documents, by aggregation with map-side com
 then to mark the windows that have one.  The join's aggregated side has one row a digest, so
 a passage in a third of all documents only skews the streamed side.
 
-What windows find falls short of a passage at both ends, so that a run of them alone can't tell fifty repeated words
-from forty.  A run of LEAST_WORDS words or more stands.  For a shorter one, all stretches of LEAST_WORDS words
-that overlap it are hashed and must occur in another document's passages; only hashes that a bitmap of fixed size
-can't exclude are shuffled.
+What windows find falls short of a passage at both ends, by MARGIN at most, so that a run of them alone can't tell fifty
+repeated words from forty.  A run of LEAST_WORDS words or more stands.  For a shorter one, all stretches of LEAST_WORDS
+words within MARGIN of it are hashed, and one must occur in another document's passages; only hashes that a bitmap of fixed
+size can't exclude are shuffled.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from . import textkit as K
 from .shared import dropped, free_name, maybe_among, stored
 
 REACH, LONGEST, LEAST_BYTES, LEAST_WORDS = 11, 512, 48, 50
+#: So many characters at either end of a passage may lie outside its windows: a boundary depends on 26 before it, and chunks are no longer than that.
+MARGIN = 26 + 2 * LEAST_BYTES
 #: In a run that smaller documents have parts of, what only larger ones share is given from so many code points on.
 LEAST_OWN = 100
 _U = np.uint64
@@ -145,7 +147,9 @@ def boundaries_by_document(buf: np.ndarray, offsets: np.ndarray, reach: int, lon
 
 
 def _regions(spans: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, version, run, sure, region: whether the run itself has least_words words, and its text with least_words - 1 words on either side.
+    """doc_id, version, run, sure, region: whether the run itself has least_words words, and its text with the words within MARGIN on either side.
+
+    A region of fewer words is left out: no passage of that many can hold its run.
 
     spans: doc_id, version, run, start, end.
     """
@@ -161,9 +165,8 @@ def _regions(spans: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
                 words = [m.span() for m in word.finditer(text)]
                 begins, ends = [a for a, _ in words], [b for _, b in words]
                 for s in spans:
-                    lo, hi = bisect_right(ends, s["start"]), bisect_left(begins, s["end"])  # words that overlap the run
                     whole = bisect_right(ends, s["end"]) - bisect_left(begins, s["start"])
-                    a, b = max(0, lo - least_words + 1), min(len(words), hi + least_words - 1)
+                    a, b = bisect_right(ends, s["start"] - MARGIN), bisect_left(begins, s["end"] + MARGIN)
                     if b - a >= least_words:
                         rows.append((doc, version, s["run"], whole >= least_words, text[begins[a] : ends[b - 1]]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
@@ -191,7 +194,7 @@ def _confirmed(spans: DataFrame, texts: DataFrame, least_words: int) -> DataFram
     """doc_id, version, run of the runs that are, or lie in, least_words words that another document has too."""
     regions = stored(_regions(spans, texts, least_words), "regions")
     sure, open_ = regions.where("sure"), stored(_stretches(regions.where("NOT sure"), least_words), "stretches")
-    others = maybe_among(_stretches(sure, least_words), "stretch", open_, "stretch", "maybe").where("maybe").drop("maybe")
+    others = maybe_among(_stretches(sure, least_words), "stretch", open_, "stretch", "maybe", 26).where("maybe").drop("maybe")
     common = open_.unionByName(others).groupBy("stretch").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     shared = stored(open_.join(common.select("stretch"), "stretch").select("doc_id", "version", "run").distinct(), "confirmed")
     dropped(open_)
