@@ -978,8 +978,8 @@ def align_frames(spark, sf_dir):
     t = V.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("int").alias("frame_id")).distinct().select("frame_id", *[F.expr(v).cast("double").alias(k) for k, v in _TURN.items()])
     u, w, det = F.col("x") - F.col("c"), F.col("y") - F.col("f"), F.col("a") * F.col("e") - F.col("b") * F.col("d")
     moved = t.crossJoin(F.broadcast(ref)).select("frame_id", ((F.col("e") * u - F.col("b") * w) / det).alias("x"), ((F.col("a") * w - F.col("d") * u) / det).alias("y"), "mass")  # 60 rows
-    sizes = t.select("frame_id", F.lit(20000).alias("width"))
-    found = align.align(moved, sizes, ref, 20000, 20000)
+    sizes = t.select("frame_id", F.lit(600).alias("width"))
+    found = align.align(moved, sizes, ref, 600, 600, k=20)
     return found.select("frame_id", *[F.round(k, 4).alias(k) for k in "abcdef"])
 
 

@@ -139,15 +139,14 @@ def from_three(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
 
 
 def _triples(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    idx, sides = [], []
-    for i, j, k in itertools.combinations(range(len(xy)), 3):
-        for a, b, c in itertools.permutations((i, j, k)):
-            ab, ac, bc = (float(np.hypot(*(xy[p] - xy[q]))) for p, q in ((a, b), (a, c), (b, c)))
-            if ab < ac < bc:
-                idx.append((a, b, c))
-                sides.append((ab, ac, bc))
-                break
-    return np.array(idx, int).reshape(-1, 3), np.array(sides, float).reshape(-1, 3)
+    """(a, b, c) and |AB|, |AC|, |BC| of all triangles with |AB| < |AC| < |BC|: a vertex's place follows from the rank of the side across."""
+    i, j, k = np.array(list(itertools.combinations(range(len(xy)), 3)), int).reshape(-1, 3).T
+    across = np.stack([i, j, k], 1)
+    sides = np.stack([np.hypot(*(xy[p] - xy[q]).T) for p, q in ((j, k), (i, k), (i, j))], 1)
+    order = np.argsort(sides, axis=1, kind="stable")
+    sides, across = np.take_along_axis(sides, order, 1), np.take_along_axis(across, order[:, ::-1], 1)
+    apart = (sides[:, 0] < sides[:, 1]) & (sides[:, 1] < sides[:, 2])
+    return across[apart], sides[apart]
 
 
 class _Grid:

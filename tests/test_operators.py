@@ -204,6 +204,16 @@ def test_affine_least_squares_recovers_a_transform(spark):
     np.testing.assert_allclose(back[0] * (t[0] * 2 + t[1] * 3 + t[2]) + back[1] * (t[3] * 2 + t[4] * 3 + t[5]) + back[2], 2)
 
 
+def test_triangles_of_a_frame_against_brute_force():
+    xy = np.random.default_rng(4).integers(0, 9, (12, 2)).astype(float)  # with equal sides
+    d = lambda p, q: float(np.hypot(*(xy[p] - xy[q])))
+    want = {(a, b, c) for a, b, c in itertools.permutations(range(12), 3) if d(a, b) < d(a, c) < d(b, c)}
+    idx, sides = align._triples(xy)
+    assert {tuple(map(int, t)) for t in idx} == want and len(idx) == len(want)
+    np.testing.assert_allclose(sides, [[d(a, b), d(a, c), d(b, c)] for a, b, c in idx])
+    assert len(align._triples(xy[:2])[0]) == 0
+
+
 def test_align_recovers_a_shifted_frame(spark):
     r = np.random.default_rng(7)
     xy = r.random((25, 2)) * [400, 300]
