@@ -143,11 +143,16 @@ def _shingle_sets(cand: DataFrame, k: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity, block: int = 64) -> DataFrame:
     """Of (a, b) pairs those that meet the threshold on full sets, as links (u, v).
 
-    Partners of one a are dealt in blocks of about `block`, each with one copy of a's set.
+    Partners of one a are dealt in blocks of about `block`, each with one copy of a's set.  Only hubs of more
+    partners than that need to know their number: a bitmap tells their pairs, which are salted before they meet it.
     """
     num, den = how.num, how.den
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("salt"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")).where("blocks > 1")
+    marked = maybe_among(pairs.select("a", "b"), "a", hubs, "a", "big")
+    part = F.pmod(F.xxhash64("b"), F.lit(64))
+    salted = marked.where("big").withColumn("part", part).join(hubs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))), ["a", "part"], "left")
+    dealt = salted.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b", F.lit(1)), F.col("blocks")), F.lit(0).cast("long")).alias("salt"))
+    dealt = dealt.unionByName(marked.where("NOT big").select("a", "b", F.lit(0).cast("long").alias("salt")))
     rows = dealt.select("a", "salt", "a").toDF("a", "salt", "node").withColumn("role", F.lit(0)).distinct().unionByName(dealt.select("a", "salt", F.col("b").alias("node"), F.lit(1).alias("role")))
     full = rows.join(sets, "node").repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
