@@ -112,6 +112,21 @@ def test_blocks_hold_every_pair_of_different_components_once(spark):
     assert sum(x.part.startswith("1:") for x in dealt) < 2 * 90  # one component holds nearly all
 
 
+def test_pairs_of_large_hubs_are_verified_once_each(spark):
+    how = minhash.Similarity(3, 85, 100)
+    r = np.random.default_rng(0)
+    base = np.sort(r.integers(0, 1 << 62, 200, dtype=np.uint64))
+    sets = {0: base, 1000: base[:190]}
+    for i in range(1, 300):
+        sets[i] = np.unique(np.concatenate([base[: 200 - i % 60], r.integers(0, 1 << 62, i % 7, dtype=np.uint64)]))
+    pairs = [(0, i) for i in range(1, 300)] + [(1000, i) for i in range(1, 20)] + [(5, 6)]
+    table = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in sets.items()], "node long, elements binary")
+    got = [(x.u, x.v) for x in minhash._verified(spark.createDataFrame(pairs, "a long, b long"), table, how, 8).collect()]
+    same = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    want = {(a, b) for a, b in pairs if 100 * same(a, b) >= 85 * (len(sets[a]) + len(sets[b]) - same(a, b))}
+    assert set(got) == want and len(got) == len(want) and 0 < len(want) < len(pairs)
+
+
 def test_every_link_of_a_whole_table_is_found(spark):
     rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     how = minhash.Similarity(3, 85, 100)
