@@ -10,8 +10,8 @@ windows are matched by digest.  Overlapping repeated windows form passages.
 
 Texts are chunked twice (it is cheap and vectorised) instead of storing one row per window:
 first to find digests in two or more documents, by aggregation with map-side combining,
-then to mark the windows that have one.  The join's aggregated side has one row a digest, so
-a passage in a third of all documents only skews the streamed side.
+then to mark the windows that have one; windows that a bitmap of fixed size excludes aren't shuffled for that.
+The join's aggregated side has one row a digest, so a passage in a third of all documents only skews the streamed side.
 
 What windows find falls short of a passage at both ends, by MARGIN at most, so that a run of them alone can't tell fifty
 repeated words from forty.  A run of LEAST_WORDS words or more stands.  For a shorter one, all stretches of LEAST_WORDS
@@ -217,7 +217,8 @@ def repeated_passages(docs: DataFrame, reach: int = REACH, longest: int = LONGES
     """
     rows = window_rows(docs, reach, longest, least_bytes, id_col, text_col)
     many = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last"), "digests")
-    marked = stored(rows.join(many, "digest").select("doc_id", "version", F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("end"), "first_doc_id"), "marked")
+    likely = maybe_among(rows, "digest", many, "digest", "maybe", 26).where("maybe").drop("maybe")  # most windows stay where they are
+    marked = stored(likely.join(many, "digest").select("doc_id", "version", F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("end"), "first_doc_id"), "marked")
     dropped(many)
     key = ["doc_id", "version"]
     by = Window.partitionBy(*key).orderBy("start", "end", "first_doc_id")  # windows of one text
