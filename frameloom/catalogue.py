@@ -980,19 +980,19 @@ def align_frames(spark, sf_dir):
     moved = t.crossJoin(F.broadcast(ref)).select("frame_id", ((F.col("e") * u - F.col("b") * w) / det).alias("x"), ((F.col("a") * w - F.col("d") * u) / det).alias("y"), "mass")  # 60 rows
     sizes = t.select("frame_id", F.lit(600).alias("width"))
     found = align.align(moved, sizes, ref, 600, 600, k=20)
-    return found.select("frame_id", *[F.round(k, 4).alias(k) for k in "abcdef"])
+    return _longs(found.select("frame_id", *[F.round(k, 4).alias(k) for k in "abcdef"]), "frame_id")
 
 
 @query(PX + "SELECT frame_id, y, x, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS v FROM px")
 def fits_round_trip(spark, sf_dir):
     files = fits.images(V.px(spark, sf_dir)).select("frame_id", F.lit("frame.fits").alias("path"), "content")
-    return _px_out(fits.samples(files))
+    return _longs(_px_out(fits.samples(files)), "frame_id")
 
 
 @query(PX + "SELECT frame_id, y, x, round_even(least(greatest((CAST(CAST(v AS FLOAT) AS DOUBLE) + 0.5) / 1.5, 0), 1) * 65535, 0) AS v FROM px")
 def tiff_round_trip(spark, sf_dir):
     files = fits.images(V.px(spark, sf_dir), None, lambda data, exposure: tiff.encode(data, -0.5, 1.0)).select("frame_id", F.lit("frame.tif").alias("path"), "content")
-    return fits.samples(files).select("frame_id", "y", "x", F.col("v").cast("double").alias("v"))
+    return _longs(fits.samples(files).select("frame_id", "y", "x", F.col("v").cast("double").alias("v")), "frame_id")
 
 
 @query(PX + _SKY + """, b AS (SELECT sky.*, row_number() OVER (PARTITION BY frame_id ORDER BY mass DESC, x, y) AS r FROM sky)
@@ -1051,24 +1051,24 @@ def _tiles(spark, sf_dir):
 
 @query(PX + _OUT.format("v") + "pm")
 def tiles_round_trip(spark, sf_dir):
-    return _px_out(planes.to_pixels(_tiles(spark, sf_dir), 3))
+    return _longs(_px_out(planes.to_pixels(_tiles(spark, sf_dir), 3)), "frame_id")
 
 
 @query(PX + _OUT.format("CAST(CAST(v * 1.5 + 0.25 AS FLOAT) AS DOUBLE)") + "pm")
 def tiles_scale_offset(spark, sf_dir):
-    return _px_out(planes.to_pixels(planes.mapped(_tiles(spark, sf_dir), lambda v: v.astype(float) * 1.5 + 0.25), 3))
+    return _longs(_px_out(planes.to_pixels(planes.mapped(_tiles(spark, sf_dir), lambda v: v.astype(float) * 1.5 + 0.25), 3)), "frame_id")
 
 
 @query(PX + _blur_sql() + _OUT.format("CAST(CAST(v AS FLOAT) AS DOUBLE)") + "bl")
 def tiles_gauss_blur(spark, sf_dir):
     taps = stencil.gaussian_kernel(1.0)
     t = planes.from_pixels(V.px(spark, sf_dir), 3)
-    return _px_out(planes.to_pixels(planes.stencil(t, lambda a, y0, x0, h, w: stencil.blurred(a, y0, x0, h, w, taps), 1, 3), 3))
+    return _longs(_px_out(planes.to_pixels(planes.stencil(t, lambda a, y0, x0, h, w: stencil.blurred(a, y0, x0, h, w, taps), 1, 3), 3)), "frame_id")
 
 
 @query(PX + "SELECT frame_id, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std_dev FROM pm GROUP BY 1")
 def tiles_statistics(spark, sf_dir):
-    return _round(planes.statistics(_tiles(spark, sf_dir)).drop("n"), "min", "max", "mean", "std_dev")
+    return _longs(_round(planes.statistics(_tiles(spark, sf_dir)).drop("n"), "min", "max", "mean", "std_dev"), "frame_id")
 
 
 @query(PX + ", g AS (SELECT y, x, v FROM pm), a AS (SELECT y, x, median(v) AS m FROM g GROUP BY 1, 2), b AS (SELECT y, x, any_value(m) AS m, 1.4826 * median(abs(v - m)) AS s FROM g JOIN a USING (y, x) GROUP BY 1, 2) SELECT y, x, round(CAST(CAST(avg(CASE WHEN v >= m - 2 * s AND v <= m + 2 * s THEN v END) AS FLOAT) AS DOUBLE), 6) AS v FROM g JOIN b USING (y, x) GROUP BY 1, 2")
