@@ -969,7 +969,7 @@ def brightest_distant(spark, sf_dir):
 _TURN = {"a": "1.0 + (frame_id % 5) * 0.01", "b": "(frame_id % 7) * 0.02", "c": "(frame_id % 11) * 30.0", "d": "-(frame_id % 7) * 0.02", "e": "1.0 - (frame_id % 3) * 0.01", "f": "(frame_id % 13) * -20.0"}
 
 
-@query("WITH fr AS (SELECT DISTINCT l_suppkey AS frame_id FROM lineitem) SELECT frame_id, " + ", ".join(f"round({v}, 4) AS {k}" for k, v in _TURN.items()) + " FROM fr")
+@query("WITH fr AS (SELECT DISTINCT l_suppkey AS frame_id FROM lineitem) SELECT frame_id, " + ", ".join(f"round(CAST({v} AS DOUBLE), 4) AS {k}" for k, v in _TURN.items()) + " FROM fr")
 def align_frames(spark, sf_dir):
     """Every frame holds the 60 brightest stars of the first one, moved; aligning finds the moves."""
     cat = V.bright_stars(spark, sf_dir, 60)
