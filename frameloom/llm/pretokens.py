@@ -28,8 +28,6 @@ def _ranges(first: str) -> str:
 _L, _N = _ranges("L"), _ranges("N")
 #: A character outside the fast path.
 uncommon = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞]").search
-#: Pieces of the byte-level BPE with 50k tokens.
-byte_pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
 #: Pieces of the word-end BPE with 49k tokens, of normalised text.
 word_pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+").finditer
 word_pieces_list = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+").findall
