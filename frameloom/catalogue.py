@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import views as V
-from .functions.robust import MAD_TO_SIGMA
 from .operators import align, background, color, pixelmath, planes, reference, stack, stars, stats, stencil
 from .sources import fits, tiff
 from .streaming import incremental
