@@ -7,8 +7,8 @@ round both are calibrated on labelled rows held out from training, and their log
 combined by a logistic model fitted on the same rows.
 
 Two targets are learned this way, good quality and toxicity; a document is kept if it is likely good and
-not likely toxic.  Models are fitted on the driver on bounded, documented samples
-(FIT_ROWS labelled, POOL_ROWS unlabelled), chosen by hash; of a class with few rows in FIT_ROWS more
+not likely toxic.  Models are fitted in one task on bounded, documented samples
+(FIT_ROWS labelled, POOL_ROWS unlabelled), chosen by hash, and only models come to the driver; of a class with few rows in FIT_ROWS more
 are taken, up to a quarter of FIT_ROWS, and weigh as much less.  All documents are scored, in one
 pass without a shuffle.
 """
@@ -16,6 +16,7 @@ pass without a shuffle.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from . import textkit as K
 FIT_ROWS, POOL_ROWS, FEATURES, ROUNDS, EXCHANGED = 12_000, 4_000, 512, 3, 300
 #: A word feature is used if so many fitted rows have it and so many don't.
 LEAST_ROWS = 3
+#: Rows that are worked on at once while a model is fitted, so that what is made on the way stays small.
+BLOCK_ROWS = 2_048
 #: Bytes of text that features are made of at once; some twenty arrays of that many numbers are alive then.
 PIECE = 1 << 19
 #: Word features are hashed to so many bits: counting them needs no sort.
@@ -109,16 +112,36 @@ def _bucket(name: str) -> int:
 def present(found: np.ndarray, per: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Rows x chosen features, 1 where a row has the feature; chosen is sorted."""
     out = np.zeros((len(per), len(chosen)), np.float32)
-    if len(found) and len(chosen):
-        i = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
-        ok = chosen[i] == found
-        out[np.repeat(np.arange(len(per)), per)[ok], i[ok]] = 1
+    _mark(out, found, per, chosen)
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-3, steps: int = 150) -> np.ndarray:
-    """Weights with the intercept last, by accelerated gradient descent on the mean logistic loss."""
-    a = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+def _mark(out: np.ndarray, found: np.ndarray, per: np.ndarray, chosen: np.ndarray) -> None:
+    if not len(chosen):
+        return
+    for lo, hi, a, b in _row_blocks(per):
+        i = np.minimum(np.searchsorted(chosen, found[a:b]), len(chosen) - 1)
+        ok = chosen[i] == found[a:b]
+        out[np.repeat(np.arange(lo, hi), per[lo:hi])[ok], i[ok]] = 1
+
+
+def _row_blocks(per: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row + 1, first feature, last feature + 1) of blocks of BLOCK_ROWS rows."""
+    ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int64)
+    for lo in range(0, len(per), BLOCK_ROWS):
+        hi = min(lo + BLOCK_ROWS, len(per))
+        yield lo, hi, int(ends[lo]), int(ends[hi])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, decay: float = 1e-3, steps: int = 150, rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights with the intercept last, by accelerated gradient descent on the mean logistic loss.
+
+    rows: the rows of x that y and weight are of, all by default; they are copied once.
+    """
+    rows = np.arange(len(x)) if rows is None else rows
+    a = np.ones((len(rows), x.shape[1] + 1), x.dtype)
+    for lo in range(0, len(rows), BLOCK_ROWS):
+        a[lo : lo + BLOCK_ROWS, :-1] = x[rows[lo : lo + BLOCK_ROWS]]
     sample = np.ones(len(y)) if weight is None else weight
     sample = (sample / sample.sum()).astype(a.dtype)
     w = np.zeros(a.shape[1], a.dtype)
@@ -146,18 +169,25 @@ def log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 def _choose(found: np.ndarray, per: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """Features that tell the classes apart best, by the chi-square statistic, sorted."""
     n, pos, size = len(y), float(y.sum()), 1 << FEATURE_BITS
-    have = np.bincount(found, minlength=size).astype(float)
-    hit = np.bincount(found[np.repeat(y > 0, per)], minlength=size).astype(float)
+    have, hit = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for lo, hi, a, b in _row_blocks(per):
+        have += np.bincount(found[a:b], minlength=size)
+        hit += np.bincount(found[a:b][np.repeat(y[lo:hi] > 0, per[lo:hi])], minlength=size)
+    used = np.flatnonzero((have >= LEAST_ROWS) & (have <= n - LEAST_ROWS))
+    have, hit = have[used].astype(float), hit[used].astype(float)
     expected = have * pos / max(n, 1)
     other = have - expected
     chi = (hit - expected) ** 2 / np.maximum(expected, 1e-9) + (hit - expected) ** 2 / np.maximum(other, 1e-9)
-    chi[(have < LEAST_ROWS) | (have > n - LEAST_ROWS)] = 0
     best = np.argsort(-chi, kind="stable")[:most]
-    return np.sort(best[chi[best] > 0]).astype(np.uint32)
+    return np.sort(used[best[chi[best] > 0]]).astype(np.uint32)
 
 
 def _text_view(found: np.ndarray, per: np.ndarray, layout: np.ndarray, model: dict) -> np.ndarray:
-    return np.concatenate([present(found, per, model["chosen"]), ((layout - model["layout_mean"]) / model["layout_spread"]).clip(-8, 8)], 1).astype(np.float32)
+    k = len(model["chosen"])
+    out = np.zeros((len(per), k + layout.shape[1]), np.float32)
+    _mark(out, found, per, model["chosen"])
+    out[:, k:] = ((layout - model["layout_mean"]) / model["layout_spread"]).clip(-8, 8)
+    return out
 
 
 def _page_view(meta: np.ndarray, model: dict) -> np.ndarray:
@@ -184,7 +214,7 @@ def co_train(found: np.ndarray, per: np.ndarray, layout: np.ndarray, meta: np.nd
         weights = []
         for x, k in zip(views, known):
             at = np.fromiter(k, np.int64)
-            weights.append(fit_logistic(x[at], np.array([k[i] for i in at.tolist()], np.float32), weight[at]))
+            weights.append(fit_logistic(x, np.array([k[i] for i in at.tolist()], np.float32), weight[at], rows=at))
         if r == rounds or not pool:
             break
         free = np.array(sorted(pool))
@@ -207,13 +237,15 @@ def co_train(found: np.ndarray, per: np.ndarray, layout: np.ndarray, meta: np.nd
             break
     score = 1 / (1 + np.exp(-log_odds(z, blend)))
     # calibration done, the views learn from the held rows as well
+    page = views[1]
+    del views, x
     model["chosen"] = _choose(found[np.repeat(labelled, per)], per[rows], y[rows], most)
-    views = (_text_view(found, per, layout, model), views[1])
+    views = (_text_view(found, per, layout, model), page)
     weights = []
     for x, k in zip(views, known):
         k = k | dict(zip(hold.tolist(), y[hold].tolist()))
         at = np.fromiter(k, np.int64)
-        weights.append(fit_logistic(x[at], np.array([k[i] for i in at.tolist()], np.float32), weight[at]))
+        weights.append(fit_logistic(x, np.array([k[i] for i in at.tolist()], np.float32), weight[at], rows=at))
     return model | {"text": weights[0], "page": weights[1], "blend": blend, "held_accuracy": float(np.average((score >= 0.5) == (y[hold] >= 0.5), weights=weight[hold])), "held_rows": len(hold)}
 
 
@@ -235,7 +267,6 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     A share of the labels is taken by hash, of each class at least a quarter of fit_rows or all its rows;
     what is taken beyond the share weighs less, so that classes keep their shares.
     """
-    spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     counts = marks.agg(F.count("*"), *[F.count_if(x) for t in ("quality", "toxic") for x in (F.col(t) >= 1, F.col(t) < 1)]).first()
     n_labels, n_docs = counts[0], docs.count()
@@ -243,40 +274,46 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     rate = [min(1.0, fit_rows / 4 / max(1, n)) for n in counts[1:]]
     taken = F.greatest(F.lit(share), *[F.when(F.col(t) >= 1, a).when(F.col(t) < 1, b).otherwise(0.0) for t, a, b in (("quality", *rate[:2]), ("toxic", *rate[2:]))])
     u = F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(1 << 30))
-    picked = marks.withColumn("weight", F.lit(share) / taken).where(u < taken * (1 << 30)).toPandas()  # at most about 1.5 x fit_rows rows
+    # at most about 1.5 x fit_rows rows of numbers
+    picked = marks.where(u < taken * (1 << 30)).select("__id", F.col("quality").cast("double").alias("__quality"), F.col("toxic").cast("double").alias("__toxic"), (F.lit(share) / taken).alias("__weight"), F.lit(True).alias("__wanted"))
     plain = docs.select(F.col(id_col).cast("long").alias("__id"), *_columns(docs, text_col, source_col, lang_col)).where("__id is not null")
-    hit = F.broadcast(spark.createDataFrame(picked[["__id"]].astype("int64"), "__id long").withColumn("__wanted", F.lit(True)))  # ids alone
-    schema = "id long, found binary, layout binary, meta binary"
+    kinds = "id long, quality double, toxic double, weight double, found binary, layout binary, meta binary"
 
     def run(batches):
         for batch in K.slices(batches):
-            for lo, hi, found, per, layout, meta in features(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for lo, hi, found, per, layout, meta in features(batch.column(4), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
                 ends = np.cumsum(per)
                 raw = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array([found[e - c : e].tobytes() for e, c in zip(ends, per)], pa.binary()), raw(layout), raw(meta)],
-                    names=["id", "found", "layout", "meta"],
+                    [*[batch.column(i)[lo:hi] for i in range(4)], pa.array([found[e - c : e].tobytes() for e, c in zip(ends, per)], pa.binary()), raw(layout), raw(meta)],
+                    names=["id", "quality", "toxic", "weight", "found", "layout", "meta"],
                 )
 
     in_pool = F.pmod(F.xxhash64(F.lit("pool"), "__id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, pool_rows / max(1, n_docs)))
-    rows = plain.join(hit, "__id", "left").where(F.coalesce("__wanted", in_pool))  # one pass over the documents
-    made = rows.select("__id", "__text", "__source", "__lang").mapInArrow(run, schema)
-    # one row an id, the one with most features, before anything comes to the driver: at most about 1.5 x fit_rows + pool_rows rows
-    table = made.groupBy("id").agg(F.max(F.struct(F.length("found").alias("size"), "found", "layout", "meta")).alias("r")).select("id", "r.*").toArrow()
-    ids, sizes = table["id"].to_numpy(), table["size"].to_numpy() // 4
-    order = np.argsort([hash_of(i) for i in ids], kind="stable") if len(ids) else np.zeros(0, np.int64)  # so that the calibration third is a random one
-    if not len(order):
+    rows = plain.join(F.broadcast(picked), "__id", "left").where(F.coalesce("__wanted", in_pool))  # one pass over the documents
+    made = rows.select("__id", "__quality", "__toxic", "__weight", "__text", "__source", "__lang").mapInArrow(run, kinds)
+    # one row an id, the one with most features: at most about 1.5 x fit_rows + pool_rows rows go to the task that fits
+    least = made.groupBy("id").agg(F.max(F.struct(F.length("found").alias("size"), "found", "layout", "meta", "quality", "toxic", "weight")).alias("r"))
+    sample = least.select("id", "r.quality", "r.toxic", "r.weight", "r.found", "r.layout", "r.meta").repartition(1)
+    model = sample.mapInArrow(lambda batches: iter([pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(batches))], pa.binary())], names=["model"])]), "model binary").first()
+    return pickle.loads(model[0]) if model else {"quality": {}, "toxic": {}}
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> dict:
+    """Models of both targets from the sample's rows (id, quality, toxic, weight, found, layout, meta), in whatever order they come."""
+    parts = [(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)), *(_numbers(batch.column(i), kind) for i, kind in ((4, np.uint32), (5, np.float32), (6, np.float32)))) for batch in batches if batch.num_rows]
+    if not parts:
         return {"quality": {}, "toxic": {}}
-    flat = lambda name, kind, at=order: np.frombuffer(b"".join(x for x in table[name].take(at).to_pylist()), kind)
-    found, per = flat("found", np.uint32), sizes[order].astype(np.int64)
-    layout, meta = (flat(name, np.float32).reshape(len(order), -1) for name in ("layout", "meta"))
-    ids = ids[order]
-    del table
-    by = picked.set_index("__id")
+    ids, quality, toxic, weight = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((ids, [hash_of(i) for i in ids]))  # so that the calibration third is a random one
+    found, layout, meta = ([row for p in parts for row in p[i]] for i in (4, 5, 6))
+    del parts
+    per = np.array([len(found[i]) for i in order], np.int64)
+    found = np.concatenate([found[i] for i in order])
+    layout, meta = (np.stack([x[i] for i in order]) for x in (layout, meta))
+    weight = np.nan_to_num(weight[order].astype(float), nan=1.0)
     out = {}
-    weight = by["weight"].reindex(ids).fillna(1.0).to_numpy(dtype=float)
-    for target in ("quality", "toxic"):
-        y = by[target].reindex(ids).to_numpy(dtype=float)
+    for target, y in (("quality", quality[order].astype(float)), ("toxic", toxic[order].astype(float))):
         labelled = ~np.isnan(y)
         value = np.where(labelled, y >= 1, False).astype(np.float32)
         least = min(value[labelled].sum(), (1 - value[labelled]).sum()) if labelled.any() else 0
@@ -284,6 +321,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_row
     return out
 
 
+def _numbers(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """The numbers in each row of a binary column."""
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+
+
 def hash_of(i: int) -> int:
     return (int(i) * 0x9E3779B97F4A7C15 + 0x1234567) * 0xBF58476D1CE4E5B9 >> 20 & 0xFFFFFFFF
 

@@ -473,6 +473,32 @@ def test_a_rare_class_is_learned_from_all_its_labels(spark, docs_of):
     assert model["toxic"] and {i for i, s in got.items() if s >= 0.5} == set(range(3000, 3020))
 
 
+def test_models_are_fitted_in_a_task_and_not_on_the_driver(spark, docs_of, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(cotrain, "co_train", refuse)  # of this process alone
+    docs = docs_of([(i, f"plain words of a text number {i} " + ("vilea vileb vilec" if i % 5 == 0 else "and no more")) for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i % 5 != 0), int(i % 5 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = cotrain.train(docs, labels)
+    assert model["quality"]["held_accuracy"] == model["toxic"]["held_accuracy"] == 1
+
+
+def test_a_fit_makes_few_copies_of_its_rows():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    n, per = 6000, np.full(6000, 300)
+    y = (r.random(n) < 0.4).astype(np.float32)
+    found = np.sort(r.integers(0, 4000, (n, 300)) * 7 + (y[:, None] > 0), axis=1).astype(np.uint32).reshape(-1)
+    layout, meta = r.normal(size=(n, 20)).astype(np.float32), r.normal(size=(n, 130)).astype(np.float32)
+    tracemalloc.start()
+    model = cotrain.co_train(found, per, layout, meta, y, np.arange(n) % 4 > 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model["chosen"]) == cotrain.FEATURES and peak < 70e6, peak
+
+
 @pytest.mark.parametrize("n_toxic", [1, 2, 11])
 def test_few_labels_of_a_class_make_a_model(spark, docs_of, n_toxic):
     docs = docs_of([(i, f"plain words of a text number {i} " + ("vilea vileb vilec" if i < n_toxic else "and no more")) for i in range(60)])
